@@ -116,8 +116,34 @@ def to_plane(geom: Column, pl: Column) -> Column:
         lambda v: vertex(*_tm_sphere(v["x"], v["y"], pl["lon0"])),
         lambda v: vertex(*_tm_plane(v["x"], v["y"], pl["y0"])),
     )
-    single = point(*utm_xy(point_x(geom), point_y(geom), pl))
-    return F.when(geom.isNull(), None).when(pl.isNull(), geom).when(geom["type"] == "Point", single).otherwise(shape)
+    return F.when(geom.isNull(), None).when(pl.isNull(), geom).otherwise(shape)
+
+
+def frame_to_plane(df: DataFrame, pl: Column) -> DataFrame:
+    """``geom`` of a frame on the plane, and the plane as column ``_plane``.
+
+    Points are computed in stages of plain columns, so generated code evaluates
+    every intermediate once; other shapes go through ``to_plane``.
+    """
+    from gridfold.schema import computed
+
+    g = F.col("geom")
+    lon0, y0 = F.col("_plane")["lon0"], F.col("_plane")["y0"]
+    staged = df.withColumn("_plane", pl).withColumn("_sin", F.sin(F.radians(point_y(g))))
+    staged = staged.withColumn("_t", F.sinh(F.atanh(F.col("_sin")) - ECC * F.atanh(ECC * F.col("_sin"))))
+    staged = staged.withColumn("_d", F.radians(point_x(g) - lon0))
+    staged = staged.withColumn("_xi", F.atan2(F.col("_t"), F.cos(F.col("_d")))).withColumn(
+        "_eta", F.atanh(F.sin(F.col("_d")) / F.sqrt(1 + F.col("_t") * F.col("_t")))
+    )
+    x, y = _tm_plane(F.col("_xi"), F.col("_eta"), y0)
+    single = point(x, y)
+    flat = (
+        F.when(g.isNull(), None)
+        .when(F.col("_plane").isNull(), g)
+        .when(g["type"] == "Point", single)
+        .otherwise(to_plane(g, F.col("_plane")))
+    )
+    return computed(staged, geom=flat).drop("_sin", "_t", "_d", "_xi", "_eta")
 
 
 def from_plane(geom: Column, pl: Column) -> Column:
@@ -175,3 +201,20 @@ def zone_value(df: DataFrame) -> Column:
     """The zone of ``df`` as a scalar subquery, so plans stay lazy and nothing is collected."""
     zone = projected_zone(df)
     return zone.select(F.struct("lng", "lat", "epsg", "plane").alias("zone")).scalar()
+
+
+def fixed_zone(df: DataFrame) -> Column:
+    """The zone of ``df`` as a literal, measured by one aggregate.
+
+    For operators that run several jobs over ``df`` anyway: a subquery would be
+    computed again in each of them.
+    """
+    row = projected_zone(df).first()
+    flat = row["plane"]
+    pl = F.lit(None).cast("struct<lon0:double,y0:double>") if flat is None else plane(F.lit(flat["lon0"]), F.lit(flat["y0"] > 0))
+    return F.struct(
+        F.lit(row["lng"]).cast("double").alias("lng"),
+        F.lit(row["lat"]).cast("double").alias("lat"),
+        F.lit(row["epsg"]).cast("string").alias("epsg"),
+        pl.alias("plane"),
+    )

@@ -46,12 +46,11 @@ def typed_json(columns: list[str]) -> Column:
         text = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
         number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
         whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-        value = (
-            F.when(number.isNull(), F.to_variant_object(text))
-            .when(whole, F.to_variant_object(number.cast("bigint")))
-            .otherwise(F.to_variant_object(number))
+        return (
+            F.when(number.isNull(), text.cast("variant"))
+            .when(whole, number.cast("bigint").cast("variant"))
+            .otherwise(number.cast("variant"))
         )
-        return value
 
     if not columns:
         return F.lit("{}")

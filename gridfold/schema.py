@@ -17,6 +17,19 @@ FEATURE = f"fid bigint, geom {GEOM}, bbox {BBOX}, properties string"
 COLUMNS = ["fid", "geom", "bbox", "properties"]
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace columns, each evaluated exactly once per row.
+
+    A plain projection is copied into every filter that Spark pushes through it
+    (null checks of join keys included), which multiplies long geometry
+    expressions.  A one-row generator is a boundary for that, while filters on
+    other columns still go below it.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    one = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.array(one)))
+
+
 def as_features(df: DataFrame, geom: Column, properties: Column, fid: Column | None = None) -> DataFrame:
     """Feature rows from column expressions.
 
@@ -27,13 +40,13 @@ def as_features(df: DataFrame, geom: Column, properties: Column, fid: Column | N
     equal geometry.
     """
     fid = F.monotonically_increasing_id() if fid is None else fid
-    staged = df.select(fid.cast("bigint").alias("fid"), geom.alias("geom"), properties.alias("properties"))
-    return with_bbox(staged)
+    return with_bbox(df.select(fid.cast("bigint").alias("fid"), properties.alias("properties"), geom.alias("geom")))
 
 
 def with_bbox(df: DataFrame) -> DataFrame:
     """Recompute the envelope after ``geom`` changed."""
-    return df.withColumn("bbox", bbox_of(F.col("geom"))).select(*COLUMNS)
+    shaped = computed(df, geom=F.col("geom"))
+    return computed(shaped, bbox=bbox_of(F.col("geom"))).select(*COLUMNS)
 
 
 def table_only(df: DataFrame, properties: Column, fid: Column | None = None) -> DataFrame:

@@ -1,7 +1,12 @@
-"""Session settings the plans in this package assume."""
+"""Session settings, and the shared folder for results that a plan reads more than once."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -24,13 +29,31 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so later plans start from files."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or a private one in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="gridfold-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the files.
+
+    Used where a plan needs the same intermediate several times: the files
+    survive lost executors and cut the lineage.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = new_path(spark, name)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
