@@ -64,14 +64,16 @@ def read_geojson(
     belongs in newline-delimited files (``lines``), which split.
     """
     docs = read_documents(spark, path, lines)
-    parts = docs.withColumn("features", feature_texts(F.col("value")))
-    junk = parts.where(F.col("features").isNull()).limit(1)
-    if not lines and not junk.isEmpty():
-        raise ValueError("not GeoJSON: expected FeatureCollection, Feature, geometry or Feature array")
-    detected = None
-    if crs is None and not lines:
-        row = docs.select(document_crs(docs).alias("crs")).where(F.col("crs").isNotNull()).limit(1).first()
-        detected = row["crs"] if row else None
+    head = docs.limit(1).select(
+        feature_texts(F.col("value")).isNotNull().alias("ok"), document_crs(docs).alias("crs")
+    ).first()
+    message = "not GeoJSON: expected FeatureCollection, Feature, geometry or Feature array"
+    if head is None or not head["ok"]:
+        raise ValueError(message)
+    detected = None if crs is not None or lines else head["crs"]
+    # Only the first document is looked at up front; a later bad one fails the job that reads it.
+    texts = F.coalesce(feature_texts(F.col("value")), F.raise_error(F.lit(message)).cast("array<string>"))
+    parts = docs.select(texts.alias("features"))
     rows = parts.select(F.explode("features").alias("feature"))
     feature = F.col("feature")
     fid = _object(feature, f"$.properties.{fid_property}").try_cast("bigint") if fid_property else None

@@ -14,12 +14,11 @@ MAX_PAGES = 100
 
 
 def page_items(docs: DataFrame) -> DataFrame:
-    """``file, item, geojson`` of page documents: features, ``results`` or ``value`` members, or array items."""
+    """``file, item, geojson`` of page documents: GeoJSON features, or the items of a plain array."""
     doc = F.col("value")
     features = feature_texts(doc)
-    member = F.coalesce(F.get_json_object(doc, "$.results"), F.get_json_object(doc, "$.value"))
-    body = F.when(F.trim(doc).startswith("["), doc).otherwise(member)
-    items = F.coalesce(features, F.from_json(body, "array<string>"))
+    plain = F.when(F.trim(doc).startswith("["), F.from_json(doc, "array<string>"))
+    items = F.coalesce(features, plain)
     return docs.select("file", F.explode(items).alias("item"), features.isNotNull().alias("geojson"))
 
 
