@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridfold.functions.binding import let
 from gridfold.functions.measure import vertex
 
 _RING = "array<struct<x:double,y:double>>"
@@ -36,17 +37,17 @@ def _half_plane(ring: Column, axis: str, low: bool, edge: Column) -> Column:
 
 def clip_ring(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """Closed ring cut to the box; empty when fewer than three corners remain."""
-    n = F.size(ring)
-    closed = (ring[0]["x"] == F.element_at(ring, -1)["x"]) & (ring[0]["y"] == F.element_at(ring, -1)["y"])
-    cut = F.when((n > 1) & closed, F.slice(ring, F.lit(1), n - 1)).otherwise(ring)
-    # Each pass binds its input as a one-element array, so the previous pass is evaluated once.
-    staged = F.array(cut)
+    none = F.array().cast(_RING)
+
+    def opened(r: Column) -> Column:
+        last = F.element_at(r, -1)
+        closed = (F.size(r) > 1) & (r[0]["x"] == last["x"]) & (r[0]["y"] == last["y"])
+        return F.when(closed, F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)
+
+    cut = let(ring, opened)
     for axis, low, edge in (("x", True, xmin), ("x", False, xmax), ("y", True, ymin), ("y", False, ymax)):
-        staged = F.transform(staged, lambda r: _half_plane(r, axis, low, edge))
-    staged = F.transform(
-        staged, lambda r: F.when(F.size(r) >= 3, F.concat(r, F.slice(r, 1, 1))).otherwise(F.array().cast(_RING))
-    )
-    return staged[0]
+        cut = let(cut, lambda r: _half_plane(r, axis, low, edge))
+    return let(cut, lambda r: F.when(F.size(r) >= 3, F.concat(r, F.slice(r, 1, 1))).otherwise(none))
 
 
 def _segment(a: Column, b: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
@@ -88,65 +89,53 @@ def clip_line(line: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Colu
 
 
 def clip_geometry(geom: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Geometry cut to the box; NULL when nothing is left or the input is NULL."""
+    """Geometry cut to the box; NULL when nothing is left or the input is NULL.
+
+    Every part is cut by its kind to a list of parts, and the lists are joined.
+    """
     edges = (xmin, ymin, xmax, ymax)
-    t, parts = geom["type"], geom["parts"]
-    keep = lambda p: p[0][0]["x"].between(xmin, xmax) & p[0][0]["y"].between(ymin, ymax)
-    lines = lambda p: F.transform(clip_line(p[0], *edges), lambda piece: F.array(piece))
+    parts_type = f"array<array<{_RING}>>"
 
-    def polygon(p: Column) -> Column:
-        rings = F.transform(p, lambda r: clip_ring(r, *edges))
+    def kept_point(p: Column) -> Column:
+        v = p[0][0]
+        inside = v["x"].between(xmin, xmax) & v["y"].between(ymin, ymax)
+        return F.when(inside, F.array(p)).otherwise(F.array().cast(parts_type))
+
+    def kept_area(p: Column) -> Column:
         # Without its outer ring a polygon is gone; holes that vanish are left out.
-        return F.element_at(
-            F.transform(
-                F.array(rings),
-                lambda rs: F.when(F.size(rs[0]) == 0, F.array().cast(f"array<{_RING}>")).otherwise(
-                    F.filter(rs, lambda r: F.size(r) > 0)
-                ),
+        rings = F.transform(p, lambda r: clip_ring(r, *edges))
+        return let(
+            rings,
+            lambda rs: F.when(F.size(rs[0]) > 0, F.array(F.filter(rs, lambda r: F.size(r) > 0))).otherwise(
+                F.array().cast(parts_type)
             ),
-            1,
         )
 
-    points = F.filter(parts, keep)
-    pieces = F.flatten(F.transform(parts, lines))
-    areas = F.filter(F.transform(parts, polygon), lambda p: F.size(p) > 0)
-    part = lambda i: F.substring(geom["kinds"], i + 1, F.lit(1))
-    mixed = F.transform(
-        parts,
-        lambda p, i: F.when((part(i) == "P") & keep(p), F.array(p))
-        .when(part(i) == "P", F.array().cast(f"array<array<{_RING}>>"))
-        .when(part(i) == "L", lines(p))
-        .otherwise(F.filter(F.array(polygon(p)), lambda q: F.size(q) > 0)),
-    )
-    kinds = F.array_join(
-        F.transform(mixed, lambda ps, i: F.array_join(F.transform(ps, lambda p: part(i)), "")), ""
-    )
-    none = F.lit(None).cast("string")
-
-    def shape(kind: Column, letters: Column, found: Column) -> Column:
-        built = F.transform(
-            F.array(found),
-            lambda ps: F.when(
-                F.size(ps) > 0, F.struct(kind.alias("type"), letters.alias("kinds"), ps.alias("parts")).cast(_GEOM)
-            ),
-        )
-        return built[0]
-
-    many_lines = F.transform(
-        F.array(pieces),
-        lambda ps: F.when(
-            F.size(ps) > 0,
-            F.struct(
-                F.when((t == "LineString") & (F.size(ps) == 1), "LineString").otherwise("MultiLineString").alias("type"),
-                none.alias("kinds"),
-                ps.alias("parts"),
-            ).cast(_GEOM),
-        ),
-    )[0]
-    return (
-        F.when(geom.isNull(), None)
-        .when(t.isin("Point", "MultiPoint"), shape(t, none, points))
-        .when(t.isin("LineString", "MultiLineString"), many_lines)
-        .when(t.isin("Polygon", "MultiPolygon"), shape(t, none, areas))
-        .otherwise(shape(t, kinds, F.flatten(mixed)))
-    )
+    def cut(g: Column) -> Column:
+        t = g["type"]
+
+        def by_kind(p: Column, i: Column) -> Column:
+            letter = F.substring(g["kinds"], i + 1, F.lit(1))
+            return (
+                F.when(t.endswith("Point") | (letter == "P"), kept_point(p))
+                .when(
+                    t.endswith("LineString") | (letter == "L"),
+                    F.transform(clip_line(p[0], *edges), lambda piece: F.array(piece)),
+                )
+                .otherwise(kept_area(p))
+            )
+
+        def shaped(lists: Column) -> Column:
+            letters = F.transform(
+                lists, lambda ps, i: F.repeat(F.substring(g["kinds"], i + 1, F.lit(1)), F.size(ps))
+            )
+            kind = (
+                F.when((t == "LineString") & (F.size(F.flatten(lists)) > 1), "MultiLineString").otherwise(t)
+            )
+            kinds = F.when(g["kinds"].isNotNull(), F.array_join(letters, ""))
+            found = F.struct(kind.alias("type"), kinds.alias("kinds"), F.flatten(lists).alias("parts")).cast(_GEOM)
+            return F.when(F.size(F.flatten(lists)) > 0, found)
+
+        return let(F.transform(g["parts"], by_kind), shaped)
+
+    return F.when(geom.isNotNull(), let(geom, cut))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridfold.functions.binding import let
 from gridfold.functions.measure import vertex
 
 # Geometry type names of GeoJSON and their WKT spellings.
@@ -51,11 +52,16 @@ def _checked(parts: Column) -> Column:
 
 
 def _geom(kind: Column, kinds: Column, parts: Column) -> Column:
+    """Geometry from bound parts, NULL when they are NULL."""
     return F.when(parts.isNotNull(), F.struct(kind.alias("type"), kinds.alias("kinds"), parts.alias("parts"))).cast(_GEOM)
 
 
 def _simple(kind: Column, coords: Column) -> Column:
-    return _geom(kind, F.lit(None).cast("string"), _checked(_parts(kind, coords)))
+    none = F.lit(None).cast("string")
+    return let(
+        F.struct(kind.alias("kind"), coords.alias("coords")),
+        lambda s: let(_parts(s["kind"], s["coords"]), lambda parts: _geom(s["kind"], none, _checked(parts))),
+    )
 
 
 def _gather(members: Column) -> Column:
@@ -63,9 +69,20 @@ def _gather(members: Column) -> Column:
     letter = lambda g: (
         F.when(g["type"].endswith("Point"), "P").when(g["type"].endswith("LineString"), "L").otherwise("A")
     )
-    kinds = F.array_join(F.flatten(F.transform(members, lambda g: F.transform(g["parts"], lambda p: letter(g)))), "")
-    good = (F.size(members) > 0) & F.forall(members, lambda g: g.isNotNull())
-    return F.when(good, _geom(F.lit(COLLECTION), kinds, F.flatten(F.transform(members, lambda g: g["parts"]))))
+
+    def whole(ms: Column) -> Column:
+        kinds = F.array_join(F.flatten(F.transform(ms, lambda g: F.transform(g["parts"], lambda p: letter(g)))), "")
+        good = (F.size(ms) > 0) & F.forall(ms, lambda g: g.isNotNull())
+        parts = F.flatten(F.transform(ms, lambda g: g["parts"]))
+        return F.when(good, F.struct(F.lit(COLLECTION).alias("type"), kinds.alias("kinds"), parts.alias("parts"))).cast(_GEOM)
+
+    return let(members, whole)
+
+
+def _body(text: Column) -> Column:
+    """The geometry of a Feature wrapper, or the text itself."""
+    wrapper = F.get_json_object(text, "$.type") == "Feature"
+    return F.when(wrapper, F.get_json_object(text, "$.geometry")).otherwise(text)
 
 
 def parse_geojson(text: Column, collections: bool = False) -> Column:
@@ -73,18 +90,21 @@ def parse_geojson(text: Column, collections: bool = False) -> Column:
 
     A GeometryCollection has no ``coordinates`` member; it is read only on request.
     """
-    body = F.when(
-        F.get_json_object(text, "$.type") == "Feature", F.get_json_object(text, "$.geometry")
-    ).otherwise(text)
-    kind = F.get_json_object(body, "$.type")
-    simple = F.when(kind.isin(TYPES), _simple(kind, F.get_json_object(body, "$.coordinates")))
-    if not collections:
-        return simple
-    members = F.transform(
-        F.from_json(F.get_json_object(body, "$.geometries"), "array<string>"),
-        lambda g: _simple(F.get_json_object(g, "$.type"), F.get_json_object(g, "$.coordinates")),
+
+    def simple(body: Column, kind: Column) -> Column:
+        return F.when(kind.isin(TYPES), _simple(kind, F.get_json_object(body, "$.coordinates")))
+
+    def any_kind(body: Column, kind: Column) -> Column:
+        members = F.transform(
+            F.from_json(F.get_json_object(body, "$.geometries"), "array<string>"),
+            lambda g: _simple(F.get_json_object(g, "$.type"), F.get_json_object(g, "$.coordinates")),
+        )
+        return F.when(kind == COLLECTION, _gather(members)).otherwise(simple(body, kind))
+
+    rule = any_kind if collections else simple
+    return let(
+        text, lambda t: let(_body(t), lambda b: let(F.get_json_object(b, "$.type"), lambda kind: rule(b, kind)))
     )
-    return F.when(kind == COLLECTION, _gather(members)).otherwise(simple)
 
 
 def _wkt_type(text: Column) -> Column:
@@ -101,26 +121,28 @@ def _wkt_coords(text: Column, kind: Column) -> Column:
 
 
 def _wkt_simple(text: Column) -> Column:
-    upper = _wkt_type(text)
-    kind = F.lit(None).cast("string")
-    for name in TYPES:
-        kind = F.when(upper == name.upper(), name).otherwise(kind)
-    coords = _wkt_coords(text, upper)
-    coords = F.when(kind == "Point", F.regexp_replace(coords, r"^\[\s*|\s*\]$", "")).otherwise(coords)
-    return _simple(kind, coords)
+    spelled = F.create_map(*[F.lit(v) for name in TYPES for v in (name.upper(), name)])
+
+    def build(t: Column, upper: Column) -> Column:
+        kind = F.try_element_at(spelled, upper)
+        coords = _wkt_coords(t, upper)
+        bare = F.when(upper == "POINT", F.regexp_replace(coords, r"^\[\s*|\s*\]$", "")).otherwise(coords)
+        return F.when(upper != "", _simple(kind, bare))
+
+    return let(text, lambda t: let(_wkt_type(t), lambda upper: build(t, upper)))
 
 
 def parse_wkt(text: Column) -> Column:
     """WKT to a geometry struct; EMPTY, unknown types and bad numbers give NULL."""
-    members = F.transform(
-        F.regexp_extract_all(
-            F.regexp_extract(text, r"(?s)\((.*)\)", 1),
-            F.lit(rf"(?i)({_WKT_TYPE}\s*(?:ZM|Z|M)?\s*{_NESTED})"),
-            F.lit(1),
-        ),
-        _wkt_simple,
+
+    def collection(t: Column) -> Column:
+        inner = F.regexp_extract(t, r"(?s)\((.*)\)", 1)
+        pattern = F.lit(rf"(?i)({_WKT_TYPE}\s*(?:ZM|Z|M)?\s*{_NESTED})")
+        return _gather(F.transform(F.regexp_extract_all(inner, pattern, F.lit(1)), _wkt_simple))
+
+    return let(
+        text, lambda t: F.when(_wkt_type(t) == "GEOMETRYCOLLECTION", collection(t)).otherwise(_wkt_simple(t))
     )
-    return F.when(_wkt_type(text) == "GEOMETRYCOLLECTION", _gather(members)).otherwise(_wkt_simple(text))
 
 
 def is_wkt(text: Column) -> Column:
@@ -130,16 +152,15 @@ def is_wkt(text: Column) -> Column:
 
 
 def is_geojson(text: Column) -> Column:
-    body = F.when(
-        F.get_json_object(text, "$.type") == "Feature", F.get_json_object(text, "$.geometry")
-    ).otherwise(text)
-    known = F.get_json_object(body, "$.type").isin([*TYPES, COLLECTION])
-    return F.coalesce(F.trim(text).startswith("{") & known & F.get_json_object(body, "$.coordinates").isNotNull(), F.lit(False))
+    known = lambda b: (
+        F.get_json_object(b, "$.type").isin([*TYPES, COLLECTION]) & F.get_json_object(b, "$.coordinates").isNotNull()
+    )
+    return F.coalesce(let(text, lambda t: F.trim(t).startswith("{") & let(_body(t), known)), F.lit(False))
 
 
 def parse_geometry(text: Column) -> Column:
     """WKT or GeoJSON text, whichever parses."""
-    return F.when(F.trim(text).startswith("{"), parse_geojson(text)).otherwise(parse_wkt(text))
+    return let(text, lambda t: F.when(F.trim(t).startswith("{"), parse_geojson(t)).otherwise(parse_wkt(t)))
 
 
 def _digits(v: Column) -> Column:

@@ -13,7 +13,6 @@ from gridfold.functions.measure import bbox_of, is_point, vertex
 from gridfold.functions.project import _map_vertices
 from gridfold.functions.tilemath import PI, grid, tile_bounds, tile_id, tile_range, world_x, world_y
 from gridfold.operators.combine import dedup_features
-from gridfold.operators.inspect import bounds
 from gridfold.schema import computed
 
 # Tile extent, buffer and simplification in tile units; most tiles of one extraction.
@@ -32,16 +31,17 @@ def _unit(geom: Column) -> Column:
     return _map_vertices(geom, lambda v: vertex(world_x(v["x"]), y(v)))
 
 
-def _spread(rows: DataFrame, zooms: Column) -> DataFrame:
-    """One row per tile that a unit-square geometry (with buffer) touches, limited to ``limits``."""
-    b, z = F.col("ubox"), F.col("z")
+def _spread(rows: DataFrame, zooms: Column, limits: Column) -> DataFrame:
+    """One row per tile that a unit-square geometry (with buffer) touches, inside the range of the data."""
+    b, n, lim = F.col("ubox"), grid(F.col("z")), F.element_at(limits, F.col("z") + 1)
+
+    def span(low: str, high: str) -> Column:
+        first = F.greatest(F.floor(b[low] * n - MARGIN), lim[low])
+        last = F.least(F.floor(b[high] * n + MARGIN), lim[high])
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
     out = rows.withColumn("z", F.explode(zooms))
-    for axis, low, high in (("x", "xmin", "xmax"), ("y", "ymin", "ymax")):
-        lim = F.col("limits")
-        first = F.greatest(F.floor(b[low] * grid(z) - MARGIN), F.element_at(lim, z + 1)[low])
-        last = F.least(F.floor(b[high] * grid(z) + MARGIN), F.element_at(lim, z + 1)[high])
-        out = out.withColumn(axis, F.explode(F.when(first <= last, F.sequence(first, last))))
-    return out
+    return out.withColumn("x", span("xmin", "xmax")).withColumn("y", span("ymin", "ymax"))
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -53,19 +53,28 @@ def _cut(rows: DataFrame) -> DataFrame:
         (F.col("x") + 1 + MARGIN) / n,
         (F.col("y") + 1 + MARGIN) / n,
     ]
-    whole = (
-        (F.col("ubox.xmin") >= edges[0])
-        & (F.col("ubox.ymin") >= edges[1])
-        & (F.col("ubox.xmax") <= edges[2])
-        & (F.col("ubox.ymax") <= edges[3])
-    )
+    b = F.col("ubox")
+    whole = (b["xmin"] >= edges[0]) & (b["ymin"] >= edges[1]) & (b["xmax"] <= edges[2]) & (b["ymax"] <= edges[3])
     cut = F.when(whole, F.col("unit")).otherwise(clip_geometry(F.col("unit"), *edges))
     return computed(rows, unit=cut).where(F.col("unit").isNotNull())
 
 
-def build_tiles(
-    df: DataFrame, minzoom: int = 0, maxzoom: int = 14, layer: str = "features", strict: bool = True
-) -> DataFrame:
+def _measure(spatial: DataFrame, maxzoom: int):
+    """One aggregate: tile range per zoom, whether all are points, whether some span many tiles."""
+    b = F.col("bbox")
+    width = (b["xmax"] - b["xmin"]) / 360
+    height = F.abs(world_y(b["ymin"]) - world_y(b["ymax"]))
+    stats = spatial.agg(
+        F.struct(*[f(b[c]).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]).alias("b"),
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(is_point(F.col("geom"))).alias("points"),
+        (F.max(F.greatest(width, height)) * 2.0**maxzoom > SPAN).alias("large"),
+    )
+    limits = F.array(*[tile_range(F.col("b"), F.lit(z)) for z in range(maxzoom + 1)])
+    return stats.select("n", "points", "large", limits.alias("limits")).first()
+
+
+def build_tiles(df: DataFrame, minzoom: int = 0, maxzoom: int = 14, layer: str = "features") -> DataFrame:
     """``z, x, y, tile_id, layer, fid, geom, properties`` with geometry in tile units 0..4096.
 
     Features spanning many tiles are cut on a coarse zoom first and the pieces
@@ -75,50 +84,54 @@ def build_tiles(
         raise ValueError("tiles: need 0 <= minzoom <= maxzoom <= 22")
     kernel.install(df.sparkSession)
     spatial = df.where(F.col("geom").isNotNull())
-    if strict and spatial.isEmpty():
+    stats = _measure(spatial, maxzoom)
+    if not stats["n"]:
         raise ValueError("tiles: no features to tile")
-    extent = bounds(spatial).select(F.struct("*").alias("b"))
-    limits = extent.select(
-        F.array(*[tile_range(F.col("b"), F.lit(z)) for z in range(maxzoom + 1)]).alias("limits")
-    ).scalar()
+    names = ("xmin", "ymin", "xmax", "ymax")
+    limits = F.array(*[F.struct(*[F.lit(r[c]).cast("bigint").alias(c) for c in names]) for r in stats["limits"]])
     unit = computed(spatial.select("fid", "geom", "properties"), unit=_unit(F.col("geom"))).drop("geom")
-    unit = computed(unit, ubox=bbox_of(F.col("unit"))).withColumn("limits", limits)
+    unit = computed(unit, ubox=bbox_of(F.col("unit")))
 
-    zooms = lambda lo, hi: F.sequence(F.lit(lo), F.lit(hi))
     coarse = max(minzoom, min(COARSE_ZOOM, maxzoom))
-    parts = []
-    span = F.greatest(F.col("ubox.xmax") - F.col("ubox.xmin"), F.col("ubox.ymax") - F.col("ubox.ymin"))
-    large = span * 2.0**maxzoom > SPAN
-    if maxzoom > coarse:
-        parts.append(_cut(_spread(unit.where(~large), zooms(minzoom, maxzoom))))
-        wide = unit.where(large)
-        if minzoom <= coarse:
-            parts.append(_cut(_spread(wide, zooms(minzoom, coarse))))
-        pieces = _cut(_spread(wide, F.array(F.lit(coarse)))).withColumnsRenamed({"x": "_px", "y": "_py"}).drop("z", "ubox")
-        pieces = computed(pieces.repartition("_px", "_py", "fid"), ubox=bbox_of(F.col("unit")))
-        fine = _spread(pieces, zooms(max(minzoom, coarse + 1), maxzoom))
+    every = F.sequence(F.lit(minzoom), F.lit(maxzoom))
+    if stats["points"]:
+        # The tile range of a point is exact; there is nothing to clip.
+        tiles = _spread(unit, every, limits)
+    elif not stats["large"] or maxzoom <= coarse:
+        tiles = _cut(_spread(unit, every, limits))
+    else:
+        b = F.col("ubox")
+        large = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) * 2.0**maxzoom > SPAN
+        low = F.when(large, F.sequence(F.lit(minzoom), F.lit(coarse))).otherwise(every)
+        direct = _spread(unit, low, limits)
+        pieces = _cut(_spread(unit.where(large), F.array(F.lit(coarse)), limits)).drop("z", "ubox")
+        pieces = pieces.withColumnsRenamed({"x": "_px", "y": "_py"}).repartition("_px", "_py", "fid")
+        fine = _spread(
+            computed(pieces, ubox=bbox_of(F.col("unit"))), F.sequence(F.lit(coarse + 1), F.lit(maxzoom)), limits
+        )
         shift = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("z") - coarse))
         fine = fine.where((shift("x") == F.col("_px")) & (shift("y") == F.col("_py"))).drop("_px", "_py")
-        parts.append(_cut(fine))
-    else:
-        parts.append(_cut(_spread(unit, zooms(minzoom, maxzoom))))
-    tiles = reduce(DataFrame.unionByName, parts)
+        tiles = _cut(direct.unionByName(fine))
 
     n = grid(F.col("z"))
     scaled = _map_vertices(
         F.col("unit"), lambda v: vertex((v["x"] * n - F.col("x")) * EXTENT, (v["y"] * n - F.col("y")) * EXTENT)
     )
-    tiles = computed(tiles, scaled=scaled).drop("unit", "ubox", "limits")
-    simple = kernel.unpack(kernel.simplify(kernel.pack(F.col("scaled")), F.lit(TOLERANCE)))
-    coarser = ~is_point(F.col("scaled")) & (F.col("z") < maxzoom)
-    tiles = computed(tiles, scaled=F.when(coarser, simple).otherwise(F.col("scaled")))
-    rounded = _map_vertices(F.col("scaled"), lambda v: vertex(F.round(v["x"]), F.round(v["y"])))
-    return (
-        tiles.where(F.size("scaled.parts") > 0)
-        .withColumn("geom", rounded)
-        .withColumn("tile_id", tile_id(F.col("z"), F.col("x"), F.col("y")))
-        .withColumn("layer", F.lit(layer))
-        .select(*TILE_COLUMNS)
+    if not stats["points"]:
+        tiles = computed(tiles, unit=scaled)
+        simple = kernel.unpack(kernel.simplify(kernel.pack(F.col("unit")), F.lit(TOLERANCE)))
+        coarser = ~is_point(F.col("unit")) & (F.col("z") < maxzoom)
+        tiles = computed(tiles, unit=F.when(coarser, simple).otherwise(F.col("unit"))).where(F.size("unit.parts") > 0)
+        scaled = F.col("unit")
+    return tiles.select(
+        "z",
+        "x",
+        "y",
+        tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"),
+        F.lit(layer).alias("layer"),
+        "fid",
+        _map_vertices(scaled, lambda v: vertex(F.round(v["x"]), F.round(v["y"]))).alias("geom"),
+        "properties",
     )
 
 
