@@ -69,6 +69,8 @@ def install(spark: SparkSession) -> None:
         "IsEmpty": flag,
     }.items():
         spark.udf.registerJavaFunction(f"gf_{name.lower()}", f"gridfold.kernel.Shapes${name}", result)
+    for name in ("To", "From"):
+        spark.udf.registerJavaFunction(f"gf_{name.lower()}_plane", f"gridfold.kernel.Plane${name}", wkb)
     jvm = spark._jvm
     loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
     union = loader.loadClass("gridfold.kernel.UnionAgg").newInstance()
@@ -87,6 +89,16 @@ def unpack(wkb: Column) -> Column:
     return F.call_function("gf_unpack", wkb)
 
 
+def to_plane(wkb: Column, plane: Column) -> Column:
+    """Degrees to the metric plane ``(lon0, y0)``; unchanged when the plane is NULL."""
+    return F.call_function("gf_to_plane", wkb, plane["lon0"], plane["y0"])
+
+
+def from_plane(wkb: Column, plane: Column) -> Column:
+    """Metric plane to degrees; unchanged when the plane is NULL."""
+    return F.call_function("gf_from_plane", wkb, plane["lon0"], plane["y0"])
+
+
 def buffer(wkb: Column, distance: Column, quad_segs: int) -> Column:
     return F.call_function("gf_buffer", wkb, distance, F.lit(quad_segs))
 

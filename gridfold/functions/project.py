@@ -2,7 +2,8 @@
 
 The transverse Mercator series in the third flattening follows the published
 Krueger expansion; four terms keep the error far below a millimetre inside a
-zone.  A plane is a struct column ``(lon0, y0)``: central meridian in degrees and
+zone.  Points are plain column arithmetic; shapes with many vertices go through
+the same series in the WKB functions.  A plane is a struct column ``(lon0, y0)``: central meridian in degrees and
 false northing.  A NULL plane means "stay in degrees".
 """
 
@@ -10,10 +11,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.functions import units
+from gridfold.functions import kernel, units
 from gridfold.functions.measure import centroid, point, point_x, point_y, vertex
 
 _, N3 = units.ellipsoid()
@@ -26,18 +27,6 @@ ALPHA = [
     61 * N3**3 / 240 - 103 * N3**4 / 140,
     49561 * N3**4 / 161280,
 ]
-BETA = [
-    N3 / 2 - 2 * N3**2 / 3 + 37 * N3**3 / 96 - N3**4 / 360,
-    N3**2 / 48 + N3**3 / 15 - 437 * N3**4 / 1440,
-    17 * N3**3 / 480 - 37 * N3**4 / 840,
-    4397 * N3**4 / 161280,
-]
-DELTA = [
-    2 * N3 - 2 * N3**2 / 3 - 2 * N3**3 + 116 * N3**4 / 45,
-    7 * N3**2 / 3 - 8 * N3**3 / 5 - 227 * N3**4 / 45,
-    56 * N3**3 / 15 - 136 * N3**4 / 35,
-    4279 * N3**4 / 630,
-]
 ECC = 2 * N3**0.5 / (1 + N3)
 
 
@@ -56,13 +45,6 @@ def plane_of(epsg: str) -> Column:
     return plane(F.lit(units.central_meridian(int(match[2]))), F.lit(match[1] == "7"))
 
 
-def _stages(vs: Column, *steps) -> Column:
-    """Apply the steps one after the other so each intermediate is computed once."""
-    for step in steps:
-        vs = F.transform(vs, step)
-    return vs
-
-
 def _sum(terms: list[Column]) -> Column:
     total = terms[0]
     for t in terms[1:]:
@@ -84,39 +66,28 @@ def _tm_plane(xi: Column, eta: Column, y0: Column) -> tuple[Column, Column]:
     return FALSE_EASTING + k * e, y0 + k * n
 
 
-def _tm_unplane(x: Column, y: Column, y0: Column) -> tuple[Column, Column]:
-    k = SCALE * RADIUS
-    xi, eta = (y - y0) / k, (x - FALSE_EASTING) / k
-    xi1 = _sum([xi] + [-b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(BETA, 1)])
-    eta1 = _sum([eta] + [-b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(BETA, 1)])
-    return xi1, eta1
-
-
-def _tm_unsphere(xi: Column, eta: Column, lon0: Column) -> tuple[Column, Column]:
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    phi = _sum([chi] + [d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1)])
-    return lon0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(phi)
-
-
 def utm_xy(lng: Column, lat: Column, pl: Column) -> tuple[Column, Column]:
     """Forward projection of one position, for scalar columns."""
     xi, eta = _tm_sphere(lng, lat, pl["lon0"])
     return _tm_plane(xi, eta, pl["y0"])
 
 
-def _map_vertices(geom: Column, *steps) -> Column:
-    parts = F.transform(geom["parts"], lambda p: F.transform(p, lambda r: _stages(r, *steps)))
+def map_vertices(geom: Column, step) -> Column:
+    """The same geometry with every vertex replaced by ``step(vertex)``."""
+    parts = F.transform(geom["parts"], lambda p: F.transform(p, lambda r: F.transform(r, step)))
     return F.struct(geom["type"].alias("type"), geom["kinds"].alias("kinds"), parts.alias("parts"))
 
 
 def to_plane(geom: Column, pl: Column) -> Column:
     """Degrees to the metric plane; unchanged when the plane is NULL."""
-    shape = _map_vertices(
-        geom,
-        lambda v: vertex(*_tm_sphere(v["x"], v["y"], pl["lon0"])),
-        lambda v: vertex(*_tm_plane(v["x"], v["y"], pl["y0"])),
-    )
-    return F.when(geom.isNull(), None).when(pl.isNull(), geom).otherwise(shape)
+    kernel.install(SparkSession.active())
+    return kernel.unpack(kernel.to_plane(kernel.pack(geom), pl))
+
+
+def from_plane(geom: Column, pl: Column) -> Column:
+    """Metric plane back to degrees; unchanged when the plane is NULL."""
+    kernel.install(SparkSession.active())
+    return kernel.unpack(kernel.from_plane(kernel.pack(geom), pl))
 
 
 def frame_to_plane(df: DataFrame, pl: Column) -> DataFrame:
@@ -146,16 +117,6 @@ def frame_to_plane(df: DataFrame, pl: Column) -> DataFrame:
     return computed(staged, geom=flat).drop("_sin", "_t", "_d", "_xi", "_eta")
 
 
-def from_plane(geom: Column, pl: Column) -> Column:
-    """Metric plane back to degrees."""
-    shape = _map_vertices(
-        geom,
-        lambda v: vertex(*_tm_unplane(v["x"], v["y"], pl["y0"])),
-        lambda v: vertex(*_tm_unsphere(v["x"], v["y"], pl["lon0"])),
-    )
-    return F.when(geom.isNull(), None).when(pl.isNull(), geom).otherwise(shape)
-
-
 def _to_web(v: Column) -> Column:
     y = F.log(F.tan(F.lit(0.7853981633974483) + F.radians(v["y"]) / 2))
     return vertex(F.radians(v["x"]) * units.WEB_MERCATOR_RADIUS, y * units.WEB_MERCATOR_RADIUS)
@@ -173,13 +134,13 @@ def reproject(geom: Column, source: str, target: str) -> Column:
     wgs = geom
     if not units.is_wgs84(source):
         if source.upper() == "EPSG:3857":
-            wgs = F.when(geom.isNotNull(), _map_vertices(geom, _from_web))
+            wgs = F.when(geom.isNotNull(), map_vertices(geom, _from_web))
         else:
             wgs = from_plane(geom, plane_of(source))
     if units.is_wgs84(target):
         return wgs
     if target.upper() == "EPSG:3857":
-        return F.when(wgs.isNotNull(), _map_vertices(wgs, _to_web))
+        return F.when(wgs.isNotNull(), map_vertices(wgs, _to_web))
     return to_plane(wgs, plane_of(target))
 
 

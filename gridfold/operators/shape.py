@@ -4,37 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import kernel, units
 from gridfold.functions.clip import clip_geometry
 from gridfold.functions.measure import centroid as centroid_of
-from gridfold.functions.measure import bbox_of, is_point, point, point_x, point_y, vertex
-from gridfold.functions.project import frame_to_plane, from_plane, zone_value
+from gridfold.functions.measure import point
+from gridfold.functions.project import zone_value
 from gridfold.operators.combine import one_feature, union_tree
 from gridfold.operators.distance import plane_distance
-from gridfold.schema import GEOM, with_bbox
-
-
-def _disc(geom: Column, radius: Column, quad_segs: int) -> Column:
-    """Regular polygon around a point, clockwise from the east."""
-    n = 4 * quad_segs
-    ring = F.transform(
-        F.sequence(F.lit(0), F.lit(n)),
-        lambda i: vertex(
-            point_x(geom) + radius * F.cos(F.lit(-2 * math.pi / n) * F.pmod(i, F.lit(n))),
-            point_y(geom) + radius * F.sin(F.lit(-2 * math.pi / n) * F.pmod(i, F.lit(n))),
-        ),
-    )
-    return F.struct(
-        F.lit("Polygon").alias("type"), F.lit(None).cast("string").alias("kinds"), F.array(F.array(ring)).alias("parts")
-    ).cast(GEOM)
-
-
-def _buffered(flat: Column, radius: Column, quad_segs: int) -> Column:
-    other = kernel.unpack(kernel.buffer(kernel.pack(flat), radius, quad_segs))
-    return F.when(flat.isNull(), None).when(is_point(flat), _disc(flat, radius, quad_segs)).otherwise(other)
+from gridfold.schema import computed, with_bbox
 
 
 def simplify_fraction(quad_segs: int) -> float:
@@ -62,16 +42,16 @@ def buffer(
     if strict and df.isEmpty():
         raise ValueError("buffer: produced no features")
     zone = zone_value(df)
-    plane, radius = zone["plane"], plane_distance(units.to_meters(distance, units_), zone)
-    flat = frame_to_plane(df.withColumn("_r", radius), plane)
-    grown = flat.withColumn("geom", _buffered(F.col("geom"), F.col("_r"), quad_segs))
+    flat = df.withColumn("_plane", zone["plane"]).withColumn("_r", plane_distance(units.to_meters(distance, units_), zone))
+    plane = F.col("_plane")
+    grown = kernel.buffer(kernel.to_plane(kernel.pack(F.col("geom")), plane), F.col("_r"), quad_segs)
     if not dissolve:
-        return with_bbox(grown.withColumn("geom", from_plane(F.col("geom"), F.col("_plane"))))
+        return with_bbox(flat.withColumn("geom", kernel.unpack(kernel.from_plane(grown, plane))))
     tolerance = F.col("_r") * simplify_fraction(quad_segs)
-    wkb = kernel.repair(kernel.simplify(kernel.pack(F.col("geom")), tolerance))
-    shapes = grown.where(F.col("geom").isNotNull()).select(wkb.alias("wkb"), bbox_of(F.col("geom")).alias("bbox"))
-    one = one_feature(union_tree(shapes)).withColumn("_plane", plane)
-    return with_bbox(one.withColumn("geom", from_plane(F.col("geom"), F.col("_plane"))))
+    shaped = computed(flat.where(F.col("geom").isNotNull()), wkb=kernel.repair(kernel.simplify(grown, tolerance)))
+    # The envelope only places a shape in the union tree, so that of the unbuffered feature will do.
+    one = union_tree(shaped.select("wkb", "bbox")).withColumn("_plane", zone["plane"])
+    return one_feature(one.select(kernel.from_plane(F.col("wkb"), F.col("_plane")).alias("wkb")))
 
 
 def centroid(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridfold.functions import kernel
 from gridfold.functions.clip import clip_geometry
 from gridfold.functions.measure import bbox_of, is_point, vertex
-from gridfold.functions.project import _map_vertices
+from gridfold.functions.project import map_vertices
 from gridfold.functions.tilemath import PI, grid, tile_bounds, tile_id, tile_range, world_x, world_y
 from gridfold.operators.combine import dedup_features
 from gridfold.schema import computed
@@ -28,7 +28,7 @@ TILE_COLUMNS = ["z", "x", "y", "tile_id", "layer", "fid", "geom", "properties"]
 def _unit(geom: Column) -> Column:
     """Degrees to the unit square of the world, latitude clamped to it."""
     y = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), world_y(v["y"])))
-    return _map_vertices(geom, lambda v: vertex(world_x(v["x"]), y(v)))
+    return map_vertices(geom, lambda v: vertex(world_x(v["x"]), y(v)))
 
 
 def _spread(rows: DataFrame, zooms: Column, limits: Column) -> DataFrame:
@@ -114,7 +114,7 @@ def build_tiles(df: DataFrame, minzoom: int = 0, maxzoom: int = 14, layer: str =
         tiles = _cut(direct.unionByName(fine))
 
     n = grid(F.col("z"))
-    scaled = _map_vertices(
+    scaled = map_vertices(
         F.col("unit"), lambda v: vertex((v["x"] * n - F.col("x")) * EXTENT, (v["y"] * n - F.col("y")) * EXTENT)
     )
     if not stats["points"]:
@@ -130,7 +130,7 @@ def build_tiles(df: DataFrame, minzoom: int = 0, maxzoom: int = 14, layer: str =
         tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"),
         F.lit(layer).alias("layer"),
         "fid",
-        _map_vertices(scaled, lambda v: vertex(F.round(v["x"]), F.round(v["y"]))).alias("geom"),
+        map_vertices(scaled, lambda v: vertex(F.round(v["x"]), F.round(v["y"]))).alias("geom"),
         "properties",
     )
 
@@ -196,7 +196,7 @@ def read_tiles(
         tiles = tiles.where(F.col("layer").isin(layers))
     n = float(2**zoom)
     lat = lambda v: F.degrees(F.atan(F.sinh(PI * (1 - 2 * (F.col("y") + v["y"] / EXTENT) / n))))
-    degrees = _map_vertices(F.col("geom"), lambda v: vertex((F.col("x") + v["x"] / EXTENT) / n * 360 - 180, lat(v)))
+    degrees = map_vertices(F.col("geom"), lambda v: vertex((F.col("x") + v["x"] / EXTENT) / n * 360 - 180, lat(v)))
     tiles = computed(tiles.withColumn("_b", tile_bounds(F.col("x"), F.col("y"), F.lit(zoom))), geom=degrees)
     b = F.col("_b")
     cut = clip_geometry(F.col("geom"), b["xmin"], b["ymin"], b["xmax"], b["ymax"])
