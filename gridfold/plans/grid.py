@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridfold.functions import kernel
 from gridfold.functions.measure import is_point, point_x, point_y, vertices
-from gridfold.plans.skew import hot_limit, spread
+from gridfold.plans.skew import evened, hot_limit, spread
 
 #: A side is broadcast only when its measured vertices and rows stay below this many bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -176,6 +176,8 @@ class CellJoin:
         self.points = self.lp.all_points and self.rp.all_points
         self.ks = levels(self.lp, self.rp)
         self.lo, self.ro = _own_levels(self.lp, self.ks), _own_levels(self.rp, self.ks)
+        if self.rp.small:
+            left = evened(left, self.lp.rows)
         self.left = _shape_columns(grown(left, None), self.points, None)
         right = _shape_columns(grown(right.where(F.col("bbox").isNotNull()), grow), self.points, right_shape)
         # Identical shapes on the right answer the same question; one of each is enough for a test.
@@ -214,6 +216,7 @@ class CellJoin:
         if self.rp.small:
             return cells, F.broadcast(right), keys, False
         if self.lp.small:
+            # The right side streams past the broadcast left.
             return F.broadcast(cells), right, keys, False
         plain = right.withColumnsRenamed({f"b{k}": k for k in keys})
         row = F.struct("b_x0", "b_y0", "b_x1", "b_y1")

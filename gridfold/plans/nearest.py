@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from gridfold.functions import kernel
 from gridfold.functions.measure import is_point
+from gridfold.plans.skew import copied_lookup, evened
 from gridfold.session import stored
 
 LEAF_ROWS = 64
 MAX_DEPTH = 24
 #: Node tables up to this many rows (about 60 bytes each) are broadcast; the count is measured.
 BROADCAST_NODES = 200_000
+#: Copies of a larger node or leaf table that queries are dealt over.
+COPIES = 8
 _BOX = ["x0", "y0", "x1", "y1"]
 _SLACK = 1 + 1e-9
 
@@ -104,8 +107,10 @@ def nearest_distance(left: DataFrame, right: DataFrame, max_distance: Column | N
     ).first()
     if not stats["n"]:
         return queries.where(F.lit(False)).select("fid", F.lit(None).cast("double").alias("dist"))
-    left_points = queries.agg(F.coalesce(F.bool_and(is_point(F.col("geom"))), F.lit(True))).first()[0]
-    points = stats["points"] and left_points
+    left_stats = queries.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(is_point(F.col("geom"))), F.lit(True)).alias("points")
+    ).first()
+    points = stats["points"] and left_stats["points"]
     sq = _Square(stats["x"], stats["y"], max(stats["xx"] - stats["x"], stats["yy"] - stats["y"], 1e-9) * _SLACK)
     half = stats["extent"] / 2
 
@@ -130,23 +135,26 @@ def nearest_distance(left: DataFrame, right: DataFrame, max_distance: Column | N
     nodes = stored(nodes, "nodes", ["depth"])
     sizes = {r["depth"]: r["count"] for r in nodes.groupBy("depth").count().collect()}
 
-    def level_nodes(d: int | None) -> DataFrame:
-        part = nodes if d is None else nodes.where(F.col("depth") == d).drop("depth")
-        rows = sum(sizes.values()) if d is None else sizes[d]
-        return F.broadcast(part) if rows <= BROADCAST_NODES else part
+    def look_up(left: DataFrame, table: DataFrame, keys: list[str], rows: int) -> DataFrame:
+        """Many queries may share a cell: broadcast a small table, else deal the queries over copies."""
+        if rows <= BROADCAST_NODES:
+            return left.join(F.broadcast(table), keys)
+        return copied_lookup(left, table, keys, F.col("fid"), COPIES)
+
+    def at_level(left: DataFrame, d: int) -> DataFrame:
+        return look_up(left, nodes.where(F.col("depth") == d).drop("depth"), ["cx", "cy"], sizes[d])
 
     # Upper bound of each query from the occupied cells it sits in, every second level.
     probe = sorted({*range(depth, -1, -2), 0})
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    bounds = (
-        queries.drop("geom")
+    probes = (
+        evened(queries.drop("geom"), left_stats["n"])
         .withColumn("depth", F.explode(F.array(*[F.lit(d) for d in probe])))
         .withColumn("cx", sq.cell(cx, sq.x, F.col("depth")))
         .withColumn("cy", sq.cell(cy, sq.y, F.col("depth")))
-        .join(level_nodes(None), ["depth", "cx", "cy"])
-        .groupBy("fid", *_BOX)
-        .agg(F.min(_upper()).alias("best"))
     )
+    bounds = look_up(probes, nodes, ["depth", "cx", "cy"], sum(sizes.values()))
+    bounds = bounds.groupBy("fid", *_BOX).agg(F.min(_upper()).alias("best"))
     if max_distance is not None:
         bounds = bounds.withColumn("best", F.least(F.col("best"), max_distance))
     bounds = bounds.withColumn("best", F.col("best") * _SLACK)
@@ -171,7 +179,7 @@ def nearest_distance(left: DataFrame, right: DataFrame, max_distance: Column | N
         if d in starts:
             new = entering(d)
             here = new if here is None else here.unionByName(new)
-        seen = here.join(level_nodes(d), ["cx", "cy"]).withColumn("low", _lower()).where(F.col("low") <= F.col("best"))
+        seen = at_level(here, d).withColumn("low", _lower()).where(F.col("low") <= F.col("best"))
         seen = seen.withColumn("best", F.least(F.col("best"), F.min(_upper() * _SLACK).over(per_query)))
         here = seen.where(F.col("low") <= F.col("best")).select("fid", *_BOX, "best", "cx", "cy")
         if d < depth:
@@ -179,7 +187,9 @@ def nearest_distance(left: DataFrame, right: DataFrame, max_distance: Column | N
                 child = F.explode(F.array(F.col(axis) * 2, F.col(axis) * 2 + 1))
                 here = here.withColumn(axis, child)
 
-    met = here.join(leaves, ["cx", "cy"]).where(_lower() <= F.col("best"))
+    # Broadcast only points: their rows have a fixed size.
+    met = look_up(here, leaves, ["cx", "cy"], stats["n"] if points else BROADCAST_NODES + 1)
+    met = met.where(_lower() <= F.col("best"))
     if points:
         exact = F.hypot(F.col("x0") - F.col("nx0"), F.col("y0") - F.col("ny0"))
     else:

@@ -67,3 +67,27 @@ def spread(
         [*keys, "_sl", "_sr"],
         hot_right,
     )
+
+
+def copied_lookup(left: DataFrame, right: DataFrame, keys: list[str], row_id: Column, copies: int) -> DataFrame:
+    """Inner join to a table with few rows per key, whose left keys may be hot.
+
+    Left rows are dealt over ``copies`` salts and the right table is repeated for
+    each.  Needs no count of the left side, which may be costly to compute twice.
+    """
+    if copies <= 1:
+        return left.join(right, keys)
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(copies)).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return dealt.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
+#: Inputs up to this many rows are dealt over all cores before a costly test.
+EVEN_ROWS = 2_000_000
+
+
+def evened(df: DataFrame, rows: int, by: str = "fid") -> DataFrame:
+    """A small input, often a single file, over all cores; larger ones have splits enough."""
+    if rows > EVEN_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, by)

@@ -41,7 +41,9 @@ def read_pages(
         names = docs.select("file").distinct().orderBy("file").limit(max_pages)
         docs = docs.join(F.broadcast(names), "file", "left_semi")
     items = page_items(docs)
-    first = items.orderBy("file").limit(1).first()
+    # The first page decides the roles, as it would when pages are read one after the other.
+    start = docs.agg(F.min("file").alias("file")).first()["file"]
+    first = page_items(docs.where(F.col("file") == start)).limit(1).first()
     if first is None:
         raise ValueError("no pages with items")
     if first["geojson"]:

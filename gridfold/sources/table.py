@@ -19,8 +19,12 @@ def detect_delimiter(header: str) -> str:
     return max(DELIMITERS, key=outside.count)
 
 
-def read_table(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All columns as trimmed text; missing cells are empty; blank lines are skipped."""
+def read_table(spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = True) -> DataFrame:
+    """All columns as trimmed text; missing cells are empty; blank lines are skipped.
+
+    Quoted line breaks make a file one task.  Large files without them should be
+    read with ``multiline=False``, which lets Spark split them.
+    """
     if delimiter is None:
         first = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
         if first is None:
@@ -30,7 +34,7 @@ def read_table(spark: SparkSession, path: str, delimiter: str | None = None) ->
         path,
         header=True,
         sep=delimiter,
-        multiLine=True,
+        multiLine=multiline,
         quote='"',
         escape='"',
         ignoreLeadingWhiteSpace=True,
@@ -53,13 +57,14 @@ def read_csv_features(
     fid_column: str | None = None,
     full_check: bool = False,
     store: str | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """Features of a delimited file; a file without geometry, or ``table``, gives rows with NULL geometry.
 
     Rows whose geometry cannot be read are skipped.  Values that are numbers
     become numbers in ``properties``.
     """
-    df = read_table(spark, path, delimiter)
+    df = read_table(spark, path, delimiter, multiline)
     geom, used = (None, []) if table else geometry_of(df, geo_column, lat_column, lng_column)
     props = typed_json([c for c in df.columns if c not in used])
     fid = F.col(f"`{fid_column}`").try_cast("bigint") if fid_column else None

@@ -107,9 +107,11 @@ def clustered(seed, n, spread):
     return [(i, (r.uniform(0, 1000) if i % 4 else 700 + r.uniform(0, spread), r.uniform(0, 1000) if i % 4 else 20 + r.uniform(0, spread))) for i in range(n)]
 
 
-@pytest.mark.parametrize("leaf", [64, 2])
-def test_nearest_matches_brute_force(spark, leaf, monkeypatch):
+@pytest.mark.parametrize("leaf, broadcast", [(64, True), (2, False)])
+def test_nearest_matches_brute_force(spark, leaf, broadcast, monkeypatch):
     monkeypatch.setattr("gridfold.plans.nearest.LEAF_ROWS", leaf)
+    if not broadcast:
+        monkeypatch.setattr("gridfold.plans.nearest.BROADCAST_NODES", -1)
     a, b = clustered(7, 80, 500), clustered(8, 120, 0.001)
     a += [(900, (-5000.0, -5000.0)), (901, (700.0, 9000.0))]
     fa, fb = (features(spark, [(i, f"POINT ({x!r} {y!r})") for i, (x, y) in rows]) for rows in (a, b))
