@@ -142,6 +142,17 @@ def s9(spark, d):
     return out.select("fid", json_value(F.col("properties"), "k").alias("k"), F.col("geom").isNull().alias("no_geometry"))
 
 
+@query("S10_format_resolution", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'geoparquet' WHEN 2 THEN 'geojson'
+  WHEN 3 THEN 'geoparquet' ELSE 'geojson' END AS format FROM pages""")
+def s10(spark, d):
+    k = F.col("page_id") % 5
+    tail = (
+        F.when(k == 0, "/a.b.TSV?x=.json").when(k == 1, "/exports/parquet").when(k == 2, "/a.JSON#top").when(k == 3, "/p.geoparquet").otherwise("/data.bin")
+    )
+    stem = F.regexp_replace("url", "[?#].*$", "")
+    return table(spark, d, "pages").select("page_id", sources.format_column(F.concat(stem, tail)).alias("format"))
+
+
 @query("S11_projected_guard", "SELECT count(*)::BIGINT AS n, true AS refused FROM customer")
 def s11(spark, d):
     flat = customers(spark, d).withColumn("geom", reproject(F.col("geom"), "EPSG:4326", "EPSG:3857"))

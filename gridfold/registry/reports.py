@@ -104,3 +104,63 @@ def c8(spark, d):
     run_pipeline(spark, spec, Catalog(spark, folder), frames)
     again, _ = run_pipeline(spark, spec, Catalog(spark, folder), frames)
     return again.get("near").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("L3_list_lineage", """SELECT * FROM (VALUES ('inside', 0), ('rich', 1), ('named', 2), ('all', 3)) t(output_id, exec_order)
+  WHERE (SELECT count(*) FROM customer) > 0""")
+def l3(spark, d):
+    catalog, _ = run_pipeline(spark, SPEC, frames=_frames(spark, d))
+    return catalog.lineage().select("output_id", "exec_order").where(F.lit(not catalog.get("customers").isEmpty()))
+
+
+def _counted(spark, d) -> Catalog:
+    catalog = Catalog(spark)
+    catalog.register("orders", orders(spark, d))
+    catalog.register("parts", part_boxes(spark, d))
+    catalog.register("parts/big", ops.attribute(part_boxes(spark, d), "p_size", ">", 25))
+    catalog.record("near", "intersection", ["parts", "orders"], {}, 0)
+    return catalog
+
+
+def _counts(catalog: Catalog):
+    for entry in catalog.entries():
+        catalog.refresh_count(entry["id"])
+    return catalog.datasets().select("id", "name", "feature_count")
+
+
+N = {k: f"(SELECT count(*) FROM {v})::BIGINT" for k, v in (("orders", "orders"), ("parts", "part"), ("big", "part WHERE p_size > 25"))}
+
+
+@query("C1_register_replaces", f"SELECT 'orders' AS id, 'Second' AS name, {N['orders']} AS feature_count")
+def c1(spark, d):
+    catalog = Catalog(spark)
+    catalog.register("orders", part_boxes(spark, d), name="First")
+    catalog.register("orders", orders(spark, d), name="Second")
+    return _counts(catalog)
+
+
+@query("C3_rename", f"""SELECT 'open_orders' AS id, 'Open Orders!' AS name, {N['orders']} AS feature_count, true AS in_lineage
+  UNION ALL SELECT 'parts', 'parts', {N['parts']}, true UNION ALL SELECT 'parts/big', 'parts/big', {N['big']}, false""")
+def c3(spark, d):
+    catalog = _counted(spark, d)
+    catalog.rename("orders", "Open Orders!")
+    used = catalog.lineage().select(F.explode("inputs").alias("id"), F.lit(True).alias("used"))
+    out = _counts(catalog).join(used, "id", "left")
+    return out.select("id", "name", "feature_count", F.coalesce("used", F.lit(False)).alias("in_lineage"))
+
+
+@query("C4_delete", f"SELECT 'orders' AS id, 'orders' AS name, {N['orders']} AS feature_count")
+def c4(spark, d):
+    catalog = _counted(spark, d)
+    catalog.delete("parts")
+    return _counts(catalog)
+
+
+@query("C5_reorder", f"""SELECT 'parts' AS id, 3 AS layer_order, {N['parts']} AS feature_count UNION ALL SELECT 'orders', 1, {N['orders']}
+  UNION ALL SELECT 'parts/big', 2, {N['big']}""")
+def c5(spark, d):
+    catalog = _counted(spark, d)
+    catalog.reorder(["parts", "parts/big", "orders"])
+    catalog.swap("parts", "orders")
+    counts = _counts(catalog).drop("name")
+    return catalog.datasets().select("id", "layer_order").join(counts, "id").select("id", "layer_order", "feature_count")

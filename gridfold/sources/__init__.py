@@ -1,6 +1,6 @@
 """Readers from files to feature frames."""
 
-from gridfold.sources.detect import read_features, resolve_format
+from gridfold.sources.detect import format_column, read_features, resolve_format
 from gridfold.sources.geojson import document_crs, features_of, read_geojson
 from gridfold.sources.geoparquet import read_geoparquet
 from gridfold.sources.guard import check_degrees, finish
@@ -13,6 +13,7 @@ __all__ = [
     "document_crs",
     "features_of",
     "finish",
+    "format_column",
     "read_csv_features",
     "read_features",
     "read_geojson",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridfold.sources.geojson import read_geojson
 from gridfold.sources.geoparquet import read_geoparquet
@@ -37,6 +38,16 @@ def resolve_format(path: str, explicit: str | None = None) -> str:
     return BY_SEGMENT.get(last, "geojson")
 
 
+def format_column(url: Column) -> Column:
+    """The same rule for a column of paths or URLs."""
+    path = F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "/+$", "")
+    last = F.lower(F.element_at(F.split(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), "/"), -1))
+    by_extension = F.create_map(*[F.lit(v) for pair in BY_EXTENSION.items() for v in pair])
+    by_segment = F.create_map(*[F.lit(v) for pair in BY_SEGMENT.items() for v in pair])
+    extension = F.regexp_extract(last, r"(\.[^.]*)$", 1)
+    return F.coalesce(F.try_element_at(by_extension, extension), F.try_element_at(by_segment, last), F.lit("geojson"))
+
+
 def read_features(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
     """Read with the resolved format; JSON that is no GeoJSON is tried as an array of objects."""
     kind = resolve_format(path, format)
