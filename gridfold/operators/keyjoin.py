@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions.props import json_value, merge_properties
-from gridfold.plans.skew import spread
+from gridfold.plans.skew import evened, spread
 from gridfold.schema import COLUMNS
 
 
@@ -31,6 +31,7 @@ def join(
     if mode == "inner":
         t = t.where(F.col("_key").isNotNull())
     # Only target rows are split: a copied target row would break the outer join.
-    t, s, keys, _ = spread(t, s, ["_key"], F.col("fid"), F.col("_patch"), target.count(), 0, hot_rows)
+    rows = target.count()
+    t, s, keys, _ = spread(evened(t, rows), s, ["_key"], F.col("fid"), F.col("_patch"), rows, 0, hot_rows)
     joined = t.join(s, keys, mode)
     return joined.withColumn("properties", merge_properties(F.col("properties"), F.col("_patch"))).select(*COLUMNS)
