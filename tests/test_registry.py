@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from gridfold.registry import ORACLES, QUERIES
 from verify import canon
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", FAST)
