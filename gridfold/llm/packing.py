@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +26,18 @@ SIZE = 2048
 RANKED = 200_000
 #: Words that a worker remembers.
 REMEMBERED = 1_000_000
-#: Texts in which words can't be told apart by white space: special tokens, separators that Python alone splits at.
+#: Texts that go to the tokenizer as they are: special tokens, separators at which Python alone splits.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
-#: The word pattern of the tokenizer file.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_LATIN = re.compile("[\x21-\xff]*")
+_WIDE = re.compile("[^\x00-\xff]")
+#: The tokenizer file's word pattern, for lower-case text of the first 256 characters.
+_PARTS = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
 
 
 class WordEncoder:
     """Ids of whole texts from remembered words, as little-endian 32-bit words.
 
-    The tokenizer never joins ids over white space, and within plain words never over the parts of
-    its word pattern, so a word's ids don't depend on its neighbours.  Anything else goes to the
-    tokenizer as it is.
+    The tokenizer never joins ids over white space, and in Latin text never over the parts of its word
+    pattern, so a part's ids don't depend on its neighbours.  Anything else goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -49,48 +47,42 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
+        """Many parts in one call: each ends at an id that ends a word."""
         for i in range(0, len(parts), 1000):
             some = parts[i : i + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
                 cut = ids.tobytes()
-                self.parts.update(zip(some, (cut[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends))))
+                self.known.update(zip(some, (cut[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends))))
             else:
-                self.parts.update((p, self.plain(p)) for p in some)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        split = {}
-        for word in words:
-            if _LATIN.fullmatch(word):
-                split[word] = _PARTS.findall(word.lower())
-            else:
-                self.words[word] = self.plain(word)
-        if missing := list({p for parts in split.values() for p in parts if p not in self.parts}):
-            self._learn_parts(missing)
-        for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+                self.known.update((p, self.plain(p)) for p in some)
+
+    def _parts(self, text: str) -> list[str] | None:
+        if _ODD.search(text):
+            return None
+        if not _WIDE.search(text):
+            return _PARTS.findall(text.lower())
+        return [p for w in text.split() for p in ([w] if _WIDE.search(w) else _PARTS.findall(w.lower()))]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _ODD.search(t) else t.split() for t in texts]
         out = []
-        for i in range(0, len(texts), 256):
-            some = cut[i : i + 256]
-            if missing := {w for words in some if words for w in words if w not in self.words}:
-                self._learn(missing)
-            get = self.words.__getitem__
-            out += [self.plain(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts[i : i + 256], some)]
+        for i in range(0, len(texts), 128):
+            cut = [self._parts(t) for t in texts[i : i + 128]]
+            if len(self.known) > REMEMBERED:  # before a group of texts, which may add its own words
+                self.known.clear()
+            missing = {p for parts in cut if parts for p in parts}.difference(self.known)
+            wide = [p for p in missing if _WIDE.search(p)]
+            self._learn([*missing.difference(wide)])
+            self.known.update((p, self.plain(p)) for p in wide)
+            get = self.known.__getitem__
+            out += [self.plain(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts[i : i + 128], cut)]
         return out
 
 
