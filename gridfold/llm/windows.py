@@ -2,7 +2,7 @@
 
 First pass: every task counts hashed windows in a count-min sketch; the sketches are merged block by
 block.  Counts are never too low, so a window that any row of the sketch has seen once is unique.
-Second pass: only windows estimated as repeated are grouped, exactly, by a 128-bit hash.
+Second pass: only windows estimated as repeated are grouped, exactly, by 96 bits of two hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ WINDOW = 13
 #: Sketch rows and cells per row (2 ** CELL_BITS); what is broadcast is one bit per cell.
 DEPTH, CELL_BITS, BLOCK_BITS = 2, 29, 23
 #: Windows that a task gathers before it sends its part of the sketch.
-GATHERED = 4_000_000
+GATHERED = 3_000_000
 #: A cell with at least one of so many windows is hot; there are at most DEPTH times so many.
 HOT_SHARE = 4096
 #: Groups over which the rows of a hot window are dealt.
@@ -31,6 +31,13 @@ NAMES = ["a", "b", "doc_id", "at"]
 _FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, unchanged."""
     return (text or "").encode().split()
@@ -51,17 +58,35 @@ def window_hashes(words: list[bytes], window: int, factor: int = 0, seed: int =
 def _cells(hashes: np.ndarray, row: int) -> np.ndarray:
     """The cell of each window in one row of the sketch."""
     mixed = hashes if row == 0 else (hashes ^ np.uint64(0x2545F4914F6CDD1D * row % 2**64)) * np.uint64(0x9FB21C651E98DF25)
-    return (mixed >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - CELL_BITS)).view(np.int64)
+
+
+def pack_cells(cells: np.ndarray) -> bytes:
+    """Ascending cells of one block in Elias-Fano form: about two bits each, and the low bits of an even gap."""
+    low = max(0, BLOCK_BITS - 1 - int(len(cells)).bit_length())
+    upper = np.zeros(len(cells) + (1 << (BLOCK_BITS - low)), bool)
+    upper[(cells >> low) + np.arange(len(cells))] = True
+    lower = (cells[:, None] >> np.arange(low)) & 1 > 0
+    return np.array([len(cells), low], "<u4").tobytes() + np.packbits(upper).tobytes() + np.packbits(lower).tobytes()
+
+
+def unpack_cells(packed: bytes) -> np.ndarray:
+    n, low = (int(x) for x in np.frombuffer(packed, "<u4", 2))
+    cut = 8 + (n + (1 << (BLOCK_BITS - low)) + 7) // 8
+    upper = np.flatnonzero(np.unpackbits(np.frombuffer(packed[8:cut], np.uint8)))[:n] - np.arange(n)
+    lower = np.unpackbits(np.frombuffer(packed[cut:], np.uint8), count=n * low).reshape(n, low)
+    return (upper << low) + (lower @ (1 << np.arange(low)) if low else 0)
 
 
 def _partial(gathered: list[np.ndarray], row: int) -> Iterator[tuple]:
-    """One task's part of a sketch row: per block the cells seen (as gaps) and their counts."""
-    cells, counts = np.unique(_cells(np.concatenate(gathered), row), return_counts=True)
+    """One task's part of a sketch row: per block the cells seen and their counts."""
+    cells = np.sort(_cells(np.concatenate(gathered), row))
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    counts, cells = np.diff(first, append=len(cells)).astype("<u4"), cells[first]
     edges = np.searchsorted(cells, np.arange((1 << (CELL_BITS - BLOCK_BITS)) + 1) << BLOCK_BITS)
     for block, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
         if b > a:
-            gaps = np.diff(cells[a:b], prepend=block << BLOCK_BITS).astype("<u4")
-            yield row, block, zlib.compress(gaps.tobytes(), 1), zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)
+            yield row, block, pack_cells(cells[a:b] - (block << BLOCK_BITS)), zlib.compress(counts[a:b].tobytes(), 1)
 
 
 def _count(window: int):
@@ -75,9 +100,9 @@ def _count(window: int):
             for row in range(DEPTH if gathered else 0):
                 cols = list(zip(*_partial(gathered, row)))
                 types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row", "block", "gaps", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row", "block", "cells", "counts"])
 
-        for batch in batches:
+        for batch in in_parts(batches):
             for text in batch.column(0).to_pylist():
                 own = np.unique(window_hashes(words_of(text), window))
                 if len(own):
@@ -95,7 +120,7 @@ def _merge(hot: int):
     """Rows sorted by (row, block): per block one bit for each cell counted twice or more, and the hot cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts = None, np.zeros(1 << BLOCK_BITS, np.int64)
+        now, counts = None, np.zeros(1 << BLOCK_BITS, np.uint32)
 
         def done() -> Iterator[pa.RecordBatch]:
             if now is not None:
@@ -105,13 +130,12 @@ def _merge(hot: int):
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "block", "bits", "hot"])
 
         for batch in batches:
-            for row, block, gaps, seen in zip(*[c.to_pylist() for c in batch.columns]):
+            for row, block, cells, seen in zip(*[c.to_pylist() for c in batch.columns]):
                 if (row, block) != now:
                     yield from done()
                     now = (row, block)
                     counts[:] = 0
-                cells = np.cumsum(np.frombuffer(zlib.decompress(gaps), "<u4"), dtype=np.int64)
-                counts[cells] += np.frombuffer(zlib.decompress(seen), "<u4")
+                counts[unpack_cells(cells)] += np.frombuffer(zlib.decompress(seen), "<u4")
         yield from done()
 
     return run
@@ -136,11 +160,9 @@ class Repeated:
                     if (row, block) in self.bits:
                         table[block * size // 8 : (block + 1) * size // 8] = np.frombuffer(zlib.decompress(self.bits[row, block]), np.uint8)
                 self._tables.append(table)
+            self.bits = {}
         return self._tables
 
-    def __getstate__(self):
-        return self.__dict__ | {"_tables": []}
-
     def candidates(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of windows estimated as repeated, and whether all their cells are hot."""
         at, hot = np.arange(len(hashes)), np.ones(len(hashes), bool)
@@ -153,7 +175,7 @@ class Repeated:
 
 def repeated_sketch(texts: DataFrame, window: int, windows: int) -> Repeated:
     """The merged sketch of ``texts`` (one column).  It has a fixed size: ``DEPTH * 2 ** CELL_BITS`` bits."""
-    parts = texts.mapInArrow(_count(window), "row int, block int, gaps binary, counts binary")
+    parts = texts.mapInArrow(_count(window), "row int, block int, cells binary, counts binary")
     sorted_parts = parts.repartition("row", "block").sortWithinPartitions("row", "block")
     hot = max(1000, windows // HOT_SHARE)
     merged = sorted_parts.mapInArrow(_merge(hot), "row int, block int, bits binary, hot array<long>")
@@ -169,7 +191,7 @@ def _windows(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, least = shared.value, {}
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, out = batch.column(0), []
             plain = ids.to_pylist()
             for i, (tag, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
@@ -183,14 +205,14 @@ def _windows(shared):
                     for pair in set(zip(a[hot].tolist(), b[hot].tolist())):
                         least[pair] = min(plain[i], least.get(pair, plain[i]))
                     b = np.where(hot, b + np.uint64(1 + tag % SALTS) * np.uint64(_FACTORS[0]), b)
-                out.append((np.full(len(at), i), a.view(np.int64), b.view(np.int64), at + (tag << 32)))
+                out.append((np.full(len(at), i), a.view(np.int64), (b >> np.uint64(32)).astype(np.uint32).view(np.int32), at + (tag << 32)))
             if out:
                 row, a, b, at = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), ids.take(pa.array(row)), pa.array(at)], NAMES)
         if least:
             pairs = np.repeat(np.array(list(least), np.uint64), SALTS, axis=0)
             salt = np.tile(np.arange(1, SALTS + 1, dtype=np.uint64), len(least)) * np.uint64(_FACTORS[0])
-            a, b = pairs[:, 0].copy().view(np.int64), (pairs[:, 1] + salt).view(np.int64)
+            a, b = pairs[:, 0].copy().view(np.int64), ((pairs[:, 1] + salt) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             ids = pa.array(np.repeat(np.array(list(least.values()), np.int64), SALTS))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), ids, pa.nulls(len(a), pa.int64())], NAMES)
 
@@ -206,16 +228,21 @@ def later_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sketch = repeated_sketch(rows.select("text"), window, total // 6)
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
-    maybe = rows.select("doc_id", "tag", "text").mapInArrow(_windows(shared), "a long, b long, doc_id long, at long")
+    maybe = rows.select("doc_id", "tag", "text").mapInArrow(_windows(shared), "a long, b int, doc_id long, at long")
     least = F.min("doc_id").over(Window.partitionBy("a", "b"))
     return maybe.withColumn("least", least).where("doc_id > least and at is not null").select("doc_id", "at")
 
 
+def packed_text(text: pd.Series) -> pd.Series:
+    """Texts deflated: half the bytes on their way to the removal."""
+    return pd.Series([zlib.compress(t.encode(), 1) for t in text], dtype=object)
+
+
 def without(text: pd.Series, starts: pd.Series, window: pd.Series) -> pd.DataFrame:
-    """Each text without the words of the windows that start at ``starts``."""
+    """Each deflated text without the words of the windows that start at ``starts``."""
     out = []
     for t, s, w in zip(text, starts, window):
-        words = words_of(t)
+        words = zlib.decompress(t).split()
         if s is None or not len(s):
             out.append((len(words), 0, b" ".join(words).decode()))
             continue
@@ -243,5 +270,6 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     tag, place = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")
     starts = later.groupBy("doc_id", tag.alias("tag")).agg(F.collect_set(place).alias("starts"))  # at most one document's windows
     cut = F.pandas_udf(without, "struct<n_words:long,n_removed:long,kept:string>")
+    rows = rows.select("own_id", "doc_id", "tag", F.pandas_udf(packed_text, "binary")("text").alias("text"))
     done = rows.join(starts, ["doc_id", "tag"], "left").select(F.col("own_id").alias("doc_id"), cut("text", "starts", F.lit(window)).alias("r"))
     return done.select("doc_id", "r.n_words", "r.n_removed", "r.kept")
