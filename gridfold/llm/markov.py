@@ -27,6 +27,8 @@ ORDINARY_DOCUMENTS = 2000
 #: Nats per character pair above which a token counts as random.
 THRESHOLD = 0.5
 SYMBOLS = 128
+#: Weight, in counts, of the single characters in the estimate of a pair.
+BACK = 20.0
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
 
@@ -76,19 +78,21 @@ def pair_counts(samples: DataFrame) -> DataFrame:
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio per character pair, from labelled samples.
 
-    Both models are smoothed by one count of each pair of the 66 token characters.  What comes to the
+    A pair that a model has seldom seen falls back on how often its second character occurs.  What comes to the
     driver is at most ``2 * SYMBOLS ** 2`` counts.  Without samples of a kind its model is uniform.
     """
     counts: list[dict[int, int]] = [{}, {}]
     for row in pair_counts(samples).collect():
         counts[row["random"]][row["pair"]] = row["n"]
-    alphabet = 66
     logs = []
     for seen in counts:
-        firsts: dict[int, int] = {}
+        firsts, seconds = {}, {}
         for pair, n in seen.items():
             firsts[pair // SYMBOLS] = firsts.get(pair // SYMBOLS, 0) + n
-        logs.append([math.log((seen.get(p, 0) + 1) / (firsts.get(p // SYMBOLS, 0) + alphabet)) for p in range(SYMBOLS * SYMBOLS)])
+            seconds[pair % SYMBOLS] = seconds.get(pair % SYMBOLS, 0) + n
+        total = sum(seconds.values())
+        single = [(seconds.get(c, 0) + 1) / (total + SYMBOLS) for c in range(SYMBOLS)]
+        logs.append([math.log((seen.get(p, 0) + BACK * single[p % SYMBOLS]) / (firsts.get(p // SYMBOLS, 0) + BACK)) for p in range(SYMBOLS * SYMBOLS)])
     return [r - o for r, o in zip(logs[1], logs[0])]
 
 

@@ -20,7 +20,9 @@ from gridfold.llm.base import whole_text
 
 #: Labelled rows that the space is fitted on and that vote, at most.
 SAMPLE = 4096
-RANK, NEIGHBOURS = 48, 25
+RANK, NEIGHBOURS = 48, 9
+#: A neighbour votes with this power of its cosine, so that a few alike outweigh many that are less so.
+SHARPNESS = 8
 #: Documents whose cosines are computed at once.
 BLOCK = 256
 LETTERS = 2048
@@ -97,7 +99,7 @@ class LatentSpace:
         cosines = self.project(rows) @ self.positions.T
         k = min(neighbours, cosines.shape[1])
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64)
+        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(axis=1)
         votes = (weight * self.labels[near]).sum(axis=1)
         return np.where(total > 1e-9, np.clip(votes / np.maximum(total, 1e-9), 0, 1), self.prior)

@@ -127,8 +127,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = E
 def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
     """Shortest pack first: placements ``(length, first rank, ranks, first sequence, offset)``.
 
-    Packs that are filled alike and have neighbouring numbers are one heap entry.  Lengths go
-    longest first to the emptiest packs; if even those have no room, new packs are begun.
+    Packs of one pattern have neighbouring numbers and are one heap entry with their count.  Lengths
+    go longest first to the emptiest packs; if even those have no room, new packs are begun.
     """
     heap: list[tuple[int, int, int]] = []
     placed, sequences = [], 0
@@ -136,19 +136,26 @@ def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[int,
         if not 0 < length <= size:
             raise ValueError(f"length {length} is not in 1..{size}")
         rank, left = 0, counts[length]
+
+        def put(fill: int, first: int, packs: int, copies: int = 1) -> int:
+            placed.extend((length, rank + i * packs, packs, first, fill + i * length) for i in range(copies))
+            if fill + copies * length < size:
+                heapq.heappush(heap, (fill + copies * length, first, packs))
+            return packs * copies
+
         while left:
             if heap and heap[0][0] + length <= size:
                 fill, first, packs = heapq.heappop(heap)
-                used = min(left, packs)
-                if used < packs:
-                    heapq.heappush(heap, (fill, first + used, packs - used))
+                if left < packs:
+                    heapq.heappush(heap, (fill, first + left, packs - left))
+                done = put(fill, first, min(left, packs))
             else:
-                fill, first, used = 0, sequences, left
-                sequences += left
-            placed.append((length, rank, used, first, fill))
-            if fill + length < size:
-                heapq.heappush(heap, (fill + length, first, used))
-            rank, left = rank + used, left - used
+                # A pack just begun is the emptiest until it is full, so new packs take as many equal pieces as they can.
+                copies = size // length
+                packs, copies = (left // copies, copies) if left >= copies else (1, left)
+                done = put(0, sequences, packs, copies)
+                sequences += packs
+            rank, left = rank + done, left - done
     return placed
 
 

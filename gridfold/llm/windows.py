@@ -185,7 +185,7 @@ def repeated_sketch(texts: DataFrame, window: int, windows: int) -> Repeated:
 def _windows(shared):
     """Windows that may be repeated: two hashes, the row's id, and position and text tag in one long.
 
-    Rows of a hot window are dealt over ``SALTS`` groups by their text tag, folded into the second hash.
+    Rows of a hot window are dealt over ``SALTS`` groups by their id, folded into the second hash.
     Each task sends its smallest id of a hot window to all of these groups (``at`` null).
     """
 
@@ -204,14 +204,15 @@ def _windows(shared):
                 if hot.any():
                     for pair in set(zip(a[hot].tolist(), b[hot].tolist())):
                         least[pair] = min(plain[i], least.get(pair, plain[i]))
-                    b = np.where(hot, b + np.uint64(1 + tag % SALTS) * np.uint64(_FACTORS[0]), b)
+                    salt = (plain[i] * _FACTORS[1] % 2**64 >> 40) % SALTS  # by id: copies have one tag
+                    b = np.where(hot, b + np.uint64((1 + salt) * _FACTORS[0] % 2**64), b)
                 out.append((np.full(len(at), i), a.view(np.int64), (b >> np.uint64(32)).astype(np.uint32).view(np.int32), at + (tag << 32)))
             if out:
                 row, a, b, at = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), ids.take(pa.array(row)), pa.array(at)], NAMES)
         if least:
             pairs = np.repeat(np.array(list(least), np.uint64), SALTS, axis=0)
-            salt = np.tile(np.arange(1, SALTS + 1, dtype=np.uint64), len(least)) * np.uint64(_FACTORS[0])
+            salt = np.tile(np.arange(1, SALTS + 1, dtype=np.uint64), len(least)) * np.uint64(_FACTORS[0])  # wraps
             a, b = pairs[:, 0].copy().view(np.int64), ((pairs[:, 1] + salt) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             ids = pa.array(np.repeat(np.array(list(least.values()), np.int64), SALTS))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), ids, pa.nulls(len(a), pa.int64())], NAMES)
