@@ -25,7 +25,7 @@ SIZE = 2048
 #: Rows of one length that are ranked together; a longer list is salted.
 RANKED = 200_000
 #: Words that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Texts that go to the tokenizer as they are: special tokens, separators at which Python alone splits.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 _WIDE = re.compile("[^\x00-\xff]")
