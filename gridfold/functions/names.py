@@ -7,16 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridfold.functions.binding import let
+
 
 def dataset_id(url: Column) -> Column:
     """Rolling 32-bit hash ``h*31+c`` over the UTF-16 code units, absolute value in hex."""
-    units16 = F.transform(
-        F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length(F.hex(F.encode(url, "UTF-16BE"))) / 4, F.lit(1)).cast("int")),
-            lambda i: F.length(url) > 0,
-        ),
-        lambda i: F.conv(F.substring(F.hex(F.encode(url, "UTF-16BE")), (i - 1) * 4 + 1, F.lit(4)), 16, 10).cast("bigint"),
-    )
+    digits = F.hex(F.encode(url, "UTF-16BE"))
+    number = lambda d, i: F.conv(F.substring(d, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint")
+    units16 = let(digits, lambda d: F.transform(F.array_repeat(F.lit(0), (F.length(d) / 4).cast("int")), lambda _, i: number(d, i)))
 
     def step(h: Column, c: Column) -> Column:
         return F.pmod(h * 31 + c + F.lit(2147483648), F.lit(4294967296)) - F.lit(2147483648)

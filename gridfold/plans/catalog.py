@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
+from itertools import chain, count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,10 +91,7 @@ class Catalog:
         meta = self._meta[old]
         base = slugify(new_name)
         taken = set(self._frames) - {old}
-        candidates = [base, *[f"{base}_{n}" for n in range(2, 11)]]
-        new = next((c for c in candidates if c not in taken), None)
-        if new is None:
-            raise ValueError(f"no free id for '{new_name}'")
+        new = next(c for c in chain([base], (f"{base}_{n}" for n in count(2))) if c not in taken)
         order = list(self._meta)
         self._meta = {new if k == old else k: self._meta[k] for k in order}
         self._frames = {new if k == old else k: self._frames[k] for k in list(self._frames)}

@@ -18,7 +18,7 @@ def load_dataset(spark: SparkSession, entry: dict, default_crs: str | None = Non
     pages = entry.get("paginate")
     if pages:
         options.pop("format", None)
-        limit = pages.get("maxPages", 100) if isinstance(pages, dict) else 100
+        limit = pages.get("maxPages") if isinstance(pages, dict) else None
         return read_pages(spark, entry["url"], max_pages=limit, default_crs=default_crs, store=store, **options)
     return read_features(spark, entry["url"], default_crs=default_crs, store=store, **options)
 

@@ -32,14 +32,13 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``, or a private one in local mode."""
+    """The folder all executors can reach: ``spark.checkpoint.dir``; unset, a private one in local mode and an error elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if spark.sparkContext.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="gridfold-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        folder = tempfile.mkdtemp(prefix="gridfold-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 

@@ -15,9 +15,8 @@ from gridfold.functions.tilemath import PI, grid, tile_bounds, tile_id, tile_ran
 from gridfold.operators.combine import dedup_features
 from gridfold.schema import computed
 
-# Tile extent, buffer and simplification in tile units; most tiles of one extraction.
+# Tile extent, buffer and simplification in tile units.
 EXTENT, BUFFER, TOLERANCE = 4096, 64, 3.0
-MAX_TILES = 10_000
 MARGIN = BUFFER / EXTENT
 #: Features spanning more tiles than this at the last zoom are first cut on a coarse zoom.
 SPAN, COARSE_ZOOM = 8, 6
@@ -174,7 +173,6 @@ def read_tiles(
     bbox: tuple[float, float, float, float],
     zoom: int,
     layers: list[str] | None = None,
-    max_tiles: int = MAX_TILES,
 ) -> DataFrame:
     """Features of the tiles of one zoom that meet a bbox, cut to their tile, copies removed.
 
@@ -183,13 +181,10 @@ def read_tiles(
     table = spark.read.parquet(path)
     box = F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(bbox, ("xmin", "ymin", "xmax", "ymax"))])
     r = spark.range(1).select(tile_range(box, F.lit(zoom)).alias("r")).first()["r"]
-    count = (r["xmax"] - r["xmin"] + 1) * (r["ymax"] - r["ymin"] + 1)
-    if count > max_tiles:
-        raise ValueError(f"extraction needs {count} tiles (limit {max_tiles}): use a smaller bbox or a lower zoom")
     inside = (F.col("z") == zoom) & F.col("x").between(r["xmin"], r["xmax"]) & F.col("y").between(r["ymin"], r["ymax"])
     tiles = table.where(inside)
     if layers:
-        known = {row["layer"] for row in table.select("layer").distinct().collect()}
+        known = {row["layer"] for row in table.where(F.col("z") == zoom).select("layer").distinct().collect()}
         unknown = [name for name in layers if name not in known]
         if unknown:
             raise ValueError(f"layers {unknown} not found, available: {sorted(known)}")

@@ -55,7 +55,6 @@ def read_geojson(
     crs: str | None = None,
     default_crs: str | None = None,
     fid_property: str | None = None,
-    full_check: bool = False,
     store: str | None = None,
 ) -> DataFrame:
     """Features of FeatureCollection, Feature, geometry and Feature-array documents.
@@ -77,4 +76,4 @@ def read_geojson(
     rows = parts.select(F.explode("features").alias("feature"))
     feature = F.col("feature")
     fid = _object(feature, f"$.properties.{fid_property}").try_cast("bigint") if fid_property else None
-    return finish(features_of(rows, feature, fid), crs, detected, default_crs, full_check=full_check, store=store)
+    return finish(features_of(rows, feature, fid), crs, detected, default_crs, store=store)

@@ -50,7 +50,6 @@ def read_geoparquet(
     default_crs: str | None = None,
     table: bool = False,
     fid_column: str | None = None,
-    full_check: bool = False,
     store: str | None = None,
 ) -> DataFrame:
     """Features of Parquet files; all other columns become properties, rows without geometry are dropped."""
@@ -64,4 +63,4 @@ def read_geoparquet(
         return finish(table_only(df, props, fid), check=False, store=store)
     out = as_features(df, kernel.unpack(F.col(f"`{column}`")), props, fid).where(F.col("geom").isNotNull())
     detected = file_crs(spark, path, column) if crs is None else None
-    return finish(out, crs, detected, default_crs, full_check=full_check, store=store)
+    return finish(out, crs, detected, default_crs, store=store)

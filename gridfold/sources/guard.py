@@ -9,8 +9,6 @@ from gridfold.functions.project import reproject
 from gridfold.functions.units import resolve_crs
 from gridfold.schema import with_bbox
 
-SAMPLE = 5
-
 
 def _projected() -> Column:
     b = F.col("bbox")
@@ -18,9 +16,9 @@ def _projected() -> Column:
     return wide | (F.greatest(F.abs(b["ymin"]), F.abs(b["ymax"])) > 90)
 
 
-def check_degrees(df: DataFrame, full: bool = False) -> None:
-    """Raise when coordinates cannot be degrees: looks at five rows, or at all until the first hit."""
-    rows = df.where(F.col("geom").isNotNull()) if full else df.limit(SAMPLE)
+def check_degrees(df: DataFrame) -> None:
+    """Raise when coordinates of any row cannot be degrees; stops at the first hit."""
+    rows = df.where(F.col("geom").isNotNull())
     if not rows.where(_projected()).limit(1).isEmpty():
         raise ValueError("coordinates are outside degrees: name the source CRS (crs=...)")
 
@@ -31,7 +29,6 @@ def finish(
     detected: str | None = None,
     default_crs: str | None = None,
     check: bool = True,
-    full_check: bool = False,
     store: str | None = None,
 ) -> DataFrame:
     """Bring a freshly read frame to degrees and, with ``store``, fix its ids in Parquet files."""
@@ -39,7 +36,7 @@ def finish(
     if source is not None:
         df = with_bbox(df.withColumn("geom", reproject(F.col("geom"), source, "EPSG:4326")))
     elif check and crs is None and detected is None:
-        check_degrees(df, full_check)
+        check_degrees(df)
     if store is not None:
         df.write.mode("overwrite").parquet(store)
         df = df.sparkSession.read.schema(df.schema).parquet(store)

@@ -9,9 +9,6 @@ from gridfold.sources.geojson import feature_texts, features_of
 from gridfold.sources.guard import finish
 from gridfold.sources.jsonarray import array_features
 
-# Fixed value: pages taken from one source.
-MAX_PAGES = 100
-
 
 def page_items(docs: DataFrame) -> DataFrame:
     """``file, item, geojson`` of page documents: GeoJSON features, or the items of a plain array."""
@@ -19,25 +16,29 @@ def page_items(docs: DataFrame) -> DataFrame:
     features = feature_texts(doc)
     plain = F.when(F.trim(doc).startswith("["), F.from_json(doc, "array<string>"))
     items = F.coalesce(features, plain)
-    return docs.select("file", F.explode(items).alias("item"), features.isNotNull().alias("geojson"))
+    wrong = F.raise_error(F.lit("a page is neither GeoJSON nor an array")).cast("array<string>")
+    filled = docs.where(F.trim("value") != "")
+    return filled.select("file", F.explode(F.coalesce(items, wrong)).alias("item"), features.isNotNull().alias("geojson"))
 
 
 def read_pages(
     spark: SparkSession,
     path: str,
-    max_pages: int | None = MAX_PAGES,
+    max_pages: int | None = None,
     crs: str | None = None,
     default_crs: str | None = None,
     store: str | None = None,
     **columns: str | None,
 ) -> DataFrame:
-    """All pages in one job; the first ``max_pages`` files by name count, as the page limit of the source.
+    """All pages in one job; with ``max_pages`` the first so many files by name.
+
+    A page that is neither GeoJSON nor an array fails the job that reads it; blank pages have no items.
 
     Every page is transformed alike.  ``columns`` are the options of ``read_json_array``.
     """
     docs = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     if max_pages is not None:
-        # Page files of one source are few by contract; only their names are ordered.
+        # A limit the caller asked for: only that many names are ordered and broadcast.
         names = docs.select("file").distinct().orderBy("file").limit(max_pages)
         docs = docs.join(F.broadcast(names), "file", "left_semi")
     items = page_items(docs)

@@ -55,7 +55,6 @@ def read_csv_features(
     crs: str | None = None,
     default_crs: str | None = None,
     fid_column: str | None = None,
-    full_check: bool = False,
     store: str | None = None,
     multiline: bool = True,
 ) -> DataFrame:
@@ -73,4 +72,4 @@ def read_csv_features(
     out = as_features(df, geom, props, fid).where(F.col("geom").isNotNull())
     if geo_column is not None and out.isEmpty():
         raise ValueError(f"no coordinate pairs in column '{geo_column}'")
-    return finish(out, crs, None, default_crs, full_check=full_check, store=store)
+    return finish(out, crs, None, default_crs, store=store)
