@@ -144,6 +144,22 @@ def reproject(geom: Column, source: str, target: str) -> Column:
     return to_plane(wgs, plane_of(target))
 
 
+def to_degrees(geom: Column, code: Column) -> Column:
+    """Degrees from the CRS that each row names; NULL and degree codes leave the geometry, unknown codes raise."""
+    from gridfold.schema import GEOM
+
+    name = F.upper(code)
+    zone = F.regexp_extract(name, "^EPSG:32[67](0[1-9]|[1-5][0-9]|60)$", 1).try_cast("int")
+    utm = plane(zone * 6.0 - 183.0, name.startswith("EPSG:327"))
+    unknown = F.raise_error(F.concat(F.lit("unsupported projection "), code)).cast(GEOM)
+    return (
+        F.when(name.isNull() | name.isin(units.WGS84_CODES), geom)
+        .when(name == "EPSG:3857", F.when(geom.isNotNull(), map_vertices(geom, _from_web)))
+        .when(zone.isNotNull(), from_plane(geom, utm))
+        .otherwise(unknown)
+    )
+
+
 def projected_zone(df: DataFrame) -> DataFrame:
     """One row: mean centroid, UTM code and plane of a dataset; code and plane NULL beyond UTM.
 

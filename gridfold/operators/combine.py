@@ -17,12 +17,21 @@ FINE, COARSE, SALTS = 64, 8, 16
 
 
 def merge(inputs: list[DataFrame]) -> DataFrame:
-    """All rows of all inputs; ids are renumbered so inputs cannot collide."""
+    """All rows of all inputs, renumbered as ``fid * inputs + index``, so ids of different inputs differ.
+
+    An id beyond that range, as of hashed ids, becomes a hash of itself and the
+    index.  No operator takes ``fid`` for a key, so a chance repeat does no harm.
+    """
     if len(inputs) < 2:
         raise ValueError("union: needs at least two inputs")
     n = len(inputs)
-    numbered = [df.select(*COLUMNS).withColumn("fid", F.col("fid") * n + i) for i, df in enumerate(inputs)]
-    return reduce(DataFrame.unionByName, numbered)
+    id = F.col("fid")
+
+    def number(i: int) -> Column:
+        beyond = F.when(id.isNotNull(), F.xxhash64(id, F.lit(i)))
+        return F.coalesce(F.try_add(F.try_multiply(id, F.lit(n)), F.lit(i)), beyond)
+
+    return reduce(DataFrame.unionByName, [df.select(*COLUMNS).withColumn("fid", number(i)) for i, df in enumerate(inputs)])
 
 
 def append(df: DataFrame, page: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridfold.functions import kernel, units
 from gridfold.functions.project import fixed_zone, frame_to_plane
 from gridfold.functions.props import merge_properties
-from gridfold.plans.grid import exists_join
+from gridfold.plans.grid import anchored, exists_join, keyed
 from gridfold.plans.nearest import nearest_distance
 from gridfold.schema import COLUMNS, with_bbox
 
@@ -52,15 +52,16 @@ def distance(
         raise ValueError("distance: max_distance must be positive")
     if mode == "filter" and max_distance is None:
         raise ValueError("distance: filter mode needs max_distance")
-    zone = fixed_zone(a)
+    rows = anchored(a)
+    zone = fixed_zone(rows)
     limit = None if max_distance is None else plane_distance(units.to_meters(max_distance, units_), zone)
-    flat_a, flat_b = _on_plane(a, zone["plane"]), _on_plane(b, zone["plane"])
+    flat_a, flat_b = _on_plane(keyed(rows), zone["plane"]), _on_plane(b, zone["plane"])
     if mode == "filter":
-        return exists_join(flat_a, flat_b, within_test(limit), grow=limit, payload=a, hot_rows=hot_rows)
+        return exists_join(flat_a, flat_b, within_test(limit), grow=limit, payload=rows, hot_rows=hot_rows)
     found = nearest_distance(flat_a, flat_b, limit)
     per_degree = units.degrees_to_meters(F.lit(1.0), zone["lat"])
     scale = F.when(zone["plane"].isNull(), per_degree).otherwise(F.lit(1.0)) / units.to_meters(1.0, units_)
     rounded = F.round(F.col("dist") * scale, 1)
     patch = F.to_json(F.struct(rounded.alias(f"dist_{units.unit_suffix(units_)}")))
-    joined = a.join(found.select("fid", patch.alias("_patch")), "fid")
+    joined = rows.join(found.select(F.col("fid").alias("_row"), patch.alias("_patch")), "_row")
     return joined.withColumn("properties", merge_properties(F.col("properties"), F.col("_patch"))).select(*COLUMNS)

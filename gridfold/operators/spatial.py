@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import kernel
-from gridfold.plans.grid import CellJoin, exists_join
+from gridfold.plans.grid import CellJoin, anchored, exists_join, keyed
 from gridfold.schema import with_bbox
 
 CLIP_TOLERANCE = 0.0003
@@ -36,8 +36,8 @@ def _mode(op: str, mode: str, legal: tuple[str, str]) -> None:
         raise ValueError(f"{op}: mode must be one of {legal}")
 
 
-def _masks(a: DataFrame, b: DataFrame, tolerance: float, hot_rows: int | None) -> tuple[DataFrame, int]:
-    """Per ``fid`` of a: union of the (simplified, repaired) b shapes that meet it, and the size of b.
+def _masks(a: DataFrame, b: DataFrame, tolerance: float, hot_rows: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """Anchored rows of a; per row the union of the (simplified, repaired) b shapes that meet it; the size of b.
 
     Only b shapes that meet a row can change it, so one mask per row equals one
     mask for all.  The union aggregate combines before the shuffle, so a row
@@ -45,13 +45,14 @@ def _masks(a: DataFrame, b: DataFrame, tolerance: float, hot_rows: int | None) -
     """
     kernel.install(a.sparkSession)
     shape = kernel.repair(kernel.simplify(kernel.pack(F.col("geom")), F.lit(tolerance)))
-    join = CellJoin(a, b, right_shape=shape, hot_rows=hot_rows)
+    rows = anchored(a)
+    join = CellJoin(keyed(rows), b, right_shape=shape, hot_rows=hot_rows)
     join.points = False
     join.left = join.left.withColumn("_wkb", kernel.pack(F.col("geom")))
     join.right = join.right.withColumn("_wkb", shape)
     met = join.pairs(lambda p, q: kernel.intersects(p("_wkb"), q("_wkb")))
-    masks = met.groupBy("fid").agg(kernel.union_agg(F.col("b_wkb")).alias("_mask"))
-    return masks, join.rp.rows
+    masks = met.groupBy(F.col("fid").alias("_row")).agg(kernel.union_agg(F.col("b_wkb")).alias("_mask"))
+    return rows, masks, join.rp.rows
 
 
 def intersection(a: DataFrame, b: DataFrame, mode: str = "filter", hot_rows: int | None = None) -> DataFrame:
@@ -59,8 +60,8 @@ def intersection(a: DataFrame, b: DataFrame, mode: str = "filter", hot_rows: int
     _mode("intersection", mode, ("filter", "clip"))
     if mode == "filter":
         return exists_join(a, b, intersects_test, hot_rows=hot_rows)
-    masks, _ = _masks(a, b, CLIP_TOLERANCE, hot_rows)
-    cut = a.join(masks, "fid").withColumn("_cut", kernel.intersection(kernel.pack(F.col("geom")), F.col("_mask")))
+    rows, masks, _ = _masks(a, b, CLIP_TOLERANCE, hot_rows)
+    cut = rows.join(masks, "_row").withColumn("_cut", kernel.intersection(kernel.pack(F.col("geom")), F.col("_mask")))
     return with_bbox(cut.withColumn("geom", kernel.unpack(F.col("_cut"))))
 
 
@@ -73,11 +74,11 @@ def difference(a: DataFrame, b: DataFrame, mode: str = "subtract", hot_rows: int
     _mode("difference", mode, ("exclude", "subtract"))
     if mode == "exclude":
         return exists_join(a, b, intersects_test, anti=True, hot_rows=hot_rows)
-    masks, b_rows = _masks(a, b, SUBTRACT_TOLERANCE, hot_rows)
-    spatial = a.where(F.col("geom").isNotNull())
+    rows, masks, b_rows = _masks(a, b, SUBTRACT_TOLERANCE, hot_rows)
+    spatial = rows.where(F.col("geom").isNotNull())
     if b_rows == 0:
-        return spatial.where(F.lit(False))
-    left = spatial.join(masks, "fid", "left")
+        return a.where(F.lit(False))
+    left = spatial.join(masks, "_row", "left")
     rest = kernel.difference(kernel.pack(F.col("geom")), F.col("_mask"))
     cut = left.withColumn("_cut", F.when(F.col("_mask").isNotNull(), rest))
     kept = cut.where(F.col("_mask").isNull() | ~kernel.is_empty(F.col("_cut")))

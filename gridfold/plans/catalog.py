@@ -6,6 +6,7 @@ import json
 from datetime import datetime, timezone
 from itertools import chain, count
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,11 @@ DATASETS = (
 LINEAGE = "output_id string, type string, inputs array<string>, params string, exec_order int"
 
 
+def encoded(id: str) -> str:
+    """A different name of letters, digits and ``_`` for each id."""
+    return "".join(c if c.isascii() and c.isalnum() else f"_{ord(c):x}_" for c in id)
+
+
 class Catalog:
     """Datasets by id.  Entries are option-sized; the data stays in the frames."""
 
@@ -53,7 +59,7 @@ class Catalog:
 
     @staticmethod
     def _view(id: str) -> str:
-        return "".join(c if c.isalnum() or c == "_" else "_" for c in id)
+        return id if id.isidentifier() and id.isascii() else encoded(id)
 
     def exists(self, id: str) -> bool:
         return id in self._frames
@@ -156,26 +162,35 @@ class Catalog:
     # -- persisted results --
 
     def path(self, id: str) -> str | None:
-        return f"{self.folder}/{self._view(id)}" if self.folder else None
+        return f"{self.folder}/{encoded(id)}" if self.folder else None
+
+    def restore(self, id: str, made_by: str) -> DataFrame | None:
+        """The stored result of ``made_by`` (a text naming operation, parameters and inputs), else ``None``.
 
-    def restore(self, id: str) -> DataFrame | None:
-        """A stored result with at least one row, else ``None``."""
+        The note beside a result is written after it, so a killed write and a
+        result of other parameters are both made again.
+        """
         path = self.path(id)
         if path is None:
             return None
         try:
-            df = self.spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - a missing path is the normal case here
+            note = self.spark.read.schema("made_by string").parquet(f"{path}.note").first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        return None if df.isEmpty() else df
+        return self.spark.read.parquet(path) if note is not None and note["made_by"] == made_by else None
 
-    def persist(self, id: str) -> DataFrame:
-        """Write a dataset to the catalog folder and continue from the files."""
+    def persist(self, id: str, made_by: str = "") -> DataFrame:
+        """Write a dataset to the catalog folder, note what made it, and continue from the files."""
         path = self.path(id)
         if path is None:
             return self.get(id)
         df = self.get(id)
+        note = self.spark.createDataFrame([(made_by,)], "made_by string").coalesce(1)
+        note.where(F.lit(False)).write.mode("overwrite").parquet(f"{path}.note")
         df.write.mode("overwrite").parquet(path)
+        note.write.mode("overwrite").parquet(f"{path}.note")
         meta = self._meta[id]
         return self.register(id, self.spark.read.schema(df.schema).parquet(path), **{k: meta[k] for k in meta if k != "id"})
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gridfold.functions import kernel
 from gridfold.functions.measure import is_point, point_x, point_y, vertices
 from gridfold.plans.skew import evened, hot_limit, spread
+from gridfold.session import stored
 
 #: A side is broadcast only when its measured vertices and rows stay below this many bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -53,6 +54,20 @@ class Profile:
         return None
 
 
+def anchored(df: DataFrame) -> DataFrame:
+    """The input of an operator that reads it several times, written once with an own row number ``_row``.
+
+    What led to ``df`` runs once, so a chain costs the sum of its steps, and no
+    result depends on ``fid`` being unique or present.  The files fix the numbers.
+    """
+    return stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Anchored rows with the row number as ``fid``; the former ``fid`` is ``_fid``."""
+    return rows.withColumn("_fid", F.col("fid")).withColumn("fid", F.col("_row")).drop("_row")
+
+
 def grown(df: DataFrame, by: Column | None) -> DataFrame:
     """Join envelope columns, widened by a distance."""
     box = F.col("bbox")
@@ -255,10 +270,12 @@ def exists_join(
 ) -> DataFrame:
     """Rows of ``left`` with (or, ``anti``, without) a partner in ``right`` that passes ``test``.
 
-    ``payload`` is returned instead of ``left`` where the joined geometry is a
-    derived one; both share ``fid``.
+    Where the joined geometry is a derived one, ``payload`` holds the anchored
+    rows to return, and ``left`` their row numbers as ``fid``.
     """
-    join = CellJoin(left, right, grow, dedup_right=True, hot_rows=hot_rows)
+    rows = anchored(left) if payload is None else payload
+    names = [c for c in rows.columns if c != "_row"]
+    join = CellJoin(keyed(rows) if payload is None else left, right, grow, dedup_right=True, hot_rows=hot_rows)
     how = "left_anti" if anti else "left_semi"
     safe_right = join.rp.rows <= hot_limit(join.rp.rows, hot_rows)
     direct = join.one_cell and (join.rp.small or (safe_right and not join.lp.small))
@@ -266,6 +283,5 @@ def exists_join(
         cells, right_cells, keys, copied = join._sides(False)
         if not copied:
             cond = join.condition(keys, F.col, lambda c: F.col(f"b{c}"), test, once=False)
-            return cells.join(right_cells, cond, how).select(*left.columns)
-    target = left if payload is None else payload
-    return target.join(join.matched(test), "fid", how).select(*target.columns)
+            return cells.join(right_cells, cond, how).withColumn("fid", F.col("_fid")).select(*names)
+    return rows.join(join.matched(test).withColumnRenamed("fid", "_row"), "_row", how).select(*names)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gridfold import operators as ops
 from gridfold.plans.catalog import Catalog
 from gridfold.plans.spec import check_spec, execution_order, inputs_of
+from gridfold.session import stored
 from gridfold.sources import read_features, read_pages
 
 REPORT = "step string, id string, status string, error string"
@@ -50,8 +54,10 @@ def run_pipeline(
 
     ``frames`` supplies datasets that are frames already.  A dataset or operation
     that fails is reported and the rest goes on; an illegal spec, an unknown input
-    or a cycle rejects everything.  With a catalog folder each result is stored
-    and reused by later runs.
+    or a cycle rejects everything.  Every dataset and result is written before it
+    is reported complete, so each step starts from files.  With a catalog folder
+    results are reused by later runs of the same operations over the same inputs
+    (frames count as the same by their name).
     """
     frames = frames or {}
     declared = [*(spec.get("datasets") or []), *({"id": i, "url": f"frame:{i}"} for i in frames)]
@@ -61,15 +67,17 @@ def run_pipeline(
     catalog = catalog or Catalog(spark)
     order = execution_order({d["id"] for d in declared}, spec.get("operations") or [])
     report = []
+    origin = {d["id"]: json.dumps(d, sort_keys=True, default=str) for d in declared}
     crs = (spec.get("map") or {}).get("crs")
     for entry in declared:
         id = entry["id"]
         try:
             if id in frames:
-                df = frames[id]
+                df = stored(frames[id], "dataset")
             else:
                 store = catalog.path(id)
                 df = load_dataset(spark, entry, crs, store)
+                df = df if store else stored(df, "dataset")
             catalog.register(
                 id, df, name=entry.get("name"), source_url=entry["url"], format=entry.get("format"),
                 hidden=entry.get("hidden", False), source_crs=entry.get("crs"),
@@ -80,11 +88,15 @@ def run_pipeline(
     for place, op in enumerate(order):
         id = op["output"]
         try:
-            stored = catalog.restore(id)
-            df = stored if stored is not None else run_operation(op, [catalog.get(i) for i in inputs_of(op)])
+            made_by = json.dumps([op["type"], op.get("params") or {}, [origin[i] for i in inputs_of(op)]], sort_keys=True, default=str)
+            made_by = origin[id] = hashlib.sha256(made_by.encode()).hexdigest()
+            before = catalog.restore(id, made_by)
+            df = before if before is not None else run_operation(op, [catalog.get(i) for i in inputs_of(op)])
+            if before is None and catalog.folder is None:
+                df = stored(df, "result")
             catalog.register(id, df, name=op.get("name"), source_url=f"operation:{op['type']}")
-            if stored is None:
-                catalog.persist(id)
+            if before is None:
+                catalog.persist(id, made_by)
             catalog.record(id, op["type"], inputs_of(op), op.get("params") or {}, place)
             report.append(("operation", id, "complete", None))
         except Exception as error:  # noqa: BLE001

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold import operators as ops
 from gridfold.plans.catalog import Catalog, backfill_order
 from gridfold.plans.pipeline import run_pipeline
 from gridfold.registry.base import (
-    BL, BP, PC, Z, ctes, customers, event_rows, lots, orders, part_boxes, query, table, zones,
+    BL, BP, PC, PO, Z, ctes, customers, event_rows, lots, orders, part_boxes, query, table, zones,
 )
 from gridfold.functions.props import json_value
 from gridfold.session import new_path
@@ -86,13 +89,45 @@ def c6(spark, d):
     return catalog.get("all").groupBy(nation).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C7_lineage", """SELECT * FROM (VALUES ('inside', 'contains', 'zones,customers', 0), ('rich', 'attribute', 'inside', 1),
-  ('named', 'join', 'names,rich', 2), ('all', 'union', 'named,customers', 3)) t(output_id, type, inputs, exec_order)
-  WHERE (SELECT count(*) FROM customer) > 0""")
+STEPS = ctes(PC, Z) + """, inside AS (SELECT c_acctbal FROM pc p WHERE EXISTS (
+    SELECT 1 FROM z b WHERE p.lng > b.xmin AND p.lng < b.xmax AND p.lat > b.ymin AND p.lat < b.ymax)),
+  c AS (SELECT (SELECT count(*) FROM inside) AS i, (SELECT count(*) FROM inside WHERE c_acctbal > 1000) AS r, (SELECT count(*) FROM pc) AS n)
+SELECT {} FROM (SELECT unnest([
+  {{'output_id': 'inside', 'type': 'contains', 'inputs': 'zones,customers', 'exec_order': 0, 'features': i, 'taken': n + (SELECT count(*) FROM z)}},
+  {{'output_id': 'rich', 'type': 'attribute', 'inputs': 'inside', 'exec_order': 1, 'features': r, 'taken': i}},
+  {{'output_id': 'named', 'type': 'join', 'inputs': 'names,rich', 'exec_order': 2, 'features': r, 'taken': r + (SELECT count(*) FROM nation)}},
+  {{'output_id': 'all', 'type': 'union', 'inputs': 'named,customers', 'exec_order': 3, 'features': r + n, 'taken': r + n}}], recursive := true) FROM c)"""
+
+
+def _sizes(catalog: Catalog):
+    """Rows of each dataset of a catalog."""
+    per = [catalog.get(e["id"]).agg(F.lit(e["id"]).alias("id"), F.count(F.lit(1)).alias("n")) for e in catalog.entries()]
+    return reduce(DataFrame.unionByName, per)
+
+
+@query("C7_lineage", STEPS.format("output_id, type, inputs, exec_order, features::BIGINT AS features"))
 def c7(spark, d):
+    """Lineage of a pipeline with the rows that each step gave."""
     catalog, _ = run_pipeline(spark, SPEC, frames=_frames(spark, d))
-    lineage = catalog.lineage().select("output_id", "type", F.array_join("inputs", ",").alias("inputs"), "exec_order")
-    return lineage.where(F.lit(not catalog.get("customers").isEmpty()))
+    sizes = _sizes(catalog).select(F.col("id").alias("output_id"), F.col("n").alias("features"))
+    return catalog.lineage().withColumn("inputs", F.array_join("inputs", ",")).drop("params").join(sizes, "output_id")
+
+
+CHAIN_ZONES = "p.lng > b.xmin AND p.lng < b.xmax AND p.lat > b.ymin AND p.lat < b.ymax"
+CHAIN_MEET = "p.lng BETWEEN b.xmin AND b.xmax AND p.lat BETWEEN b.ymin AND b.ymax"
+
+
+@query("C6_chain", ctes(PO, Z, BL, BP) + f"""SELECT fid FROM po p WHERE o_totalprice > 1000
+  AND EXISTS (SELECT 1 FROM bp b WHERE {CHAIN_MEET}) AND EXISTS (SELECT 1 FROM z b WHERE {CHAIN_ZONES})
+  AND NOT EXISTS (SELECT 1 FROM bl b WHERE {CHAIN_MEET})""")
+def c6_chain(spark, d):
+    """Five spatial operations one after the other."""
+    parts = part_boxes(spark, d)
+    met = ops.intersection(ops.attribute(orders(spark, d), "o_totalprice", ">", 1000), parts)
+    inside = ops.contains(zones(spark, d), met, mode="within")
+    outside = ops.difference(inside, lots(spark, d), mode="exclude")
+    cut = ops.intersection(outside, parts, mode="clip")
+    return ops.intersection(cut, parts).select("fid")
 
 
 @query("C8_persist_restore", ctes(BP, BL) + """SELECT count(*)::BIGINT AS n FROM bp a WHERE EXISTS (SELECT 1 FROM bl b
@@ -106,11 +141,12 @@ def c8(spark, d):
     return again.get("near").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("L3_list_lineage", """SELECT * FROM (VALUES ('inside', 0), ('rich', 1), ('named', 2), ('all', 3)) t(output_id, exec_order)
-  WHERE (SELECT count(*) FROM customer) > 0""")
+@query("L3_list_lineage", STEPS.format("output_id, exec_order, taken::BIGINT AS taken"))
 def l3(spark, d):
+    """Steps of a pipeline in order with the rows that their inputs held."""
     catalog, _ = run_pipeline(spark, SPEC, frames=_frames(spark, d))
-    return catalog.lineage().select("output_id", "exec_order").where(F.lit(not catalog.get("customers").isEmpty()))
+    steps = catalog.lineage().select("output_id", "exec_order", F.explode("inputs").alias("id"))
+    return steps.join(_sizes(catalog), "id").groupBy("output_id", "exec_order").agg(F.sum("n").alias("taken"))
 
 
 def _counted(spark, d) -> Catalog:

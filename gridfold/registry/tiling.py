@@ -13,10 +13,10 @@ from gridfold.sinks.tiles import build_layers
 Y = "(1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2"
 
 
-def _tiles_sql(points: str, name: str, low: int, high: int) -> str:
-    """Tiles a point falls in, its buffer of 64/4096 included, within the tile range of the data."""
+def _tiles_sql(points: str, name: str, low: int, high: int, among: str | None = None) -> str:
+    """Tiles a point falls in, its buffer of 64/4096 included, within the tile range of the data, or of ``among``."""
     return f"""u_{name} AS (SELECT fid, (lng + 180) / 360 AS u, {Y} AS v FROM {points}),
-b_{name} AS (SELECT min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM u_{name}),
+b_{name} AS (SELECT min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM {among or f'u_{name}'}),
 t_{name} AS (SELECT fid, z, x, y, '{name}' AS layer FROM (SELECT fid, u, v, z, power(2, z) AS n, unnest(generate_series(
     greatest(floor(u * power(2, z) - 0.015625), floor(u0 * power(2, z)))::BIGINT,
     least(floor(u * power(2, z) + 0.015625), floor(u1 * power(2, z)))::BIGINT)) AS x, v0, v1
@@ -39,7 +39,10 @@ def _summary(tiles):
     )
 
 
-@query("K5_build_layers", ctes(PC, PS, _tiles_sql("pc", "customers", 0, 10), _tiles_sql("ps", "suppliers", 0, 10)) + """
+BOTH = f"(SELECT (lng + 180) / 360 AS u, {Y} AS v FROM (SELECT lng, lat FROM pc UNION ALL SELECT lng, lat FROM ps))"
+
+
+@query("K5_build_layers", ctes(PC, PS, _tiles_sql("pc", "customers", 0, 10, BOTH), _tiles_sql("ps", "suppliers", 0, 10, BOTH)) + """
 SELECT z::INTEGER AS z, layer, count(*)::BIGINT AS features, count(DISTINCT (x, y))::BIGINT AS tiles, sum(x)::BIGINT AS xs, sum(y)::BIGINT AS ys
   FROM (SELECT * FROM t_customers UNION ALL SELECT * FROM t_suppliers) GROUP BY z, layer""")
 def k5(spark, d):
@@ -72,17 +75,19 @@ def s15(spark, d):
     return out.select("fid", F.round("bbox.xmin", 6).alias("lng"))
 
 
-@query("L4_tile_order", "SELECT count(*)::BIGINT AS n, true AS ordered FROM orders")
+@query("L4_tile_order", ctes(PO, _tiles_sql("po", "orders", 8, 12)) + "SELECT count(*)::BIGINT AS n, true AS ordered FROM t_orders")
 def l4(spark, d):
-    """Inside each file the tile ids rise, and the file ranges do not overlap."""
+    """Inside each file the tile ids rise row by row, and the file ranges do not overlap."""
     path = new_path(spark, "tiles")
-    sinks.write_tiles(sinks.build_tiles(orders(spark, d), 0, 0, "orders"), path, partitions=4)
-    rows = spark.read.parquet(path).withColumn("file", F.input_file_name())
-    spans = rows.groupBy("file").agg(
-        F.min("tile_id").alias("lo"), F.max("tile_id").alias("hi"), F.count(F.lit(1)).alias("n")
+    sinks.write_tiles(sinks.build_tiles(orders(spark, d), 8, 12, "orders"), path, partitions=4)
+    rows = spark.read.parquet(path).select("tile_id", "_metadata.file_path", "_metadata.row_index")
+    last = F.lag("tile_id").over(Window.partitionBy("file_path").orderBy("row_index"))
+    rows = rows.withColumn("rises", F.coalesce(F.col("tile_id") >= last, F.lit(True)))
+    spans = rows.groupBy("file_path").agg(
+        F.min("tile_id").alias("lo"), F.max("tile_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.bool_and("rises").alias("rises")
     )
     before = F.max("hi").over(Window.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
-    return spans.withColumn("ok", F.coalesce(F.col("lo") >= before, F.lit(True))).agg(
+    return spans.withColumn("ok", F.col("rises") & F.coalesce(F.col("lo") >= before, F.lit(True))).agg(
         F.sum("n").alias("n"), F.bool_and("ok").alias("ordered")
     )
 

@@ -73,11 +73,14 @@ def _measure(spatial: DataFrame, maxzoom: int):
     return stats.select("n", "points", "large", limits.alias("limits")).first()
 
 
-def build_tiles(df: DataFrame, minzoom: int = 0, maxzoom: int = 14, layer: str = "features") -> DataFrame:
+def build_tiles(
+    df: DataFrame, minzoom: int = 0, maxzoom: int = 14, layer: str = "features", among: list[DataFrame] | None = None
+) -> DataFrame:
     """``z, x, y, tile_id, layer, fid, geom, properties`` with geometry in tile units 0..4096.
 
     Features spanning many tiles are cut on a coarse zoom first and the pieces
-    are shuffled, so one large feature does not end up in one task.
+    are shuffled, so one large feature does not end up in one task.  With
+    ``among`` the tiles may lie in the common range of those frames.
     """
     if not 0 <= minzoom <= maxzoom <= 22:
         raise ValueError("tiles: need 0 <= minzoom <= maxzoom <= 22")
@@ -87,7 +90,10 @@ def build_tiles(df: DataFrame, minzoom: int = 0, maxzoom: int = 14, layer: str =
     if not stats["n"]:
         raise ValueError("tiles: no features to tile")
     names = ("xmin", "ymin", "xmax", "ymax")
-    limits = F.array(*[F.struct(*[F.lit(r[c]).cast("bigint").alias(c) for c in names]) for r in stats["limits"]])
+    ranges = stats["limits"]
+    if among is not None:
+        ranges = _measure(reduce(DataFrame.unionByName, [o.select("geom", "bbox") for o in among]), maxzoom)["limits"]
+    limits = F.array(*[F.struct(*[F.lit(r[c]).cast("bigint").alias(c) for c in names]) for r in ranges])
     unit = computed(spatial.select("fid", "geom", "properties"), unit=_unit(F.col("geom"))).drop("geom")
     unit = computed(unit, ubox=bbox_of(F.col("unit")))
 
@@ -135,15 +141,20 @@ def build_tiles(df: DataFrame, minzoom: int = 0, maxzoom: int = 14, layer: str =
 
 
 def build_layers(layers: dict[str, DataFrame], minzoom: int = 0, maxzoom: int = 14) -> DataFrame:
-    """Tiles of several datasets, one layer each; every dataset needs features."""
+    """Tiles of several datasets, one layer each, in their common range; every dataset needs features."""
     if not layers:
         raise ValueError("tiles: needs at least one layer")
-    return reduce(DataFrame.unionByName, [build_tiles(df, minzoom, maxzoom, name) for name, df in layers.items()])
+    every = list(layers.values())
+    return reduce(DataFrame.unionByName, [build_tiles(df, minzoom, maxzoom, name, every) for name, df in layers.items()])
 
 
 def write_tiles(tiles: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Tile table by zoom, in Hilbert order inside the files."""
-    keys = ["tile_id", "layer", "fid"]
+    """Tile table by zoom, in Hilbert order inside the files.
+
+    The zoom leads the sort: a write by zoom would otherwise sort by it alone and
+    lose the order.
+    """
+    keys = ["z", "tile_id", "layer", "fid"]
     spread = tiles.repartitionByRange(partitions, *keys) if partitions else tiles.repartitionByRange(*keys)
     spread.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("z").parquet(path)
 

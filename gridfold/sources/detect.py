@@ -22,6 +22,8 @@ BY_EXTENSION = {
     ".geoparquet": "geoparquet",
 }
 BY_SEGMENT = {"geojson": "geojson", "json": "geojson", "csv": "csv", "parquet": "geoparquet", "geoparquet": "geoparquet"}
+#: Endings of files with one document a line; such files are split among tasks.
+LINES = (".geojsonl", ".geojsons", ".ndjson", ".jsonl")
 FORMATS = ["geojson", "json-array", "csv", "geoparquet"]
 
 
@@ -57,6 +59,8 @@ def read_features(spark: SparkSession, path: str, format: str | None = None, **o
         return read_geoparquet(spark, path, **options)
     if kind == "json-array":
         return read_json_array(spark, path, **options)
+    if urlparse(path).path.lower().rstrip("/").endswith(LINES):
+        options.setdefault("lines", True)
     roles = {"geo_column", "lat_column", "lng_column", "table"}
     try:
         return read_geojson(spark, path, **{k: v for k, v in options.items() if k not in roles})

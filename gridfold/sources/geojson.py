@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfold.functions.geomtext import COLLECTION, TYPES, parse_geojson
+from gridfold.functions.project import to_degrees
 from gridfold.functions.units import parse_crs_column
 from gridfold.schema import as_features
-from gridfold.sources.guard import finish
+from gridfold.sources.guard import check_degrees, finish
 
 
 def _object(text: Column, path: str) -> Column:
@@ -31,9 +32,15 @@ def feature_texts(doc: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """One row per document: whole files, or single lines of newline-delimited files."""
-    docs = spark.read.text(path, wholetext=not lines)
-    return docs.where(F.trim("value") != "") if lines else docs
+    """One row per document: whole files, or single lines of newline-delimited files.
+
+    A file that holds several documents, each on its own lines, gives one row for
+    each: no valid document has a line end between ``}`` and ``{``.
+    """
+    if lines:
+        return spark.read.text(path).where(F.trim("value") != "")
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.split("value", r"(?<=\})\s*[\r\n]\s*(?=\{)")).alias("value"))
 
 
 def document_crs(docs: DataFrame, column: str = "value") -> Column:
@@ -41,9 +48,11 @@ def document_crs(docs: DataFrame, column: str = "value") -> Column:
     return parse_crs_column(_object(F.col(column), "$.crs.properties.name"))
 
 
-def features_of(texts: DataFrame, feature: Column, fid: Column | None = None) -> DataFrame:
-    """Feature texts to feature rows; rows without geometry are dropped."""
+def features_of(texts: DataFrame, feature: Column, fid: Column | None = None, crs: Column | None = None) -> DataFrame:
+    """Feature texts to feature rows, in degrees where ``crs`` names their system; rows without geometry are dropped."""
     geom = parse_geojson(_object(feature, "$.geometry"), collections=True)
+    if crs is not None:
+        geom = to_degrees(geom, crs)
     props = F.coalesce(_object(feature, "$.properties"), F.lit("{}"))
     return as_features(texts, geom, props, fid).where(F.col("geom").isNotNull())
 
@@ -60,20 +69,22 @@ def read_geojson(
     """Features of FeatureCollection, Feature, geometry and Feature-array documents.
 
     A document is one file, so many files are read in parallel; large data
-    belongs in newline-delimited files (``lines``), which split.
+    belongs in newline-delimited files (``lines``), which split.  Without the
+    option ``crs`` each document is taken in the system of its own ``crs`` member.
     """
     docs = read_documents(spark, path, lines)
-    head = docs.limit(1).select(
-        feature_texts(F.col("value")).isNotNull().alias("ok"), document_crs(docs).alias("crs")
-    ).first()
+    head = docs.limit(1).select(feature_texts(F.col("value")).isNotNull().alias("ok")).first()
     message = "not GeoJSON: expected FeatureCollection, Feature, geometry or Feature array"
     if head is None or not head["ok"]:
         raise ValueError(message)
-    detected = None if crs is not None or lines else head["crs"]
     # Only the first document is looked at up front; a later bad one fails the job that reads it.
     texts = F.coalesce(feature_texts(F.col("value")), F.raise_error(F.lit(message)).cast("array<string>"))
-    parts = docs.select(texts.alias("features"))
-    rows = parts.select(F.explode("features").alias("feature"))
+    own = F.coalesce(document_crs(docs), F.lit(default_crs)) if crs is None else F.lit(None).cast("string")
+    parts = docs.select(texts.alias("features"), own.alias("crs"))
+    rows = parts.select(F.explode("features").alias("feature"), "crs")
     feature = F.col("feature")
     fid = _object(feature, f"$.properties.{fid_property}").try_cast("bigint") if fid_property else None
-    return finish(features_of(rows, feature, fid), crs, detected, default_crs, store=store)
+    if crs is not None:
+        return finish(features_of(rows, feature, fid), crs, store=store)
+    check_degrees(features_of(rows.where(F.col("crs").isNull()), feature))
+    return finish(features_of(rows, feature, fid, F.col("crs")), check=False, store=store)

@@ -145,3 +145,28 @@ def test_tiles(spark, tmp_path):
         sinks.read_tiles(spark, str(tmp_path / "t"), (-123, 49, -122, 50), 8, ["roads"])
     with pytest.raises(ValueError):
         sinks.build_tiles(df.where("fid > 9"))
+
+
+def _zone_document(code, x):
+    point = {"type": "Feature", "properties": {"code": code}, "geometry": {"type": "Point", "coordinates": [x, 5400000.0]}}
+    crs = {"type": "name", "properties": {"name": f"urn:ogc:def:crs:EPSG::{code}"}}
+    return json.dumps({"type": "FeatureCollection", "crs": crs, "features": [point]})
+
+
+def test_each_document_has_its_own_crs(spark, tmp_path):
+    """Two zones whose central meridians are six degrees apart, and one file in degrees."""
+    folder = tmp_path / "zones"
+    folder.mkdir()
+    put(folder, "a.geojson", _zone_document(32612, 500000.0)), put(folder, "b.geojson", _zone_document(32613, 500000.0))
+    put(folder, "c.geojson", json.dumps({"type": "Point", "coordinates": [8.5, 47.0]}))
+    got = sorted(round(r["bbox"]["xmin"], 6) for r in sources.read_geojson(spark, str(folder)).collect())
+    assert got == [-111.0, -105.0, 8.5]
+
+
+def test_lines_are_never_taken_for_one_document(spark, tmp_path):
+    """A written result reads back whole, with or without an option or ending."""
+    df = sources.read_geojson(spark, put(tmp_path, "t.ndjson", "\n".join(
+        json.dumps({"type": "Feature", "properties": {"t": "} {"}, "geometry": {"type": "Point", "coordinates": [i, 1]}}) for i in range(5))))
+    assert df.count() == 5 and sources.read_features(spark, str(tmp_path / "t.ndjson")).count() == 5
+    sinks.write_geojson(df, str(tmp_path / "back"))
+    assert sources.read_features(spark, str(tmp_path / "back")).count() == 5

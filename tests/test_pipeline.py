@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import box, features, fids
 
 from gridfold import operators as ops
@@ -130,3 +131,24 @@ def test_outputs_and_bundle(spark, tmp_path):
     assert {r["layer"] for r in spark.read.parquet(str(tmp_path / "far-near.tiles")).select("layer").distinct().collect()} == {"far", "near"}
     names = {r["id"]: r["url"] for r in sinks.write_bundle(c, str(tmp_path / "bundle")).collect()}
     assert names["all"] == "./data/all" and names["points"].startswith("frame:")
+
+
+def test_results_belong_to_what_made_them(spark, tmp_path):
+    """Other parameters make a result again, close names stay apart, and nothing is complete before it ran."""
+    frames = sample(spark)
+
+    def run(below, **more):
+        step = op("attribute", "a/b", "points", property="n", operator="<", value=below)
+        other = op("attribute", "a_b", "points", property="n", operator="<", value=1)
+        return run_pipeline(spark, {"operations": [step, other]}, frames={**frames, **more}, **folder)
+
+    folder = {"catalog": Catalog(spark, str(tmp_path))}
+    for below in (3, 5, 3):
+        folder = {"catalog": Catalog(spark, str(tmp_path))}
+        catalog, _ = run(below)
+        assert catalog.get("a/b").count() == below and catalog.get("a_b").count() == 1
+        assert spark.table("a_b").count() == 1
+    folder = {}
+    broken = frames["points"].withColumn("properties", F.raise_error(F.lit("broken")).cast("string"))
+    _, report = run(3, points=broken)
+    assert {r["id"]: r["status"] for r in report.collect()} == {"zones": "complete", "points": "error", "a/b": "error", "a_b": "error"}

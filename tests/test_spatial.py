@@ -159,3 +159,44 @@ def test_plans_have_no_nested_loop(spark):
     for df in (ops.contains(b, a, "within"), ops.intersection(a, b), ops.intersection(b, b, "clip"), ops.difference(b, b)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows count by themselves: equal or missing ids give the same answer on every path."""
+    rows = [(7, "POINT (1 1)"), (7, "POINT (50 50)"), (None, "POINT (2 2)"), (None, "POINT (60 60)")]
+    a, b = features(spark, rows), features(spark, [(1, box(0, 0, 5, 5))])
+    place = lambda df: sorted((r["bbox"]["xmin"] for r in df.collect()))
+    mixed = features(spark, [*rows, (7, box(3, 3, 4, 4)), (7, box(70, 70, 71, 71))])
+    for hot_rows in (None, 1):
+        assert place(ops.contains(b, a, "within", hot_rows=hot_rows)) == [1, 2]
+        assert place(ops.contains(b, mixed, "within", hot_rows=hot_rows)) == [1, 2, 3]
+        assert place(ops.intersection(mixed, b, "clip", hot_rows=hot_rows)) == [1, 2, 3]
+        assert place(ops.difference(mixed, b, "exclude", hot_rows=hot_rows)) == [50, 60, 70]
+        assert place(ops.difference(mixed, b, hot_rows=hot_rows)) == [50, 60, 70]
+        assert len(place(ops.distance(mixed, b, "filter", 1.0, "meters", hot_rows=hot_rows))) == 3
+    assert ops.distance(mixed, b, "annotate").count() == 6
+
+
+def test_chain_reads_each_input_once(spark):
+    """The plan of a chain does not grow with its length."""
+    a = features(spark, [(i, box(i, i, i + 2, i + 2)) for i in range(6)])
+    b = features(spark, [(i, box(i, i, i + 1, i + 1)) for i in range(4)])
+    sizes, df = [], a
+    for _ in range(5):
+        df = ops.intersection(df, b)
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+    assert fids(df) == [0, 1, 2, 3, 4] and max(sizes) < 1.2 * min(sizes)
+
+
+def test_merge_of_hashed_ids(spark):
+    big = features(spark, [(2**62, "POINT (1 1)"), (3, "POINT (2 2)"), (None, "POINT (3 3)")])
+    got = [r["fid"] for r in ops.merge([big, big]).collect()]
+    assert len(got) == 6 and {6, 7} <= set(got) and len(set(got)) == 5
+
+
+def test_join_splits_hot_keys_on_both_sides(spark):
+    a = features(spark, [(i, "POINT (1 1)", '{"k": %s}' % (1 if i < 8 else i)) for i in range(10)])
+    s = features(spark, [(i, None, '{"k": 1, "v": %d}' % i) for i in range(6)])
+    for mode, n in (("inner", 48), ("left", 50)):
+        plain, split = (ops.join(s, a, "k", "k", mode, hot_rows=h) for h in (None, 2))
+        assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect())) and plain.count() == n
