@@ -35,9 +35,8 @@ def as_features(df: DataFrame, geom: Column, properties: Column, fid: Column | N
 
     ``fid`` should come from a key column where there is one.  Without it an id
     is drawn from the row position, which is stable only for a fixed file
-    layout: write such a result out (``store=`` of the readers) before an
-    operator that uses the frame twice.  Rows with equal ``fid`` must have
-    equal geometry.
+    layout (``store=`` of the readers fixes it).  Operators number rows
+    themselves, so ids may repeat or be missing.
     """
     fid = F.monotonically_increasing_id() if fid is None else fid
     return with_bbox(df.select(fid.cast("bigint").alias("fid"), properties.alias("properties"), geom.alias("geom")))
