@@ -10,8 +10,10 @@ from gridfold.sources.roles import position_columns
 from gridfold.sources.table import detect_delimiter
 from gridfold.streaming import read_appended, stream_append
 
-POINT = {"type": "Point", "coordinates": [-123.1, 49.25]}
-FEATURE = {"type": "Feature", "geometry": POINT, "properties": {"name": "test"}}
+# A pier on Lake Zurich.
+POINT = {"type": "Point", "coordinates": [8.545, 47.355]}
+FEATURE = {"type": "Feature", "geometry": POINT, "properties": {"quay": 4, "boats": ["Linth"]}}
+PIER, QUAY = "POINT (8.545 47.355)", {"quay": 4, "boats": ["Linth"]}
 
 
 def put(tmp_path, name, text):
@@ -24,48 +26,46 @@ def rows(df):
     return [(r["w"], json.loads(r["properties"])) for r in df.select(wkt_of(F.col("geom")).alias("w"), "properties").collect()]
 
 
+def _collection(*items):
+    return {"type": "FeatureCollection", "features": list(items)}
+
+
 @pytest.mark.parametrize(
-    "doc, props",
-    [
-        ({"type": "FeatureCollection", "features": [FEATURE, {**FEATURE, "geometry": None}]}, {"name": "test"}),
-        (FEATURE, {"name": "test"}),
-        (POINT, {}),
-        ([FEATURE], {"name": "test"}),
-    ],
+    "doc, props", [(POINT, {}), ([FEATURE], QUAY), (FEATURE, QUAY), (_collection({**FEATURE, "geometry": None}, FEATURE), QUAY)]
 )
 def test_geojson_documents(spark, tmp_path, doc, props):
-    assert rows(sources.read_geojson(spark, put(tmp_path, "a.geojson", json.dumps(doc)))) == [("POINT (-123.1 49.25)", props)]
+    assert rows(sources.read_geojson(spark, put(tmp_path, "piers.geojson", json.dumps(doc)))) == [(PIER, props)]
 
 
-@pytest.mark.parametrize("doc", ["{}", "[]", '{"type":"FeatureCollection"}', "null", '[{"a":1}]'])
+@pytest.mark.parametrize("doc", ['{"quay": 4}', "[7, 8]", '{"type": "FeatureCollection", "items": []}', "true"])
 def test_geojson_rejects(spark, tmp_path, doc):
     with pytest.raises(ValueError):
-        sources.read_geojson(spark, put(tmp_path, "a.geojson", doc))
+        sources.read_geojson(spark, put(tmp_path, "piers.geojson", doc))
 
 
 def test_geojson_crs_member_and_guard(spark, tmp_path):
-    far = {**FEATURE, "geometry": {"type": "Point", "coordinates": [500000, 5427257]}}
-    doc = {"type": "FeatureCollection", "features": [far]}
+    """On a central meridian the easting is 500 km; 5250 km north of the equator is 47.4035 degrees (series of the meridian arc)."""
+    doc = _collection({**FEATURE, "geometry": {"type": "Point", "coordinates": [500000, 5250000]}})
     with pytest.raises(ValueError, match="CRS"):
         sources.read_geojson(spark, put(tmp_path, "p.geojson", json.dumps(doc)))
-    doc["crs"] = {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::32610"}}
+    doc["crs"] = {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::32632"}}
     b = sources.read_geojson(spark, put(tmp_path, "q.geojson", json.dumps(doc))).first()["bbox"]
-    assert (b["xmin"], b["ymin"]) == pytest.approx((-123, 49), abs=0.01)
+    assert (b["xmin"], b["ymin"]) == pytest.approx((9, 47.4035), abs=0.001)
 
 
-@pytest.mark.parametrize("header, want", [("a,b", ","), ("a;b;c", ";"), ("a\tb", "\t"), ("a|b", "|"), ('"a;b;c",d', ","), ("a", ",")])
+@pytest.mark.parametrize("header, want", [("quay", ","), ("quay|boat", "|"), ("quay;boat;log", ";"), ("quay,boat", ","), ('"lat; lng; alt",boat', ","), ("quay\tboat", "\t")])
 def test_delimiter(header, want):
     assert detect_delimiter(header) == want
 
 
 CSV = {
-    "wkt": ('geometry,name,area\n"POLYGON ((0 0, 1 0, 1 1, 0 0))",Park,500\nBROKEN,No,1\n', [("POLYGON ((0 0, 1 0, 1 1, 0 0))", {"name": "Park", "area": 500})]),
-    "lat": ("name,lat,lng\nPlace,49.25,-123.1\nBad,x,1\n", [("POINT (-123.1 49.25)", {"name": "Place"})]),
-    "wins": ('geometry,name,lat,lng\n"POINT (1 2)",A,5,6\n', [("POINT (1 2)", {"name": "A", "lat": 5, "lng": 6})]),
-    "pair": ('name,spot\nA,"49.25, -123.1"\nB,nope\n', [("POINT (-123.1 49.25)", {"name": "A"})]),
-    "none": ("geometry,name\nINVALID,a\nBROKEN,2\n", [(None, {"geometry": "INVALID", "name": "a"}), (None, {"geometry": "BROKEN", "name": 2})]),
-    "json": ('name;Geom\nA;"{""type"":""LineString"",""coordinates"":[[0,0],[1,1],[2,0]]}"\n', [("LINESTRING (0 0, 1 1, 2 0)", {"name": "A"})]),
-    "quote": ('name,note,lat,lng\n"a, ""b""","two\nlines",1,2\n\n c ,,3,4\n', [("POINT (2 1)", {"name": 'a, "b"', "note": "two\nlines"}), ("POINT (4 3)", {"name": "c", "note": ""})]),
+    "wkt": ('quay,geometry\n4,"POLYGON ((8 47, 9 47, 9 48, 8 47))"\n5,at the lake\n', [("POLYGON ((8 47, 9 47, 9 48, 8 47))", {"quay": 4})]),
+    "lat": ("lng,lat,boat\n8.545,47.355,Linth\neast,47,Säntis\n", [(PIER, {"boat": "Linth"})]),
+    "wins": ('lat,lng,geometry,boat\n46,7,"POINT (8.545 47.355)",Linth\n', [(PIER, {"lat": 46, "lng": 7, "boat": "Linth"})]),
+    "pair": ('spot,boat\n"47.355, 8.545",Linth\nmoored,Säntis\n', [(PIER, {"boat": "Linth"})]),
+    "none": ("geometry,quay\nnorth shore,4\nsouth shore,b\n", [(None, {"geometry": "north shore", "quay": 4}), (None, {"geometry": "south shore", "quay": "b"})]),
+    "json": ('boat;Geom\nLinth;"{""type"":""LineString"",""coordinates"":[[8,47],[8.5,47.25],[9,47]]}"\n', [("LINESTRING (8 47, 8.5 47.25, 9 47)", {"boat": "Linth"})]),
+    "quote": ('boat,log,lat,lng\n"MS ""Linth""","left at 9\nback at 10",47.355,8.545\n\n Ufenau ,,46,7\n', [(PIER, {"boat": 'MS "Linth"', "log": "left at 9\nback at 10"}), ("POINT (7 46)", {"boat": "Ufenau", "log": ""})]),
 }
 
 
@@ -91,7 +91,7 @@ def test_json_array(spark, tmp_path):
     items = [{"lat": 1, "lng": "2", "a": {"b": 1}}, {"lat": None, "lng": 3}]
     assert rows(sources.read_json_array(spark, put(tmp_path, "a.json", json.dumps(items)))) == [("POINT (2 1)", {"a": {"b": 1}})]
     shaped = [{"n": 1, "geo_shape": POINT, "extra": [1]}]
-    assert rows(sources.read_features(spark, put(tmp_path, "b.json", json.dumps(shaped)))) == [("POINT (-123.1 49.25)", {"n": 1, "extra": [1]})]
+    assert rows(sources.read_features(spark, put(tmp_path, "b.json", json.dumps(shaped)))) == [(PIER, {"n": 1, "extra": [1]})]
     plain = [{"n": 1}, {"n": 2, "m": 3}]
     assert rows(sources.read_json_array(spark, put(tmp_path, "c.json", json.dumps(plain)))) == [(None, {"n": 1}), (None, {"n": 2, "m": 3})]
 
