@@ -12,27 +12,23 @@ _RING = "array<struct<x:double,y:double>>"
 _GEOM = "struct<type:string,kinds:string,parts:array<array<array<struct<x:double,y:double>>>>>"
 
 
-def _half_plane(ring: Column, axis: str, low: bool, edge: Column) -> Column:
-    """Part of an open ring on one side of an axis-parallel line, crossing points added."""
-    n = F.size(ring)
-    inside = lambda v: v[axis] >= edge if low else v[axis] <= edge
-
-    def crossing(a: Column, b: Column) -> Column:
-        t = (edge - a[axis]) / (b[axis] - a[axis])
-        if axis == "x":
-            return vertex(edge, a["y"] + t * (b["y"] - a["y"]))
-        return vertex(a["x"] + t * (b["x"] - a["x"]), edge)
-
-    def step(v: Column, i: Column) -> Column:
-        before = F.element_at(ring, F.when(i == 0, n).otherwise(i))
-        return (
-            F.when(inside(v) & inside(before), F.array(v))
-            .when(inside(v), F.array(crossing(before, v), v))
-            .when(inside(before), F.array(crossing(before, v)))
-            .otherwise(F.array().cast(_RING))
-        )
+def _kept_side(ring: Column, axis: str, edge: Column, sign: int) -> Column:
+    """Open ring cut at an axis-parallel line: every edge that passes the line gets a corner on it, then corners beyond it go.
+
+    ``sign`` is 1 to keep the side of larger values, -1 for the other.
+    """
+    other = "y" if axis == "x" else "x"
+    depth = lambda v: (v[axis] - edge) * sign
 
-    return F.flatten(F.transform(ring, step))
+    def with_corner(v: Column, i: Column) -> Column:
+        u = F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i))
+        share = depth(u) / (depth(u) - depth(v))
+        level = u[other] + share * (v[other] - u[other])
+        corner = vertex(edge, level) if axis == "x" else vertex(level, edge)
+        passes = F.signum(depth(u)) * F.signum(depth(v)) < 0
+        return F.when(passes, F.array(corner, v)).otherwise(F.array(v))
+
+    return F.filter(F.flatten(F.transform(ring, with_corner)), lambda v: depth(v) >= 0)
 
 
 def clip_ring(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
@@ -45,8 +41,8 @@ def clip_ring(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Colu
         return F.when(closed, F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)
 
     cut = let(ring, opened)
-    for axis, low, edge in (("x", True, xmin), ("x", False, xmax), ("y", True, ymin), ("y", False, ymax)):
-        cut = let(cut, lambda r: _half_plane(r, axis, low, edge))
+    for axis, edge, sign in (("x", xmin, 1), ("x", xmax, -1), ("y", ymin, 1), ("y", ymax, -1)):
+        cut = let(cut, lambda r: _kept_side(r, axis, edge, sign))
     return let(cut, lambda r: F.when(F.size(r) >= 3, F.concat(r, F.slice(r, 1, 1))).otherwise(none))
 
 
@@ -68,7 +64,11 @@ def _segment(a: Column, b: Column, xmin: Column, ymin: Column, xmax: Column, yma
 
 
 def clip_line(line: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Connected pieces of a line inside the box, as an array of lines."""
+    """Connected pieces of a line inside the box, as an array of lines.
+
+    The places where a piece begins are found first, then each piece is one
+    slice, so the work grows with the number of vertices.
+    """
     n = F.size(line)
     cuts = F.zip_with(
         F.slice(line, F.lit(1), F.greatest(n - 1, F.lit(0))),
@@ -76,16 +76,26 @@ def clip_line(line: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Colu
         lambda a, b: _segment(a, b, xmin, ymin, xmax, ymax),
     )
 
-    def step(pieces: Column, seg: Column) -> Column:
-        last = F.when(F.size(pieces) > 0, F.element_at(pieces, -1))
-        end = F.element_at(last, -1)
-        joins = last.isNotNull() & (end["x"] == seg[0]["x"]) & (end["y"] == seg[0]["y"])
-        longer = F.concat(
-            F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array(F.concat(last, F.array(seg[1])))
-        )
-        return F.when(seg.isNull(), pieces).when(joins, longer).otherwise(F.concat(pieces, F.array(seg)))
+    def pieces(inside: Column) -> Column:
+        at = lambda i: F.element_at(inside, i)
+
+        def begins(i: Column) -> Column:
+            end, start = at(F.greatest(i - 1, F.lit(1)))[1], at(i)[0]
+            return (i == 1) | (end["x"] != start["x"]) | (end["y"] != start["y"])
+
+        places = F.filter(F.sequence(F.lit(1), F.size(inside)), begins)
+
+        def piece(places: Column) -> Column:
+            def one(first: Column, k: Column) -> Column:
+                after = F.coalesce(F.get(places, k + 1), F.size(inside) + 1)
+                run = F.slice(inside, first, after - first)
+                return F.concat(F.array(at(first)[0]), F.transform(run, lambda s: s[1]))
+
+            return F.transform(places, one)
+
+        return F.when(F.size(inside) > 0, let(places, piece)).otherwise(F.array().cast(f"array<{_RING}>"))
 
-    return F.aggregate(cuts, F.array().cast(f"array<{_RING}>"), step)
+    return let(F.filter(cuts, lambda s: s.isNotNull()), pieces)
 
 
 def clip_geometry(geom: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:

@@ -46,6 +46,18 @@ def union_tree(shapes: DataFrame) -> DataFrame:
     first, so no task gathers a whole cell and the last step sees at most
     ``COARSE * COARSE`` shapes.
     """
+    step = FINE // COARSE
+    joined = lambda df, keys: df.groupBy(*keys).agg(kernel.union_agg(F.col("wkb")).alias("wkb"))
+    salted = joined(chunked(shapes).select("wkb", "cx", "cy", "salt"), ["cx", "cy", "salt"])
+    cells = joined(salted, ["cx", "cy"])
+    blocks = joined(
+        cells.withColumn("cx", F.floor(F.col("cx") / step)).withColumn("cy", F.floor(F.col("cy") / step)), ["cx", "cy"]
+    )
+    return joined(blocks, []).where(F.col("wkb").isNotNull())
+
+
+def chunked(shapes: DataFrame) -> DataFrame:
+    """``shapes`` with their chunk of the first union level: cell ``cx, cy`` of the middle, and ``salt``."""
     b = F.col("bbox")
     extent = shapes.agg(
         F.struct(
@@ -61,17 +73,9 @@ def union_tree(shapes: DataFrame) -> DataFrame:
         return F.least(F.floor(share * FINE), F.lit(FINE - 1)).cast("int")
 
     salt = F.pmod(F.xxhash64("bbox", "wkb"), F.lit(SALTS)).cast("int")
-    placed = shapes.withColumn("_e", extent).select(
-        "wkb", cell("xmin", "xmax", "x", "w").alias("cx"), cell("ymin", "ymax", "y", "h").alias("cy"), salt.alias("salt")
-    )
-    step = FINE // COARSE
-    joined = lambda df, keys: df.groupBy(*keys).agg(kernel.union_agg(F.col("wkb")).alias("wkb"))
-    salted = joined(placed, ["cx", "cy", "salt"])
-    cells = joined(salted, ["cx", "cy"])
-    blocks = joined(
-        cells.withColumn("cx", F.floor(F.col("cx") / step)).withColumn("cy", F.floor(F.col("cy") / step)), ["cx", "cy"]
+    return shapes.withColumn("_e", extent).select(
+        *shapes.columns, cell("xmin", "xmax", "x", "w").alias("cx"), cell("ymin", "ymax", "y", "h").alias("cy"), salt.alias("salt")
     )
-    return joined(blocks, []).where(F.col("wkb").isNotNull())
 
 
 def one_feature(wkb: DataFrame) -> DataFrame:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from gridfold.functions.props import json_keys
 from gridfold.operators.attribute import flatten
+from gridfold.session import stored
 
 # The extent reported for a dataset without geometry.
 WORLD = {"xmin": -180.0, "ymin": -85.0, "xmax": 180.0, "ymax": 85.0}
+#: Most property keys that become columns without being named.
+COLUMNS = 10_000
 # Geometry classes of the three display groups.
 POLYGON_TYPES = ["Polygon", "MultiPolygon"]
 LINE_TYPES = ["LineString", "MultiLineString", "Polygon", "MultiPolygon"]
@@ -41,8 +44,14 @@ def property_keys(df: DataFrame, sample: int | None = None) -> DataFrame:
 
 
 def key_list(df: DataFrame) -> list[str]:
-    """The keys as a list for building columns; one row per key reaches the driver, never data rows."""
-    return [r["key"] for r in property_keys(df).collect()]
+    """The keys as a list for building columns.
+
+    A table of more than ``COLUMNS`` columns is refused before their names reach the driver.
+    """
+    found = [r["key"] for r in property_keys(df).limit(COLUMNS + 1).collect()]
+    if len(found) > COLUMNS:
+        raise ValueError(f"more than {COLUMNS} property keys: name those to become columns (keys=...)")
+    return found
 
 
 def geometry_types(df: DataFrame) -> DataFrame:
@@ -55,12 +64,13 @@ def feature_count(df: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def preview(df: DataFrame, limit: int = 50, order_by: str | None = None, keys: list[str] | None = None) -> DataFrame:
-    """The first rows as flat text columns; rows without properties are skipped."""
+    """The first rows as flat text columns of the keys they have; rows without properties are skipped."""
     rows = df.where(F.col("properties").isNotNull())
-    names = key_list(rows) if keys is None else keys
-    if order_by:
-        rows = rows.orderBy(order_by)
-    return flatten(rows.limit(limit), names, geometry=None)
+    rows = (rows.orderBy(order_by) if order_by else rows).limit(limit)
+    if keys is None:
+        rows = stored(rows, "preview")
+    rows = rows.orderBy(order_by) if order_by else rows
+    return flatten(rows, key_list(rows) if keys is None else keys, geometry=None)
 
 
 def with_geometry(df: DataFrame, types: list[str] | None = None) -> DataFrame:

@@ -125,6 +125,14 @@ def check_output(o: dict, where: str, known: set[str]) -> list[str]:
             out.append(f"{where}.params: need 0 <= minzoom <= maxzoom <= 22")
         if isinstance(source, list) and "layerName" in p:
             out.append(f"{where}.params.layerName: not legal with several sources")
+        zoom, box = p.get("extractZoom"), p.get("bbox")
+        if zoom is not None:
+            if isinstance(source, list):
+                out.append(f"{where}.params.extractZoom: not legal with several sources")
+            if not isinstance(zoom, int) or not 0 <= zoom <= 22:
+                out.append(f"{where}.params.extractZoom: must be a whole number of 0 to 22")
+            if not isinstance(box, list) or len(box) != 4 or not all(isinstance(v, int | float) for v in box) or box[0] >= box[2] or box[1] >= box[3]:
+                out.append(f"{where}.params.bbox: needs west, south, east and north")
     return out
 
 

@@ -198,7 +198,7 @@ def _pages(spark, d):
 
 @query("S14_read_pages", NAMED)
 def s14(spark, d):
-    out = sources.read_pages(spark, _pages(spark, d), max_pages=None)
+    out = sources.read_pages(spark, _pages(spark, d))
     back = out.withColumn("fid", json_value(F.col("properties"), "id").cast("bigint"))
     return _named(back)
 
@@ -222,19 +222,20 @@ def k1(spark, d):
 
 
 @query("K2_write_csv", ctes(PC) + """SELECT c_name, c_mktsegment, c_nationkey::VARCHAR AS c_nationkey,
-  'POINT (' AS head, round(lng, 6) AS lng FROM pc""")
+  round(c_acctbal, 2) AS c_acctbal, round(lng, 6) AS lng, round(lat, 6) AS lat FROM pc""")
 def k2(spark, d):
     path = new_path(spark, "csv")
     sinks.write_csv(customers(spark, d), path)
     rows = spark.read.csv(path, header=True)
     return rows.select(
-        "c_name", "c_mktsegment", "c_nationkey", F.substring("geometry", 1, 7).alias("head"),
-        F.round(F.regexp_extract("geometry", r"\((\S+)", 1).cast("double"), 6).alias("lng"),
+        "c_name", "c_mktsegment", "c_nationkey", F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"),
+        F.round(F.regexp_extract("geometry", r"^POINT \((\S+) (\S+)\)$", 1).cast("double"), 6).alias("lng"),
+        F.round(F.regexp_extract("geometry", r"^POINT \((\S+) (\S+)\)$", 2).cast("double"), 6).alias("lat"),
     )
 
 
-@query("K3_write_parquet", ctes(BP) + """SELECT round((xmin + xmax) / 2, 6) AS x, round((xmax - xmin) * (ymax - ymin), 9) AS area, p_brand
-  FROM bp JOIN part ON p_partkey = fid""")
+@query("K3_write_parquet", ctes(BP) + """SELECT round((xmin + xmax) / 2, 6) AS x, round((ymin + ymax) / 2, 6) AS y,
+  round((xmax - xmin) * (ymax - ymin), 9) AS area, p_brand, p_name, p_size::VARCHAR AS p_size FROM bp JOIN part ON p_partkey = fid""")
 def k3(spark, d):
     from gridfold.functions import kernel
     from gridfold.functions.measure import centroid
@@ -243,7 +244,7 @@ def k3(spark, d):
     sinks.write_parquet(part_boxes(spark, d), path)
     rows = computed(spark.read.parquet(path), geom=kernel.unpack(F.col("geometry")))
     c = computed(rows, c=centroid(F.col("geom")))
-    return c.select(F.round("c.x", 6).alias("x"), F.round(area(F.col("geom")), 9).alias("area"), "p_brand")
+    return c.select(F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"), F.round(area(F.col("geom")), 9).alias("area"), "p_brand", "p_name", "p_size")
 
 
 def _catalog(spark, d):

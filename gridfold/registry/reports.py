@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold import operators as ops
+from gridfold import sinks
 from gridfold.plans.catalog import Catalog, backfill_order
 from gridfold.plans.pipeline import run_pipeline
 from gridfold.registry.base import (
@@ -36,15 +37,17 @@ def w2(spark, d):
     return backfill_order(_sources(spark, d).withColumn("layer_order", F.lit(None).cast("int"))).select("id", "layer_order")
 
 
-@query("W1_chunk_numbering", "SELECT count(*)::BIGINT AS n, true AS bounded FROM part")
+@query("W1_chunk_numbering", ctes(BP) + """, e AS (SELECT min(xmin) AS x, min(ymin) AS y, max(xmax) - min(xmin) AS w, max(ymax) - min(ymin) AS h FROM bp)
+SELECT least(floor(((xmin + xmax) / 2 - x) / w * 64), 63)::INTEGER AS cx, least(floor(((ymin + ymax) / 2 - y) / h * 64), 63)::INTEGER AS cy,
+  count(*)::BIGINT AS n, true AS salted FROM bp, e GROUP BY ALL""")
 def w1(spark, d):
-    """Chunks of the dissolve: every shape in exactly one (cell, salt) group."""
+    """Chunks that the dissolve unites first: a cell of the middle of each shape, split over salts."""
     from gridfold.functions import kernel
+    from gridfold.operators.combine import SALTS, chunked
 
-    shapes = part_boxes(spark, d).select("fid", kernel.pack(F.col("geom")).alias("wkb"))
-    chunk = F.pmod(F.xxhash64("wkb"), F.lit(16))
-    per = shapes.groupBy(chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fid").alias("k"))
-    return per.agg(F.sum("n").alias("n"), F.bool_and(F.col("n") == F.col("k")).alias("bounded"))
+    chunks = chunked(part_boxes(spark, d).select("fid", kernel.pack(F.col("geom")).alias("wkb"), "bbox"))
+    in_range = F.bool_and(F.col("salt").between(0, SALTS - 1))
+    return chunks.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), in_range.alias("salted"))
 
 
 @query("L2_list_datasets", """SELECT * FROM (VALUES ('parts', 1, (SELECT count(*) FROM part)::BIGINT), ('customers', 2, (SELECT count(*) FROM customer)::BIGINT),
@@ -175,6 +178,33 @@ def c1(spark, d):
     return _counts(catalog)
 
 
+@query("C2_lookup", f"""SELECT 'parts' AS id, true AS known, {N['parts']} AS n UNION ALL SELECT 'parts/big', true, {N['big']}
+  UNION ALL SELECT 'part', false, NULL UNION ALL SELECT 'orders', true, {N['orders']}""")
+def c2(spark, d):
+    """Which ids are there, what they hold, and that others are refused."""
+    catalog = _counted(spark, d)
+
+    def looked_up(id: str) -> DataFrame:
+        try:
+            return catalog.get(id).agg(F.lit(id).alias("id"), F.lit(catalog.exists(id)).alias("known"), F.count(F.lit(1)).alias("n"))
+        except KeyError:
+            return spark.range(1).select(F.lit(id).alias("id"), F.lit(catalog.exists(id)).alias("known"), F.lit(None).cast("long").alias("n"))
+
+    return reduce(DataFrame.unionByName, [looked_up(i) for i in ("orders", "part", "parts", "parts/big")])
+
+
+@query("U4_missing_sources", f"SELECT 'near' AS id, {N['parts']} AS others UNION ALL SELECT 'nowhere', {N['parts']}")
+def u4(spark, d):
+    """Sources that outputs name and the catalog lacks, each once, with the rows of the one that is there."""
+    catalog = _counted(spark, d)
+    outputs = [
+        {"source": ["near", "parts"], "format": "tiles"}, {"source": "nowhere", "format": "csv"},
+        {"source": "near", "format": "csv"}, {"source": "far", "format": "tiles", "params": {"extractZoom": 3, "bbox": [0, 0, 1, 1]}},
+    ]
+    gone = F.array(*[F.lit(i) for i in sinks.missing_sources(catalog, outputs)])
+    return catalog.get("parts").agg(F.count(F.lit(1)).alias("others")).select(F.explode(gone).alias("id"), "others")
+
+
 @query("C3_rename", f"""SELECT 'open_orders' AS id, 'Open Orders!' AS name, {N['orders']} AS feature_count, true AS in_lineage
   UNION ALL SELECT 'parts', 'parts', {N['parts']}, true UNION ALL SELECT 'parts/big', 'parts/big', {N['big']}, false""")
 def c3(spark, d):

@@ -115,7 +115,7 @@ def f10(spark, d):
 
 
 @query("F11_slugify", """SELECT doc_id, nullif(left(regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60), '') AS slug
-  FROM (SELECT doc_id, left(text, 200) AS t FROM documents WHERE false UNION ALL SELECT p_partkey, p_name || ' #' || p_brand FROM part)""")
+  FROM (SELECT p_partkey AS doc_id, p_name || ' #' || p_brand AS t FROM part)""")
 def f11(spark, d):
     text = F.concat("p_name", F.lit(" #"), "p_brand")
     return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), names.slug_column(text).alias("slug"))

@@ -64,7 +64,7 @@ def k4_polygons(spark, d):
 EDGE = "(-123.2, 49.2, -122.8, 49.7)"
 
 
-@query("S15_read_tiles", ctes(PC) + f"""SELECT fid, round(degrees(2 * atan(exp(0)) * 0) + round((lng + 180) / 360 * 4096 * 4096) / 4096 / 4096 * 360 - 180, 6) AS lng
+@query("S15_read_tiles", ctes(PC) + f"""SELECT fid, round(round((lng + 180) / 360 * 4096 * 4096) / 4096 / 4096 * 360 - 180, 6) AS lng
   FROM (SELECT *, floor((lng + 180) / 360 * 4096)::BIGINT AS x, floor({Y} * 4096)::BIGINT AS y FROM pc)
   WHERE x BETWEEN floor((-123.2 + 180) / 360 * 4096) AND floor((-122.8 + 180) / 360 * 4096)
     AND y BETWEEN floor({Y.replace("lat", "49.7::DOUBLE")} * 4096) AND floor({Y.replace("lat", "49.2::DOUBLE")} * 4096)""")
@@ -95,7 +95,6 @@ def l4(spark, d):
 @query("W3_tile_sizes", ctes(PO, _tiles_sql("po", "orders", 8, 9)) + """SELECT z::INTEGER AS z, count(DISTINCT (x, y))::BIGINT AS tiles, true AS gapless FROM t_orders GROUP BY z""")
 def w3(spark, d):
     sizes = sinks.tile_sizes(sinks.build_tiles(orders(spark, d), 8, 9, "orders"))
-    total = sizes.groupBy("z").agg(
-        F.count(F.lit(1)).alias("tiles"), F.sum("bytes").alias("sum"), F.max(F.col("offset") + F.col("bytes")).alias("end")
-    )
-    return total.select("z", "tiles", (F.col("sum") == F.col("end")).alias("gapless"))
+    before = F.lag(F.col("offset") + F.col("bytes"), 1, 0).over(Window.partitionBy("z").orderBy("tile_id"))
+    placed = sizes.withColumn("fits", (F.col("bytes") > 0) & (F.col("offset") == before))
+    return placed.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.bool_and("fits").alias("gapless"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import kernel
@@ -11,8 +11,8 @@ from gridfold.functions.props import json_member
 from gridfold.operators.inspect import key_list
 from gridfold.schema import computed
 
-#: Most rows a single GeoJSON document may have; the writer checks and refuses more.
-DOCUMENT_ROWS = 100_000
+#: Features of one GeoJSON document; further ones go to further documents.
+DOCUMENT_ROWS = 10_000
 
 
 def feature_text(geom: Column, properties: Column) -> Column:
@@ -27,26 +27,20 @@ def feature_text(geom: Column, properties: Column) -> Column:
 
 
 def write_geojson(df: DataFrame, path: str, document: bool = False) -> None:
-    """Newline-delimited Features in parallel files, or one FeatureCollection for a small result.
+    """Newline-delimited Features in parallel files, or, ``document``, FeatureCollections of at most ``DOCUMENT_ROWS`` features, one to a file.
 
     Rows without geometry are left out.
     """
-    rows = df.where(F.col("geom").isNotNull())
+    rows = df.where(F.col("geom").isNotNull()).select(feature_text(F.col("geom"), F.col("properties")).alias("value"))
     if not document:
-        rows.select(feature_text(F.col("geom"), F.col("properties")).alias("value")).write.mode("overwrite").text(path)
+        rows.write.mode("overwrite").text(path)
         return
-    if rows.limit(DOCUMENT_ROWS + 1).count() > DOCUMENT_ROWS:
-        raise ValueError(f"more than {DOCUMENT_ROWS} features: write newline-delimited files instead")
-    number = F.row_number().over(Window.orderBy("fid"))
-    lines = rows.select(
-        number.alias("n"),
-        F.concat(F.when(number > 1, ",").otherwise(""), feature_text(F.col("geom"), F.col("properties"))).alias("value"),
-    )
-    spark = df.sparkSession
-    head = spark.createDataFrame([(0, '{"type":"FeatureCollection","features":[')], "n int, value string")
-    tail = spark.createDataFrame([(2**31 - 1, "]}")], "n int, value string")
-    all_lines = head.unionByName(lines).unionByName(tail)
-    all_lines.coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+    # The number of a row is its task above its place there, so a document is a run of rows of one task.
+    number = F.monotonically_increasing_id()
+    per = rows.withColumn("n", number).groupBy(F.shiftright("n", 33).alias("task"), F.floor(F.col("n").bitwiseAND(2**33 - 1) / DOCUMENT_ROWS).alias("run"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda r: r["value"])
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}"))
+    per.agg(text.alias("value")).select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def flat_columns(df: DataFrame, geometry: Column, keys: list[str] | None, typed: bool) -> DataFrame:
