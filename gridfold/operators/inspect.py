@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gridfold.functions.props import json_keys
 from gridfold.operators.attribute import flatten
-from gridfold.session import stored
 
 # The extent reported for a dataset without geometry.
 WORLD = {"xmin": -180.0, "ymin": -85.0, "xmax": 180.0, "ymax": 85.0}
@@ -64,13 +63,12 @@ def feature_count(df: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def preview(df: DataFrame, limit: int = 50, order_by: str | None = None, keys: list[str] | None = None) -> DataFrame:
-    """The first rows as flat text columns of the keys they have; rows without properties are skipped."""
+    """The first rows as flat text columns of all keys; rows without properties are skipped."""
     rows = df.where(F.col("properties").isNotNull())
-    rows = (rows.orderBy(order_by) if order_by else rows).limit(limit)
-    if keys is None:
-        rows = stored(rows, "preview")
-    rows = rows.orderBy(order_by) if order_by else rows
-    return flatten(rows, key_list(rows) if keys is None else keys, geometry=None)
+    names = key_list(rows) if keys is None else keys
+    if order_by:
+        rows = rows.orderBy(order_by)
+    return flatten(rows.limit(limit), names, geometry=None)
 
 
 def with_geometry(df: DataFrame, types: list[str] | None = None) -> DataFrame:

@@ -170,3 +170,48 @@ def test_lines_are_never_taken_for_one_document(spark, tmp_path):
     assert df.count() == 5 and sources.read_features(spark, str(tmp_path / "t.ndjson")).count() == 5
     sinks.write_geojson(df, str(tmp_path / "back"))
     assert sources.read_features(spark, str(tmp_path / "back")).count() == 5
+
+
+def _parquet_with_crs(spark, path, code, x, y):
+    """One plain Parquet file whose footer names the system."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from gridfold.functions import kernel
+
+    wkb = bytes(features(spark, [(1, f"POINT ({x} {y})")]).select(kernel.pack(F.col("geom"))).first()[0])
+    table = pa.table({"geometry": pa.array([wkb], pa.binary()), "name": [str(code)]})
+    geo = {"columns": {"geometry": {"crs": {"id": {"authority": "EPSG", "code": code}}} if code else {}}}
+    pq.write_table(table.replace_schema_metadata({"geo": json.dumps(geo)}), path)
+
+
+def test_each_parquet_file_has_its_own_crs(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    _parquet_with_crs(spark, folder / "a.parquet", 32612, 500000, 5400000)
+    _parquet_with_crs(spark, folder / "b.parquet", 32613, 500000, 5400000)
+    _parquet_with_crs(spark, folder / "c.parquet", None, 8.5, 47)
+    got = sorted(round(r["bbox"]["xmin"], 6) for r in sources.read_geoparquet(spark, str(folder)).collect())
+    assert got == [-111.0, -105.0, 8.5]
+    _parquet_with_crs(spark, folder / "d.parquet", None, 600000, 47)
+    with pytest.raises(ValueError, match="CRS"):
+        sources.read_geoparquet(spark, str(folder))
+
+
+def test_documents_are_written_in_parallel(spark, tmp_path, monkeypatch):
+    """More features than one document takes go to several files, and none is lost."""
+    monkeypatch.setattr("gridfold.sinks.files.DOCUMENT_ROWS", 4)
+    df = features(spark, [(i, f"POINT ({i} 1)") for i in range(30)]).repartition(3)
+    sinks.write_geojson(df, str(tmp_path / "docs"), document=True)
+    texts = [json.loads(f.read_text()) for f in (tmp_path / "docs").glob("part-*") if f.read_text().strip()]
+    assert len(texts) >= 8 and max(len(t["features"]) for t in texts) <= 4
+    assert sorted(f["geometry"]["coordinates"][0] for t in texts for f in t["features"]) == list(range(30))
+    sinks.write_geojson(df.where("fid > 99"), str(tmp_path / "none"), document=True)
+
+
+def test_too_many_keys_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gridfold.operators.inspect.COLUMNS", 3)
+    df = features(spark, [(i, "POINT (0 0)", json.dumps({f"k{i}": i})) for i in range(5)])
+    with pytest.raises(ValueError, match="keys"):
+        sinks.write_csv(df, str(tmp_path / "c"))
+    sinks.write_csv(df, str(tmp_path / "d"), keys=["k0", "k4"])
+    assert spark.read.csv(str(tmp_path / "d"), header=True).count() == 5

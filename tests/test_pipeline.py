@@ -152,3 +152,19 @@ def test_results_belong_to_what_made_them(spark, tmp_path):
     broken = frames["points"].withColumn("properties", F.raise_error(F.lit("broken")).cast("string"))
     _, report = run(3, points=broken)
     assert {r["id"]: r["status"] for r in report.collect()} == {"zones": "complete", "points": "error", "a/b": "error", "a_b": "error"}
+
+
+def test_extraction_outputs(spark, tmp_path):
+    """Tiles of one zoom inside a box come from the table; their source need not be in the catalog."""
+    points = sample(spark)["points"]
+    sinks.write_tiles(sinks.build_tiles(points, 8, 9), str(tmp_path / "tiles"))
+    whole = {"source": "remote", "format": "tiles", "params": {"extractZoom": 9, "bbox": [-124, 49, -122, 50]}}
+    assert sinks.missing_sources(Catalog(spark), [whole, {"source": "remote2", "format": "csv"}]) == ["remote2"]
+    outputs = [whole, {**whole, "filename": "away", "source": "nowhere"}]
+    status = sinks.run_outputs(Catalog(spark), outputs, str(tmp_path / "out"), {"remote": str(tmp_path / "tiles")}).collect()
+    assert [r["status"] for r in status] == ["complete", "error"]
+    assert fids(spark.read.parquet(str(tmp_path / "out" / "remote.tiles"))) == list(range(10))
+    spec = {"datasets": [{"id": "remote", "url": "/t"}], "outputs": [whole]}
+    assert check_spec(spec) == []
+    for bad in ({"extractZoom": 30, "bbox": [0, 0, 1, 1]}, {"extractZoom": 3}, {"extractZoom": 3, "bbox": [1, 0, 0, 1]}):
+        assert check_spec({**spec, "outputs": [{**whole, "params": bad}]})
