@@ -22,8 +22,6 @@ MASKS = ("11101101", "1100110101", "101011011", "1110010011")
 LEAST, SIMILARITY = 13, 0.8
 #: Benchmark texts of one broadcast index; more are searched block by block.
 ITEMS_PER_BLOCK = 50_000
-#: Points that a differing token costs while a match is extended; an equal one gives one.
-COST = 3
 _SPACES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _STEP = 0x9E3779B97F4A7C15
 LEAK = "array<struct<item_id:{kind},start:int,stop:int,item_start:int,matched:int>>"
@@ -97,17 +95,36 @@ class SeedIndex:
 
 
 def segments(words: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
-    """Best run of one diagonal: ``(start, stop, equal tokens)`` in the document, if it is long and alike enough."""
+    """Runs of one diagonal that are long and alike enough: ``(start, stop, equal tokens)`` in the document.
+
+    The longest run comes first, then the longest ones beside it, so all are disjoint.  Differing tokens at the
+    ends of a run are left out as far as it stays long enough.
+    """
     low, high = max(0, shift), min(len(words), shift + len(item))
     same = words[low:high] == item[low - shift : high - shift]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -COST))])
-    least = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - least))
-    start = int(np.argmin(total[: stop + 1]))
-    matched = int(same[start:stop].sum())
-    if stop - start < min(LEAST, len(item)) or matched < SIMILARITY * (stop - start):
-        return []
-    return [(low + start, low + stop, matched)]
+    least, share = min(LEAST, len(item)), round(SIMILARITY * 100)
+    # A run is alike enough if its total is not below zero: the sum at its stop is at least that at its start.
+    total = np.concatenate([[0], np.cumsum(np.where(same, 100 - share, -share))])
+    found, todo = [], [(0, len(same))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < least:
+            continue
+        own = total[a : b + 1]
+        first = np.searchsorted(-np.minimum.accumulate(own), -own)
+        length = np.arange(len(own)) - first
+        if length.max() < least:
+            continue
+        ends = np.flatnonzero(length == length.max())
+        end = ends[np.argmax(own[ends] - own[first[ends]])]
+        start, stop = a + int(first[end]), a + int(end)
+        while stop - start > least and not same[stop - 1]:
+            stop -= 1
+        while stop - start > least and not same[start]:
+            start += 1
+        found.append((low + start, low + stop, int(same[start:stop].sum())))
+        todo += [(a, start), (stop, b)]
+    return sorted(found)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:

@@ -1,4 +1,7 @@
 import random
+from itertools import combinations
+
+import numpy as np
 
 from gridfold.llm import decontaminate, suffixes, windows
 
@@ -104,3 +107,36 @@ def test_benchmark_in_blocks(documents, spark, monkeypatch):
     docs = documents([(i, " ".join(words(5, 90 + i) + words(20, i))) for i in range(9)])
     found = {r.doc_id: [x.item_id for x in r["found"]] for r in decontaminate.leaks(docs, bench, "found").collect()}
     assert found == {i: [i] if i < 7 else [] for i in range(9)}
+
+
+def test_substitutions_at_every_place():
+    """Any 1 to 3 substitutions in 13 to 20 tokens: found exactly if some run of 13 tokens or more is 80 % equal."""
+    for n in range(13, 21):
+        item = decontaminate.tokens(" ".join(words(n, n)))
+        around = decontaminate.tokens(" ".join(words(12, 99)))
+        for k in (1, 2, 3):
+            for places in combinations(range(n), k):
+                text = item.copy()
+                text[list(places)] = np.arange(k, dtype=np.uint64)
+                same = np.ones(n, bool)
+                same[list(places)] = False
+                runs = [b - a for a in range(n) for b in range(a + 13, n + 1) if 5 * same[a:b].sum() >= 4 * (b - a)]
+                found = decontaminate.segments(np.concatenate([around, text, around]), item, 12)
+                assert bool(found) == bool(runs), (n, places)
+                for start, stop, matched in found:
+                    assert stop - start >= 13 and matched == same[start - 12 : stop - 12].sum() and 5 * matched >= 4 * (stop - start)
+
+
+def test_all_runs_of_a_diagonal():
+    item = decontaminate.tokens(" ".join(words(90, 1)))
+    text = item.copy()
+    text[20:60] = 7
+    assert decontaminate.segments(text, item, 0) == [(0, 20, 20), (60, 90, 30)]
+
+
+def test_changed_third_token_is_a_leak(documents, spark):
+    item = words(15, 1)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    docs = documents([(1, " ".join(words(9, 2) + item[:2] + ["changed"] + item[3:] + words(9, 3)))])
+    (row,) = decontaminate.leaks(docs, bench, "found").collect()
+    assert [(x.item_id, x.start, x.stop, x.item_start, x.matched) for x in row["found"]] == [(1, 9, 24, 0, 14)]
