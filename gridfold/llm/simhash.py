@@ -144,14 +144,19 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return marked.join(placed.select("fp", "root").join(named, "root"), "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the smallest ``doc_id`` (null last).
+def one_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``marked`` (``doc_id, row_key, root``): the smallest ``doc_id`` (null last).
 
     Rows of equal id and text are one document and one of them stays.
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
-    kept = near_duplicates(docs, bits).groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.row_key")
+    kept = marked.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.row_key")
     kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row_key").alias("_row"))
     keyed = docs.withColumns({"_id": F.coalesce(docs["doc_id"], F.lit(0)), "_row": F.xxhash64(docs["doc_id"], whole_text(docs))})
     once = F.row_number().over(Window.partitionBy("_id", "_row").orderBy(F.xxhash64(*docs.columns)))
     return keyed.join(kept, ["_id", "_row"], "left_semi").withColumn("_once", once).where("_once = 1").select(docs.columns)
+
+
+def drop_near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the smallest ``doc_id`` (null last)."""
+    return one_of_each(docs, near_duplicates(docs, bits))

@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from gridfold.llm import simhash
+from gridfold.llm import shingles, simhash
 from gridfold.llm.components import components
 
 
@@ -96,3 +96,31 @@ def test_one_of_each_group_stays(documents):
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(2, rows[0][1]), (7, rows[4][1]), (None, rows[5][1]), (8, "")], key=repr)
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def five_words(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_by_five_words(documents, monkeypatch):
+    """Of each group linked by pairs of 0.8 or more the smallest id stays; small blocks give the same."""
+    rows = varied(120, seed=8) + [(d, t) for d, t in EDGES if d is not None and len(t or "") < 1000]
+    sets = [five_words(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    want = sorted({min(d for (d, _), r in zip(rows, root) if r == own) for own in set(root)})
+    for block in (512, 8):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        assert sorted(r.doc_id for r in shingles.drop_near_copies(documents(rows)).collect()) == want
+    assert len(want) < len({simhash.simhash(t) for _, t in rows})
+
+
+def test_linked_rows_need_similarity():
+    a = shingles.shingle_set(" ".join(f"w{i}" for i in range(104)))
+    near, far = (shingles.shingle_set(" ".join([f"w{i}" for i in range(104 - n)] + [f"x{i}" for i in range(n)])) for n in (11, 12))
+    assert shingles.linked_rows([a, near]).tolist() == [0, 0] and shingles.linked_rows([a, far]).tolist() == [0, 1]
