@@ -22,8 +22,6 @@ ASSIGN_LEAST = 12
 
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
-#: Ordinary words are learnt from this many documents at most, random strings from all base findings.
-ORDINARY_DOCUMENTS = 2000
 #: Nats per character pair above which a token counts as random.
 THRESHOLD = 0.5
 SYMBOLS = 128
@@ -68,11 +66,15 @@ def _secret(span: Column) -> Column:
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
-    """``samples``: ``token``, ``random`` (boolean).  Counts of character pairs: ``random, pair, n``."""
+    """``samples``: ``token``, ``random`` (boolean).  Counts of character pairs: ``random, pair, n``.
+
+    Equal tokens are taken apart once and weigh as often as they occur.
+    """
+    samples = samples.groupBy("random", "token").agg(F.count("*").alias("n"))
     points = F.transform(F.split("token", ""), lambda c: F.ascii(c))
     pairs = F.transform(F.sequence(F.lit(1), F.char_length("token") - 1), lambda i: F.get("points", i - 1) * SYMBOLS + F.get("points", i))
-    rows = samples.where(F.char_length("token") > 1).withColumn("points", points).select("random", F.explode(pairs).alias("pair"))
-    return rows.where(F.col("pair").between(0, SYMBOLS * SYMBOLS - 1)).groupBy("random", "pair").agg(F.count("*").alias("n"))
+    rows = samples.where(F.char_length("token") > 1).withColumn("points", points).select("random", "n", F.explode(pairs).alias("pair"))
+    return rows.where(F.col("pair").between(0, SYMBOLS * SYMBOLS - 1)).groupBy("random", "pair").agg(F.sum("n").alias("n"))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -96,17 +98,15 @@ def train(samples: DataFrame) -> list[float]:
     return [r - o for r, o in zip(logs[1], logs[0])]
 
 
-def labelled_samples(docs: DataFrame, documents: int = ORDINARY_DOCUMENTS) -> DataFrame:
-    """Random strings: the values that base rules find in all of ``docs``.  Ordinary: words outside
-    base findings of at most ``documents`` texts, those of the least hashes (equal texts count once)."""
+def labelled_samples(docs: DataFrame) -> DataFrame:
+    """Random strings: the distinct values that base rules find in ``docs``.  Ordinary: the words outside
+    base findings of all ``docs`` (equal texts count once)."""
     texts = docs.select(whole_text(docs).alias("text"))
     hits = texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    random = hits.select(F.explode("spans").alias("s")).select(_secret(F.col("s")).alias("token"), F.lit(True).alias("random"))
-    marked = texts.withColumn("mark", F.xxhash64("text"))
-    least = [r["mark"] for r in marked.select("mark").distinct().orderBy("mark").limit(documents).collect()]
-    chosen = marked.where(F.col("mark") <= F.lit(least[-1] if least else 0)).dropDuplicates(["mark"])
+    random = hits.select(F.explode("spans").alias("s")).select(_secret(F.col("s")).alias("token"), F.lit(True).alias("random")).distinct()
+    once = texts.withColumn("mark", F.xxhash64("text")).dropDuplicates(["mark"])
     words = F.explode(F.regexp_extract_all(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit(WORD), 0))
-    return random.union(chosen.select(words.alias("token"), F.lit(False).alias("random")))
+    return random.union(once.select(words.alias("token"), F.lit(False).alias("random")))
 
 
 def random_spans(text: Column, ratios: list[float], base: Column, threshold: float = THRESHOLD) -> Column:
