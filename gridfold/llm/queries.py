@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import decontaminate, fingerprints, markov, neighbours, packing, revisits, simhash, suffixes, urltrie, windows
+from gridfold.llm import alignment, bilinear, decontaminate, fingerprints, markov, neighbours, packing, revisits, simhash, spelling, suffixes, urltrie, windows
 from gridfold.llm.base import query, table
 
 #: The rules that the url query applies.
 URL_RULES = [("net/", urltrie.BLOCK), ("example.net/en/", urltrie.ALLOW), ("example.com/de/", urltrie.BLOCK), ("org/fr/", urltrie.ALLOW)]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_packing")
@@ -159,3 +159,21 @@ def without_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op11_spelling")
+def spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), dropped=199)
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_lm_scores")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bilinear.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
+@query("op13_alignment")
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.aligned_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
