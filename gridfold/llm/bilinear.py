@@ -89,7 +89,15 @@ class Vocabulary:
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.sum("n"), F.count("*")).first()
         self.tokens, self.known = total[0] or 0, total[1]
-        short = counts.where(F.octet_length("token") <= COMMON_BYTES).orderBy(F.desc("n"), "token").limit(COMMON).collect()
+        short = counts.where(F.octet_length("token") <= COMMON_BYTES)
+        # Few bins of counts say from which count on there are at most COMMON tokens: no task sends more than it has of these.
+        size, room, least = F.floor(F.log2("n") * 16), COMMON, 1 << 62
+        for r in short.groupBy(size.alias("bin")).agg(F.count("*").alias("v"), F.min("n").alias("n")).orderBy(F.desc("bin")).collect():
+            room -= r["v"]
+            if room < 0:
+                break
+            least = r["n"]
+        short = sorted(short.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["token"]))
         self.common = {r["token"].encode(): i for i, r in enumerate(short)}
         self.n = np.array([r["n"] for r in short], np.float64)
         self.singles = min(SINGLE, len(short))

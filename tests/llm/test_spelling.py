@@ -74,7 +74,7 @@ def test_query_equals_brute_force_on_the_table(spark):
 
 
 def test_chains_ties_and_odd_letters(spark, documents):
-    texts = ["colour " * 700 + "coloure " * 130 + "coloures " * 25 + "colouress " * 5, "straße strase " * 30 + "strabe " * 150 + "straze " * 150 + "strabes", "ÀÉÎÕÜ÷ ÀÉÎÕÜ× " * 5, "aabbcc aabbc " * 6 + "aabbccd " * 40]
+    texts = ["colour " * 700 + "coloure " * 130 + "coloures " * 25 + "colouress " * 5, "straße strase " * 30 + "strabe " * 160 + "straze " * 160 + "strabes", "ÀÉÎÕÜ÷ ÀÉÎÕÜ× " * 5, "aabbcc aabbc " * 6 + "aabbccd " * 40]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (None, "Straße STRASE"), (0, ""), (7, "x" * 5000 + " " + "y" * 70000), (7, texts[0])]
     words = plain_vocabulary(rows, None)
     docs = documents(rows, extra="word")
