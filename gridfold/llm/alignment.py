@@ -90,7 +90,8 @@ class Units:
     """What is known about units: ids and links, computed once per worker and distinct unit.
 
     ``numbers`` maps a unit to its row in the columns: ``n_a, n_b, n_groups`` (-1 in ``n_a``: the joined
-    bytes differ from the unit), links from ``first`` on as codes ``a << 32 | b``, and the groups as text.
+    bytes differ from the unit), links from ``first`` on as numbers in ``pairs`` (of codes ``a << 32 | b``), and the
+    groups as text.
     """
 
     #: Of a unit whose bytes differ: no links, and -1 for its tokens.
@@ -105,7 +106,8 @@ class Units:
         self.numbers: dict[str, int] = {}
         self.counts = np.zeros((0, 3), np.int64)
         self.first = np.zeros(1, np.int64)
-        self.links = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.int32)
+        self.pairs: dict[int, int] = {}
         self.groups: list[bytes] = []
         self.size = 0
 
@@ -122,7 +124,8 @@ class Units:
             self.numbers.update(zip(names, range(len(self.numbers), len(self.numbers) + len(names))))
             counts.append(n)
             sizes.append(size)
-            links.append(codes)
+            once, at = np.unique(codes, return_inverse=True)
+            links.append(np.array([self.pairs.setdefault(c, len(self.pairs)) for c in once.tolist()], np.int32)[at])
             self.groups += texts
             self.size += sum(map(len, names)) + sum(map(len, texts))
         self.counts, self.links = np.concatenate(counts), np.concatenate(links)
@@ -243,17 +246,17 @@ def _block(units: Units, texts: list[str]) -> tuple[list[tuple], list[tuple]]:
         place.append(np.full(len(once), i))
     if not unit:
         return docs, []
-    unit, times, place = map(np.concatenate, (unit, times, place))
+    unit, times, place = (np.concatenate(x).astype(np.int32) for x in (unit, times, place))
     size = units.first[unit + 1] - units.first[unit]
-    row = np.repeat(np.arange(len(unit)), size)
-    link = np.arange(len(row)) + np.repeat(units.first[unit] - (np.cumsum(size) - size), size)
-    codes, pair = np.unique(units.links[link], return_inverse=True)
-    entry = pair * BLOCK_DOCUMENTS + place[row]
-    order = np.argsort(entry, kind="stable")
-    entry, many = entry[order], times[row][order]
+    link = np.arange(size.sum()) + np.repeat(units.first[unit] - (np.cumsum(size) - size), size)
+    entry = units.links[link].astype(np.int64) * BLOCK_DOCUMENTS + np.repeat(place, size)
+    order = np.argsort(entry)
+    entry, many = entry[order], np.repeat(times, size)[order]
+    del link, order
     first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-    entry, many = entry[first], np.add.reduceat(many, first)  # pairs, their documents and links, in this order
+    entry, many = entry[first], np.add.reduceat(many, first, dtype=np.int64)  # pairs, their documents and links, in this order
     pair, place = entry // BLOCK_DOCUMENTS, entry % BLOCK_DOCUMENTS
+    codes = np.fromiter(units.pairs, np.int64, len(units.pairs))
     plural = np.zeros(len(codes), bool)
     plural[pair[many > 1]] = True
     planes = []
@@ -357,7 +360,8 @@ def aligned_documents(docs: DataFrame, a: str, b: str) -> DataFrame:
     """
     table = stored(postings(docs, a, b), "postings")
     pairs = stored(pair_counts(table).select("code", "documents", "best"), "pairs")
-    counted = table.where(f"plane > {HOLDERS}").select("block", "plane", "bitmap", "code").join(pairs, "code")
+    # Pairs grow with the corpus: never broadcast, and a pair of many blocks can be split.
+    counted = table.where(f"plane > {HOLDERS}").select("block", "plane", "bitmap", "code").join(pairs.hint("merge"), "code")
     counted = counted.select("block", "plane", "documents", "best", "bitmap").repartition("block").sortWithinPartitions("block")
     scores = counted.mapInArrow(_scored, "block long, slot int, n_best long, count_sum long")
     rows = table.where("slot is not null").join(scores, ["block", "slot"], "left")
