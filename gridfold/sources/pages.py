@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfold.sources.geojson import feature_texts, features_of
 from gridfold.sources.guard import finish
 from gridfold.sources.jsonarray import array_features
+from gridfold.sources.roles import profile_members
 
 
 def page_items(docs: DataFrame) -> DataFrame:
@@ -34,7 +37,8 @@ def read_pages(
 
     A page that is neither GeoJSON nor an array fails the job that reads it; blank pages have no items.
 
-    Every page is transformed alike.  ``columns`` are the options of ``read_json_array``.
+    Every page is transformed alike: the members of all plain pages decide which one is the geometry.
+    ``columns`` are the options of ``read_json_array``.
     """
     docs = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     if max_pages is not None:
@@ -42,15 +46,17 @@ def read_pages(
         names = docs.select("file").distinct().orderBy("file").limit(max_pages)
         docs = docs.join(F.broadcast(names), "file", "left_semi")
     items = page_items(docs)
-    # The first page decides the roles, as it would when pages are read one after the other.
-    start = docs.agg(F.min("file").alias("file")).first()["file"]
-    first = page_items(docs.where(F.col("file") == start)).limit(1).first()
-    if first is None:
+    kinds = {r["geojson"] for r in items.select("geojson").distinct().collect()}
+    if not kinds:
         raise ValueError("no pages with items")
-    if first["geojson"]:
-        out = features_of(items, F.col("item"))
-    else:
-        out = array_features(items, F.col("item"), first["item"], **columns)
+    item, parts = F.col("item"), []
+    if True in kinds:
+        parts.append(features_of(items.where("geojson"), item))
+    if False in kinds:
+        plain = items.where("not geojson")
+        named = columns.get("table") or columns.get("geo_column")
+        parts.append(array_features(plain, item, {} if named else profile_members(plain, item), **columns))
+    out = reduce(DataFrame.unionByName, parts)
     return finish(out, crs, None, default_crs, check=True, store=store)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,39 +56,65 @@ def position(lat: Column, lng: Column) -> Column:
     return F.when(lat.isNotNull() & lng.isNotNull(), point(lng, lat))
 
 
-def _first_row(df: DataFrame, tests: dict[str, Column]) -> dict[str, bool]:
-    """Evaluate tests on the first row only."""
-    row = df.limit(1).select(*[F.coalesce(t, F.lit(False)).alias(n) for n, t in tests.items()]).first()
-    return row.asDict() if row else {}
+class Profile(NamedTuple):
+    """What all values of a column, or of a member of JSON items, look like."""
+
+    filled: int
+    shapes: int
+    pairs: int
+
 
+def _counts(text: Column, shape: Column) -> list[Column]:
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    one_comma = text.rlike("^[^,]+,[^,]+$") & pair(text).isNotNull()
+    return [F.count_if(~blank), F.count_if(F.coalesce(shape, F.lit(False))), F.count_if(F.coalesce(one_comma, F.lit(False)))]
 
-def _detect(df: DataFrame, names: list[str], test) -> str | None:
-    """First column, known names before the rest, whose first value passes."""
-    order = _named(df.columns, names)
-    order += [c for c in df.columns if c not in order]
-    passed = _first_row(df, {c: test(F.col(f"`{c}`")) for c in order})
-    return next((c for c in order if passed.get(c)), None)
 
+def profile_columns(df: DataFrame) -> dict[str, Profile]:
+    """Profiles of all (text) columns in one aggregate over all rows."""
+    names = df.columns
+    tests = [n for c in names for n in _counts(F.col(f"`{c}`"), is_wkt(F.col(f"`{c}`")) | is_geojson(F.col(f"`{c}`")))]
+    row = df.agg(*[t.alias(f"n{i}") for i, t in enumerate(tests)]).first()
+    return {c: Profile(*row[3 * i : 3 * i + 3]) for i, c in enumerate(names)}
 
-def geometry_column(df: DataFrame) -> str | None:
-    return _detect(df, GEOMETRY_NAMES, lambda c: is_wkt(c) | is_geojson(c))
+
+def profile_members(items: DataFrame, item: Column) -> dict[str, Profile]:
+    """Profiles of the members of JSON items over all items, in order of their first place and name.
+
+    Only members that may hold geometry, by name or by some value, reach the driver.
+    """
+    members = items.select(F.posexplode(F.map_entries(F.from_json(item, "map<string,string>"))).alias("at", "m")).select("at", "m.key", "m.value")
+    filled, shapes, pairs = _counts(F.col("value"), is_geojson(F.col("value")))
+    found = members.groupBy("key").agg(F.min("at").alias("at"), filled.alias("filled"), shapes.alias("shapes"), pairs.alias("pairs"))
+    named = F.lower("key").isin([*LAT_NAMES, *LNG_NAMES, *PAIR_NAMES, *GEOMETRY_NAMES])
+    kept = found.where(named | (F.col("shapes") > 0)).orderBy("at", "key").collect()
+    return {r["key"]: Profile(r["filled"], r["shapes"], r["pairs"]) for r in kept}
 
 
-def pair_column(df: DataFrame) -> str | None:
-    return _detect(df, PAIR_NAMES, lambda c: pair(c).isNotNull())
+def chosen(profiles: dict[str, Profile], names: list[str], role: str) -> str | None:
+    """The column of a role (``shapes`` or ``pairs``): of known names the first with any such value, else the
+    first column at least half of whose values that aren't blank are such."""
+    of = {c: getattr(p, role) for c, p in profiles.items()}
+    known = next((c for c in _named(list(profiles), names) if of[c]), None)
+    return known or next((c for c, p in profiles.items() if of[c] and 2 * of[c] >= p.filled), None)
 
 
-def geometry_of(df: DataFrame, geo_column: str | None, lat: str | None, lng: str | None) -> tuple[Column | None, list[str]]:
+def geometry_of(
+    df: DataFrame, geo_column: str | None, lat: str | None, lng: str | None, geometry_column: str | None = None
+) -> tuple[Column | None, list[str]]:
     """Geometry expression of a text table and the columns it uses up.
 
-    Order: named pair column, geometry text, latitude and longitude, detected
-    pair column; none of them gives ``None``.
+    Order: named geometry text or pair column, found geometry text, latitude and
+    longitude, found pair column; none of them gives ``None``.  What is found is
+    decided by all rows, wherever the first values stand.
     """
-    if geo_column is not None:
-        if geo_column not in df.columns:
-            raise ValueError(f"column '{geo_column}' not found in {df.columns}")
-        return pair(F.col(f"`{geo_column}`")), [geo_column]
-    text = geometry_column(df)
+    for name, read in ((geometry_column, parse_geometry), (geo_column, pair)):
+        if name is not None:
+            if name not in df.columns:
+                raise ValueError(f"column '{name}' not found in {df.columns}")
+            return read(F.col(f"`{name}`")), [name]
+    profiles = profile_columns(df)
+    text = chosen(profiles, GEOMETRY_NAMES, "shapes")
     if text is not None:
         return parse_geometry(F.col(f"`{text}`")), [text]
     try:
@@ -97,5 +125,5 @@ def geometry_of(df: DataFrame, geo_column: str | None, lat: str | None, lng: str
         found = position(number_prefix(F.col(f"`{a}`")), number_prefix(F.col(f"`{b}`")))
         if not df.where(found.isNotNull()).limit(1).isEmpty():
             return found, [a, b]
-    one = pair_column(df)
+    one = chosen(profiles, PAIR_NAMES, "pairs")
     return (None, []) if one is None else (pair(F.col(f"`{one}`")), [one])

@@ -12,6 +12,7 @@ from gridfold.schema import FEATURE, with_bbox
 from gridfold.sources.geojson import features_of
 from gridfold.sources.jsonarray import array_features
 from gridfold.sources.pages import page_items
+from gridfold.sources.roles import profile_members
 
 
 def stream_append(
@@ -50,7 +51,8 @@ def stream_append(
     if first_item is None:
         rows = features_of(items, item, fid)
     else:
-        rows = array_features(items, item, first_item, fid=fid, **columns)
+        sample = profile_members(spark.createDataFrame([(first_item,)], "item string"), item)
+        rows = array_features(items, item, sample, fid=fid, **columns)
     source = resolve_crs(crs)
     if source is not None:
         rows = with_bbox(rows.withColumn("geom", reproject(F.col("geom"), source, "EPSG:4326")))
