@@ -9,7 +9,9 @@ from gridfold.functions.geomtext import COLLECTION, TYPES, parse_geojson
 from gridfold.functions.project import to_degrees
 from gridfold.functions.units import parse_crs_column
 from gridfold.schema import as_features
+from gridfold.session import stored
 from gridfold.sources.guard import check_degrees, finish
+from gridfold.sources.ranges import split_documents
 
 
 def _object(text: Column, path: str) -> Column:
@@ -65,13 +67,17 @@ def read_geojson(
     default_crs: str | None = None,
     fid_property: str | None = None,
     store: str | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
     """Features of FeatureCollection, Feature, geometry and Feature-array documents.
 
-    A document is one file, so many files are read in parallel; large data
-    belongs in newline-delimited files (``lines``), which split.  Without the
-    option ``crs`` each document is taken in the system of its own ``crs`` member.
+    Small files are read whole, many at a time.  With ``split`` (by default if a file is larger than a split)
+    a document is cut into its features by many tasks, whatever its size, and each file is one document:
+    content after it is refused.  Without the option ``crs`` each document is taken in the system of its own
+    ``crs`` member.
     """
+    if not lines and (is_large(spark, path) if split is None else split):
+        return read_split(spark, path, crs, default_crs, fid_property, store)
     docs = read_documents(spark, path, lines)
     head = docs.limit(1).select(feature_texts(F.col("value")).isNotNull().alias("ok")).first()
     message = "not GeoJSON: expected FeatureCollection, Feature, geometry or Feature array"
@@ -84,7 +90,39 @@ def read_geojson(
     rows = parts.select(F.explode("features").alias("feature"), "crs")
     feature = F.col("feature")
     fid = _object(feature, f"$.properties.{fid_property}").try_cast("bigint") if fid_property else None
+    return placed(rows, fid, crs, store)
+
+
+def placed(rows: DataFrame, fid: Column | None, crs: str | None, store: str | None) -> DataFrame:
+    """Feature rows of ``feature`` texts in degrees: all from ``crs``, or each from its own column ``crs``."""
+    feature = F.col("feature")
     if crs is not None:
         return finish(features_of(rows, feature, fid), crs, store=store)
     check_degrees(features_of(rows.where(F.col("crs").isNull()), feature))
     return finish(features_of(rows, feature, fid, F.col("crs")), check=False, store=store)
+
+
+def is_large(spark: SparkSession, path: str) -> bool:
+    """Whether a file is larger than one split; only lengths are read."""
+    most = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    return (most or 0) > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def read_split(spark: SparkSession, path: str, crs: str | None, default_crs: str | None, fid_property: str | None, store: str | None) -> DataFrame:
+    """``read_geojson`` of documents that many tasks cut into features."""
+    records, frames = split_documents(spark, path)
+    frames = stored(frames, "documents")
+    known = ["FeatureCollection", "Feature", "array", *TYPES, COLLECTION]
+    wrong = frames.where(~F.coalesce(F.col("kind").isin(known), F.lit(False))).first()
+    if wrong is not None or frames.isEmpty():
+        raise ValueError("not GeoJSON: expected FeatureCollection, Feature, geometry or Feature array")
+    own = F.coalesce(parse_crs_column(F.col("crs_name")), F.lit(default_crs)) if crs is None else F.lit(None).cast("string")
+    # One row a file, and only of those that name a system.
+    systems = frames.select("file", own.alias("crs")).where("crs is not null")
+    kind = F.get_json_object("record", "$.type")
+    refused = F.raise_error(F.lit("not GeoJSON: an item of the array is no Feature")).cast("string")
+    many = records.select("file", F.when(F.coalesce(kind == "Feature", F.lit(False)), F.col("record")).otherwise(refused).alias("feature"))
+    single = frames.where(F.col("kind").isin(["Feature", *TYPES, COLLECTION])).select("file", F.explode(feature_texts(F.col("rest"))).alias("feature"))
+    rows = many.unionByName(single).join(systems, "file", "left").select("feature", "crs")
+    fid = _object(F.col("feature"), f"$.properties.{fid_property}").try_cast("bigint") if fid_property else None
+    return placed(rows, fid, crs, store)
