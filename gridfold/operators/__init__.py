@@ -5,7 +5,7 @@ from gridfold.operators.combine import append, dedup_features, dissolve, merge,
 from gridfold.operators.distance import distance
 from gridfold.operators.inspect import bounds, feature_count, geometry_types, preview, property_keys, with_geometry
 from gridfold.operators.keyjoin import join
-from gridfold.operators.shape import buffer, centroid, clip_to_bbox, explode_vertices, make_valid, numeric_properties, simplify
+from gridfold.operators.shape import buffer, centroid, clip_to_bbox, explode_vertices, make_valid, numeric_properties, simplify, vertex_arrays
 from gridfold.operators.spatial import contains, difference, intersection
 
 __all__ = [
@@ -21,6 +21,7 @@ __all__ = [
     "dissolve",
     "distance",
     "explode_vertices",
+    "vertex_arrays",
     "feature_count",
     "flatten",
     "geometry_types",

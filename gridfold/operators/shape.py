@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import kernel, units
@@ -14,6 +14,7 @@ from gridfold.functions.measure import point
 from gridfold.functions.project import zone_value
 from gridfold.operators.combine import one_feature, union_tree
 from gridfold.operators.distance import plane_distance
+from gridfold.plans.numbering import numbered, offsets
 from gridfold.schema import computed, with_bbox
 
 
@@ -83,8 +84,8 @@ def clip_to_bbox(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: flo
     return with_bbox(df.withColumn("geom", clip_geometry(F.col("geom"), *box)))
 
 
-def explode_vertices(df: DataFrame) -> DataFrame:
-    """One row per vertex: class, feature, part, ring and position."""
+def _class() -> Column:
+    """The class of the part at ``part`` of ``geom``."""
     t = F.col("geom.type")
     kind = (
         F.when(t.endswith("Point"), "point").when(t.endswith("LineString"), "line").when(t.endswith("Polygon"), "polygon")
@@ -92,14 +93,43 @@ def explode_vertices(df: DataFrame) -> DataFrame:
     listed = F.when(F.substring(F.col("geom.kinds"), F.col("part") + 1, F.lit(1)) == "P", "point").when(
         F.substring(F.col("geom.kinds"), F.col("part") + 1, F.lit(1)) == "L", "line"
     )
+    return F.coalesce(kind, listed, F.lit("polygon"))
+
+
+def explode_vertices(df: DataFrame) -> DataFrame:
+    """One row per vertex: class, feature, part, ring and position."""
     parts = df.where(F.col("geom").isNotNull()).select("fid", "geom", F.posexplode("geom.parts").alias("part", "rings"))
-    classed = parts.select("fid", F.coalesce(kind, listed, F.lit("polygon")).alias("class"), "part", "rings")
+    classed = parts.select("fid", _class().alias("class"), "part", "rings")
     rings = classed.select("fid", "class", "part", F.posexplode("rings").alias("ring", "vertices"))
     return rings.select("fid", "class", "part", "ring", F.posexplode("vertices").alias("idx", "v")).select(
         "fid", "class", "part", "ring", "idx", F.col("v.x").alias("x"), F.col("v.y").alias("y")
     )
 
 
+CLASSES = ("point", "line", "polygon")
+
+
+def vertex_arrays(df: DataFrame) -> DataFrame:
+    """``explode_vertices`` with places in flat arrays, one array a class: ``feature`` (number of the feature among all
+    with geometry), ``single`` (number of the part within its class), ``part_start`` and ``ring_start`` (the
+    first vertex of the part and the ring within its class) and ``vertex`` (the vertex's own place).
+
+    Numbers follow the order in which the input is written once.  They come from sums per partition and
+    offsets of these, so no task sees all rows and nothing is sorted.
+    """
+    one = numbered(df.where(F.col("geom").isNotNull()), "feature")
+    parts = one.select("fid", "feature", "geom", F.posexplode("geom.parts").alias("part", "rings"))
+    classed = parts.select("fid", "feature", _class().alias("class"), "part", "rings")
+    size = F.aggregate("rings", F.lit(0).cast("bigint"), lambda n, r: n + F.size(r))
+    weights = {f"{what}_{c}": F.when(F.col("class") == c, n).otherwise(F.lit(0)).cast("bigint") for c in CLASSES for what, n in (("vertices", size), ("singles", F.lit(1)))}
+    placed = offsets(classed, **weights)
+    of = lambda what: F.coalesce(*[F.when(F.col("class") == c, F.col(f"{what}_{c}")) for c in CLASSES])
+    before = F.transform("rings", lambda r, i: F.aggregate(F.slice("rings", F.lit(1), i), F.lit(0).cast("bigint"), lambda n, s: n + F.size(s)))
+    rows = placed.select("fid", "feature", "class", "part", of("singles").alias("single"), of("vertices").alias("part_start"), F.posexplode(F.arrays_zip(F.col("rings").alias("r"), before.alias("b"))).alias("ring", "z"))
+    rows = rows.select("fid", "feature", "class", "part", "single", "part_start", "ring", (F.col("part_start") + F.col("z.b")).alias("ring_start"), F.posexplode("z.r").alias("idx", "v"))
+    return rows.select("fid", "feature", "class", "part", "single", "part_start", "ring", "ring_start", "idx", (F.col("ring_start") + F.col("idx")).alias("vertex"), F.col("v.x").alias("x"), F.col("v.y").alias("y"))
+
+
 def numeric_properties(df: DataFrame) -> DataFrame:
     """``key, numeric``: whether every present value of a key is a number (all rows are looked at)."""
     pairs = df.where(F.col("properties").isNotNull()).select(

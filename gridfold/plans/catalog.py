@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import datetime, timezone
 from itertools import chain, count
 
@@ -24,8 +25,16 @@ def encoded(id: str) -> str:
     return "".join(c if c.isascii() and c.isalnum() else f"_{ord(c):x}_" for c in id)
 
 
+EVENT = "kind string, id string, at bigint, state string"
+
+
 class Catalog:
-    """Datasets by id.  Entries are option-sized; the data stays in the frames."""
+    """Datasets by id.  Entries are option-sized; the data stays in the frames.
+
+    With a folder, every change is appended there as rows of the entries it touched, and a catalog opened
+    later on the same folder starts from the last row of each entry: metadata, order, lineage, and the
+    frames that were stored.  Datasets that were never stored are listed, but ``get`` doesn't know them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
@@ -33,6 +42,49 @@ class Catalog:
         self._frames: dict[str, DataFrame] = {}
         self._meta: dict[str, dict] = {}
         self._lineage: dict[str, dict] = {}
+        self._saved: dict[tuple[str, str], str] = {}
+        if self.folder:
+            self._open()
+
+    # -- durable state --
+
+    def _events(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(EVENT).parquet(f"{self.folder}/_events")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _open(self) -> None:
+        events = self._events()
+        if events is None:
+            return
+        last = events.groupBy("kind", "id").agg(F.max_by("state", "at").alias("state")).where("state is not null")
+        for r in last.collect():  # entries, not features
+            self._saved[r["kind"], r["id"]] = r["state"]
+        states = {k: json.loads(v) for k, v in self._saved.items()}
+        datasets = sorted((v for (kind, _), v in states.items() if kind == "dataset"), key=lambda v: v["place"])
+        for meta in datasets:
+            meta.pop("place")
+            meta["loaded_at"] = datetime.fromisoformat(meta["loaded_at"])
+            self._meta[meta["id"]] = meta
+            if meta.get("path"):
+                self._frames[meta["id"]] = self.spark.read.parquet(meta["path"])
+                self._frames[meta["id"]].createOrReplaceTempView(self._view(meta["id"]))
+        self._lineage = {id: v for (kind, id), v in states.items() if kind == "lineage"}
+
+    def _save(self) -> None:
+        """Append a row for each entry that changed since the last time; a removed one has no state."""
+        if not self.folder:
+            return
+        now = {("dataset", id): json.dumps({**m, "place": i}, default=lambda t: t.isoformat(), sort_keys=True) for i, (id, m) in enumerate(self._meta.items())}
+        now |= {("lineage", id): json.dumps(v, sort_keys=True) for id, v in self._lineage.items()}
+        at = time.time_ns()
+        changed = [(*k, at, v) for k, v in now.items() if self._saved.get(k) != v] + [(*k, at, None) for k in self._saved if k not in now]
+        if changed:
+            self.spark.createDataFrame(changed, EVENT).coalesce(1).write.mode("append").parquet(f"{self.folder}/_events")
+        self._saved = now
 
     # -- datasets --
 
@@ -52,9 +104,11 @@ class Catalog:
             "feature_count": meta.get("feature_count"),
             "layer_order": old["layer_order"] if old else top + 1,
             "loaded_at": datetime.now(timezone.utc).replace(tzinfo=None),
+            "path": meta.get("path"),
         }
         self._frames[id] = df
         df.createOrReplaceTempView(self._view(id))
+        self._save()
         return df
 
     @staticmethod
@@ -82,13 +136,15 @@ class Catalog:
 
     def refresh_count(self, id: str) -> int:
         self._meta[id]["feature_count"] = self.get(id).count()
+        self._save()
         return self._meta[id]["feature_count"]
 
     def append(self, id: str, page: DataFrame) -> DataFrame:
         """Add rows to a dataset; the count is unknown until refreshed."""
         merged = self.get(id).unionByName(page)
         self._frames[id] = merged
-        self._meta[id]["feature_count"] = None
+        self._meta[id].update(feature_count=None, path=None)
+        self._save()
         merged.createOrReplaceTempView(self._view(id))
         return merged
 
@@ -96,40 +152,45 @@ class Catalog:
         """Give a dataset a new name and the id made from it; lineage follows."""
         meta = self._meta[old]
         base = slugify(new_name)
-        taken = set(self._frames) - {old}
+        taken = set(self._meta) - {old}
         new = next(c for c in chain([base], (f"{base}_{n}" for n in count(2))) if c not in taken)
         order = list(self._meta)
         self._meta = {new if k == old else k: self._meta[k] for k in order}
         self._frames = {new if k == old else k: self._frames[k] for k in list(self._frames)}
         meta.update(id=new, name=new_name)
         self.spark.catalog.dropTempView(self._view(old))
-        self._frames[new].createOrReplaceTempView(self._view(new))
+        if new in self._frames:
+            self._frames[new].createOrReplaceTempView(self._view(new))
         for row in self._lineage.values():
             row["inputs"] = [new if i == old else i for i in row["inputs"]]
         if old in self._lineage:
             self._lineage = {new if k == old else k: v for k, v in self._lineage.items()}
             self._lineage[new]["output_id"] = new
+        self._save()
         return new
 
     def delete(self, id: str) -> None:
         """Remove a dataset, its ``id/child`` datasets, and their lineage."""
-        for key in [k for k in self._frames if k == id or k.startswith(f"{id}/")]:
+        for key in [k for k in self._meta if k == id or k.startswith(f"{id}/")]:
             self.spark.catalog.dropTempView(self._view(key))
-            self._frames.pop(key), self._meta.pop(key), self._lineage.pop(key, None)
+            self._frames.pop(key, None), self._meta.pop(key), self._lineage.pop(key, None)
+        self._save()
 
     def delete_all(self) -> None:
-        for key in list(self._frames):
-            if key in self._frames:
+        for key in list(self._meta):
+            if key in self._meta:
                 self.delete(key)
 
     def reorder(self, ids: list[str]) -> None:
         """Set places to the positions in the list."""
         for place, id in enumerate(ids, 1):
             self._meta[id]["layer_order"] = place
+        self._save()
 
     def swap(self, a: str, b: str) -> None:
         x, y = self._meta[a], self._meta[b]
         x["layer_order"], y["layer_order"] = y["layer_order"], x["layer_order"]
+        self._save()
 
     # -- lineage --
 
@@ -141,6 +202,7 @@ class Catalog:
             "params": json.dumps(params or {}),
             "exec_order": order,
         }
+        self._save()
 
     def lineage(self) -> DataFrame:
         rows = [(v["output_id"], v["type"], v["inputs"], v["params"], v["exec_order"]) for v in self._lineage.values()]
@@ -192,7 +254,15 @@ class Catalog:
         df.write.mode("overwrite").parquet(path)
         note.write.mode("overwrite").parquet(f"{path}.note")
         meta = self._meta[id]
-        return self.register(id, self.spark.read.schema(df.schema).parquet(path), **{k: meta[k] for k in meta if k != "id"})
+        return self.register(id, self.spark.read.schema(df.schema).parquet(path), **{**{k: meta[k] for k in meta if k != "id"}, "path": path})
+
+
+def digest(df: DataFrame) -> str:
+    """Of a frame's columns and rows, whatever their order: count, and two sums of row hashes."""
+    first = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    second = F.xxhash64(F.lit("again"), *[F.col(f"`{c}`") for c in df.columns])
+    row = df.agg(F.count(F.lit(1)), F.bit_xor(first), F.sum(F.shiftright(first, 20)), F.sum(F.shiftright(second, 20)), F.bit_xor(second)).first()
+    return f"{df.schema.simpleString()}:{':'.join(map(str, row))}"
 
 
 def backfill_order(catalog: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from gridfold import operators as ops
-from gridfold.plans.catalog import Catalog
+from gridfold.plans.catalog import Catalog, digest
 from gridfold.plans.spec import check_spec, execution_order, inputs_of
 from gridfold.session import stored
 from gridfold.sources import read_features, read_pages
@@ -56,8 +56,8 @@ def run_pipeline(
     that fails is reported and the rest goes on; an illegal spec, an unknown input
     or a cycle rejects everything.  Every dataset and result is written before it
     is reported complete, so each step starts from files.  With a catalog folder
-    results are reused by later runs of the same operations over the same inputs
-    (frames count as the same by their name).
+    results are reused by later runs of the same operations over inputs of the same content:
+    each dataset is digested once it is written, and the digests are chained through the operations.
     """
     frames = frames or {}
     declared = [*(spec.get("datasets") or []), *({"id": i, "url": f"frame:{i}"} for i in frames)]
@@ -67,7 +67,8 @@ def run_pipeline(
     catalog = catalog or Catalog(spark)
     order = execution_order({d["id"] for d in declared}, spec.get("operations") or [])
     report = []
-    origin = {d["id"]: json.dumps(d, sort_keys=True, default=str) for d in declared}
+    origin: dict[str, str] = {}
+    made: set[str] = set()  # in this run: a catalog's folder may hold results of others under the same names
     crs = (spec.get("map") or {}).get("crs")
     for entry in declared:
         id = entry["id"]
@@ -80,24 +81,31 @@ def run_pipeline(
                 df = df if store else stored(df, "dataset")
             catalog.register(
                 id, df, name=entry.get("name"), source_url=entry["url"], format=entry.get("format"),
-                hidden=entry.get("hidden", False), source_crs=entry.get("crs"),
+                hidden=entry.get("hidden", False), source_crs=entry.get("crs"), path=catalog.path(id) if id not in frames else None,
             )
+            if catalog.folder:
+                origin[id] = digest(df)
+            made.add(id)
             report.append(("dataset", id, "complete", None))
         except Exception as error:  # noqa: BLE001 - reported, the other steps go on
             report.append(("dataset", id, "error", str(error)[:500]))
     for place, op in enumerate(order):
         id = op["output"]
         try:
-            made_by = json.dumps([op["type"], op.get("params") or {}, [origin[i] for i in inputs_of(op)]], sort_keys=True, default=str)
+            made_by = json.dumps([op["type"], op.get("params") or {}, [origin.get(i) for i in inputs_of(op)]], sort_keys=True, default=str)
             made_by = origin[id] = hashlib.sha256(made_by.encode()).hexdigest()
+            missing = [i for i in inputs_of(op) if i not in made]
+            if missing:
+                raise KeyError(f"dataset '{missing[0]}' not found")
             before = catalog.restore(id, made_by)
             df = before if before is not None else run_operation(op, [catalog.get(i) for i in inputs_of(op)])
             if before is None and catalog.folder is None:
                 df = stored(df, "result")
-            catalog.register(id, df, name=op.get("name"), source_url=f"operation:{op['type']}")
+            catalog.register(id, df, name=op.get("name"), source_url=f"operation:{op['type']}", path=catalog.path(id) if before is not None else None)
             if before is None:
                 catalog.persist(id, made_by)
             catalog.record(id, op["type"], inputs_of(op), op.get("params") or {}, place)
+            made.add(id)
             report.append(("operation", id, "complete", None))
         except Exception as error:  # noqa: BLE001
             report.append(("operation", id, "error", str(error)[:500]))

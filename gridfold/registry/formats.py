@@ -13,7 +13,7 @@ from gridfold.plans.catalog import Catalog
 from gridfold.registry.base import BP, PC, PO, ctes, customers, event_rows, orders, part_boxes, query, table, xy
 from gridfold.schema import computed
 from gridfold.session import new_path
-from gridfold.streaming import read_appended, stream_append
+from gridfold.streaming import appended_count, read_appended, stream_append
 
 NAMED = ctes(PC) + "SELECT fid, round(lng, 6) AS lng, round(lat, 6) AS lat, c_name FROM pc"
 PLACED = ctes(PO) + "SELECT fid, round(lng, 6) AS lng, round(lat, 6) AS lat FROM po"
@@ -48,6 +48,12 @@ def s1(spark, d):
     return _named(sources.read_geojson(spark, path, lines=True, fid_property="id"))
 
 
+@query("S1_split_documents", NAMED)
+def s1_split(spark, d):
+    """Documents that tasks cut into features by their byte ranges."""
+    return _named(sources.read_geojson(spark, _pages(spark, d), fid_property="id", split=True))
+
+
 @query("S2_geojson_crs", "SELECT c_custkey AS fid, 'EPSG:' || (32600 + c_nationkey)::VARCHAR AS crs FROM customer")
 def s2(spark, d):
     code = (F.col("c_nationkey") + 32600).cast("string")
@@ -75,6 +81,15 @@ def s3(spark, d):
     return out.select("fid", json_value(F.col("properties"), "label").alias("label"))
 
 
+@query("S3_csv_line_ends", "SELECT c_custkey AS fid, c_name || chr(10) || '\"' || chr(13) || chr(10) || c_mktsegment AS label FROM customer")
+def s3_lines(spark, d):
+    """Line ends and quotes inside quoted fields; files are cut by their byte ranges."""
+    label = F.concat("c_name", F.lit('\n"\r\n'), "c_mktsegment")
+    rows = table(spark, d, "customer").select("c_custkey", label.alias("label"))
+    out = sources.read_csv_features(spark, _csv(spark, rows), table=True, fid_column="c_custkey")
+    return out.select("fid", json_value(F.col("properties"), "label").alias("label"))
+
+
 def _numbers(spark, d):
     b = F.col("bbox")
     return customers(spark, d).select(
@@ -125,6 +140,35 @@ def s7_shape(spark, d):
     return _named(sources.read_json_array(spark, _lines(spark, rows), lines=True, fid_property="id"))
 
 
+BLANKS = NAMED + " WHERE fid % 3 <> 1"
+
+
+def _blanks(spark, d):
+    """A third of the rows, the first one among them, has no position."""
+    return _numbers(spark, d).withColumn("geom", F.when(F.col("id") % 3 != 1, F.col("geom")))
+
+
+@query("S5_csv_pair_blank_first", BLANKS)
+def s5_blank(spark, d):
+    pair = F.when(F.col("geom").isNotNull(), F.concat_ws(", ", "y", "x"))
+    rows = _blanks(spark, d).select("id", "c_name", pair.alias("spot"))
+    return _named(sources.read_csv_features(spark, _csv(spark, rows.orderBy("id")), fid_column="id"))
+
+
+@query("S6_csv_geometry_blank_first", BLANKS)
+def s6_blank(spark, d):
+    rows = _blanks(spark, d).select("id", "c_name", wkt_of(F.col("geom")).alias("outline"))
+    return _named(sources.read_csv_features(spark, _csv(spark, rows.orderBy("id")), fid_column="id"))
+
+
+@query("S7_json_blank_first", BLANKS)
+def s7_blank(spark, d):
+    rows = _blanks(spark, d).select("id", "c_name", geojson_of(F.col("geom")).alias("shape")).orderBy("id")
+    path = new_path(spark, "json")
+    rows.write.option("ignoreNullFields", "false").json(path)
+    return _named(sources.read_json_array(spark, path, lines=True, fid_property="id"))
+
+
 @query("S8_read_geoparquet", NAMED)
 def s8(spark, d):
     path = new_path(spark, "parquet")
@@ -203,6 +247,29 @@ def s14(spark, d):
     return _named(back)
 
 
+@query("S14_pages_blank_first", BLANKS)
+def s14_blank(spark, d):
+    """Plain pages; no item of the first one has a shape."""
+    rows = _numbers(spark, d).withColumn("page", (F.col("id") % 3 + 2) % 3)
+    item = F.to_json(F.struct("id", "c_name", F.when(F.col("page") != 0, geojson_of(F.col("geom"))).alias("shape")), {"ignoreNullFields": "false"})
+    many = rows.select((F.col("page") * 1000 + F.floor(F.col("id") / 300)).alias("page"), item.alias("item"))
+    docs = many.groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("value"))
+    path = new_path(spark, "pages")
+    docs.repartition("page").write.partitionBy("page").text(path)
+    out = sources.read_pages(spark, f"{path}/page=*")
+    return _named(out.withColumn("fid", json_value(F.col("properties"), "id").cast("bigint")))
+
+
+@query("T1_restarted_count", "SELECT count(*)::BIGINT AS features, count(*)::BIGINT AS ids, count(*)::BIGINT AS counted FROM customer")
+def t1_count(spark, d):
+    """A stream that is stopped and started again: numbered items, and the count kept beside them."""
+    pages, data, mark = _pages(spark, d), new_path(spark, "appended"), new_path(spark, "progress")
+    for _ in range(2):
+        stream_append(spark, pages, data, mark, max_files_per_trigger=7).awaitTermination()
+    found = read_appended(spark, data).agg(F.count(F.lit(1)).alias("features"), F.countDistinct("fid").alias("ids"))
+    return found.withColumn("counted", F.lit(appended_count(spark, data)))
+
+
 @query("T1_stream_append", NAMED)
 def t1(spark, d):
     pages, data, mark = _pages(spark, d), new_path(spark, "appended"), new_path(spark, "progress")

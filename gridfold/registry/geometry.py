@@ -139,6 +139,22 @@ def g9(spark, d):
     return out.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
 
+@query("G9_vertex_arrays", """SELECT class, n AS singles, n * v AS vertices, n * (n - 1) // 2 AS single_sum, v * (n * (n - 1) // 2) AS start_sum,
+  n * v * (n * v - 1) // 2 AS vertex_sum, (SELECT 2 * (SELECT count(*) FROM part) + count(*) FROM customer)::BIGINT AS features FROM (
+  SELECT 'point' AS class, count(*)::BIGINT AS n, 1 AS v FROM customer UNION ALL SELECT 'line', count(*), 2 FROM part
+  UNION ALL SELECT 'polygon', count(*), 5 FROM part)""")
+def g9_arrays(spark, d):
+    """Dense places: each sum is that of 0 to n - 1, and no vertex has another's place."""
+    both = customers(spark, d).unionByName(part_lines(spark, d)).unionByName(part_boxes(spark, d))
+    out = ops.vertex_arrays(both)
+    head = F.col("idx") == 0
+    by_class = out.groupBy("class").agg(
+        F.countDistinct("single").alias("singles"), F.countDistinct("vertex").alias("vertices"), F.sum(F.when(head, F.col("single"))).alias("single_sum"),
+        F.sum(F.when(head, F.col("ring_start"))).alias("start_sum"), F.sum("vertex").alias("vertex_sum"),
+    )
+    return by_class.crossJoin(F.broadcast(out.agg((F.max("feature") + 1).alias("features"))))
+
+
 @query("G9_numeric_properties", """SELECT * FROM (VALUES ('o_custkey', true), ('o_orderstatus', false), ('o_totalprice', true),
   ('o_orderpriority', (SELECT bool_and(try_cast(o_orderpriority AS DOUBLE) IS NOT NULL) FROM orders))) t(key, "numeric")""")
 def g9_numeric(spark, d):

@@ -144,6 +144,32 @@ def c8(spark, d):
     return again.get("near").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("C6_changed_data", ctes(BP, BL) + """SELECT count(*)::BIGINT AS n FROM bp a WHERE EXISTS (SELECT 1 FROM bl b
+  WHERE a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax)""")
+def c6_changed(spark, d):
+    """The same names over other data: the stored result of the first run doesn't answer for the second."""
+    spec = {"operations": [{"type": "intersection", "inputs": ["parts", "lots"], "output": "near"}]}
+    parts, folder = part_boxes(spark, d), new_path(spark, "catalog")
+    run_pipeline(spark, spec, Catalog(spark, folder), {"parts": parts.where("fid % 2 = 0"), "lots": lots(spark, d)})
+    again, _ = run_pipeline(spark, spec, Catalog(spark, folder), {"parts": parts, "lots": lots(spark, d)})
+    return again.get("near").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("C8_second_session", ctes(BP, BL) + f"""SELECT id, layer_order, inputs, CASE WHEN id = 'near' THEN (SELECT count(*) FROM bp a WHERE EXISTS (SELECT 1 FROM bl b
+  WHERE a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax)) END::BIGINT AS n
+  FROM (VALUES ('lots', 1, NULL), ('parts', 2, NULL), ('near', 3, 'parts,lots')) t(id, layer_order, inputs)""")
+def c8_second(spark, d):
+    """A catalog opened on the folder of another one: datasets, order, lineage and the stored result."""
+    spec = {"operations": [{"type": "intersection", "inputs": ["parts", "lots"], "output": "near"}]}
+    folder = new_path(spark, "catalog")
+    first, _ = run_pipeline(spark, spec, Catalog(spark, folder), {"parts": part_boxes(spark, d), "lots": lots(spark, d)})
+    first.reorder(["lots", "parts", "near"])
+    later = Catalog(spark, folder)
+    inputs = later.lineage().select(F.col("output_id").alias("id"), F.array_join("inputs", ",").alias("inputs"))
+    n = later.get("near").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.lit("near"))
+    return later.datasets().select("id", "layer_order").join(inputs, "id", "left").join(n, "id", "left")
+
+
 @query("L3_list_lineage", STEPS.format("output_id, exec_order, taken::BIGINT AS taken"))
 def l3(spark, d):
     """Steps of a pipeline in order with the rows that their inputs held."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridfold.functions.project import reproject
 from gridfold.functions.units import resolve_crs
+from gridfold.plans.numbering import numbered
 from gridfold.schema import FEATURE, with_bbox
 from gridfold.sources.geojson import features_of
 from gridfold.sources.jsonarray import array_features
@@ -30,9 +32,10 @@ def stream_append(
     """Start a query that normalises new page files like the batch reader and appends them.
 
     GeoJSON pages need no hint.  Pages of plain objects need ``first_item``, a
-    sample item whose keys decide the geometry column, because a stream cannot
-    look ahead.  Each file is read once: the checkpoint holds the progress, and
-    the Parquet sink commits whole batches.
+    sample item whose members decide the geometry column, because a stream cannot
+    look ahead.  Each batch is written to a folder of its own number and then counted
+    beside it, so a batch that is repeated after a failure replaces itself.  Without
+    ``fid_property`` items are numbered on from the counts of earlier batches: no two share an id.
     """
     docs = (
         spark.readStream.option("wholetext", "true")
@@ -40,26 +43,51 @@ def stream_append(
         .text(pages)
         .withColumn("file", F.input_file_name())
     )
-    items = page_items(docs)
     item = F.col("item")
     path = "$.properties." if first_item is None else "$."
-    if fid_property:
-        fid = F.get_json_object(item, path + fid_property).try_cast("bigint")
-    else:
-        # Row positions restart in every batch; a hash of file and item does not.
-        fid = F.xxhash64("file", "item")
-    if first_item is None:
-        rows = features_of(items, item, fid)
-    else:
-        sample = profile_members(spark.createDataFrame([(first_item,)], "item string"), item)
-        rows = array_features(items, item, sample, fid=fid, **columns)
+    sample = None if first_item is None else profile_members(spark.createDataFrame([(first_item,)], "item string"), item)
     source = resolve_crs(crs)
-    if source is not None:
-        rows = with_bbox(rows.withColumn("geom", reproject(F.col("geom"), source, "EPSG:4326")))
-    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start(dataset)
+
+    def land(batch: DataFrame, number: int) -> None:
+        items = page_items(batch)
+        if fid_property:
+            fid = F.get_json_object(item, path + fid_property).try_cast("bigint")
+        else:
+            before = _counts(spark, dataset)
+            earlier = 0 if before is None else before.where(F.col("batch") < number).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            items, fid = numbered(items, "number", earlier), F.col("number")
+        rows = features_of(items, item, fid) if sample is None else array_features(items, item, sample, fid=fid, **columns)
+        if source is not None:
+            rows = with_bbox(rows.withColumn("geom", reproject(F.col("geom"), source, "EPSG:4326")))
+        rows.write.mode("overwrite").parquet(f"{dataset}/batch={number}")
+        seen = items.agg(F.count(F.lit(1)).alias("n"))
+        kept = spark.read.schema(FEATURE).parquet(f"{dataset}/batch={number}").agg(F.count(F.lit(1)).alias("features"))
+        seen.join(kept).coalesce(1).write.mode("overwrite").parquet(f"{dataset}.counts/batch={number}")
+
+    writer = docs.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _counts(spark: SparkSession, dataset: str) -> DataFrame | None:
+    """``n`` items and ``features`` of each ``batch`` that is complete; nothing before the first one."""
+    try:
+        return spark.read.schema("n bigint, features bigint, batch int").parquet(f"{dataset}.counts")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def appended_count(spark: SparkSession, dataset: str) -> int:
+    """Features of all complete batches: read from one small row a batch, not from the features."""
+    counts = _counts(spark, dataset)
+    return 0 if counts is None else counts.agg(F.coalesce(F.sum("features"), F.lit(0))).first()[0]
 
 
 def read_appended(spark: SparkSession, dataset: str) -> DataFrame:
-    """The dataset as appended so far."""
-    return spark.read.schema(FEATURE).parquet(dataset)
+    """The features of all complete batches."""
+    counts = _counts(spark, dataset)
+    if counts is None:
+        return spark.createDataFrame([], FEATURE)
+    rows = spark.read.schema(f"{FEATURE}, batch int").parquet(dataset)
+    return rows.join(F.broadcast(counts.select("batch")), "batch", "left_semi").drop("batch")

@@ -198,3 +198,26 @@ def test_names(spark):
     assert slugify("  Ferry Quays (north)! ") == "ferry_quays_north"
     with pytest.raises(ValueError):
         slugify("??")
+
+
+def test_vertex_arrays_equal_a_loop(spark):
+    """Places of all kinds of parts, over several partitions."""
+    wkts = [
+        "POINT (1 2)", "MULTIPOINT ((1 2), (3 4))", "LINESTRING (0 0, 1 1, 2 0)", "POLYGON ((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))", None,
+        "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 6, 5 5), (5.1 5.1, 5.2 5.1, 5.2 5.2, 5.1 5.1)))", "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3, 4 4))",
+    ]
+    df = features(spark, [(i % 5, wkts[i % len(wkts)]) for i in range(60)]).repartition(6)
+    rows = sorted(ops.vertex_arrays(df).collect(), key=lambda r: (r["feature"], r["part"], r["ring"], r["idx"]))
+    assert sorted({r["feature"] for r in rows}) == list(range(len({r["feature"] for r in rows}))) and len(rows) == ops.explode_vertices(df).count()
+    vertex, single, seen = {}, {}, {}
+    for r in rows:
+        c = r["class"]
+        place = vertex.get(c, 0)
+        if r["ring"] == r["idx"] == 0:
+            single[c] = single.get(c, -1) + 1
+            seen["part"] = place
+        if r["idx"] == 0:
+            seen["ring"] = place
+        assert (r["vertex"], r["single"], r["part_start"], r["ring_start"]) == (place, single[c], seen["part"], seen["ring"])
+        vertex[c] = place + 1
+    assert ops.vertex_arrays(df.limit(0)).collect() == []

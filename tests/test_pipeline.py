@@ -6,7 +6,7 @@ from helpers import box, features, fids
 
 from gridfold import operators as ops
 from gridfold import sinks
-from gridfold.plans.catalog import Catalog
+from gridfold.plans.catalog import Catalog, digest
 from gridfold.plans.pipeline import run_pipeline
 from gridfold.plans.spec import check_spec, execution_order
 
@@ -83,8 +83,42 @@ def test_pipeline_equals_hand_chain_and_reuses(spark, tmp_path):
     assert lineage[0] == "inside" and lineage[-1] == "all"
     rebuilt = {o["output"]: o for o in catalog.spec()}
     assert rebuilt["far"] == OPS[3] and rebuilt["all"]["inputs"] == ["near", "far"]
-    again, _ = run_pipeline(spark, {"operations": OPS}, Catalog(spark, str(tmp_path)), {**frames, "points": frames["points"].limit(0)})
-    assert fids(again.get("all")) == fids(hand)
+    written = {p: p.stat().st_mtime_ns for p in tmp_path.glob("all/*.parquet")}
+    again, _ = run_pipeline(spark, {"operations": OPS}, Catalog(spark, str(tmp_path)), frames)
+    assert fids(again.get("all")) == fids(hand) and written == {p: p.stat().st_mtime_ns for p in tmp_path.glob("all/*.parquet")}
+    # The same names with other data are other inputs.
+    fewer = {**frames, "points": frames["points"].where("fid < 2")}
+    other, _ = run_pipeline(spark, {"operations": OPS}, Catalog(spark, str(tmp_path)), fewer)
+    assert 0 < other.get("all").count() < hand.count()
+
+
+def test_digest_is_of_the_rows(spark):
+    frame = sample(spark)["points"]
+    assert digest(frame) == digest(frame.orderBy(F.desc("fid")).repartition(3))
+    assert len({digest(f) for f in (frame, frame.limit(0), frame.union(frame), frame.where("fid > 0"), frame.withColumn("fid", F.col("fid") + 1), frame.withColumnRenamed("fid", "id"))}) == 6
+
+
+def test_second_catalog_on_a_folder(spark, tmp_path):
+    frames = sample(spark)
+    first = Catalog(spark, str(tmp_path))
+    run_pipeline(spark, {"operations": OPS}, first, frames)
+    first.register("extra", frames["zones"], hidden=True), first.rename("near", "Near Ones"), first.delete("far"), first.swap("all", "inside")
+    later = Catalog(spark, str(tmp_path))
+    plain = lambda c: [{k: v for k, v in m.items()} for m in c.entries()]
+    assert plain(later) == plain(first) and later.datasets(True).collect() == first.datasets(True).collect()
+    assert later.lineage().collect() == first.lineage().collect() and later.spec() == first.spec()
+    assert fids(later.get("near_ones")) == fids(first.get("near_ones")) and later.get("inside").count() == first.get("inside").count()
+    assert not later.exists("extra")  # never stored
+    later.delete_all()
+    assert Catalog(spark, str(tmp_path)).entries() == []
+
+
+def test_failed_step_does_not_fall_back_on_an_older_run(spark, tmp_path):
+    frames = sample(spark)
+    run_pipeline(spark, {"operations": OPS}, Catalog(spark, str(tmp_path)), frames)
+    broken = {**frames, "points": frames["points"].withColumn("properties", F.raise_error(F.lit("broken")).cast("string"))}
+    _, report = run_pipeline(spark, {"operations": OPS}, Catalog(spark, str(tmp_path)), broken)
+    assert {r["id"]: r["status"] for r in report.collect()} == {"zones": "complete", **{i: "error" for i in ("points", "inside", "near", "far", "all")}}
 
 
 def test_failures_are_reported(spark):
