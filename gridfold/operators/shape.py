@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfold.functions import kernel, units
@@ -14,7 +14,7 @@ from gridfold.functions.measure import point
 from gridfold.functions.project import zone_value
 from gridfold.operators.combine import one_feature, union_tree
 from gridfold.operators.distance import plane_distance
-from gridfold.plans.numbering import numbered, offsets
+from gridfold.plans.numbering import offsets
 from gridfold.schema import computed, with_bbox
 
 
@@ -106,27 +106,34 @@ def explode_vertices(df: DataFrame) -> DataFrame:
     )
 
 
-CLASSES = ("point", "line", "polygon")
-
-
 def vertex_arrays(df: DataFrame) -> DataFrame:
     """``explode_vertices`` with places in flat arrays, one array a class: ``feature`` (number of the feature among all
     with geometry), ``single`` (number of the part within its class), ``part_start`` and ``ring_start`` (the
     first vertex of the part and the ring within its class) and ``vertex`` (the vertex's own place).
 
     Numbers follow the order in which the input is written once.  They come from sums per partition and
-    offsets of these, so no task sees all rows and nothing is sorted.
+    offsets of these; within a feature, windows over its own rings.  No task sees all rows.
     """
-    one = numbered(df.where(F.col("geom").isNotNull()), "feature")
-    parts = one.select("fid", "feature", "geom", F.posexplode("geom.parts").alias("part", "rings"))
-    classed = parts.select("fid", "feature", _class().alias("class"), "part", "rings")
-    size = F.aggregate("rings", F.lit(0).cast("bigint"), lambda n, r: n + F.size(r))
-    weights = {f"{what}_{c}": F.when(F.col("class") == c, n).otherwise(F.lit(0)).cast("bigint") for c in CLASSES for what, n in (("vertices", size), ("singles", F.lit(1)))}
-    placed = offsets(classed, **weights)
-    of = lambda what: F.coalesce(*[F.when(F.col("class") == c, F.col(f"{what}_{c}")) for c in CLASSES])
-    before = F.transform("rings", lambda r, i: F.aggregate(F.slice("rings", F.lit(1), i), F.lit(0).cast("bigint"), lambda n, s: n + F.size(s)))
-    rows = placed.select("fid", "feature", "class", "part", of("singles").alias("single"), of("vertices").alias("part_start"), F.posexplode(F.arrays_zip(F.col("rings").alias("r"), before.alias("b"))).alias("ring", "z"))
-    rows = rows.select("fid", "feature", "class", "part", "single", "part_start", "ring", (F.col("part_start") + F.col("z.b")).alias("ring_start"), F.posexplode("z.r").alias("idx", "v"))
+    g, listed = F.col("geom"), {"P": "point", "L": "line", "A": "polygon"}
+    kind = F.when(g["type"].endswith("Point"), "P").when(g["type"].endswith("LineString"), "L").when(g["type"].endswith("Polygon"), "A")
+    kinds = F.transform(g["parts"], lambda _, i: F.coalesce(kind, F.substring(g["kinds"], i + 1, F.lit(1))))
+    sizes = F.transform(g["parts"], lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda n, r: n + F.size(r)))
+    pairs = F.arrays_zip(kinds.alias("k"), sizes.alias("n"))
+    total = lambda k, what: F.aggregate(F.filter(pairs, lambda p: p["k"] == k), F.lit(0).cast("bigint"), lambda n, p: n + what(p))
+    weights = {"feature": F.lit(1).cast("bigint")}
+    for k in listed:
+        weights |= {f"vertices_{k}": total(k, lambda p: p["n"]), f"singles_{k}": total(k, lambda _: F.lit(1))}
+    placed = offsets(df.where(g.isNotNull()).select("fid", "geom"), **weights).repartition("feature")
+    parts = placed.select("fid", "feature", kinds.alias("kinds"), *[c for c in weights if c != "feature"], F.posexplode("geom.parts").alias("part", "rings"))
+    of = lambda what: F.coalesce(*[F.when(F.col("k") == k, F.col(f"{what}_{k}")) for k in listed])
+    parts = parts.withColumn("k", F.get("kinds", F.col("part"))).select("fid", "feature", "part", "k", of("vertices").alias("v0"), of("singles").alias("s0"), F.posexplode("rings").alias("ring", "vertices"))
+    # Within a feature: earlier parts of the class, and earlier rings.
+    own = Window.partitionBy("feature", "k").orderBy("part", "ring")
+    before = F.coalesce(F.sum(F.size("vertices")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rings = parts.withColumn("ring_start", F.col("v0") + before).withColumn("single", F.col("s0") + F.dense_rank().over(Window.partitionBy("feature", "k").orderBy("part")) - 1)
+    rings = rings.withColumn("part_start", F.min("ring_start").over(Window.partitionBy("feature", "part")))
+    name = F.coalesce(*[F.when(F.col("k") == k, F.lit(v)) for k, v in listed.items()]).alias("class")
+    rows = rings.select("fid", "feature", name, "part", "single", "part_start", "ring", "ring_start", F.posexplode("vertices").alias("idx", "v"))
     return rows.select("fid", "feature", "class", "part", "single", "part_start", "ring", "ring_start", "idx", (F.col("ring_start") + F.col("idx")).alias("vertex"), F.col("v.x").alias("x"), F.col("v.y").alias("y"))
 
 
