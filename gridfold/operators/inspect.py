@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridfold.functions.props import json_keys
 from gridfold.operators.attribute import flatten
+from gridfold.session import stored
 
 # The extent reported for a dataset without geometry.
 WORLD = {"xmin": -180.0, "ymin": -85.0, "xmax": 180.0, "ymax": 85.0}
@@ -62,13 +63,17 @@ def feature_count(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.groupBy(by).agg(n) if by else df.agg(n)
 
 
-def preview(df: DataFrame, limit: int = 50, order_by: str | None = None, keys: list[str] | None = None) -> DataFrame:
-    """The first rows as flat text columns of all keys; rows without properties are skipped."""
+def preview(df: DataFrame, limit: int = 50, order_by: str | None = None, keys: list[str] | None = None, shown: bool = False) -> DataFrame:
+    """The first rows as flat text columns of all keys; rows without properties are skipped.
+
+    ``shown`` takes the keys of the rows that are shown: a table of very many keys is neither read for them nor refused.
+    """
     rows = df.where(F.col("properties").isNotNull())
-    names = key_list(rows) if keys is None else keys
-    if order_by:
-        rows = rows.orderBy(order_by)
-    return flatten(rows.limit(limit), names, geometry=None)
+    first = rows.orderBy(order_by).limit(limit) if order_by else rows.limit(limit)
+    if keys is None and shown:
+        first = stored(first, "preview")
+        keys = [r["key"] for r in property_keys(first).collect()]
+    return flatten(first, key_list(rows) if keys is None else keys, geometry=None)
 
 
 def with_geometry(df: DataFrame, types: list[str] | None = None) -> DataFrame:

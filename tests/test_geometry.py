@@ -221,3 +221,13 @@ def test_vertex_arrays_equal_a_loop(spark):
         assert (r["vertex"], r["single"], r["part_start"], r["ring_start"]) == (place, single[c], seen["part"], seen["ring"])
         vertex[c] = place + 1
     assert ops.vertex_arrays(df.limit(0)).collect() == []
+
+
+def test_broken_shapes_never_fail_a_union(spark):
+    """Shapes that no union can join: beyond what numbers resolve, crossing themselves, flat."""
+    broken = ["POLYGON ((0 0, 1e308 0, 1e308 1e308, -1e308 1e308, 0 0))", "POLYGON ((-1e308 -1e308, 1e308 1e-308, 0 1e308, -1e308 -1e308))", "POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))", "POLYGON ((0 0, 1 1, 2 2, 0 0))"]
+    good = [box(0, 0, 1, 1), box(0.5, 0.5, 2, 2)]
+    both = features(spark, [(i, w) for i, w in enumerate(broken[:2] + good)]), features(spark, [(i, w) for i, w in enumerate(broken[2:] + good)])
+    assert ops.union(list(both), "dissolve").count() == 1
+    (row,) = ops.union([both[1], features(spark, [(0, good[0])])], "dissolve").select(F.round(area(F.col("geom")), 6).alias("a")).collect()
+    assert row["a"] == pytest.approx(3.5)

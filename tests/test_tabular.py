@@ -57,6 +57,7 @@ def test_inspection(spark):
     assert tuple(ops.bounds(empty, world_default=True).first()) == (-180.0, -85.0, 180.0, 85.0)
     rows = ops.preview(df, 1, order_by="fid").collect()
     assert rows[0].asDict() == {"a b": "t", "b": "1", "c": None}
+    assert ops.preview(df, 1, order_by="fid", shown=True).first().asDict() == {"a b": "t", "b": "1"}
     assert {r["key"]: r["numeric"] for r in ops.numeric_properties(df).collect()}["b"]
 
 
