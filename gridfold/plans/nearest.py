@@ -25,6 +25,8 @@ LEAF_ROWS = 64
 MAX_DEPTH = 24
 #: Node tables up to this many rows (about 60 bytes each) are broadcast; the count is measured.
 BROADCAST_NODES = 200_000
+#: Levels to this depth are broadcast at any size of the targets: 4 ** 8 cells are 65,536 rows at most.
+SHALLOW = 8
 #: Copies of a larger node or leaf table that queries are dealt over.
 COPIES = 8
 _BOX = ["x0", "y0", "x1", "y1"]
@@ -142,7 +144,7 @@ def nearest_distance(left: DataFrame, right: DataFrame, max_distance: Column | N
         return copied_lookup(left, table, keys, F.col("fid"), COPIES)
 
     def at_level(left: DataFrame, d: int) -> DataFrame:
-        return look_up(left, nodes.where(F.col("depth") == d).drop("depth"), ["cx", "cy"], sizes[d])
+        return look_up(left, nodes.where(F.col("depth") == d).drop("depth"), ["cx", "cy"], sizes[d] if d > SHALLOW else 0)
 
     # Upper bound of each query from the occupied cells it sits in, every second level.
     probe = sorted({*range(depth, -1, -2), 0})
@@ -153,7 +155,13 @@ def nearest_distance(left: DataFrame, right: DataFrame, max_distance: Column | N
         .withColumn("cx", sq.cell(cx, sq.x, F.col("depth")))
         .withColumn("cy", sq.cell(cy, sq.y, F.col("depth")))
     )
-    bounds = look_up(probes, nodes, ["depth", "cx", "cy"], sum(sizes.values()))
+    # Every query sits in the root: shallow cells, which many queries share, are looked up without a shuffle.
+    low = F.col("depth") <= SHALLOW
+    bounds = probes.where(low).join(F.broadcast(nodes.where(low)), ["depth", "cx", "cy"])
+    deep = sum(n for d, n in sizes.items() if d > SHALLOW)
+    if deep:
+        found = look_up(probes.where(~low), nodes.where(~low), ["depth", "cx", "cy"], deep)
+        bounds = bounds.unionByName(found.select(*bounds.columns))
     bounds = bounds.groupBy("fid", *_BOX).agg(F.min(_upper()).alias("best"))
     if max_distance is not None:
         bounds = bounds.withColumn("best", F.least(F.col("best"), max_distance))
