@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridfold import sinks
-from gridfold.registry.base import BL, PC, PO, PS, ctes, customers, lots, orders, query, suppliers
+from gridfold.functions.measure import bbox_of
+from gridfold.registry.base import BL, PC, PO, PS, Z, ctes, customers, lots, orders, query, suppliers, zones
 from gridfold.session import new_path
 from gridfold.sinks.tiles import build_layers
 
@@ -61,6 +62,35 @@ def k4_polygons(spark, d):
     return tiles.groupBy("fid").agg(F.count(F.lit(1)).alias("tiles"))
 
 
+def _pieces_sql(table: str, layer: str, low: int, high: int) -> str:
+    """Envelopes of axis-parallel boxes cut to each tile and its buffer, in tile units."""
+    return f"""w_{layer} AS (SELECT fid, (xmin + 180) / 360 AS u0, (xmax + 180) / 360 AS u1, {Y.replace("lat", "ymax")} AS v0, {Y.replace("lat", "ymin")} AS v1 FROM {table}),
+p_{layer} AS (SELECT '{layer}' AS layer, fid, z, x, y, greatest(u0 * n - x, -0.015625) * 4096 AS x0, greatest(v0 * n - y, -0.015625) * 4096 AS y0,
+    least(u1 * n - x, 1.015625) * 4096 AS x1, least(v1 * n - y, 1.015625) * 4096 AS y1
+  FROM (SELECT *, unnest(generate_series(greatest(floor(u0 * n - 0.015625), floor(r0 * n))::BIGINT, least(floor(u1 * n + 0.015625), floor(r1 * n))::BIGINT)) AS x
+    FROM (SELECT *, power(2, z) AS n FROM w_{layer}, ranges, generate_series({low}, {high}) g(z))),
+  LATERAL unnest(generate_series(greatest(floor(v0 * n - 0.015625), floor(s0 * n))::BIGINT, least(floor(v1 * n + 0.015625), floor(s1 * n))::BIGINT)) h(y))"""
+
+
+LAYERS = f"""ranges AS (SELECT (min(xmin) + 180) / 360 AS r0, (max(xmax) + 180) / 360 AS r1, {Y.replace("lat", "max(ymax)")} AS s0, {Y.replace("lat", "min(ymin)")} AS s1
+  FROM (SELECT xmin, ymin, xmax, ymax FROM z UNION ALL SELECT xmin, ymin, xmax, ymax FROM bl))"""
+#: Least side, in tile units, of the compared pieces of coarser zooms: there simplifying by 3 units may drop thinner ones.
+THIN = 8
+
+
+@query("K5_tile_geometry", ctes(Z, BL, LAYERS, _pieces_sql("z", "zones", 9, 14), _pieces_sql("bl", "lots", 9, 14)) + f"""
+SELECT layer, z::INTEGER AS z, x::BIGINT AS x, y::BIGINT AS y, fid, round(x0)::BIGINT AS x0, round(y0)::BIGINT AS y0, round(x1)::BIGINT AS x1, round(y1)::BIGINT AS y1
+  FROM (SELECT * FROM p_zones UNION ALL SELECT * FROM p_lots) WHERE z = 14 OR least(round(x1) - round(x0), round(y1) - round(y0)) >= {THIN}""")
+def k5_geometry(spark, d):
+    """Shapes in their tiles: zones span many tiles and go down the pyramid, lots are cut directly."""
+    tiles = build_layers({"zones": zones(spark, d), "lots": lots(spark, d)}, 9, 14)
+    b = bbox_of(F.col("geom"))
+    out = tiles.select("layer", "z", "x", "y", "fid", b.alias("b")).select(
+        "layer", "z", "x", "y", "fid", *[F.col(f"b.{n}").cast("bigint").alias(m) for n, m in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1"))]
+    )
+    return out.where((F.col("z") == 14) | (F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= THIN))
+
+
 EDGE = "(-123.2, 49.2, -122.8, 49.7)"
 
 

@@ -14,12 +14,13 @@ from gridfold.functions.project import map_vertices
 from gridfold.functions.tilemath import PI, grid, tile_bounds, tile_id, tile_range, world_x, world_y
 from gridfold.operators.combine import dedup_features
 from gridfold.schema import computed
+from gridfold.session import stored
 
 # Tile extent, buffer and simplification in tile units.
 EXTENT, BUFFER, TOLERANCE = 4096, 64, 3.0
 MARGIN = BUFFER / EXTENT
-#: Features spanning more tiles than this at the last zoom are first cut on a coarse zoom.
-SPAN, COARSE_ZOOM = 8, 6
+#: Features spanning more tiles than this at the last zoom go down a pyramid: each step of so many zooms cuts the pieces of the step before.
+SPAN, STEP = 8, 3
 
 TILE_COLUMNS = ["z", "x", "y", "tile_id", "layer", "fid", "geom", "properties"]
 
@@ -58,19 +59,49 @@ def _cut(rows: DataFrame) -> DataFrame:
     return computed(rows, unit=cut).where(F.col("unit").isNotNull())
 
 
-def _measure(spatial: DataFrame, maxzoom: int):
-    """One aggregate: tile range per zoom, whether all are points, whether some span many tiles."""
+_SIDES = {"xmin": min, "ymin": min, "xmax": max, "ymax": max}
+
+
+def _measure(frames: dict[str, DataFrame], maxzoom: int) -> dict:
+    """One aggregate over all frames: per name the tile range of each zoom, whether all are points, whether some span many tiles."""
     b = F.col("bbox")
     width = (b["xmax"] - b["xmin"]) / 360
     height = F.abs(world_y(b["ymin"]) - world_y(b["ymax"]))
-    stats = spatial.agg(
-        F.struct(*[f(b[c]).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]).alias("b"),
-        F.count(F.lit(1)).alias("n"),
+    rows = [df.where(F.col("geom").isNotNull()).select(F.lit(name).alias("name"), "geom", "bbox") for name, df in frames.items()]
+    stats = reduce(DataFrame.unionByName, rows).groupBy("name").agg(
+        F.struct(*[(F.min if f is min else F.max)(b[c]).alias(c) for c, f in _SIDES.items()]).alias("b"),
         F.bool_and(is_point(F.col("geom"))).alias("points"),
         (F.max(F.greatest(width, height)) * 2.0**maxzoom > SPAN).alias("large"),
     )
     limits = F.array(*[tile_range(F.col("b"), F.lit(z)) for z in range(maxzoom + 1)])
-    return stats.select("n", "points", "large", limits.alias("limits")).first()
+    return {r["name"]: r for r in stats.select("name", "points", "large", limits.alias("limits")).collect()}
+
+
+def _limits(stats: dict) -> Column:
+    """The common tile range per zoom: each side depends on one side of the envelope, in its order."""
+    zooms = zip(*[row["limits"] for row in stats.values()])
+    ranges = [F.struct(*[F.lit(f(r[c] for r in same)).cast("bigint").alias(c) for c, f in _SIDES.items()]) for same in zooms]
+    return F.array(*ranges)
+
+
+def _pyramid(large: DataFrame, minzoom: int, maxzoom: int, limits: Column) -> DataFrame:
+    """Pieces of large features: every ``STEP`` zooms, tiles are cut from the pieces of the last zoom before.
+
+    The buffer of a tile lies inside that of its parent, so a piece holds all that its children need.  Each step is
+    written, and its pieces are dealt by tile and feature: a long feature is cut by many tasks and in ever smaller parts.
+    """
+    name = "pieces"
+    top = stored(_cut(_spread(large, F.array(F.lit(minzoom)), limits)).drop("ubox"), name)
+    steps = [top]
+    for last in range(minzoom, maxzoom, STEP):
+        parents = top.where(F.col("z") == last).drop("z").withColumnsRenamed({"x": "_px", "y": "_py"}).repartition("_px", "_py", "fid")
+        zooms = F.sequence(F.lit(last + 1), F.lit(min(last + STEP, maxzoom)))
+        below = _spread(computed(parents, ubox=bbox_of(F.col("unit"))), zooms, limits)
+        shift = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("z") - last))  # noqa: B023, E731
+        below = below.where((shift("x") == F.col("_px")) & (shift("y") == F.col("_py"))).drop("_px", "_py")
+        top = stored(_cut(below).drop("ubox"), name)
+        steps.append(top)
+    return reduce(DataFrame.unionByName, steps)
 
 
 def build_tiles(
@@ -78,45 +109,36 @@ def build_tiles(
 ) -> DataFrame:
     """``z, x, y, tile_id, layer, fid, geom, properties`` with geometry in tile units 0..4096.
 
-    Features spanning many tiles are cut on a coarse zoom first and the pieces
-    are shuffled, so one large feature does not end up in one task.  With
-    ``among`` the tiles may lie in the common range of those frames.
+    Features spanning many tiles are cut zoom step by zoom step, each from the pieces of the step before, so
+    one large feature does not end up in one task.  With ``among`` the tiles may lie in the common range of those frames.
     """
+    own = _measure({layer: df}, maxzoom)
+    wide = own if among is None else _measure({str(i): o for i, o in enumerate(among)}, maxzoom)
+    return _tiles(df, minzoom, maxzoom, layer, own, wide)
+
+
+def _tiles(df: DataFrame, minzoom: int, maxzoom: int, layer: str, own: dict, wide: dict) -> DataFrame:
     if not 0 <= minzoom <= maxzoom <= 22:
         raise ValueError("tiles: need 0 <= minzoom <= maxzoom <= 22")
+    if layer not in own:
+        raise ValueError("tiles: no features to tile")
     kernel.install(df.sparkSession)
+    stats, limits = own[layer], _limits(wide)
     spatial = df.where(F.col("geom").isNotNull())
-    stats = _measure(spatial, maxzoom)
-    if not stats["n"]:
-        raise ValueError("tiles: no features to tile")
-    names = ("xmin", "ymin", "xmax", "ymax")
-    ranges = stats["limits"]
-    if among is not None:
-        ranges = _measure(reduce(DataFrame.unionByName, [o.select("geom", "bbox") for o in among]), maxzoom)["limits"]
-    limits = F.array(*[F.struct(*[F.lit(r[c]).cast("bigint").alias(c) for c in names]) for r in ranges])
     unit = computed(spatial.select("fid", "geom", "properties"), unit=_unit(F.col("geom"))).drop("geom")
     unit = computed(unit, ubox=bbox_of(F.col("unit")))
 
-    coarse = max(minzoom, min(COARSE_ZOOM, maxzoom))
     every = F.sequence(F.lit(minzoom), F.lit(maxzoom))
     if stats["points"]:
         # The tile range of a point is exact; there is nothing to clip.
         tiles = _spread(unit, every, limits)
-    elif not stats["large"] or maxzoom <= coarse:
+    elif not stats["large"]:
         tiles = _cut(_spread(unit, every, limits))
     else:
         b = F.col("ubox")
         large = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) * 2.0**maxzoom > SPAN
-        low = F.when(large, F.sequence(F.lit(minzoom), F.lit(coarse))).otherwise(every)
-        direct = _spread(unit, low, limits)
-        pieces = _cut(_spread(unit.where(large), F.array(F.lit(coarse)), limits)).drop("z", "ubox")
-        pieces = pieces.withColumnsRenamed({"x": "_px", "y": "_py"}).repartition("_px", "_py", "fid")
-        fine = _spread(
-            computed(pieces, ubox=bbox_of(F.col("unit"))), F.sequence(F.lit(coarse + 1), F.lit(maxzoom)), limits
-        )
-        shift = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("z") - coarse))
-        fine = fine.where((shift("x") == F.col("_px")) & (shift("y") == F.col("_py"))).drop("_px", "_py")
-        tiles = _cut(direct.unionByName(fine))
+        tiles = _cut(_spread(unit.where(~large), every, limits)).drop("ubox")
+        tiles = tiles.unionByName(_pyramid(unit.where(large), minzoom, maxzoom, limits))
 
     n = grid(F.col("z"))
     scaled = map_vertices(
@@ -141,11 +163,11 @@ def build_tiles(
 
 
 def build_layers(layers: dict[str, DataFrame], minzoom: int = 0, maxzoom: int = 14) -> DataFrame:
-    """Tiles of several datasets, one layer each, in their common range; every dataset needs features."""
+    """Tiles of several datasets, one layer each, in their common range, all measured in one job; every dataset needs features."""
     if not layers:
         raise ValueError("tiles: needs at least one layer")
-    every = list(layers.values())
-    return reduce(DataFrame.unionByName, [build_tiles(df, minzoom, maxzoom, name, every) for name, df in layers.items()])
+    stats = _measure(layers, maxzoom)
+    return reduce(DataFrame.unionByName, [_tiles(df, minzoom, maxzoom, name, stats, stats) for name, df in layers.items()])
 
 
 def write_tiles(tiles: DataFrame, path: str, partitions: int | None = None) -> None:
