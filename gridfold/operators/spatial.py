@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import kernel
-from gridfold.plans.grid import CellJoin, anchored, exists_join, keyed
+from gridfold.plans.grid import CellJoin, anchored, exists_join, fetched, keyed, profiles
 from gridfold.schema import with_bbox
+from gridfold.session import stored
 
 CLIP_TOLERANCE = 0.0003
 SUBTRACT_TOLERANCE = 1e-7
@@ -41,18 +42,29 @@ def _masks(a: DataFrame, b: DataFrame, tolerance: float, hot_rows: int | None) -
 
     Only b shapes that meet a row can change it, so one mask per row equals one
     mask for all.  The union aggregate combines before the shuffle, so a row
-    that meets very many shapes is not gathered as a list.
+    that meets very many shapes is not gathered as a list.  Unless a side is broadcast, cells
+    join row numbers and envelopes only, and each shape that has a candidate is fetched (and simplified) afterwards.
     """
     kernel.install(a.sparkSession)
     shape = kernel.repair(kernel.simplify(kernel.pack(F.col("geom")), F.lit(tolerance)))
     rows = anchored(a)
-    join = CellJoin(keyed(rows), b, right_shape=shape, hot_rows=hot_rows)
-    join.points = False
-    join.left = join.left.withColumn("_wkb", kernel.pack(F.col("geom")))
-    join.right = join.right.withColumn("_wkb", shape)
-    met = join.pairs(lambda p, q: kernel.intersects(p("_wkb"), q("_wkb")))
+    measured = profiles((rows, None), (b, None))
+    if any(p.small for p in measured):
+        join = CellJoin(keyed(rows), b, right_shape=shape, hot_rows=hot_rows, measured=measured)
+        join.points = False
+        join.left = join.left.withColumn("_wkb", kernel.pack(F.col("geom")))
+        join.right = join.right.withColumn("_wkb", shape)
+        met = join.pairs(lambda p, q: kernel.intersects(p("_wkb"), q("_wkb")))
+    else:
+        others = anchored(b)
+        join = CellJoin(keyed(rows), keyed(others), hot_rows=hot_rows, shapes=False, measured=measured)
+        near = stored(join.pairs(lambda p, q: F.lit(True)).select("fid", "bfid"), "candidates")
+        n = near.count()
+        near = fetched(near, others.select(F.col("_row").alias("bfid"), shape.alias("b_wkb")), "bfid", "fid", n, hot_rows)
+        met = fetched(stored(near, "candidates"), rows.select(F.col("_row").alias("fid"), kernel.pack(F.col("geom")).alias("_wkb")), "fid", "bfid", n, hot_rows)
+        met = met.where(kernel.intersects(F.col("_wkb"), F.col("b_wkb")))
     masks = met.groupBy(F.col("fid").alias("_row")).agg(kernel.union_agg(F.col("b_wkb")).alias("_mask"))
-    return rows, masks, join.rp.rows
+    return rows, masks, measured[1].rows
 
 
 def intersection(a: DataFrame, b: DataFrame, mode: str = "filter", hot_rows: int | None = None) -> DataFrame:

@@ -90,13 +90,19 @@ def _powered(df: DataFrame) -> DataFrame:
     return df.withColumn("_side", _side()).withColumn("_pw", F.when(F.col("_side") > 0, bounded).otherwise(_POINT).cast("int"))
 
 
-def profile(df: DataFrame, by: Column | None = None) -> Profile:
-    """Measure one input; reads geometry once and returns at most 83 rows."""
+
+
+def profiles(*inputs: tuple[DataFrame, Column | None]) -> list[Profile]:
+    """Measure inputs (each with the distance it is widened by) in one job."""
     shape = F.col("geom")
     size = F.when(is_point(shape), 1).otherwise(F.size(vertices(shape)))
-    rows = (
-        _powered(grown(df.where(F.col("bbox").isNotNull()).select("geom", "bbox"), by))
-        .groupBy(F.col("_pw").alias("side"))
+    sides = [
+        _powered(grown(df.where(F.col("bbox").isNotNull()).select("geom", "bbox"), by)).select(F.lit(i).alias("input"), "_pw", "geom")
+        for i, (df, by) in enumerate(inputs)
+    ]
+    found = (
+        reduce(DataFrame.unionByName, sides)
+        .groupBy("input", F.col("_pw").alias("side"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.when(is_point(shape), 0).otherwise(1)).alias("extended"),
@@ -104,13 +110,12 @@ def profile(df: DataFrame, by: Column | None = None) -> Profile:
         )
         .collect()
     )
-    n = sum(r["n"] for r in rows)
-    return Profile(
-        {r["side"]: r["n"] for r in rows},
-        n,
-        all(r["extended"] == 0 for r in rows),
-        sum(r["vertices"] for r in rows) * 16 + n * 64,
-    )
+    out = []
+    for i in range(len(inputs)):
+        rows = [r for r in found if r["input"] == i]
+        n = sum(r["n"] for r in rows)
+        out.append(Profile({r["side"]: r["n"] for r in rows}, n, all(r["extended"] == 0 for r in rows), sum(r["vertices"] for r in rows) * 16 + n * 64))
+    return out
 
 
 def levels(a: Profile, b: Profile) -> list[int]:
@@ -184,17 +189,21 @@ class CellJoin:
         right_shape: Column | None = None,
         dedup_right: bool = False,
         hot_rows: int | None = None,
+        shapes: bool = True,
+        measured: list[Profile] | None = None,
     ):
+        """``shapes``: whether exact shapes travel with the cells.  ``measured``: the profiles, if known."""
         kernel.install(left.sparkSession)
         self.hot_rows = hot_rows
-        self.lp, self.rp = profile(left), profile(right, grow)
+        self.lp, self.rp = measured or profiles((left, None), (right, grow))
         self.points = self.lp.all_points and self.rp.all_points
         self.ks = levels(self.lp, self.rp)
         self.lo, self.ro = _own_levels(self.lp, self.ks), _own_levels(self.rp, self.ks)
         if self.rp.small:
             left = evened(left, self.lp.rows)
-        self.left = _shape_columns(grown(left, None), self.points, None)
-        right = _shape_columns(grown(right.where(F.col("bbox").isNotNull()), grow), self.points, right_shape)
+        bare = self.points or not shapes
+        self.left = _shape_columns(grown(left, None), bare, None)
+        right = _shape_columns(grown(right.where(F.col("bbox").isNotNull()), grow), bare, right_shape)
         # Identical shapes on the right answer the same question; one of each is enough for a test.
         if dedup_right and not self.rp.small:
             right = right.dropDuplicates(["_px", "_py"] if self.rp.all_points else ["_px", "_py", "_wkb"])
@@ -259,6 +268,16 @@ class CellJoin:
         return cells.join(right, cond, "inner")
 
 
+def fetched(near: DataFrame, shapes: DataFrame, key: str, by: str, rows: int, hot_rows: int | None = None) -> DataFrame:
+    """Candidate pairs ``near`` (ids only, from files) with the columns of ``shapes``, which has one row per ``key``.
+
+    Shapes without a candidate are left behind by a semi join; pairs of a hot key are split over salts by ``by``.
+    """
+    wanted = shapes.join(near.select(key).distinct(), key, "left_semi")
+    left, right, keys, _ = spread(near, wanted, [key], F.col(by), F.col(key), rows, 0, hot_rows)
+    return left.join(right, keys).drop(*[k for k in keys if k != key])
+
+
 def exists_join(
     left: DataFrame,
     right: DataFrame,

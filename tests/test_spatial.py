@@ -200,3 +200,27 @@ def test_join_splits_hot_keys_on_both_sides(spark):
     for mode, n in (("inner", 48), ("left", 50)):
         plain, split = (ops.join(s, a, "k", "k", mode, hot_rows=h) for h in (None, 2))
         assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect())) and plain.count() == n
+
+
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_shapes_fetched_after_the_cells_give_the_same_cuts(spark, monkeypatch, hot_rows):
+    """Both sides too large to broadcast: cells join numbers and envelopes, no shape travels with them."""
+    from gridfold.functions.measure import area
+    from gridfold.plans import grid
+
+    big = [(100, box(-123.4, 49.0, -122.4, 49.9)), (101, None), (101, "POINT (-123.05 49.25)"), (102, "LINESTRING (-123.3 49.1, -122.6 49.7)")]
+    fa = features(spark, big + [(i, box(-123.5 + i * 0.05, 49.1, -123.46 + i * 0.05, 49.6)) for i in range(20)])
+    fb = features(spark, [(7, box(-123.5 + i * 0.11, 49.2 + j * 0.1, -123.42 + i * 0.11, 49.27 + j * 0.1)) for i in range(9) for j in range(4)])
+    seen = []
+    shown = grid.CellJoin._sides
+    monkeypatch.setattr(grid.CellJoin, "_sides", lambda self, keep: seen.append(self) or shown(self, keep))
+
+    def cut(op, mode):
+        rows = op(fa, fb, mode, hot_rows=hot_rows).select("fid", F.round(area(F.col("geom")), 9).alias("a")).collect()
+        return sorted((r.fid, r.a) for r in rows)
+
+    direct = [cut(ops.intersection, "clip"), cut(ops.difference, "subtract")]
+    monkeypatch.setattr(grid, "BROADCAST_BYTES", 0)
+    seen.clear()
+    assert [cut(ops.intersection, "clip"), cut(ops.difference, "subtract")] == direct and len(direct[0]) > 15
+    assert len(seen) == 2 and all(dict(j.right.dtypes)["_wkb"] == "binary" and j.right.where("_wkb is not null").count() == 0 for j in seen)
