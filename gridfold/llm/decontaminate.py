@@ -18,6 +18,8 @@ from gridfold.llm.base import whole_text, word_hashes
 
 #: Fixed masks of six counted positions each.
 MASKS = ("11101101", "1100110101", "101011011", "1110010011")
+#: A text of fewer tokens fits no mask; it is found where all its tokens stand in a row.
+SHORTEST = min(map(len, MASKS))
 #: A match has this many tokens at least (or the whole benchmark text), and this share of them is equal.
 LEAST, SIMILARITY = 13, 0.8
 #: Benchmark texts of one broadcast index; more are searched block by block.
@@ -45,6 +47,11 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def sequences(hashes: np.ndarray, size: int) -> np.ndarray:
+    """One hash per position for the ``size`` tokens from there on."""
+    return seeds(hashes, "1" * size)
+
+
 @dataclass
 class SeedIndex:
     """Sorted seed hashes of benchmark texts with the text and position of each."""
@@ -55,11 +62,16 @@ class SeedIndex:
     owner: list[np.ndarray]
     place: list[np.ndarray]
     bits: list[np.ndarray]
+    #: Texts too short for any mask: by their number of tokens, the hash of all tokens and the texts that have it.
+    short: dict[int, dict[int, list[int]]]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> SeedIndex:
         items = [tokens(t) for _, t in rows]
-        index = cls([i for i, _ in rows], items, [], [], [], [])
+        index = cls([i for i, _ in rows], items, [], [], [], [], {})
+        for n, item in enumerate(items):
+            if 0 < len(item) < SHORTEST:
+                index.short.setdefault(len(item), {}).setdefault(int(sequences(item, len(item))[0]), []).append(n)
         for mask in MASKS:
             found = [seeds(t, mask) for t in items]
             hashes = np.concatenate([*found, np.zeros(0, np.uint64)])
@@ -83,6 +95,10 @@ class SeedIndex:
             low, high = np.searchsorted(hashes, own[at]), np.searchsorted(hashes, own[at], "right")
             for p, a, b in zip(at[high > low], low[high > low], high[high > low]):
                 out.update((int(o), int(p - q)) for o, q in zip(owner[a:b], place[a:b]))
+        for size, whole in self.short.items():
+            own = sequences(words, size)
+            known = np.flatnonzero(np.isin(own, np.fromiter(whole, np.uint64, len(whole))))
+            out.update((n, int(p)) for p in known for n in whole[int(own[p])])
         return out
 
     def leaks(self, text: str | None) -> list[tuple]:
@@ -102,7 +118,7 @@ def segments(words: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int,
     """
     low, high = max(0, shift), min(len(words), shift + len(item))
     same = words[low:high] == item[low - shift : high - shift]
-    least, share = min(LEAST, len(item)), round(SIMILARITY * 100)
+    least, share = min(LEAST, len(item)), round(SIMILARITY * 100) if len(item) >= SHORTEST else 100
     # A run is alike enough if its total is not below zero: the sum at its stop is at least that at its start.
     total = np.concatenate([[0], np.cumsum(np.where(same, 100 - share, -share))])
     found, todo = [], [(0, len(same))]
@@ -132,7 +148,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataF
     tokens covered (``start``, ``stop``, and ``item_start`` in the benchmark text) and how many are equal.
 
     ``benchmark``: ``item_id, text``; equal texts are searched once, by the smallest id, null texts and texts
-    shorter than the shortest mask (8 tokens) not at all.  The index of a block of ``ITEMS_PER_BLOCK`` texts is broadcast;
+    without tokens not at all.  A text of fewer than ``SHORTEST`` tokens, too short for a mask, is looked up by
+    the hash of all its tokens and found wherever they stand in a row.  The index of a block of ``ITEMS_PER_BLOCK`` texts is broadcast;
     further blocks are searched one after the other, so nothing larger is ever sent.  Null and empty
     documents have no leaks; repeated rows are judged alike.
     """

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridfold.plans.skew import hot_limit, spread
+from gridfold.session import stored
+
 RESPONSE, REVISIT = "response", "revisit"
 RESOLVED, CHANGED, UNPROVEN, MISSING = "resolved", "changed", "unproven", "missing"
 #: Header fields that describe one message or its body and that a 304 doesn't renew.
@@ -16,8 +19,10 @@ KEPT_HEADERS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
     "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade",
 )
-#: Parts into which the time span of the input is cut.
-SLICES = 1024
+#: Times of one URL that are ordered in one group; a longer history (and one over a thousandth of all) is cut into slices.
+SLICE_ROWS = 20_000
+#: Quantiles taken of a hot URL's times; it is cut at as many of them as it needs.
+CUTS = 1024
 _URL = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -47,29 +52,37 @@ def merge_headers(stored_headers: Column, renewed: Column) -> Column:
     return F.map_concat(rest, allowed)
 
 
-def latest_earlier(records: DataFrame, slices: int = SLICES) -> DataFrame:
-    """Revisits with ``found``: ``at, record_id, etag, modified`` of the latest response of their
-    ``canonical`` strictly before their ``at`` (of equal times the largest ``record_id``), or null.
+def latest_earlier(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``canonical, at, found`` for every URL and time of a revisit: ``at, record_id, etag, modified`` of the latest
+    response strictly before (of equal times the largest ``record_id``), or null.
 
-    A URL's history is cut into ``slices`` of the whole time span.  Within a slice rows are ordered; over
-    slices only one row each is carried on, so a URL with a third of all records has no group that large.
+    Equal times of a URL are one row before anything is ordered.  A URL with more than ``slice_rows`` times (and a
+    thousandth of all) is cut at quantiles of its own times, so no slice grows with a burst or an outlying time; over slices
+    only one row each is carried on.  The cut points of all such URLs are a few thousand numbers, and are broadcast.
     """
-    span = records.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
-    width = max(1, -(-((span["b"] or 0) - (span["a"] or 0) + 1) // slices))
     full = F.when(F.col("kind") == RESPONSE, F.struct("at", "record_id", "etag", "modified"))
     rows = records.where(F.col("canonical").isNotNull() & F.col("at").isNotNull())
-    rows = rows.select("*", full.alias("full"), F.floor((F.col("at") - (span["a"] or 0)) / width).alias("slice"))
-    carried = rows.groupBy("canonical", "slice").agg(F.max("full").alias("newest"))
+    times = rows.groupBy("canonical", "at").agg(F.max(full).alias("full"), F.bool_or(F.col("kind") == REVISIT).alias("asked"))
+    times = stored(times, "times")
+    limit = hot_limit(times.count(), slice_rows)
+    hot = times.groupBy("canonical").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    cuts = times.join(F.broadcast(hot), "canonical").groupBy("canonical").agg(
+        F.first("n").alias("n"), F.percentile_approx("at", [i / CUTS for i in range(1, CUTS)], 20 * CUTS).alias("all")
+    )
+    step = F.greatest(F.lit(1), F.floor(F.lit(CUTS) * limit / F.col("n")))
+    cuts = cuts.select("canonical", F.filter("all", lambda _, i: (i + 1) % step == 0).alias("cuts"))
+    sliced = times.join(F.broadcast(cuts), "canonical", "left")
+    place = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("at"))), F.lit(0))
+    sliced = sliced.withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(place)).drop("cuts")
+    carried = sliced.groupBy("canonical", "slice").agg(F.max("full").alias("newest"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = carried.select("canonical", "slice", F.last("newest", ignorenulls=True).over(before).alias("carried"))
-    # At equal times revisits come first, so that no response of the same moment counts as earlier.
-    order = Window.partitionBy("canonical", "slice").orderBy("at", F.desc("kind"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    within = rows.withColumn("within", F.last("full", ignorenulls=True).over(order)).where(F.col("kind") == REVISIT)
-    joined = within.join(carried, ["canonical", "slice"], "left")
-    return joined.withColumn("found", F.coalesce("within", "carried")).drop("full", "within", "carried", "slice")
+    order = Window.partitionBy("canonical", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    within = sliced.withColumn("within", F.last("full", ignorenulls=True).over(order)).where("asked")
+    return within.join(carried, ["canonical", "slice"], "left").select("canonical", "at", F.coalesce("within", "carried").alias("found"))
 
 
-def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS, hot_rows: int = SLICE_ROWS) -> DataFrame:
     """``record_id, canonical, at, status, response_id, headers, body`` for every revisit of ``records``.
 
     ``records``: ``record_id`` (long), ``kind`` (``response`` or ``revisit``; other kinds are ignored), ``url``, ``at``
@@ -77,22 +90,38 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     without a tag on either side the times of last change; ``changed`` if they differ; ``unproven`` if there is nothing to
     compare; ``missing`` without an earlier response, which holds for null urls and times.  Only
     resolved revisits have a body and the merged headers; others keep their own.  Repeated revisits
-    give repeated rows; of responses with one ``record_id`` one is taken.
+    give repeated rows; responses that share ``record_id``, URL, time and validators are one capture, of which one is taken.
+
+    Times and validators alone are ordered; headers and bodies are joined to the result afterwards.  Revisits of one
+    moment, and those of one response, are dealt over salts where there are more than ``hot_rows`` (and a thousandth of all).
     """
     lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    keyed = records.where(F.col("kind").isin(RESPONSE, REVISIT)).select("record_id", "kind", "at", canonical_url(F.col("url")).alias("canonical"), lower.alias("headers"))
+    keyed = records.where(F.col("kind").isin(RESPONSE, REVISIT)).select("record_id", "kind", "at", canonical_url(F.col("url")).alias("canonical"), lower.alias("headers"), "body")
     keyed = keyed.withColumns({"etag": _etag(F.col("headers")["etag"]), "modified": F.col("headers")["last-modified"]})
-    asked = latest_earlier(keyed.select("record_id", "kind", "at", "canonical", "etag", "modified", F.when(F.col("kind") == REVISIT, F.col("headers")).alias("headers")), slices)
-    lost = keyed.where((F.col("kind") == REVISIT) & (F.col("canonical").isNull() | F.col("at").isNull())).select("record_id", "kind", "at", "canonical", "etag", "modified", "headers")
-    asked = asked.unionByName(lost, allowMissingColumns=True)
+    latest = latest_earlier(keyed.select("record_id", "kind", "at", "canonical", "etag", "modified"), slice_rows)
+    revisits = keyed.where(F.col("kind") == REVISIT).drop("kind", "body")
+    placed = F.col("canonical").isNotNull() & F.col("at").isNotNull()
+    n = revisits.count()
+    left, right, keys, _ = spread(revisits.where(placed), latest, ["canonical", "at"], F.col("record_id"), F.col("at"), n, 0, hot_rows)
+    asked = left.join(right, keys, "left").drop(*[k for k in keys if k not in ("canonical", "at")])
+    asked = asked.unionByName(revisits.where(~placed), allowMissingColumns=True)
     tags = F.col("etag").isNotNull() & F.col("found.etag").isNotNull()
     times = F.col("modified").isNotNull() & F.col("found.modified").isNotNull() & F.col("etag").isNull() & F.col("found.etag").isNull()
     status = F.when(F.col("found").isNull(), MISSING).when(tags, F.when(F.col("etag") == F.col("found.etag"), RESOLVED).otherwise(CHANGED))
     status = status.when(times, F.when(F.col("modified") == F.col("found.modified"), RESOLVED).otherwise(CHANGED)).otherwise(UNPROVEN)
-    asked = asked.select("record_id", "canonical", "at", status.alias("status"), F.col("found.record_id").alias("response_id"), "headers")
-    full = records.where(F.col("kind") == RESPONSE).select(F.col("record_id").alias("response_id"), F.col("headers").alias("full_headers"), "body")
-    full = full.join(asked.where(F.col("status") == RESOLVED).select("response_id").distinct(), "response_id", "left_semi").dropDuplicates(["response_id"])
-    done = asked.where(F.col("status") == RESOLVED).join(full, "response_id")
-    done = done.select("record_id", "canonical", "at", "status", "response_id", merge_headers(F.col("full_headers"), F.col("headers")).alias("headers"), "body")
-    rest = asked.where(F.col("status") != RESOLVED).withColumn("body", F.lit(None).cast(records.schema["body"].dataType))
+    asked = stored(asked.select("record_id", "canonical", "at", status.alias("status"), "found", "headers"), "asked")
+    resolved = asked.where(F.col("status") == RESOLVED).withColumn("capture", _capture("found.record_id", "canonical", "found.at", "found.etag", "found.modified"))
+    full = keyed.where(F.col("kind") == RESPONSE).select(
+        _capture("record_id", "canonical", "at", "etag", "modified").alias("capture"), F.col("headers").alias("full_headers"), "body"
+    )
+    full = full.join(resolved.select("capture").distinct(), "capture", "left_semi").dropDuplicates(["capture"])
+    left, right, keys, _ = spread(resolved, full, ["capture"], F.col("record_id"), F.col("capture"), n, 0, hot_rows)
+    columns = ["record_id", "canonical", "at", "status", F.col("found.record_id").alias("response_id")]
+    done = left.join(right, keys).select(*columns, merge_headers(F.col("full_headers"), F.col("headers")).alias("headers"), "body")
+    rest = asked.where(F.col("status") != RESOLVED).select(*columns, "headers", F.lit(None).cast(records.schema["body"].dataType).alias("body"))
     return done.unionByName(rest)
+
+
+def _capture(*columns: str) -> Column:
+    """Identity of a response; nulls of the validators stay apart from every text."""
+    return F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]))

@@ -80,32 +80,46 @@ class Trie:
         return found
 
 
+class SharedTrie:
+    """What is broadcast: rules, whose trie each worker builds once and keeps for all its batches and tasks."""
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        self.rules, self._trie = rules, None
+
+    def trie(self) -> Trie:
+        if self._trie is None:
+            self._trie = Trie(self.rules)
+        return self._trie
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", default: str = ALLOW) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the longest fitting one or null) and ``verdict``.
 
     A rule ``host/path`` fits its host and all subdomains if the url's path starts with the rule's
     path; a rule without a path fits any.  The longest rule wins over shorter ones, whatever their
-    verdicts; no fitting rule gives ``default``.  A rule given twice must have one verdict.  Tries of
-    at most ``RULES_PER_TRIE`` rules are broadcast and matched one after the other, so a list of any
+    verdicts; no fitting rule gives ``default``.  A rule given twice, also with a host in other letter case, must have
+    one verdict; of such spellings the first in code-point order is reported.  Tries of at most ``RULES_PER_TRIE`` rules are broadcast and matched one after the other, so a list of any
     length gives the same answer.  Null urls have empty host and path.  Columns of ``pages`` named
     like the new ones are replaced; repeated rows are judged alike.
     """
-    verdicts: dict[str, str] = {}
-    for rule, verdict in rules:
+    verdicts: dict[tuple[str, str], str] = {}
+    spelt: dict[tuple[str, str], str] = {}
+    for rule, verdict in sorted(rules):
         if verdict not in (ALLOW, BLOCK):
             raise ValueError(f"verdict of {rule!r} is neither {ALLOW} nor {BLOCK}")
-        if verdicts.setdefault(rule, verdict) != verdict:
+        spelt.setdefault(split_rule(rule), rule)
+        if verdicts.setdefault(split_rule(rule), verdict) != verdict:
             raise ValueError(f"{rule!r} is both {ALLOW} and {BLOCK}")
-    ordered = sorted(verdicts.items())
+    ordered = sorted((spelt[key], verdict) for key, verdict in verdicts.items())
     sc = pages.sparkSession.sparkContext
     best = F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     for i in range(0, len(ordered), RULES_PER_TRIE):
-        shared = sc.broadcast(ordered[i : i + RULES_PER_TRIE])
+        shared = sc.broadcast(SharedTrie(ordered[i : i + RULES_PER_TRIE]))
 
         @F.pandas_udf("struct<size:int,rule:string,verdict:string>")
         def longest(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-            trie = Trie(shared.value)
+            trie = shared.value.trie()
             seen: dict = {}
             rows = []
             for key in zip(host, path):

@@ -89,6 +89,15 @@ def test_components_of_a_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_of_hot_stars(spark, monkeypatch):
+    """Two stars of many edges, joined by a chain, beside a star whose centre has the largest id."""
+    monkeypatch.setattr("gridfold.llm.components.HOT_EDGES", 7)
+    edges = [(100, i) for i in range(1000, 1400)] + [(90, i) for i in range(2000, 2300)] + [(100, 50), (50, 60), (60, 90)] + [(9999, i) for i in range(5000, 5200)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    first = {*range(1000, 1400), *range(2000, 2300), 100, 60, 90}
+    assert got == {**{i: 50 for i in first}, **{i: 5000 for i in (*range(5001, 5200), 9999)}}
+
+
 def test_one_of_each_group_stays(documents):
     rows = [(5, "same words here today"), (2, "same words here today"), (2, "same words here today"), (None, "same words here today"), (7, "something else entirely different"), (None, "alone without any id at all"), (9, None), (8, "")]
     docs = documents(rows, extra="_row")

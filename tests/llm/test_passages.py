@@ -93,7 +93,7 @@ def test_leaks_tolerate_substitutions(documents, spark):
     docs = documents(rows)
     found = decontaminate.leaks(docs, bench, "_found").collect()
     by = sorted(((r.doc_id, [(x.item_id, x.start, x.stop, x.item_start) for x in r._found]) for r in found), key=repr)
-    whole = {1: [(1, 50, 90, 0)], 3: [(1, 0, 40, 0)], 5: [(1, 0, 13, 0)], 7: [(2, 9, 22, 0)], None: [(1, 0, 40, 0)], 11: [(1, 0, 40, 0), (1, 70, 110, 0)]}
+    whole = {1: [(1, 50, 90, 0)], 3: [(1, 0, 40, 0)], 5: [(1, 0, 13, 0)], 7: [(2, 9, 22, 0)], 10: [(5, 0, 7, 0)], None: [(1, 0, 40, 0)], 11: [(1, 0, 40, 0), (1, 70, 110, 0)]}
     assert by == sorted(((d, whole.get(d, [])) for d, _ in rows), key=repr)
     kept = decontaminate.drop_leaking(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 6, 8, 9, 10]
@@ -140,3 +140,20 @@ def test_changed_third_token_is_a_leak(documents, spark):
     docs = documents([(1, " ".join(words(9, 2) + item[:2] + ["changed"] + item[3:] + words(9, 3)))])
     (row,) = decontaminate.leaks(docs, bench, "found").collect()
     assert [(x.item_id, x.start, x.stop, x.item_start, x.matched) for x in row["found"]] == [(1, 9, 24, 0, 14)]
+
+
+def test_short_benchmark_texts_are_found_whole(documents, spark):
+    """Texts too short for a mask count where all their tokens stand in a row; brute force over all places."""
+    import random
+
+    rnd = random.Random(3)
+    bench = [(1, "One two"), (2, "alpha, beta gamma!"), (3, "zeta"), (4, "a b c d e f g"), (5, "one TWO"), (6, "..."), (7, ""), (8, None), (9, "b b")]
+    texts = [" ".join(rnd.choices(["one", "two", "alpha", "beta", "gamma", "a", "b", "c"], k=rnd.randrange(30))) for _ in range(60)]
+    texts += [None, "", "zeta", "ZETA.", "x a b c d e f g y", "a b c d e f h", "zetas", "b b b b"]
+    found = decontaminate.leaks(documents(list(enumerate(texts))), spark.createDataFrame(bench, "item_id bigint, text string"), "found").collect()
+    items = {i: t.lower().replace(",", " ").replace("!", " ").replace(".", " ").split() for i, t in bench if t and i != 5}
+    for r in found:
+        words = (r.text or "").lower().replace(".", " ").split()
+        want = {(i, p, p + len(w)) for i, w in items.items() if w for p in range(len(words) - len(w) + 1) if words[p : p + len(w)] == w}
+        got = {(1 if x.item_id == 5 else x.item_id, x.start, x.stop) for x in r.found}
+        assert got == want and all(x.matched == x.stop - x.start and x.item_start == 0 for x in r.found)

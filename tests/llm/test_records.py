@@ -58,6 +58,10 @@ def test_trie_equals_plain_rules(spark, monkeypatch, per_trie):
     assert urltrie.judge_urls(pages.limit(0), RULES).count() == 0 and urltrie.judge_urls(pages, []).where("rule is null and verdict = 'allow'").count() == len(rows)
     with pytest.raises(ValueError):
         urltrie.judge_urls(pages, [("a/", "block"), ("a/", "allow")])
+    with pytest.raises(ValueError):
+        urltrie.judge_urls(pages, [("A.net/", "block"), ("a.net/", "allow")])
+    shared = urltrie.SharedTrie(RULES)
+    assert shared.trie() is shared.trie()
 
 
 def test_revisits_equal_plain_search(spark):
@@ -89,12 +93,41 @@ def test_revisits_equal_plain_search(spark):
         status = ("resolved" if a == b else "changed") if a and b else ("resolved" if c == d else "changed") if c and d and not a and not b else "unproven"
         merged = {**full, **{k: v for k, v in own.items() if k not in revisits.KEPT_HEADERS}} if status == "resolved" else own
         want.append((i, status, best[0], merged, best[5] if status == "resolved" else None))
-    for slices in (1, 7, 1024):
-        got = [(r.record_id, r.status, r.response_id, r.headers, r.body) for r in revisits.resolve_revisits(records, slices).collect()]
+    for slice_rows, hot_rows in ((100_000, 100_000), (10, 5), (1, 1)):
+        got = [(r.record_id, r.status, r.response_id, r.headers, r.body) for r in revisits.resolve_revisits(records, slice_rows, hot_rows).collect()]
         assert sorted(map(repr, [(*g[:3], sorted(g[3].items()), g[4]) for g in got])) == sorted(map(repr, [(*w[:3], sorted(w[3].items()), w[4]) for w in want]))
     assert revisits.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_revisits_of_a_burst_and_an_outlying_time(spark, monkeypatch):
+    """One URL, nearly all of it within a short time, one record far away: every slice stays small."""
+    rows = [(i, "response" if i % 3 else "revisit", "http://hot.com/", 10**9 if i == 0 else i, {"ETag": str(i // 50)}, f"b{i}") for i in range(3000)]
+    rows += [(5000 + i, "revisit", "http://hot.com/", 700, {"ETag": "13"}, None) for i in range(500)]
+    records = spark.createDataFrame(rows, "record_id bigint, kind string, url string, at bigint, headers map<string,string>, body string")
+    sizes = []
+    keep = revisits.Window.partitionBy
+
+    def noted(*keys):
+        sizes.append(keys)
+        return keep(*keys)
+
+    monkeypatch.setattr(revisits.Window, "partitionBy", noted)
+    got = {r.record_id: (r.status, r.response_id, r.body) for r in revisits.resolve_revisits(records, 100, 50).collect()}
+    assert sizes == [("canonical",), ("canonical", "slice")] and len(got) == 1500
+    for i, kind, _, at, headers, _ in rows:
+        if kind == "revisit":
+            best = max((r for r in rows if r[1] == "response" and r[3] < at), key=lambda r: r[3], default=None)
+            same = best is not None and best[4] == headers
+            assert got[i] == (("resolved", best[0], best[5]) if same else ("missing", None, None) if best is None else ("changed", best[0], None))
+
+
+def test_revisits_of_equal_record_ids(spark):
+    rows = [(1, "response", "http://a/x", 10, {"ETag": "p"}, "first"), (1, "response", "http://a/x", 20, {"ETag": "q"}, "second"), (1, "response", "http://b/", 5, {"ETag": "q"}, "third")]
+    rows += [(2, "revisit", "http://a/x", 15, {"ETag": "p"}, None), (3, "revisit", "http://a/x", 25, {"ETag": "q"}, None), (4, "revisit", "http://b/", 25, {"ETag": "q"}, None)]
+    records = spark.createDataFrame(rows, "record_id bigint, kind string, url string, at bigint, headers map<string,string>, body string")
+    assert {r.record_id: r.body for r in revisits.resolve_revisits(records).collect()} == {2: "first", 3: "second", 4: "third"}
+
+
 def test_pipeline_stages(spark):
     docs = base.table(spark, SF, "documents")
     odd = docs.limit(3).withColumn("text", F.lit(None).cast("string")).union(docs.limit(2).withColumn("text", F.lit(""))).union(docs.limit(2))
