@@ -91,7 +91,6 @@ def _powered(df: DataFrame) -> DataFrame:
 
 
 
-
 def profiles(*inputs: tuple[DataFrame, Column | None]) -> list[Profile]:
     """Measure inputs (each with the distance it is widened by) in one job."""
     shape = F.col("geom")
