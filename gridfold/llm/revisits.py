@@ -114,8 +114,9 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS, hot_rows:
     full = keyed.where(F.col("kind") == RESPONSE).select(
         _capture("record_id", "canonical", "at", "etag", "modified").alias("capture"), F.col("headers").alias("full_headers"), "body"
     )
-    full = full.join(resolved.select("capture").distinct(), "capture", "left_semi").dropDuplicates(["capture"])
     left, right, keys, _ = spread(resolved, full, ["capture"], F.col("record_id"), F.col("capture"), n, 0, hot_rows)
+    # One of equal captures a key: the exchange for this is the one of the join, so bodies are shuffled once.
+    right = right.dropDuplicates(keys)
     columns = ["record_id", "canonical", "at", "status", F.col("found.record_id").alias("response_id")]
     done = left.join(right, keys).select(*columns, merge_headers(F.col("full_headers"), F.col("headers")).alias("headers"), "body")
     rest = asked.where(F.col("status") != RESOLVED).select(*columns, "headers", F.lit(None).cast(records.schema["body"].dataType).alias("body"))
