@@ -1,9 +1,9 @@
 """Repeated passages by a sparse suffix array.
 
 Only suffixes at minimiser positions are kept: the least hashed word group of every few, which equal
-passages choose alike.  Suffixes are sorted by the hash of their first words and compared with the
-neighbour before; equal neighbours that continue each other are one run, whose ends are then
-extended left and right, word by word, in the texts themselves.
+passages choose alike.  Suffixes are sorted by hashes of ever longer prefixes, so those that share more
+stand closer, and compared with the neighbour before; equal neighbours that continue each other are one
+run, whose ends are then extended left and right until the texts differ.
 """
 
 from __future__ import annotations
@@ -24,12 +24,25 @@ from gridfold.session import stored
 GROUP, CHOICE, PREFIX = 4, 10, 40
 #: Every repeat of this many words is found.
 LEAST = PREFIX + CHOICE
-#: Words that a run may be extended by at each end; more than lie between two chosen positions.
-REACH = 16
+#: Up to here the steps of an extension are single words.
+NEAR = 16
+KEYS = ["prefix", "deeper", "doc_id", "at"]
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 2**64))
 
 
+def _steps(first: int) -> np.ndarray:
+    """Lengths from ``first``, each an eighth longer than the one before."""
+    out = [first]
+    while out[-1] < 2**31:
+        out.append(max(out[-1] + 1, out[-1] * 9 // 8))
+    return np.array(out)
+
+
+#: Prefixes by whose hashes equal first ``PREFIX`` words are put in order, and lengths tried at the ends of a run.
+DEPTHS, REACHES = _steps(PREFIX)[1:], _steps(1)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
@@ -47,15 +60,27 @@ def chosen_positions(hashes: np.ndarray) -> np.ndarray:
     return np.unique(views.argmin(axis=1) + np.arange(len(views)))
 
 
-def prefix_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of ``PREFIX`` words from each position: differences of one running polynomial."""
-    n = len(hashes)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _FACTOR)]), dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * power[:n], dtype=np.uint64)])
-    # Powers of the factor's inverse make equal words equal wherever they stand.
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
-    out = (total[at + PREFIX] - total[at]) * back[at]
-    return out ^ (out >> np.uint64(32))
+class Running:
+    """Hashes of any stretch of a text's words: differences of one running polynomial."""
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _FACTOR)]), dtype=np.uint64)
+        self.total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * power[:n], dtype=np.uint64)])
+        # Powers of the factor's inverse make equal words equal wherever they stand.
+        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
+
+    def of(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        out = (self.total[at + size] - self.total[at]) * self.back[at]
+        return out ^ (out >> np.uint64(32))
+
+
+def depth_bytes(running: Running, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One byte for the hash of each prefix of ``DEPTHS`` words that the text still has, row by row, and their number."""
+    count = np.searchsorted(DEPTHS, n - at, "right")
+    row = np.repeat(np.arange(len(at)), count)
+    level = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return (running.of(at[row], DEPTHS[level]) & np.uint64(255)).astype(np.uint8), count
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,34 +93,42 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = word_hashes(words)
             at = chosen_positions(hashes)
             at = at[at + PREFIX <= len(words)]
-            out.append((np.full(len(at), i), prefix_hashes(hashes, at).view(np.int64), at + (tag << 32)))
+            running = Running(hashes)
+            out.append((np.full(len(at), i), running.of(at, PREFIX).view(np.int64), at + (tag << 32), *depth_bytes(running, at, len(words))))
         if out:
-            row, prefix, at = (np.concatenate(c) for c in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(prefix), batch.column(0).take(pa.array(row)), pa.array(at)], ["prefix", "doc_id", "at"])
+            row, prefix, at, depths, count = (np.concatenate(c) for c in zip(*out))
+            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            deeper = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(depths.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(prefix), deeper, batch.column(0).take(pa.array(row)), pa.array(at)], KEYS)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes: links of each to the one before with an equal prefix, and the two ends of the part."""
-    names = ["end", "prefix", "doc_id", "at", "other_id", "other_at"]
+    """Sorted suffixes: links of each to the one before with an equal prefix, and the two ends of the part.
+
+    The same place of equal rows counts once.
+    """
+    names = ["end", *KEYS, "other_id", "other_at"]
+    types = [pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     last: tuple | None = None
 
-    def emit(end: bool, cols: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), end)), *[pa.array(c, pa.int64()) for c in cols]], names)
+    def emit(cols: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        prefix, doc, at = (c.to_numpy() for c in batch.columns)
+        prefix, doc, at = (batch.column(i).to_numpy() for i in (0, 2, 3))
         if last is None:
-            yield emit(True, [[int(prefix[0])], [int(doc[0])], [int(at[0])], [None], [None]])
-        before = [np.concatenate([[x[0] if last is None else last[i]], x[:-1]]) for i, x in enumerate((prefix, doc, at))]
-        same = before[0] == prefix
-        same[0] &= last is not None
-        if same.any():
-            yield emit(False, [c[same] for c in (prefix, doc, at, before[1], before[2])])
-        last = (prefix[-1], doc[-1], at[-1])
+            yield emit([[True], prefix[:1], [batch.column(1)[0].as_py()], doc[:1], at[:1], [None], [None]])
+        before = [np.concatenate([[x[0] if last is None else last[i]], x[:-1]]) for i, x in ((0, prefix), (2, doc), (3, at))]
+        linked = (before[0] == prefix) & ~((before[1] == doc) & (before[2] == at))
+        linked[0] &= last is not None
+        n = int(linked.sum())
+        if n:
+            yield emit([np.zeros(n, bool), prefix[linked], [None] * n, doc[linked], at[linked], before[1][linked], before[2][linked]])
+        last = (prefix[-1], batch.column(1)[-1].as_py(), doc[-1], at[-1])
     if last is not None:
-        yield emit(True, [[int(x)] for x in last] + [[None], [None]])
+        yield emit([[True], *[[x] for x in last], [None], [None]])
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -104,28 +137,63 @@ def _common_prefix(a: Column, b: Column) -> Column:
 
 
 def surroundings(text: pd.Series, asked: pd.Series) -> pd.Series:
-    """For each asked run: its words hashed, and the words before (nearest first) and after."""
+    """For each asked run: its words hashed, and hashes of the ``REACHES`` before and after that the text has."""
     out = []
     for t, runs in zip(text, asked):
         words = words_of(t)
-        rows = []
+        running, rows = Running(word_hashes(words)), []
         for r in runs:
             a, b = r["start"], r["stop"]
-            near = [w.decode() for w in words[max(0, a - REACH) : a]][::-1]
-            rest = [w.decode() for w in words[b : b + REACH]]
-            rows.append({"run": r["run"], "second": r["second"], "digest": xxhash.xxh3_128_hexdigest(b" ".join(words[a:b])), "left": near, "right": rest})
+            left, right = (REACHES[: np.searchsorted(REACHES, room, "right")] for room in (a, len(words) - b))
+            seen = {"left": running.of(a - left, left).view(np.int64), "right": running.of(np.full(len(right), b), right).view(np.int64)}
+            rows.append({"run": r["run"], "second": r["second"], "digest": xxhash.xxh3_128_hexdigest(b" ".join(words[a:b])), **seen})
         out.append(rows)
     return pd.Series(out, dtype=object)
 
 
+def closing_words(text: pd.Series, asked: pd.Series) -> pd.Series:
+    """For each asked run of which so many ``REACHES`` agree: the last of them, and the words hashed up to the next, nearest first."""
+    out = []
+    for t, runs in zip(text, asked):
+        hashes, rows = word_hashes(words_of(t)).view(np.int64), []
+        for r in runs:
+            (left, left_end), (right, right_end) = ((int(REACHES[k - 1]) if k else 0, int(REACHES[k])) for k in (r["n_left"], r["n_right"]))
+            a, b = r["start"], r["stop"]
+            seen = {"left": hashes[max(0, a - left_end) : a - left][::-1], "right": hashes[b + right : b + right_end]}
+            rows.append({"run": r["run"], "second": r["second"], "more_left": left, "more_right": right, **seen})
+        out.append(rows)
+    return pd.Series(out, dtype=object)
+
+
+def _asked(rows: DataFrame, runs: DataFrame, look, returns: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """What ``look`` sees in both texts of each run."""
+    asked = runs.select("run", *extra, F.explode(F.array(F.lit(False), F.lit(True))).alias("second"))
+    pick = lambda a, b: F.when(F.col("second"), F.col(f"run.{b}")).otherwise(F.col(f"run.{a}"))
+    back = F.when(F.col("second"), F.col("run.shift")).otherwise(F.lit(0))
+    request = F.struct("run", "second", (F.col("run.start") - back).cast("int").alias("start"), (F.col("run.stop") - back).cast("int").alias("stop"), *extra)
+    asked = asked.select(pick("doc_id", "other_id").alias("doc_id"), pick("tag", "other_tag").alias("tag"), request.alias("request"))
+    asked = asked.groupBy("doc_id", "tag").agg(F.collect_list("request").alias("asked"))  # links of one document
+    seen = F.pandas_udf(look, f"array<struct<run:{runs.schema['run'].dataType.simpleString()},second:boolean,{returns},left:array<long>,right:array<long>>>")
+    return rows.join(asked, ["doc_id", "tag"]).select(F.explode(seen("text", "asked")).alias("seen")).select("seen.*")
+
+
+def _both(seen: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """One row per run with each column of the first (``_0``) and the second (``_1``) text."""
+    side = lambda c, second: F.max(F.when(F.col("second") == second, F.col(c))).alias(f"{c}_{int(second)}")
+    return seen.groupBy("run").agg(*[side(c, s) for c in columns for s in (False, True)])
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, start, length, other_id, other_start``: passages (in words between ASCII white space)
-    that two places of ``docs`` share word by word, each place linked with its neighbour in the suffix order.
-
-    A passage of ``LEAST`` words or more that occurs n times is found at all n places, through n - 1 links; where
-    its neighbour shares less of it, with at least ``PREFIX`` words.  Nothing shorter than ``PREFIX`` is reported.
-    Suffixes are sorted over ranges of (prefix, id, position), so a passage of a third of all documents
-    is spread over many tasks; only the two end rows of each part are compared apart.
+    that two places of ``docs`` share word by word, as long as they go on to both sides, each place linked
+    with its neighbour in the suffix order.
+
+    A passage of ``LEAST`` words or more that occurs n times is found at all n places, which are joined through
+    links; the order tells prefixes apart that differ in length by an eighth, so a link of such a chain has at least
+    eight ninths of the passage (from its first chosen position).  Nothing shorter than ``PREFIX`` is reported.
+    Suffixes are sorted over ranges of (prefix, deeper hashes, id, position), so a passage of a third of all documents
+    is spread over many tasks; only the two end rows of each part are compared apart.  Words beside
+    a run are compared by 64-bit hashes.
     Places within one row count too.  Null ids count as the largest id and are returned as null; rows
     of equal id and text are one document; null and blank texts have no passages.
     """
@@ -133,12 +201,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     none = F.lit(2**63 - 1)
     tag = F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).alias("tag")
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), none).alias("doc_id"), tag, text.alias("text"))
-    keys = ["prefix", "doc_id", "at"]
-    found = rows.mapInArrow(_suffixes, "prefix long, doc_id long, at long").distinct()
-    found = found.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    pairs = stored(found.mapInArrow(_neighbours, "end boolean, prefix long, doc_id long, at long, other_id long, other_at long"), "neighbours")
-    ends = pairs.where("end").select(*keys).distinct()  # two rows per part
-    whole = Window.orderBy(*keys)
+    keyed = "prefix long, deeper binary, doc_id long, at long"
+    found = rows.mapInArrow(_suffixes, keyed).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
+    pairs = stored(found.mapInArrow(_neighbours, f"end boolean, {keyed}, other_id long, other_at long"), "neighbours")
+    ends = pairs.where("end").select(*KEYS).distinct()  # two rows per part
+    whole = Window.orderBy(*KEYS)
     ends = ends.select("*", F.lag("prefix").over(whole).alias("p"), F.lag("doc_id").over(whole).alias("other_id"), F.lag("at").over(whole).alias("other_at"))
     links = pairs.where("not end").select("doc_id", "at", "other_id", "other_at")
     links = links.union(ends.where("p = prefix").select("doc_id", "at", "other_id", "other_at")).distinct()
@@ -152,19 +219,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     runs = links.withColumn("new", new).withColumn("part", F.sum("new").over(order)).groupBy(*one, "part")
     runs = runs.agg(F.min("start").cast("int").alias("start"), (F.max("start") + PREFIX).cast("int").alias("stop"))
     runs = stored(runs.withColumn("run", F.struct(*one, "start", "stop")).select("run"), "runs")
-    asked = runs.select("run", F.explode(F.array(F.lit(False), F.lit(True))).alias("second"))
-    pick = lambda a, b: F.when(F.col("second"), F.col(f"run.{b}")).otherwise(F.col(f"run.{a}"))
-    back = F.when(F.col("second"), F.col("run.shift")).otherwise(F.lit(0))
-    request = F.struct("run", "second", (F.col("run.start") - back).cast("int").alias("start"), (F.col("run.stop") - back).cast("int").alias("stop"))
-    asked = asked.select(pick("doc_id", "other_id").alias("doc_id"), pick("tag", "other_tag").alias("tag"), request.alias("request"))
-    asked = asked.groupBy("doc_id", "tag").agg(F.collect_list("request").alias("asked"))  # links of one document
-    run_type = runs.schema["run"].dataType.simpleString()
-    look = F.pandas_udf(surroundings, f"array<struct<run:{run_type},second:boolean,digest:string,left:array<string>,right:array<string>>>")
-    once = rows.join(asked, ["doc_id", "tag"]).select("doc_id", "tag", F.explode(look("text", "asked")).alias("seen")).select("seen.*")
-    side = lambda c, second: F.max(F.when(F.col("second") == second, F.col(c))).alias(f"{c}_{int(second)}")
-    both = once.groupBy("run").agg(*[side(c, s) for c in ("digest", "left", "right") for s in (False, True)]).where("digest_0 = digest_1")
-    left, right = _common_prefix(F.col("left_0"), F.col("left_1")), _common_prefix(F.col("right_0"), F.col("right_1"))
-    start = F.col("run.start") - left
-    size = (F.col("run.stop") - start + right).alias("length")
-    real = lambda c: F.when(F.col(c) != none, F.col(c))
-    return both.select(real("run.doc_id").alias("doc_id"), start.alias("start"), size, real("run.other_id").alias("other_id"), (start - F.col("run.shift")).cast("int").alias("other_start"))
+    agree = [_common_prefix(F.col(f"{c}_0"), F.col(f"{c}_1")) for c in ("left", "right")]
+    seen = _both(_asked(rows, runs, surroundings, "digest:string"), ("digest", "left", "right")).where("digest_0 = digest_1")
+    seen = stored(seen.select("run", *[c.alias(n) for n, c in zip(("n_left", "n_right"), agree)]), "extended")
+    far = (F.col("n_left") >= NEAR) | (F.col("n_right") >= NEAR)  # up to there, so many reaches are so many words
+    near = seen.where(~far).select("run", "n_left", "n_right")
+    more = _both(_asked(rows, seen.where(far), closing_words, "more_left:int,more_right:int", ("n_left", "n_right")), ("more_left", "more_right", "left", "right"))
+    more = more.select("run", *[(F.col(f"more_{c}_0") + n).alias(f"n_{c}") for c, n in zip(("left", "right"), agree)])
+    start = F.col("run.start") - F.col("n_left")
+    size = F.col("run.stop") - start + F.col("n_right")
+    # Runs of one distance may grow into the same passage.
+    grown = near.union(more).select(*[F.col(f"run.{c}") for c in one], start.alias("start"), size.alias("length")).distinct()
+    real = lambda c: F.when(F.col(c) != none, F.col(c)).alias(c)
+    return grown.select(real("doc_id"), "start", "length", real("other_id"), (F.col("start") - F.col("shift")).cast("int").alias("other_start"))

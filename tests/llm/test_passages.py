@@ -157,3 +157,64 @@ def test_short_benchmark_texts_are_found_whole(documents, spark):
         want = {(i, p, p + len(w)) for i, w in items.items() if w for p in range(len(words) - len(w) + 1) if words[p : p + len(w)] == w}
         got = {(1 if x.item_id == 5 else x.item_id, x.start, x.stop) for x in r.found}
         assert got == want and all(x.matched == x.stop - x.start and x.item_start == 0 for x in r.found)
+
+
+def maximal_matches(split, least):
+    """All (i, a, j, b, length): stretches of two texts that are equal and can't be extended."""
+    for i, j in combinations(range(len(split)), 2):
+        x, y = split[i], split[j]
+        for shift in range(-len(y) + 1, len(x)):
+            a = max(0, shift)
+            while a < len(x) and a - shift < len(y):
+                n = 0
+                while a + n < len(x) and a + n - shift < len(y) and x[a + n] == y[a + n - shift]:
+                    n += 1
+                if n >= least:
+                    yield i, a, j, a - shift, n
+                a += n + 1
+
+
+def test_places_of_every_repeat_are_joined(documents):
+    """Brute force: the places of every maximal repeat are joined by links over eight ninths of it, as long as the texts agree."""
+    rnd = random.Random(5)
+    base = words(420, 21)
+    split = []
+    for n in range(26):
+        a = rnd.randrange(0, 300)
+        part = base[a : a + rnd.randrange(60, 400)]
+        for _ in range(rnd.randrange(4)):
+            part = part[:]
+            part[rnd.randrange(len(part))] = f"changed{rnd.randrange(10**6)}"
+        split.append(words(rnd.randrange(40), 100 + n) + part + words(rnd.randrange(40), 200 + n))
+    found = suffixes.repeated_passages(documents([(i, " ".join(w)) for i, w in enumerate(split)])).collect()
+    matches = set(maximal_matches(split, suffixes.PREFIX))
+    for r in found:  # every link is a maximal match
+        key = (r.doc_id, r.start, r.other_id, r.other_start, r.length)
+        assert key in matches or (*key[2:4], *key[:2], r.length) in matches
+    assert len({tuple(r) for r in found}) == len(found)
+    links = {}
+    for r in found:
+        links.setdefault(r.doc_id, []).append((r.start, r.length, r.other_id, r.other_start))
+        links.setdefault(r.other_id, []).append((r.other_start, r.length, r.doc_id, r.start))
+    for i, a, j, b, n in matches:
+        if n < suffixes.LEAST:
+            continue
+        reached, todo = {(i, a)}, [(i, a)]
+        while todo:
+            d, at = todo.pop()
+            for s, size, o, t in links.get(d, []):
+                shared = min(at + n, s + size) - max(at, s)
+                place = (o, at - s + t)
+                if 9 * shared >= 8 * (n - 9) and place not in reached:
+                    reached.add(place)
+                    todo.append(place)
+        assert (j, b) in reached, (i, a, j, b, n)
+
+
+def test_longest_match_is_linked_past_a_shorter_one(documents):
+    """Texts 1 and 3 share 500 words, text 2 only the first 300 of them."""
+    shared = words(500, 1)
+    rows = [(1, words(20, 2) + shared + words(9, 3)), (2, words(4, 4) + shared[:300] + words(90, 5)), (3, words(31, 6) + shared + words(50, 7)), (3, words(31, 6) + shared + words(50, 7))]
+    found = {(r.doc_id, r.start, r.length, r.other_id, r.other_start) for r in suffixes.repeated_passages(documents([(d, " ".join(w)) for d, w in rows])).collect()}
+    assert (3, 31, 500, 1, 20) in found or (1, 20, 500, 3, 31) in found
+    assert any(n == 300 and 2 in (d, o) for d, _, n, o, _ in found)
