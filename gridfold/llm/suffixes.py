@@ -31,16 +31,19 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 2**64))
 
 
-def _steps(first: int) -> np.ndarray:
-    """Lengths from ``first``, each an eighth longer than the one before."""
+def _steps(first: int, more: int) -> np.ndarray:
+    """Lengths from ``first``, each longer than the one before by its ``more``-th part."""
     out = [first]
     while out[-1] < 2**31:
-        out.append(max(out[-1] + 1, out[-1] * 9 // 8))
+        out.append(out[-1] + max(1, out[-1] // more))
     return np.array(out)
 
 
-#: Prefixes by whose hashes equal first ``PREFIX`` words are put in order, and lengths tried at the ends of a run.
-DEPTHS, REACHES = _steps(PREFIX)[1:], _steps(1)
+#: Prefixes by whose hashes equal first ``PREFIX`` words are put in order: each twice as long as the one before.  Finer steps
+#: give more neighbours that last for one position only: with eighths there are several times as many runs.
+DEPTHS = _steps(PREFIX, 1)[1:]
+#: Lengths tried at the ends of a run.
+REACHES = _steps(1, 8)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -103,10 +106,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes: links of each to the one before with an equal prefix, and the two ends of the part.
-
-    The same place of equal rows counts once.
-    """
+    """Sorted suffixes: links of each to the one before with an equal prefix, and the two ends of the part."""
     names = ["end", *KEYS, "other_id", "other_at"]
     types = [pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     last: tuple | None = None
@@ -117,11 +117,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        prefix, doc, at = (batch.column(i).to_numpy() for i in (0, 2, 3))
+        prefix, _, doc, at = (c if i == 1 else c.to_numpy() for i, c in enumerate(batch.columns))
         if last is None:
             yield emit([[True], prefix[:1], [batch.column(1)[0].as_py()], doc[:1], at[:1], [None], [None]])
         before = [np.concatenate([[x[0] if last is None else last[i]], x[:-1]]) for i, x in ((0, prefix), (2, doc), (3, at))]
-        linked = (before[0] == prefix) & ~((before[1] == doc) & (before[2] == at))
+        linked = before[0] == prefix
         linked[0] &= last is not None
         n = int(linked.sum())
         if n:
@@ -189,8 +189,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     with its neighbour in the suffix order.
 
     A passage of ``LEAST`` words or more that occurs n times is found at all n places, which are joined through
-    links; the order tells prefixes apart that differ in length by an eighth, so a link of such a chain has at least
-    eight ninths of the passage (from its first chosen position).  Nothing shorter than ``PREFIX`` is reported.
+    links; the order tells prefixes of 40, 80, 160... words apart, so each link of such a chain has at least
+    half of the passage (from its first chosen position).  Nothing shorter than ``PREFIX`` is reported.
     Suffixes are sorted over ranges of (prefix, deeper hashes, id, position), so a passage of a third of all documents
     is spread over many tasks; only the two end rows of each part are compared apart.  Words beside
     a run are compared by 64-bit hashes.
@@ -202,7 +202,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     tag = F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).alias("tag")
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), none).alias("doc_id"), tag, text.alias("text"))
     keyed = "prefix long, deeper binary, doc_id long, at long"
-    found = rows.mapInArrow(_suffixes, keyed).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
+    # Ranges are sampled from the shuffled suffixes: without distinct the texts would be taken apart twice.
+    found = rows.mapInArrow(_suffixes, keyed).distinct().repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     pairs = stored(found.mapInArrow(_neighbours, f"end boolean, {keyed}, other_id long, other_at long"), "neighbours")
     ends = pairs.where("end").select(*KEYS).distinct()  # two rows per part
     whole = Window.orderBy(*KEYS)
