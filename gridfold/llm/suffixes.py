@@ -1,9 +1,9 @@
 """Repeated passages by a sparse suffix array.
 
 Only suffixes at minimiser positions are kept: the least hashed word group of every few, which equal
-passages choose alike.  Suffixes are sorted by hashes of ever longer prefixes, so those that share more
-stand closer, and compared with the neighbour before; equal neighbours that continue each other are one
-run, whose ends are then extended left and right until the texts differ.
+passages choose alike.  Suffixes are sorted by the hash of their first words, then by id, and compared with
+the neighbour before; equal neighbours that continue each other are one run, whose ends are then
+extended left and right until the texts differ.
 """
 
 from __future__ import annotations
@@ -26,24 +26,20 @@ GROUP, CHOICE, PREFIX = 4, 10, 40
 LEAST = PREFIX + CHOICE
 #: Up to here the steps of an extension are single words.
 NEAR = 16
-KEYS = ["prefix", "deeper", "doc_id", "at"]
+KEYS = ["prefix", "doc_id", "at"]
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 2**64))
 
 
-def _steps(first: int, more: int) -> np.ndarray:
-    """Lengths from ``first``, each longer than the one before by its ``more``-th part."""
-    out = [first]
+def _reaches() -> np.ndarray:
+    out = [1]
     while out[-1] < 2**31:
-        out.append(out[-1] + max(1, out[-1] // more))
+        out.append(out[-1] + max(1, out[-1] // 8))
     return np.array(out)
 
 
-#: Prefixes by whose hashes equal first ``PREFIX`` words are put in order: each twice as long as the one before.  Finer steps
-#: give more neighbours that last for one position only: with eighths there are several times as many runs.
-DEPTHS = _steps(PREFIX, 1)[1:]
-#: Lengths tried at the ends of a run.
-REACHES = _steps(1, 8)
+#: Lengths tried at the ends of a run, each longer by an eighth or one word.
+REACHES = _reaches()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -78,14 +74,6 @@ class Running:
         return out ^ (out >> np.uint64(32))
 
 
-def depth_bytes(running: Running, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """One byte for the hash of each prefix of ``DEPTHS`` words that the text still has, row by row, and their number."""
-    count = np.searchsorted(DEPTHS, n - at, "right")
-    row = np.repeat(np.arange(len(at)), count)
-    level = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return (running.of(at[row], DEPTHS[level]) & np.uint64(255)).astype(np.uint8), count
-
-
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -96,39 +84,34 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = word_hashes(words)
             at = chosen_positions(hashes)
             at = at[at + PREFIX <= len(words)]
-            running = Running(hashes)
-            out.append((np.full(len(at), i), running.of(at, PREFIX).view(np.int64), at + (tag << 32), *depth_bytes(running, at, len(words))))
+            out.append((np.full(len(at), i), Running(hashes).of(at, PREFIX).view(np.int64), at + (tag << 32)))
         if out:
-            row, prefix, at, depths, count = (np.concatenate(c) for c in zip(*out))
-            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            deeper = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(depths.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(prefix), deeper, batch.column(0).take(pa.array(row)), pa.array(at)], KEYS)
+            row, prefix, at = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(prefix), batch.column(0).take(pa.array(row)), pa.array(at)], KEYS)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes: links of each to the one before with an equal prefix, and the two ends of the part."""
     names = ["end", *KEYS, "other_id", "other_at"]
-    types = [pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     last: tuple | None = None
 
-    def emit(cols: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+    def emit(end: bool, cols: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), end)), *[pa.array(c, pa.int64()) for c in cols]], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        prefix, _, doc, at = (c if i == 1 else c.to_numpy() for i, c in enumerate(batch.columns))
+        prefix, doc, at = (c.to_numpy() for c in batch.columns)
         if last is None:
-            yield emit([[True], prefix[:1], [batch.column(1)[0].as_py()], doc[:1], at[:1], [None], [None]])
-        before = [np.concatenate([[x[0] if last is None else last[i]], x[:-1]]) for i, x in ((0, prefix), (2, doc), (3, at))]
-        linked = before[0] == prefix
-        linked[0] &= last is not None
-        n = int(linked.sum())
-        if n:
-            yield emit([np.zeros(n, bool), prefix[linked], [None] * n, doc[linked], at[linked], before[1][linked], before[2][linked]])
-        last = (prefix[-1], batch.column(1)[-1].as_py(), doc[-1], at[-1])
+            yield emit(True, [[int(prefix[0])], [int(doc[0])], [int(at[0])], [None], [None]])
+        before = [np.concatenate([[x[0] if last is None else last[i]], x[:-1]]) for i, x in enumerate((prefix, doc, at))]
+        same = before[0] == prefix
+        same[0] &= last is not None
+        if same.any():
+            yield emit(False, [c[same] for c in (prefix, doc, at, before[1], before[2])])
+        last = (prefix[-1], doc[-1], at[-1])
     if last is not None:
-        yield emit([[True], *[[x] for x in last], [None], [None]])
+        yield emit(True, [[int(x)] for x in last] + [[None], [None]])
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -189,9 +172,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     with its neighbour in the suffix order.
 
     A passage of ``LEAST`` words or more that occurs n times is found at all n places, which are joined through
-    links; the order tells prefixes of 40, 80, 160... words apart, so each link of such a chain has at least
-    half of the passage (from its first chosen position).  Nothing shorter than ``PREFIX`` is reported.
-    Suffixes are sorted over ranges of (prefix, deeper hashes, id, position), so a passage of a third of all documents
+    links.  Suffixes of equal first ``PREFIX`` words are in order of id, not of what follows, so of a longer passage a
+    link of such a chain may hold a part only, but ``PREFIX`` words or more.  Nothing shorter than ``PREFIX`` is reported.
+    Suffixes are sorted over ranges of (prefix, id, position), so a passage of a third of all documents
     is spread over many tasks; only the two end rows of each part are compared apart.  Words beside
     a run are compared by 64-bit hashes.
     Places within one row count too.  Null ids count as the largest id and are returned as null; rows
@@ -201,8 +184,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     none = F.lit(2**63 - 1)
     tag = F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).alias("tag")
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), none).alias("doc_id"), tag, text.alias("text"))
-    keyed = "prefix long, deeper binary, doc_id long, at long"
-    # Ranges are sampled from the shuffled suffixes: without distinct the texts would be taken apart twice.
+    keyed = "prefix long, doc_id long, at long"
     found = rows.mapInArrow(_suffixes, keyed).distinct().repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     pairs = stored(found.mapInArrow(_neighbours, f"end boolean, {keyed}, other_id long, other_at long"), "neighbours")
     ends = pairs.where("end").select(*KEYS).distinct()  # two rows per part

@@ -175,7 +175,7 @@ def maximal_matches(split, least):
 
 
 def test_places_of_every_repeat_are_joined(documents):
-    """Brute force: the places of every maximal repeat are joined by links over half of it or more, as long as the texts agree."""
+    """Brute force: the places of every maximal repeat are joined, and every link goes on as long as the texts agree."""
     rnd = random.Random(5)
     base = words(420, 21)
     split = []
@@ -205,10 +205,12 @@ def test_places_of_every_repeat_are_joined(documents):
             for s, size, o, t in links.get(d, []):
                 shared = min(at + n, s + size) - max(at, s)
                 place = (o, at - s + t)
-                if 2 * shared >= n - 9 and place not in reached:
+                if shared >= suffixes.PREFIX and place not in reached:
                     reached.add(place)
                     todo.append(place)
         assert (j, b) in reached, (i, a, j, b, n)
+        for d, at in ((i, a), (j, b)):  # and every word of the place lies in a link
+            assert set(range(at, at + n)) <= {x for s, size, _, _ in links[d] for x in range(s, s + size)}
 
 
 def test_longest_match_is_linked_past_a_shorter_one(documents):
