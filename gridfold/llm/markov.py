@@ -1,12 +1,13 @@
 """Secret scans: base patterns, and character Markov models of random strings and ordinary words.
 
-Two first-order models over the printable ASCII characters give the log-likelihood ratio of each long
+Two first-order models over the printable ASCII characters give the log-likelihood ratio of each
 token; tokens that look random by it are further spans.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +21,18 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 and more characters: what follows AKIA is ta
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Tokens, both to learn from and to judge.
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
-#: Nats per character pair above which a token counts as random.
-THRESHOLD = 0.5
+#: Nats above which a token counts as random: of the whole token, so a short one has to be odder, and per character pair.
+EVIDENCE, THRESHOLD = 10.0, 0.5
 SYMBOLS = 128
 #: Weight, in counts, of the single characters in the estimate of a pair.
 BACK = 20.0
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
 
-def _found(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of all matches (code points, end exclusive): pieces between the matches give the positions."""
+def _found(text: Column, pattern: str, kind: int, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of all (wanted) matches, code points, end exclusive: pieces between the matches give the positions."""
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     pieces = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
@@ -40,7 +41,10 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
         begin = acc["at"] + F.char_length(pair["p"])
         stop = begin + F.char_length(pair["m"])
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), pair["m"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        spans = F.concat(acc["spans"], F.array(span))
+        if wanted is not None:  # a long text has few of them
+            spans = F.when(wanted(pair["m"]), spans).otherwise(acc["spans"])
+        return F.struct(stop.alias("at"), spans.alias("spans"))
 
     pairs = F.filter(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda x: x["m"].isNotNull())
     return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
@@ -109,26 +113,24 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     return random.union(once.select(words.alias("token"), F.lit(False).alias("random")))
 
 
-def random_spans(text: Column, ratios: list[float], base: Column, threshold: float = THRESHOLD) -> Column:
-    """Spans of long tokens whose mean ratio per character pair is over ``threshold`` and that no base span touches."""
+def random_spans(text: Column, ratios: list[float], base: Column, evidence: float = EVIDENCE, threshold: float = THRESHOLD) -> Column:
+    """Spans of tokens whose ratios add up to more than ``evidence`` and to more than ``threshold`` per character pair,
+    and that no base span touches."""
     # One text literal, which the optimizer folds into an array: thousands of literals would swell the plan.
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
 
-    def mean(token: Column) -> Column:
+    def wanted(token: Column) -> Column:
         points = F.transform(F.split(token, ""), lambda c: F.ascii(c))
         total = lambda p: F.aggregate(
             F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(table, F.get(p, i - 1) * SYMBOLS + F.get(p, i)), F.lit(0.0))
         )
-        return bind(points, total) / (F.char_length(token) - 1)
+        return bind(points, total) > F.greatest(F.lit(evidence), (F.char_length(token) - 1) * threshold)
 
-    def wanted(span: Column) -> Column:
-        free = ~F.exists(base, lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
-        return free & (mean(span["value"]) > threshold)
+    free = lambda span: ~F.exists(base, lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
+    return F.filter(_found(text, WORD, 3, wanted), free)
 
-    return F.when(text.rlike(TOKEN), F.filter(_found(text, TOKEN, 3), wanted)).otherwise(_none())
 
-
-def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, ratios: list[float] | None = None, evidence: float = EVIDENCE, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans`` (base ones and those of the models, by start, then kind).
 
     Spans are ``start, kind, stop, value``; kinds are numbered as in ``KINDS``.  ``ratios`` are the trained
@@ -137,7 +139,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float =
     ratios = train(labelled_samples(docs)) if ratios is None else ratios
     text = whole_text(docs)
     based = docs.withColumn("base_spans", base_spans(text))
-    more = random_spans(whole_text(based), ratios, F.col("base_spans"), threshold)
+    more = random_spans(whole_text(based), ratios, F.col("base_spans"), evidence, threshold)
     return based.withColumn("spans", F.sort_array(F.concat("base_spans", more)))
 
 
