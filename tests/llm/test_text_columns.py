@@ -51,30 +51,6 @@ def test_models_tell_random_strings_from_words(documents, spark):
     assert markov.train(samples.limit(0)) == [0.0] * markov.SYMBOLS**2
 
 
-def plain_random_spans(text, ratios):
-    """Model spans one token at a time."""
-    base = [(m.start(), m.end()) for p, fits in PATTERNS for m in p.finditer(text) if fits(m)]
-    out = []
-    for m in re.finditer(markov.WORD, text):
-        total = sum(round(ratios[ord(a) * markov.SYMBOLS + ord(b)], 4) for a, b in zip(m[0], m[0][1:]))
-        if total > max(markov.EVIDENCE, markov.THRESHOLD * (len(m[0]) - 1)) and not any(a < m.end() and m.start() < b for a, b in base):
-            out.append((m.start(), m.end(), m[0]))
-    return out
-
-
-def test_model_spans_equal_brute_force(documents, spark):
-    """Random tokens of any length, beside and inside base findings, in short and very long texts."""
-    rnd = random.Random(8)
-    parts = "read write open close file user name data value index list item count first last next".split()
-    samples = spark.createDataFrame([(random_token(rnd, 12), True) for _ in range(500)] + [("_".join(rnd.choices(parts, k=3)), False) for _ in range(500)], "token string, random boolean")
-    ratios = markov.train(samples)
-    rows = [(i, " ".join(rnd.choices(parts, k=9)) + f" é😀 {random_token(rnd, 3 + i % 20)}, {random_token(rnd, 8)}") for i in range(60)]
-    rows += [(90, f"token={random_token(rnd, 14)} {random_token(rnd, 14)}"), (91, "read write " * 8000 + random_token(rnd, 12)), (92, ""), (93, "Q" * 9000)]
-    got = {r.doc_id: [(s.start, s.stop, s.value) for s in r.spans if s.kind == 3] for r in markov.scan(documents(rows, extra="spans2"), ratios).select("doc_id", "spans").collect()}
-    assert got == {i: plain_random_spans(t, ratios) for i, t in rows}
-    assert sum(len(v) > 0 for v in got.values()) > 40 and any(len(v) < 16 for spans in got.values() for *_, v in spans)
-
-
 def test_models_learn_from_all_texts(documents):
     """Words of every distinct text count, copies once, and each random value once."""
     key = "AKIA" + "Q" * 16
