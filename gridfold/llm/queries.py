@@ -133,7 +133,9 @@ def fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secrets")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = markov.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(markov.KINDS[:3])]
+    # A filter function with a second parameter, default or not, is given the position there.
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(markov.KINDS[:3])]
     base = F.sha2(markov.spans_text(F.col("base_spans")), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, markov.spans_text(F.col("spans")).alias("spans"))
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -5,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from gridfold.llm import fingerprints, markov, neighbours
+from gridfold.llm import fingerprints, markov, neighbours, queries
 
 PATTERNS = [
     (re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
@@ -33,6 +34,16 @@ def test_base_spans_equal_patterns(documents):
     assert markov.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_query_counts_each_kind(documents, tmp_path):
+    rows = [(1, "0123456789abcdef " * 3), (2, SECRETS[0] + " " + KEYS), (3, None), (None, SECRETS[1]), (3, "fedcba9876543210 api_key=password=abcdefghijkl")]
+    docs = documents(rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.secrets(docs.sparkSession, str(tmp_path)).collect()
+    plain = [(d, plain_spans(t)) for d, t in rows]
+    want = [(d, *[sum(x.startswith(k) for x in p.split(",")) for k in markov.KINDS[:3]], hashlib.sha256(p.encode()).hexdigest()) for d, p in plain]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256)) for r in got)
+
+
 def random_token(rnd, n=40):
     return "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
 
