@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import kernel
+from gridfold.functions.measure import is_point
 from gridfold.plans.grid import CellJoin, anchored, exists_join, fetched, keyed, profiles
-from gridfold.schema import with_bbox
+from gridfold.schema import COLUMNS, computed, with_bbox
 from gridfold.session import stored
 
 CLIP_TOLERANCE = 0.0003
@@ -37,6 +38,10 @@ def _mode(op: str, mode: str, legal: tuple[str, str]) -> None:
         raise ValueError(f"{op}: mode must be one of {legal}")
 
 
+def _mask_shape(tolerance: float) -> Column:
+    return kernel.repair(kernel.simplify(kernel.pack(F.col("geom")), F.lit(tolerance)))
+
+
 def _masks(a: DataFrame, b: DataFrame, tolerance: float, hot_rows: int | None) -> tuple[DataFrame, DataFrame, int]:
     """Anchored rows of a; per row the union of the (simplified, repaired) b shapes that meet it; the size of b.
 
@@ -46,7 +51,7 @@ def _masks(a: DataFrame, b: DataFrame, tolerance: float, hot_rows: int | None) -
     join row numbers and envelopes only, and each shape that has a candidate is fetched (and simplified) afterwards.
     """
     kernel.install(a.sparkSession)
-    shape = kernel.repair(kernel.simplify(kernel.pack(F.col("geom")), F.lit(tolerance)))
+    shape = _mask_shape(tolerance)
     rows = anchored(a)
     measured = profiles((rows, None), (b, None))
     if any(p.small for p in measured):
@@ -72,6 +77,18 @@ def intersection(a: DataFrame, b: DataFrame, mode: str = "filter", hot_rows: int
     _mode("intersection", mode, ("filter", "clip"))
     if mode == "filter":
         return exists_join(a, b, intersects_test, hot_rows=hot_rows)
+    kernel.install(a.sparkSession)
+    rows, single = stored(a, "rows"), is_point(F.col("geom"))
+    kinds = {r["single"] for r in rows.where(F.col("bbox").isNotNull()).select(single.alias("single")).distinct().collect()}
+    # What is left of a point is the point, so it needs one partner and no mask of all of them.
+    points = exists_join(rows.where(single), b, intersects_test, hot_rows=hot_rows, right_shape=_mask_shape(CLIP_TOLERANCE))
+    if kinds == {True}:
+        return points.select(*COLUMNS)
+    shapes = _clipped(rows.where(~single), b, hot_rows)
+    return shapes.unionByName(points.select(*COLUMNS)) if True in kinds else shapes
+
+
+def _clipped(a: DataFrame, b: DataFrame, hot_rows: int | None) -> DataFrame:
     rows, masks, _ = _masks(a, b, CLIP_TOLERANCE, hot_rows)
     cut = rows.join(masks, "_row").withColumn("_cut", kernel.intersection(kernel.pack(F.col("geom")), F.col("_mask")))
     return with_bbox(cut.withColumn("geom", kernel.unpack(F.col("_cut"))))
@@ -92,7 +109,7 @@ def difference(a: DataFrame, b: DataFrame, mode: str = "subtract", hot_rows: int
         return a.where(F.lit(False))
     left = spatial.join(masks, "_row", "left")
     rest = kernel.difference(kernel.pack(F.col("geom")), F.col("_mask"))
-    cut = left.withColumn("_cut", F.when(F.col("_mask").isNotNull(), rest))
+    cut = computed(left, _cut=F.when(F.col("_mask").isNotNull(), rest))
     kept = cut.where(F.col("_mask").isNull() | ~kernel.is_empty(F.col("_cut")))
     geom = F.when(F.col("_mask").isNull(), F.col("geom")).otherwise(kernel.unpack(F.col("_cut")))
     return with_bbox(kept.withColumn("geom", geom))

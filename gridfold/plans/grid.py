@@ -285,15 +285,16 @@ def exists_join(
     anti: bool = False,
     payload: DataFrame | None = None,
     hot_rows: int | None = None,
+    right_shape: Column | None = None,
 ) -> DataFrame:
     """Rows of ``left`` with (or, ``anti``, without) a partner in ``right`` that passes ``test``.
 
     Where the joined geometry is a derived one, ``payload`` holds the anchored
-    rows to return, and ``left`` their row numbers as ``fid``.
+    rows to return, and ``left`` their row numbers as ``fid``.  ``right_shape`` is the WKB that stands for a right row's geometry.
     """
     rows = anchored(left) if payload is None else payload
     names = [c for c in rows.columns if c != "_row"]
-    join = CellJoin(keyed(rows) if payload is None else left, right, grow, dedup_right=True, hot_rows=hot_rows)
+    join = CellJoin(keyed(rows) if payload is None else left, right, grow, right_shape, dedup_right=True, hot_rows=hot_rows)
     how = "left_anti" if anti else "left_semi"
     safe_right = join.rp.rows <= hot_limit(join.rp.rows, hot_rows)
     direct = join.one_cell and (join.rp.small or (safe_right and not join.lp.small))
