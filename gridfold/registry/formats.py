@@ -27,10 +27,10 @@ def _placed(df):
     return df.select("fid", *xy())
 
 
-def _documents(spark, d):
+def _documents(spark, d, size=100):
     """Feature texts with an id member, a hundred to a document."""
     one = customers(spark, d).select(
-        (F.col("fid") / 100).cast("bigint").alias("page"),
+        (F.col("fid") / size).cast("bigint").alias("page"),
         sinks.feature_text(
             F.col("geom"), F.concat(F.lit('{"id":'), F.col("fid"), F.lit(","), F.expr("substr(properties, 2)"))
         ).alias("feature"),
@@ -233,10 +233,10 @@ def s13(spark, d):
     )
 
 
-def _pages(spark, d):
+def _pages(spark, d, size=100):
     path = new_path(spark, "pages")
     # One document per page key and file; a document holds a hundred features.
-    _documents(spark, d).repartition("page").write.partitionBy("page").text(path)
+    _documents(spark, d, size).repartition("page").write.partitionBy("page").text(path)
     return f"{path}/page=*"
 
 
@@ -260,10 +260,15 @@ def s14_blank(spark, d):
     return _named(out.withColumn("fid", json_value(F.col("properties"), "id").cast("bigint")))
 
 
+def _arriving(spark, d):
+    """Pages for a stream.  A larger table comes in larger pages, of a hundred features at least, some thousand files in all."""
+    return _pages(spark, d, max(100, table(spark, d, "customer").count() // 1000))
+
+
 @query("T1_restarted_count", "SELECT count(*)::BIGINT AS features, count(*)::BIGINT AS ids, count(*)::BIGINT AS counted FROM customer")
 def t1_count(spark, d):
     """A stream that is stopped and started again: numbered items, and the count kept beside them."""
-    pages, data, mark = _pages(spark, d), new_path(spark, "appended"), new_path(spark, "progress")
+    pages, data, mark = _arriving(spark, d), new_path(spark, "appended"), new_path(spark, "progress")
     for _ in range(2):
         stream_append(spark, pages, data, mark, max_files_per_trigger=7).awaitTermination()
     found = read_appended(spark, data).agg(F.count(F.lit(1)).alias("features"), F.countDistinct("fid").alias("ids"))
@@ -272,7 +277,7 @@ def t1_count(spark, d):
 
 @query("T1_stream_append", NAMED)
 def t1(spark, d):
-    pages, data, mark = _pages(spark, d), new_path(spark, "appended"), new_path(spark, "progress")
+    pages, data, mark = _arriving(spark, d), new_path(spark, "appended"), new_path(spark, "progress")
     stream_append(spark, pages, data, mark, max_files_per_trigger=20, fid_property="id").awaitTermination()
     return _named(read_appended(spark, data))
 

@@ -50,9 +50,17 @@ def document_crs(docs: DataFrame, column: str = "value") -> Column:
     return parse_crs_column(_object(F.col(column), "$.crs.properties.name"))
 
 
-def features_of(texts: DataFrame, feature: Column, fid: Column | None = None, crs: Column | None = None) -> DataFrame:
-    """Feature texts to feature rows, in degrees where ``crs`` names their system; rows without geometry are dropped."""
-    geom = parse_geojson(_object(feature, "$.geometry"), collections=True)
+def feature_geometry(feature: Column) -> Column:
+    """The geometry of a Feature text."""
+    return parse_geojson(_object(feature, "$.geometry"), collections=True)
+
+
+def features_of(texts: DataFrame, feature: Column, fid: Column | None = None, crs: Column | None = None, geom: Column | None = None) -> DataFrame:
+    """Feature texts to feature rows, in degrees where ``crs`` names their system; rows without geometry are dropped.
+
+    ``geom`` is ``feature_geometry(feature)``, for callers that need it many times.
+    """
+    geom = feature_geometry(feature) if geom is None else geom
     if crs is not None:
         geom = to_degrees(geom, crs)
     props = F.coalesce(_object(feature, "$.properties"), F.lit("{}"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridfold.schema import computed
 from gridfold.sources.geojson import feature_texts, features_of
 from gridfold.sources.guard import finish
 from gridfold.sources.jsonarray import array_features
@@ -20,8 +21,8 @@ def page_items(docs: DataFrame) -> DataFrame:
     plain = F.when(F.trim(doc).startswith("["), F.from_json(doc, "array<string>"))
     items = F.coalesce(features, plain)
     wrong = F.raise_error(F.lit("a page is neither GeoJSON nor an array")).cast("array<string>")
-    filled = docs.where(F.trim("value") != "")
-    return filled.select("file", F.explode(F.coalesce(items, wrong)).alias("item"), features.isNotNull().alias("geojson"))
+    filled = computed(docs.where(F.trim("value") != ""), items=F.coalesce(items, wrong), geojson=features.isNotNull())
+    return filled.select("file", F.explode("items").alias("item"), "geojson")
 
 
 def read_pages(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,7 +11,7 @@ from gridfold.functions.project import reproject
 from gridfold.functions.units import resolve_crs
 from gridfold.plans.numbering import numbered
 from gridfold.schema import FEATURE, with_bbox
-from gridfold.sources.geojson import features_of
+from gridfold.sources.geojson import feature_geometry, features_of
 from gridfold.sources.jsonarray import array_features
 from gridfold.sources.pages import page_items
 from gridfold.sources.roles import profile_members
@@ -48,21 +48,34 @@ def stream_append(
     sample = None if first_item is None else profile_members(spark.createDataFrame([(first_item,)], "item string"), item)
     source = resolve_crs(crs)
 
+    # Long expressions take longer to build than a batch to read: they are built once.
+    geom = feature_geometry(item)
+    shifted = None if source is None else reproject(F.col("geom"), source, "EPSG:4326")
+    landed: dict[int, int] = {}  # items up to and with a batch that this query has landed
+
     def land(batch: DataFrame, number: int) -> None:
+        seen, kept = Observation(), Observation()
         items = page_items(batch)
         if fid_property:
             fid = F.get_json_object(item, path + fid_property).try_cast("bigint")
+            earlier = 0
         else:
-            before = _counts(spark, dataset)
-            earlier = 0 if before is None else before.where(F.col("batch") < number).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            earlier = landed.get(number - 1)
+            if earlier is None:
+                before = _counts(spark, dataset)
+                earlier = 0 if before is None else before.where(F.col("batch") < number).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             items, fid = numbered(items, "number", earlier), F.col("number")
-        rows = features_of(items, item, fid) if sample is None else array_features(items, item, sample, fid=fid, **columns)
-        if source is not None:
-            rows = with_bbox(rows.withColumn("geom", reproject(F.col("geom"), source, "EPSG:4326")))
+        items = items.observe(seen, F.count(F.lit(1)).alias("n"))
+        rows = features_of(items, item, fid, geom=geom) if sample is None else array_features(items, item, sample, fid=fid, **columns)
+        if shifted is not None:
+            rows = with_bbox(rows.withColumn("geom", shifted))
+        rows = rows.observe(kept, F.count(F.lit(1)).alias("features"))
         rows.write.mode("overwrite").parquet(f"{dataset}/batch={number}")
-        seen = items.agg(F.count(F.lit(1)).alias("n"))
-        kept = spark.read.schema(FEATURE).parquet(f"{dataset}/batch={number}").agg(F.count(F.lit(1)).alias("features"))
-        seen.join(kept).coalesce(1).write.mode("overwrite").parquet(f"{dataset}.counts/batch={number}")
+        n, features = seen.get["n"], kept.get["features"]
+        counts = spark.range(0, 1, 1, 1).select(F.lit(n).cast("bigint").alias("n"), F.lit(features).cast("bigint").alias("features"))
+        counts.write.mode("overwrite").parquet(f"{dataset}.counts/batch={number}")
+        landed.clear()
+        landed[number] = earlier + n
 
     writer = docs.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
