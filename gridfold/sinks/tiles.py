@@ -21,6 +21,8 @@ EXTENT, BUFFER, TOLERANCE = 4096, 64, 3.0
 MARGIN = BUFFER / EXTENT
 #: Features spanning more tiles than this at the last zoom go down a pyramid: each step of so many zooms cuts the pieces of the step before.
 SPAN, STEP = 8, 3
+#: Rows of the tile table that one task sorts.
+SORTED_ROWS = 1_000_000
 
 TILE_COLUMNS = ["z", "x", "y", "tile_id", "layer", "fid", "geom", "properties"]
 
@@ -174,10 +176,14 @@ def write_tiles(tiles: DataFrame, path: str, partitions: int | None = None) -> N
     """Tile table by zoom, in Hilbert order inside the files.
 
     The zoom leads the sort: a write by zoom would otherwise sort by it alone and
-    lose the order.
+    lose the order.  Tiles are made once and counted, and a task sorts some ``SORTED_ROWS`` of them: ``partitions`` is
+    the least number of ranges, and more rows have more ranges.
     """
     keys = ["z", "tile_id", "layer", "fid"]
-    spread = tiles.repartitionByRange(partitions, *keys) if partitions else tiles.repartitionByRange(*keys)
+    tiles = stored(tiles, "tiles")
+    ranges = -(-tiles.count() // SORTED_ROWS)
+    least = partitions or int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = tiles.repartitionByRange(max(least, ranges), *keys)
     spread.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("z").parquet(path)
 
 
