@@ -169,6 +169,10 @@ def _digits(v: Column) -> Column:
 
 def wkt_of(geom: Column) -> Column:
     """Geometry struct to WKT."""
+    return let(geom, _wkt_text)
+
+
+def _wkt_text(geom: Column) -> Column:
     ring = lambda r: F.concat(
         F.lit("("),
         F.array_join(F.transform(r, lambda v: F.concat(_digits(v["x"]), F.lit(" "), _digits(v["y"]))), ", "),
@@ -196,6 +200,10 @@ def wkt_of(geom: Column) -> Column:
 
 def geojson_of(geom: Column) -> Column:
     """Geometry struct to GeoJSON geometry text."""
+    return let(geom, _geojson_text)
+
+
+def _geojson_text(geom: Column) -> Column:
     at = lambda v: F.array(v["x"], v["y"])
     ring = lambda r: F.transform(r, at)
     polygon = lambda p: F.transform(p, ring)

@@ -91,3 +91,12 @@ def evened(df: DataFrame, rows: int, by: str = "fid") -> DataFrame:
     if rows > EVEN_ROWS:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, by)
+
+
+#: Tasks a core, for work that costs far more than a shuffle of its input.
+TASKS_PER_CORE = 4
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly work on each, however few files and row groups they come from."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)

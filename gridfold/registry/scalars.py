@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridfold.functions import geomtext, names, props, tilemath, units
 from gridfold.functions.measure import bbox_of
+from gridfold.plans.skew import dealt
 from gridfold.registry.base import BP, PO, ctes, event_rows, orders, part_boxes, query, table
 from gridfold.schema import computed
 
@@ -150,7 +151,7 @@ def f13(spark, d):
   round(ymax, 6) AS ymax, 'POLYGON ((' AS head FROM bp""")
 def f14(spark, d):
     text = geomtext.wkt_of(geomtext.parse_geojson(geomtext.geojson_of(F.col("geom"))))
-    shown = computed(part_boxes(spark, d), wkt=text)
+    shown = computed(dealt(part_boxes(spark, d)), wkt=text)
     back = computed(shown, geom=geomtext.parse_wkt(F.col("wkt")))
     back = computed(back, bbox=bbox_of(F.col("geom")))
     return back.select(
