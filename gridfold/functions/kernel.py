@@ -49,12 +49,13 @@ def install(spark: SparkSession) -> None:
     """Register the functions once per session."""
     if spark.conf.get(_MARK, None) == "on":
         return
-    from gridfold.schema import GEOM
+    from gridfold.schema import BBOX, GEOM
 
     jar = JAR if JAR.exists() else build()
     spark.sql(f"ADD JAR '{jar}'")
     wkb, number, flag = BinaryType(), DoubleType(), BooleanType()
     shape: DataType = StructType.fromDDL(f"g {GEOM}")["g"].dataType
+    box: DataType = StructType.fromDDL(f"b {BBOX}")["b"].dataType
     for name, result in {
         "Pack": wkb,
         "Unpack": shape,
@@ -67,6 +68,8 @@ def install(spark: SparkSession) -> None:
         "Contains": flag,
         "Distance": number,
         "IsEmpty": flag,
+        "Bounds": box,
+        "Area": number,
     }.items():
         spark.udf.registerJavaFunction(f"gf_{name.lower()}", f"gridfold.kernel.Shapes${name}", result)
     for name in ("To", "From"):
@@ -135,6 +138,16 @@ def is_empty(wkb: Column) -> Column:
     return F.call_function("gf_isempty", wkb)
 
 
+def bounds(wkb: Column) -> Column:
+    """Envelope; NULL for a NULL or empty shape."""
+    return F.call_function("gf_bounds", wkb)
+
+
+def area(wkb: Column) -> Column:
+    """Planar area, holes subtracted, in squared coordinate units."""
+    return F.call_function("gf_area", wkb)
+
+
 def union_agg(wkb: Column) -> Column:
     """Aggregate: union of all shapes of a group, combined before the shuffle as well."""
     return F.call_function("gf_union", wkb)

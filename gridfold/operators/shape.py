@@ -15,7 +15,8 @@ from gridfold.functions.project import zone_value
 from gridfold.operators.combine import one_feature, union_tree
 from gridfold.operators.distance import plane_distance
 from gridfold.plans.numbering import offsets
-from gridfold.schema import computed, with_bbox
+from gridfold.plans.skew import dealt
+from gridfold.schema import computed, from_wkb, with_bbox
 
 
 def simplify_fraction(quad_segs: int) -> float:
@@ -43,11 +44,11 @@ def buffer(
     if strict and df.isEmpty():
         raise ValueError("buffer: produced no features")
     zone = zone_value(df)
-    flat = df.withColumn("_plane", zone["plane"]).withColumn("_r", plane_distance(units.to_meters(distance, units_), zone))
+    flat = dealt(df).withColumn("_plane", zone["plane"]).withColumn("_r", plane_distance(units.to_meters(distance, units_), zone))
     plane = F.col("_plane")
     grown = kernel.buffer(kernel.to_plane(kernel.pack(F.col("geom")), plane), F.col("_r"), quad_segs)
     if not dissolve:
-        return with_bbox(flat.withColumn("geom", kernel.unpack(kernel.from_plane(grown, plane))))
+        return from_wkb(flat, kernel.from_plane(grown, plane))
     tolerance = F.col("_r") * simplify_fraction(quad_segs)
     shaped = computed(flat.where(F.col("geom").isNotNull()), wkb=kernel.repair(kernel.simplify(grown, tolerance)))
     # The envelope only places a shape in the union tree, so that of the unbuffered feature will do.

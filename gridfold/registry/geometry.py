@@ -20,8 +20,7 @@ UTM10 = "EPSG:32610"
 
 
 def _plane_area(df):
-    flat = computed(df, flat=to_plane(F.col("geom"), plane_of(UTM10)))
-    return flat.withColumn("area", area(F.col("flat")))
+    return computed(df, area=kernel.area(kernel.to_plane(kernel.pack(F.col("geom")), plane_of(UTM10))))
 
 
 def _disc(quad_segs: int, radius: float) -> float:

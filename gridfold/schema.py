@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridfold.functions import kernel
 from gridfold.functions.measure import bbox_of
 
 VERTEX = "struct<x:double,y:double>"
@@ -48,6 +49,13 @@ def with_bbox(df: DataFrame) -> DataFrame:
     return computed(shaped, bbox=bbox_of(F.col("geom"))).select(*COLUMNS)
 
 
+def from_wkb(df: DataFrame, wkb: Column) -> DataFrame:
+    """Geometry and envelope from a WKB column, which is evaluated once."""
+    shaped = computed(df, _shape=wkb)
+    both = {"geom": kernel.unpack(F.col("_shape")), "bbox": kernel.bounds(F.col("_shape"))}
+    return computed(shaped, **both).select(*COLUMNS)
+
+
 def table_only(df: DataFrame, properties: Column, fid: Column | None = None) -> DataFrame:
     """Rows without geometry."""
     return as_features(df, F.lit(None).cast(GEOM), properties, fid)
