@@ -28,7 +28,7 @@ def _placed(df):
 
 
 def _documents(spark, d, size=100):
-    """Feature texts with an id member, a hundred to a document."""
+    """Feature texts with an id member, ``size`` to a document."""
     one = customers(spark, d).select(
         (F.col("fid") / size).cast("bigint").alias("page"),
         sinks.feature_text(
@@ -235,7 +235,7 @@ def s13(spark, d):
 
 def _pages(spark, d, size=100):
     path = new_path(spark, "pages")
-    # One document per page key and file; a document holds a hundred features.
+    # One document per page key and file; a document holds ``size`` features.
     _documents(spark, d, size).repartition("page").write.partitionBy("page").text(path)
     return f"{path}/page=*"
 
