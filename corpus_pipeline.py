@@ -17,7 +17,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8 or more), that of the smallest id."""
+    """One document of each group of near copies, that of the smallest id.
+
+    SimHash groups and MinHash bands name the pairs; five-word similarity of 0.8 or more decides.
+    """
     ship(spark)
     return shingles.drop_near_copies(docs)
 

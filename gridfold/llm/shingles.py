@@ -1,8 +1,9 @@
-"""Near copies by shared five-word shingles: MinHash bands name the candidates, whole shingle sets decide.
+"""Near copies: SimHash groups and MinHash bands name the candidates, whole five-word shingle sets decide.
 
-Texts that agree in all hashes of a band meet in one bucket.  Buckets with the same members are compared
-once.  Within a bucket the exact Jaccard similarity of the shingle sets is taken, and links of ``SIMILARITY`` or
-more leave it as a forest.
+Texts that ``simhash.near_duplicates`` puts into one component meet in one bucket, and so do texts that agree in all
+hashes of a band, which reaches pairs whose fingerprints differ in more bits.  Buckets with the same members are
+compared once.  Within a bucket the exact Jaccard similarity of the shingle sets is taken, and links of
+``SIMILARITY`` or more leave it as a forest.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from gridfold.llm.base import by_group, whole_text
 from gridfold.llm.components import components
-from gridfold.llm.simhash import one_of_each
+from gridfold.llm.simhash import near_duplicates, one_of_each
 from gridfold.session import stored
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -112,13 +113,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, row_key, root`` for each row of ``docs`` (``doc_id`` integer, ``text``).
 
     ``row_key`` is a hash of id and text.  Rows have one ``root`` if they are linked, directly or through others, by
-    pairs whose five-word similarity is ``SIMILARITY`` or more.  Null and blank texts are equal.
+    pairs whose five-word similarity is ``SIMILARITY`` or more.  Null and blank texts are equal.  Candidates are
+    texts of one SimHash component or of one band.
     """
     text = whole_text(docs)
     row_key = F.xxhash64(docs["doc_id"], text)
     marked = stored(docs.select(docs["doc_id"], row_key.alias("row_key"), F.xxhash64(text).alias("node"), bands_column(text).alias("bands")), "bands")
     once = marked.groupBy("node").agg(F.min_by("bands", "row_key").alias("bands"), F.min("row_key").alias("row_key"))
-    index = stored(once.select("node", "row_key", F.explode("bands").alias("key")), "buckets")
+    # A component's bucket has the component's smallest fingerprint as its key; if that is a band's too, more pairs are compared.
+    similar = near_duplicates(docs).select("row_key", F.xxhash64("root").alias("key")).distinct()
+    keys = once.select("node", "row_key", F.explode("bands").alias("key")).union(once.join(similar, "row_key").select("node", "row_key", "key"))
+    index = stored(keys, "buckets")
     buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("sign"), F.min("node").alias("least")).where("n > 1")
     buckets = buckets.groupBy("n", "sign", "least").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = stored(index.join(buckets, "key"), "members")

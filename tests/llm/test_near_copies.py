@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from gridfold.llm import shingles, simhash
 from gridfold.llm.components import components
@@ -129,6 +130,20 @@ def test_near_copies_by_five_words(documents, monkeypatch):
     assert len(want) < len({simhash.simhash(t) for _, t in rows})
 
 
+def test_simhash_names_candidates(documents, monkeypatch):
+    """Without any common band, pairs of 0.8 or more within three bits are still found, and less alike ones stay."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "new"])), (3, " ".join(words[:40])), (4, None), (4, None), (None, " "), (5, " ".join(words[40:80]))]
+    assert bin(plain_simhash(rows[0][1]) ^ plain_simhash(rows[1][1])).count("1") <= 3
+    rows.append((6, rows[0][1].replace("w100 ", "odd ")))
+    own = lambda t: t.map(lambda x: [xxhash.xxh64_intdigest((x or "").encode(), k) >> 1 for k in range(3)])
+    monkeypatch.setattr(shingles, "bands_column", F.pandas_udf(own, "array<long>"))
+    got = {(r.doc_id, r.root) for r in shingles.near_copies(documents(rows)).collect()}
+    assert len({root for d, root in got if d in (1, 2, 6)}) == 1
+    assert len({root for d, root in got if d in (1, 3, 4, 5)}) == 4
+    assert sorted(r.doc_id for r in shingles.drop_near_copies(documents(rows)).collect()) == [1, 3, 4, 5]
+
+
 def test_linked_rows_need_similarity():
     a = shingles.shingle_set(" ".join(f"w{i}" for i in range(104)))
     near, far = (shingles.shingle_set(" ".join([f"w{i}" for i in range(104 - n)] + [f"x{i}" for i in range(n)])) for n in (11, 12))
