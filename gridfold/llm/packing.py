@@ -24,10 +24,10 @@ END = 1
 SIZE = 2048
 #: Rows of one length that are ranked together; a longer list is salted.
 RANKED = 200_000
-#: Words that a worker remembers.
-REMEMBERED = 400_000
+#: Words that a worker remembers; as many more are kept from before until they are used again or replaced.
+REMEMBERED = 500_000
 #: Texts that go to the tokenizer as they are: special tokens, separators at which Python alone splits.
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _WIDE = re.compile("[^\x00-\xff]")
 #: The tokenizer file's word pattern, for lower-case text of the first 256 characters.
 _PARTS = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
@@ -41,13 +41,18 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For parts that are cut and in lower case already, with one space between them.
+        self.cut = Tokenizer.from_file(path)
+        self.cut.normalizer = normalizers.Sequence([])
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -56,7 +61,7 @@ class WordEncoder:
         """Many parts in one call: each ends at an id that ends a word."""
         for i in range(0, len(parts), 1000):
             some = parts[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.cut.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")  # no offsets
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
                 cut = ids.tobytes()
@@ -65,24 +70,45 @@ class WordEncoder:
                 self.known.update((p, self.plain(p)) for p in some)
 
     def _parts(self, text: str) -> list[str] | None:
-        if _ODD.search(text):
+        if any(odd in text for odd in _ODD):
             return None
-        if not _WIDE.search(text):
-            return _PARTS.findall(text.lower())
-        return [p for w in text.split() for p in ([w] if _WIDE.search(w) else _PARTS.findall(w.lower()))]
+        if not text.isascii() and _WIDE.search(text):
+            return [p for w in text.split() for p in ([w] if _WIDE.search(w) else _PARTS.findall(w.lower()))]
+        parts: list[str] = []
+        for w in text.lower().split():
+            if w.isalpha():
+                parts.append(w)
+            elif w[:-1].isalpha():
+                parts += (w[:-1], w[-1])
+            else:
+                parts += _PARTS.findall(w)
+        return parts
+
+    def _remember(self, parts: set[str]) -> None:
+        """Parts that aren't known, from those known before or learnt."""
+        again = [p for p in parts if p in self.older]
+        self.known.update((p, self.older[p]) for p in again)
+        parts.difference_update(again)
+        wide = [p for p in parts if not p.isascii() and _WIDE.search(p)]
+        self._learn([*parts.difference(wide)])
+        self.known.update((p, self.plain(p)) for p in wide)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 128):
             cut = [self._parts(t) for t in texts[i : i + 128]]
             if len(self.known) > REMEMBERED:  # before a group of texts, which may add its own words
-                self.known.clear()
-            missing = {p for parts in cut if parts for p in parts}.difference(self.known)
-            wide = [p for p in missing if _WIDE.search(p)]
-            self._learn([*missing.difference(wide)])
-            self.known.update((p, self.plain(p)) for p in wide)
-            get = self.known.__getitem__
-            out += [self.plain(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts[i : i + 128], cut)]
+                self.known, self.older = {}, self.known
+            get = self.known.get
+            found = [None if parts is None else [*map(get, parts)] for parts in cut]
+            gaps = [[k for k, ids in enumerate(own) if ids is None] if own and None in own else [] for own in found]
+            missing = {parts[k] for parts, own in zip(cut, gaps) for k in own}
+            if missing:
+                self._remember(missing)
+            for parts, own, new in zip(cut, found, gaps):
+                for k in new:
+                    own[k] = get(parts[k])
+            out += [self.plain(t) if own is None else b"".join(own) for t, own in zip(texts[i : i + 128], found)]
         return out
 
 

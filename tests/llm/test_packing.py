@@ -28,6 +28,16 @@ def test_ids_equal_the_tokenizer(monkeypatch, memory):
     assert [np.frombuffer(x, "<u4").tolist() + [1] for x in encode(texts)] == [ids_of(t) for t in ODD] * 40
 
 
+def test_words_in_use_are_learnt_once(monkeypatch):
+    """Words that come again outlast a full memory, and ids stay those of the tokenizer."""
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    encode, learnt, learn = packing.WordEncoder(tokenizer_path()), Counter(), packing.WordEncoder._learn
+    monkeypatch.setattr(encode, "_learn", lambda parts: (learnt.update(parts), learn(encode, parts)))
+    texts = [f"Often, naïve é{'abcdefghij'[i % 10]}x{i} ²b'll x.y,, ÀÖ× q" for i in range(1000)]
+    assert [np.frombuffer(x, "<u4").tolist() + [1] for x in encode(texts)] == [ids_of(t) for t in texts]
+    assert learnt["often"] == learnt["naïve"] == 1
+
+
 def test_pieces_are_whole(documents):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, None), (3, "again"), (3, "again"), (-4, "q")]
     got = packing.packed_documents(documents(rows, extra="length"), tokenizer_path(), 64).collect()
