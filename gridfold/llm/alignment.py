@@ -27,10 +27,11 @@ BLOCK_DOCUMENTS, BLOCK_CHARS = 4096, 8 << 20
 #: A bitmap of so many documents or more is stored as bits, a smaller one as places.
 DENSE = BLOCK_DOCUMENTS // 16
 #: Units, and bytes of them, that a worker remembers.
-REMEMBERED, REMEMBERED_BYTES = 150_000, 16 << 20
+REMEMBERED, REMEMBERED_BYTES = 700_000, 40 << 20
 #: A unit ends where one space stands between two characters that aren't white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r"^\s|\s$| \s|\s ")
+#: White space other than the space itself.
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
 # --- tokenizers ---------------------------------------------------------------------------------------
@@ -58,7 +59,7 @@ class ByteLevel:
             self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
 
     def ids(self, spaced: str) -> list[int]:
-        return self.tokenizer.encode(spaced, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([spaced], add_special_tokens=False)[0].ids  # no offsets
 
 
 class Pieces:
@@ -75,6 +76,11 @@ class Pieces:
         return self.model.encode(spaced[1:], num_threads=1)
 
 
+def _uneven(text: str) -> bool:
+    """Whether white space begins or ends ``text``, or stands beside a space."""
+    return text[:1].isspace() or text[-1:].isspace() or "  " in text or any(c in text and (f"{c} " in text or f" {c}" in text) for c in _SPACES)
+
+
 def units_of(text: str) -> list[str]:
     """``space + text`` cut before each single space between two other characters; every unit begins with a space.
 
@@ -82,7 +88,7 @@ def units_of(text: str) -> list[str]:
     """
     if not text:
         return []
-    parts = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+    parts = _CUT.split(text) if _uneven(text) else text.split(" ")
     return [" " + p for p in parts]
 
 
@@ -100,6 +106,8 @@ class Units:
     def __init__(self, a: str, b: str):
         self.a, self.b = ByteLevel(a), Pieces(b)
         self.lengths = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
+        # Each id as text before what follows it: another of its group, then the last of it, in a unit or at its end.
+        self.names = [[np.array([f"{i}{mark}".encode() for i in range(len(t.bytes))], object) for mark in marks] for t, marks in ((self.a, ",|"), (self.b, (",", ";", "")))]
         self.forget()
 
     def forget(self) -> None:
@@ -113,8 +121,11 @@ class Units:
 
     def learn(self, units: list[str]) -> None:
         """Many even units in one call; uneven ones, and those of a call that doesn't give back the bytes, one by one."""
-        uneven = [u for u in units if "▁" in u or _UNEVEN.search(u[1:])]
-        even = sorted(set(units).difference(uneven))
+        uneven = [u for u in units if "▁" in u or (len(u.split()) != 1 or u[1].isspace() or u[-1].isspace()) and _uneven(u[1:])]
+        even = [*dict.fromkeys(units)]
+        if uneven:
+            apart = set(uneven)
+            even = [u for u in even if u not in apart]
         groups = [even[i : i + 20_000] for i in range(0, len(even), 20_000)]
         done = [(g, self._aligned(g)) for g in groups]
         alone = uneven + [u for g, found in done if found is None for u in g]
@@ -153,24 +164,35 @@ class Units:
         codes = ids[0][at[0]] << 32 | ids[1][at[1]]
         upto = [np.searchsorted(x, cuts, "right") for x in (*ends, shared, either)]
         n = np.stack([np.diff(x, prepend=0) for x in upto[:3]], axis=1)
-        names = [list(map(str, own.tolist())) for own in ids]
-        low, groups = (0, 0), []
-        for high in zip(*(np.searchsorted(e, shared, "right").tolist() for e in ends)):
-            groups.append(",".join(names[0][low[0] : high[0]]) + "|" + ",".join(names[1][low[1] : high[1]]))
-            low = high
-        bounds = [0, *upto[2].tolist()]
-        texts = [";".join(groups[i:j]).encode() for i, j in zip(bounds, bounds[1:])]
-        return n, np.diff(upto[3], prepend=0), codes, texts
+        # A group's A ids come before its B ids, so a token stands after all of the earlier groups and its own group's A ids.
+        inner = [np.searchsorted(shared, e, "left") for e in ends]  # each token's group
+        last = [marks[e] == 3 for e in ends]
+        upto_group = [np.searchsorted(e, shared, "right") for e in ends]
+        place = np.arange(len(ids[0])) + np.concatenate([[0], upto_group[1]])[inner[0]], np.arange(len(ids[1])) + upto_group[0][inner[1]]
+        texts = np.empty(len(ids[0]) + len(ids[1]), object)
+        more, final = self.names[0]
+        texts[place[0]] = np.where(last[0], final[ids[0]], more[ids[0]])
+        more, between, end = self.names[1]
+        closing = np.zeros(len(marks), bool)
+        closing[cuts] = True
+        texts[place[1]] = np.where(closing[ends[1]], end[ids[1]], np.where(last[1], between[ids[1]], more[ids[1]]))
+        flat, bounds = texts.tolist(), [0, *(upto[0] + upto[1]).tolist()]
+        return n, np.diff(upto[3], prepend=0), codes, [b"".join(flat[i:j]) for i, j in zip(bounds, bounds[1:])]
 
     def rows(self, documents: list[list[str]]) -> list[np.ndarray]:
         """Numbers of each document's units, new ones learnt first."""
         if len(self.numbers) > REMEMBERED or self.size > REMEMBERED_BYTES:
             self.forget()
-        new = list(dict.fromkeys(u for d in documents for u in d if u not in self.numbers))
+        get = self.numbers.get
+        found = [[*map(get, d)] for d in documents]
+        gaps = [[k for k, number in enumerate(own) if number is None] if None in own else [] for own in found]
+        new = list(dict.fromkeys(d[k] for d, own in zip(documents, gaps) for k in own))
         if new:
             self.learn(new)
-        get = self.numbers.__getitem__
-        return [np.fromiter(map(get, d), np.int64, len(d)) for d in documents]
+        for d, own, new in zip(documents, found, gaps):
+            for k in new:
+                own[k] = get(d[k])
+        return [np.array(own, np.int64) for own in found]
 
 
 _UNITS: dict[tuple[str, str], Units] = {}

@@ -112,6 +112,20 @@ def test_bitmaps_round_trip():
     assert all((alignment.places_of(b) == s).all() for b, s in zip(bits.to_pylist(), sets))
 
 
+def test_units_of_some_blocks_are_learnt_once(monkeypatch):
+    """More distinct units than one block has stay known, also with white space inside and around."""
+    units, learnt = alignment.Units(A, B), []
+    learn = units.learn
+    monkeypatch.setattr(units, "learn", lambda new: (learnt.extend(new), learn(new)))
+    texts = [" ".join(f"w{i * 40 + j}" for j in range(40)) for i in range(5000)]
+    for block in (texts, ["a\nb  c\td \n e\xa0", "a\nb c"], texts[:1]):
+        rows = units.rows([alignment.units_of(t) for t in block])
+    assert len(learnt) == len(set(learnt)) and len(units.numbers) >= 200_000
+    plain = Plain()
+    for t, own in [(texts[0], rows[0]), *((t, units.rows([alignment.units_of(t)])[0]) for t in ("a\nb  c\td \n e\xa0", "a\nb c", *ODD[:12]))]:
+        assert b";".join(units.groups[i] for i in own).decode() == plain.document(t)[2]
+
+
 def test_forgotten_units_are_learnt_again(documents, monkeypatch):
     texts = [" ".join(f"w{i}{j}" for j in range(30)) for i in range(40)]
     units = alignment.Units(A, B)
