@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that Python works on at a time.
+SLICE = 512
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +67,13 @@ def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
 
 
+def sliced(batches: Iterator[pa.RecordBatch | pa.Array], rows: int | None = None) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Batches cut into slices of at most ``rows`` rows (``SLICE``), so that what is made of them is never that of a whole batch."""
+    for batch in batches:
+        for at in range(0, len(batch), rows or SLICE):
+            yield batch.slice(at, rows or SLICE)
+
+
 def by_group(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Batches of rows sorted by ``key``, cut so that no group is in two of them.
 

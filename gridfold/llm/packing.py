@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfold.llm.base import whole_text
+from gridfold.llm.base import sliced, whole_text
 from gridfold.session import stored
 
 END = 1
 SIZE = 2048
 #: Rows of one length that are ranked together; a longer list is salted.
 RANKED = 200_000
-#: Words that a worker remembers; as many more are kept from before until they are used again or replaced.
+#: Words that a task remembers; as many more are kept from before until they are used again or replaced.
 REMEMBERED = 500_000
 #: Texts that go to the tokenizer as they are: special tokens, separators at which Python alone splits.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -51,8 +51,13 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, bytes]
+        self.older: dict[str, bytes]
+        self.forget()
+
+    def forget(self) -> None:
+        """Give the memory of words back."""
+        self.known, self.older = {}, {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -116,7 +121,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One per worker process, so that its words are remembered over tasks."""
+    """One per worker process; its words are remembered until ``forget``."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -132,9 +137,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         tail = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+        try:
+            for part in sliced(batches, 1024):
                 keys, cuts = part.column(0), []
                 for row, ids in enumerate(encode(part.column(1).to_pylist())):
                     ids += tail
@@ -144,6 +148,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = E
                 length = pa.array([len(x) // 4 for x in ids], long)
                 arrays = [keys.take(pa.array(row)), pa.array(start, long), length, pa.array(total, long), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "doc_tokens", "ids"])
+        finally:  # the worker goes on with tasks of other steps, which need the memory
+            encode.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids binary"

@@ -12,14 +12,13 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridfold.llm.base import by_group, whole_text
+from gridfold.llm.base import by_group, sliced, whole_text
 from gridfold.llm.components import components
 from gridfold.llm.simhash import near_duplicates, one_of_each
 from gridfold.session import stored
@@ -62,14 +61,16 @@ def bands(text: str | None) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def bands_column(text: pd.Series) -> pd.Series:
-    return pd.Series([bands(t) for t in text], dtype=object)
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def bands_column(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in sliced(texts):
+        yield pa.array(map(bands, part.to_pylist()), pa.list_(pa.int64()))
 
 
-@F.pandas_udf(T.BinaryType())
-def sets_column(text: pd.Series) -> pd.Series:
-    return pd.Series([shingle_set(t).tobytes() for t in text], dtype=object)
+@F.arrow_udf(T.BinaryType())
+def sets_column(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in sliced(texts):
+        yield pa.array([shingle_set(t).tobytes() for t in part.to_pylist()], pa.binary())
 
 
 def linked_rows(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -94,7 +95,7 @@ def linked_rows(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.nd
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in by_group(batches, ["key", "i", "j"]):
+    for rows in by_group(sliced(batches), ["key", "i", "j"]):
         cols = [rows[c].to_numpy() for c in ("key", "i", "j")]
         node, sets = rows["node"].to_numpy(), rows["shingles"]
         new = np.zeros(len(node), bool)

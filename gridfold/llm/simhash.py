@@ -13,14 +13,13 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridfold.llm.base import by_group, whole_text
+from gridfold.llm.base import by_group, sliced, whole_text
 from gridfold.llm.components import components
 from gridfold.session import stored
 
@@ -48,9 +47,10 @@ def simhash(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf(T.LongType())
-def simhash_column(text: pd.Series) -> pd.Series:
-    return pd.Series([simhash(t) for t in text], dtype="int64")
+@F.arrow_udf(T.LongType())
+def simhash_column(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in sliced(texts):
+        yield pa.array(map(simhash, part.to_pylist()), pa.int64())
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
