@@ -89,7 +89,10 @@ class LatentSpace:
     prior: float
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        at = (rows * self.weights) @ self.axes
+        return self.placed(rows * self.weights)
+
+    def placed(self, weighted: np.ndarray) -> np.ndarray:
+        at = weighted @ self.axes
         return at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12)
 
     def scores(self, rows: np.ndarray, neighbours: int) -> np.ndarray:
@@ -132,13 +135,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = rows.mapInPandas(weigh, f"doc_id {kind}, label int, terms binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
     y = found["label"].to_numpy(np.float64)
-    x = np.frombuffer(b"".join(found["terms"]), "<f2").reshape(len(found), TERMS).astype(np.float32)
+    x = np.empty((len(found), TERMS), np.float32)
+    for row, weighed in zip(x, found["terms"]):
+        row[:] = np.frombuffer(weighed, "<f2")
+    del found
     weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.5)
     empty = np.zeros((0, 1), np.float32)
     if not len(x):
         return LatentSpace(weights, np.zeros((TERMS, 1), np.float32), empty, y, 0.5)
-    space = LatentSpace(weights, _axes(x * weights, rank).astype(np.float32), empty, y, float(y.mean()))
-    space.positions = space.project(x)
+    x *= weights  # the one copy that the driver holds
+    space = LatentSpace(weights, _axes(x, rank).astype(np.float32), empty, y, float(y.mean()))
+    space.positions = space.placed(x)
     return space
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -148,3 +149,13 @@ def test_linked_rows_need_similarity():
     a = shingles.shingle_set(" ".join(f"w{i}" for i in range(104)))
     near, far = (shingles.shingle_set(" ".join([f"w{i}" for i in range(104 - n)] + [f"x{i}" for i in range(n)])) for n in (11, 12))
     assert shingles.linked_rows([a, near]).tolist() == [0, 0] and shingles.linked_rows([a, far]).tolist() == [0, 1]
+
+
+def test_texts_go_through_in_slices(monkeypatch):
+    """What is made of a batch comes out a few rows at a time, with the values of whole texts."""
+    monkeypatch.setattr("gridfold.llm.base.SLICE", 7)
+    texts = [t for _, t in varied(20)] + [None, "", "Ärger 　x"]
+    for column, made in ((simhash.simhash_column, simhash.simhash), (shingles.bands_column, shingles.bands), (shingles.sets_column, lambda t: shingles.shingle_set(t).tobytes())):
+        parts = list(column.func(iter([pa.array(texts[:20]), pa.array(texts[20:], pa.string())])))
+        assert [len(p) for p in parts] == [7, 7, 6, 3]
+        assert [v for p in parts for v in p.to_pylist()] == [made(t) for t in texts]

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,21 @@ def test_words_in_use_are_learnt_once(monkeypatch):
     assert learnt["often"] == learnt["naïve"] == 1
 
 
+def test_workers_forget_words_after_a_task(spark, documents):
+    """Reused workers go on to other steps without the words of the texts they packed."""
+    rows = [(i, f"word{i} naïve {'x' * i}") for i in range(40)]
+    assert packing.token_pieces(documents(rows), tokenizer_path()).count() == 40
+
+    def held(batches):
+        from gridfold.llm.packing import _ENCODERS
+
+        n = sum(len(e.known) + len(e.older) for e in _ENCODERS.values())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows)], ["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_pieces_are_whole(documents):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, None), (3, "again"), (3, "again"), (-4, "q")]
     got = packing.packed_documents(documents(rows, extra="length"), tokenizer_path(), 64).collect()
