@@ -12,7 +12,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bits of a filter for each of its keys, and of a part that one row of its table holds; with more keys than the most allow, more rows pass.
+FILTER_BITS, PART_BITS, MOST_BITS = 32, 1 << 15, 1 << 27
 #: Rows of a batch that Python works on at a time.
 SLICE = 512
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +77,32 @@ def sliced(batches: Iterator[pa.RecordBatch | pa.Array], rows: int | None = None
             yield batch.slice(at, rows or SLICE)
 
 
+def may_be_among(keys: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A test of a hash (long, not null): true for each value of the column ``name`` of ``keys``, and for few others.
+
+    The values are hashes themselves and set one bit each.  The bits, at most ``MOST_BITS``, are broadcast: what cannot match
+    need not be shuffled, and an exact join of the rest has to follow.
+    """
+    size = PART_BITS
+    wanted = min(MOST_BITS, FILTER_BITS * keys.count())
+    while size < wanted:
+        size *= 2
+    at = F.col(name).bitwiseAND(F.lit(size - 1))
+    parts = keys.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(PART_BITS - 1))).alias("bits"))
+    held = np.zeros(size // 8, np.uint8)
+    for part, bits in parts.collect():
+        held[part * (PART_BITS // 8) : (part + 1) * (PART_BITS // 8)] = np.frombuffer(bits, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(held)
+
+    @F.arrow_udf(T.BooleanType())
+    def among(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in hashes:
+            at = part.to_numpy(zero_copy_only=False) & np.int64(size - 1)
+            yield pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return among
+
+
 def by_group(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Batches of rows sorted by ``key``, cut so that no group is in two of them.
 

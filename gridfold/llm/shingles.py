@@ -2,7 +2,7 @@
 
 Texts that ``simhash.near_duplicates`` puts into one component meet in one bucket, and so do texts that agree in all
 hashes of a band, which reaches pairs whose fingerprints differ in more bits.  Buckets with the same members are
-compared once.  Within a bucket the exact Jaccard similarity of the shingle sets is taken, and links of
+compared once, and buckets that hang together as one where that is not more work.  Within a bucket the exact Jaccard similarity of the shingle sets is taken, and links of
 ``SIMILARITY`` or more leave it as a forest.
 """
 
@@ -14,11 +14,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridfold.llm.base import by_group, sliced, whole_text
+from gridfold.llm.base import by_group, may_be_among, sliced, whole_text
 from gridfold.llm.components import components
 from gridfold.llm.simhash import near_duplicates, one_of_each
 from gridfold.session import stored
@@ -110,6 +110,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(node[a:b][linked]), pa.array(node[a:b][root[linked]])], ["a", "b"])
 
 
+def _blocks(n: str) -> Column:
+    return F.ceil(F.col(n) / BLOCK).cast("int").alias("blocks")
+
+
+def _places(members: DataFrame) -> DataFrame:
+    """``row_key, node, places``: the buckets (``key, blocks``) that each text of ``members`` is compared in.
+
+    ``members`` has a row for each text of a bucket (``key, row_key, node, n, least, blocks``).  Buckets that hang together
+    by common texts become one, so that a text is sent once, if they have up to ``BLOCK`` texts in all, or more but
+    neither more copies of texts nor more pairs to compare than the single buckets.
+    """
+    tree = components(members.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    held = stored(members.join(tree, "node", "left").withColumn("whole", F.coalesce("root", "node")).drop("root"), "held")
+    texts = held.groupBy("whole", "row_key", "node").agg(F.sum("blocks").alias("copies"), F.sum("n").alias("pairs"))
+    sizes = texts.groupBy("whole").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.sum("pairs").alias("pairs"))
+    sizes = sizes.select("whole", "n", "copies", "pairs", _blocks("n")).where((F.col("n") <= BLOCK) | (F.expr("n * blocks <= copies") & F.expr("n * n <= pairs")))
+    sizes = stored(sizes.select("whole", "blocks"), "wholes")
+    single = held.join(sizes, "whole", "left_anti").select("row_key", "node", "key", "blocks")
+    places = texts.select("whole", "row_key", "node").join(sizes, "whole").select("row_key", "node", F.col("whole").alias("key"), "blocks").union(single)
+    return places.groupBy("row_key", "node").agg(F.collect_list(F.struct("key", "blocks")).alias("places"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, row_key, root`` for each row of ``docs`` (``doc_id`` integer, ``text``).
 
@@ -125,16 +147,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     similar = near_duplicates(docs).select("row_key", F.xxhash64("root").alias("key")).distinct()
     keys = once.select("node", "row_key", F.explode("bands").alias("key")).union(once.join(similar, "row_key").select("node", "row_key", "key"))
     index = stored(keys, "buckets")
-    buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("sign"), F.min("node").alias("least")).where("n > 1")
-    buckets = buckets.groupBy("n", "sign", "least").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = stored(index.join(buckets, "key"), "members")
-    asked = members.select("row_key", "node").distinct()
-    sets = docs.select(row_key.alias("row_key"), text.alias("text")).join(asked, "row_key").dropDuplicates(["node"])
-    sets = stored(sets.select("node", sets_column(F.col("text")).alias("shingles")), "shingles")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    met = stored(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "met")
+    found = stored(index.where(may_be_among(met, "key")(F.col("key"))).join(met, "key"), "found")
+    buckets = found.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("sign"), F.min("node").alias("least"))
+    buckets = buckets.groupBy("n", "sign", "least").agg(F.min("key").alias("key")).select("key", "n", "least", _blocks("n"))
+    asked = stored(_places(stored(found.join(buckets, "key"), "members")), "places")
+    texts = docs.select(row_key.alias("row_key"), text.alias("text")).where(may_be_among(asked, "row_key")(F.col("row_key")))
+    # Joined and freed of repeated rows by one shuffle; a set is made once and only then copied to its places.
+    sets = texts.join(asked, "row_key").dropDuplicates(["row_key", "node"]).select("node", "places", sets_column(F.col("text")).alias("shingles"))
+    dealt = sets.select("node", "shingles", F.inline("places")).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("key", "node", "own", other).select("key", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(sets, "node").select("key", "i", "j", "node", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    dealt = dealt.select("key", "node", "shingles", "own", other)
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     tree = components(dealt.mapInArrow(_verified, "a long, b long").distinct())
     return marked.select("doc_id", "row_key", "node").join(tree, "node", "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridfold.llm.base import by_group, sliced, whole_text
+from gridfold.llm.base import by_group, may_be_among, sliced, whole_text
 from gridfold.llm.components import components
 from gridfold.session import stored
 
@@ -147,14 +147,20 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def one_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """``docs`` with one row of each ``root`` of ``marked`` (``doc_id, row_key, root``): the smallest ``doc_id`` (null last).
 
-    Rows of equal id and text are one document and one of them stays.
+    Rows of equal id and text are one document and one of them stays.  Rows that a filter of the others' keys tells
+    to stay are not shuffled.
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
-    kept = marked.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.row_key")
-    kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row_key").alias("_row"))
-    keyed = docs.withColumns({"_id": F.coalesce(docs["doc_id"], F.lit(0)), "_row": F.xxhash64(docs["doc_id"], whole_text(docs))})
-    once = F.row_number().over(Window.partitionBy("_id", "_row").orderBy(F.xxhash64(*docs.columns)))
-    return keyed.join(kept, ["_id", "_row"], "left_semi").withColumn("_once", once).where("_once = 1").select(docs.columns)
+    own = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row_key").alias("_row")]
+    kept = stored(marked.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.row_key").select(own), "kept")
+    rows = marked.select(own).groupBy("_id", "_row").agg(F.count("*").alias("n"))
+    doubted = rows.join(kept.withColumn("stays", F.lit(True)), ["_id", "_row"], "left").where("stays is null or n > 1")
+    doubtful = may_be_among(stored(doubted.select("_row"), "doubted"), "_row")
+    row_key = F.xxhash64(docs["doc_id"], whole_text(docs))
+    keyed = docs.where(doubtful(row_key)).select(F.coalesce(docs["doc_id"], F.lit(0)).alias("_id"), row_key.alias("_row"), F.struct(*docs.columns).alias("doc"))
+    once = F.row_number().over(Window.partitionBy("_id", "_row").orderBy(F.xxhash64("doc")))
+    checked = keyed.join(kept, ["_id", "_row"], "left_semi").withColumn("_once", once).where("_once = 1").select("doc.*")
+    return docs.where(~doubtful(row_key)).union(checked)
 
 
 def drop_near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:

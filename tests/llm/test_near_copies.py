@@ -4,8 +4,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from gridfold.llm import shingles, simhash
+from gridfold.llm import base, shingles, simhash
 from gridfold.llm.components import components
+from gridfold.session import stored
 
 
 def plain_simhash(text, width=3):
@@ -109,6 +110,56 @@ def test_one_of_each_group_stays(documents):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_own_columns_stay(documents):
+    """Columns named like those of the work keep their values, in rows that are checked and in rows that are not."""
+    rows = [(1, "some words that come twice"), (2, "some words that come twice"), (3, "a text of its own"), (3, "a text of its own"), (4, None)]
+    docs = documents(rows, extra="_row").withColumn("_id", F.col("doc_id") * 10).withColumn("doc", F.lit("x"))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    got = sorted((r.doc_id, r._id, r._row) for r in kept.collect())
+    assert [g[:2] for g in got] == [(1, 10), (3, 30), (4, 40)] and [g[2] for g in got] in (["own 0", "own 2", "own 4"], ["own 0", "own 3", "own 4"])
+
+
+def test_filter_of_keys(spark, monkeypatch):
+    """All keys pass and few others, also where the bits are too few; without keys nothing does."""
+    hashes = spark.range(20000).select(F.xxhash64("id").alias("h"), "id")
+    for most, others in ((1 << 27, 900), (1 << 15, 3000)):
+        monkeypatch.setattr(base, "MOST_BITS", most)
+        among = base.may_be_among(hashes.where("id < 2000").select("h"), "h")
+        passed = {r.id for r in hashes.where(among(F.col("h"))).collect()}
+        assert passed >= set(range(2000)) and len(passed) < 2000 + others
+    assert hashes.where(base.may_be_among(hashes.where("false"), "h")(F.col("h"))).count() == 0
+
+
+def test_a_text_is_sent_once(documents, monkeypatch):
+    """Buckets of different members that hang together are one; only texts that meet others are fetched."""
+    seen = {}
+    monkeypatch.setattr(shingles, "stored", lambda df, name: seen.setdefault(name, stored(df, name)))
+    rows = varied(120, seed=8)
+    shingles.near_copies(documents(rows + [(1000 + i, f"alone {i} " * 30) for i in range(20)])).collect()
+    places = [p for r in seen["places"].collect() for p in r.places]
+    assert len(places) == seen["places"].count() == len({t for _, t in rows})
+    assert seen["members"].count() > 2 * len(places)
+
+
+def test_places_of_large_components(spark, monkeypatch):
+    """More texts than a block: one place by blocks where the buckets overlap much, else the buckets."""
+    monkeypatch.setattr(shingles, "BLOCK", 8)
+    dense = [(k, t) for k in range(9) for t in range(100, 120) if t != 110 + k]
+    chain = [(1000 + t, u) for t in range(200, 220) for u in (t, t + 1)]
+    small = [(5000 + t, u) for t in range(300, 304) for u in (t, t + 1)]
+    rows = [(k, t) for part in (dense, chain, small) for k, t in part]
+    size, least = {}, {}
+    for k, t in rows:
+        size[k], least[k] = size.get(k, 0) + 1, min(t, least.get(k, t))
+    made = [(k, -t, t, size[k], least[k], -(-size[k] // 8)) for k, t in rows]
+    members = spark.createDataFrame(made, "key bigint, row_key bigint, node bigint, n bigint, least bigint, blocks int")
+    got = {r.node: sorted((p.key, p.blocks) for p in r.places) for r in shingles._places(members).collect()}
+    assert all(got[t] == [(100, 3)] for t in range(100, 120))
+    assert all(got[t] == [(1000 + k, 1) for k in (t - 1, t) if 200 <= k < 220] for t in range(200, 221))
+    assert all(got[t] == [(300, 1)] for t in range(300, 305)) and len(got) == 20 + 21 + 5
+
+
 def five_words(text):
     w = (text or "").lower().split()
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
