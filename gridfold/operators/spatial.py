@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridfold.functions import kernel
 from gridfold.functions.measure import is_point
-from gridfold.plans.grid import CellJoin, anchored, exists_join, fetched, keyed, profiles
+from gridfold.plans.grid import CellJoin, anchored, exists_join, fetched, keyed, profiles, some_of
 from gridfold.schema import COLUMNS, computed, with_bbox
 from gridfold.session import stored
 
@@ -76,15 +76,15 @@ def intersection(a: DataFrame, b: DataFrame, mode: str = "filter", hot_rows: int
     """``filter``: rows of a that meet b.  ``clip``: those rows cut to what b covers."""
     _mode("intersection", mode, ("filter", "clip"))
     if mode == "filter":
-        return exists_join(a, b, intersects_test, hot_rows=hot_rows)
+        return exists_join(a, b, intersects_test, hot_rows=hot_rows, touch=True)
     kernel.install(a.sparkSession)
-    rows, single = stored(a, "rows"), is_point(F.col("geom"))
+    rows, single = anchored(a), is_point(F.col("geom"))
     kinds = {r["single"] for r in rows.where(F.col("bbox").isNotNull()).select(single.alias("single")).distinct().collect()}
     # What is left of a point is the point, so it needs one partner and no mask of all of them.
-    points = exists_join(rows.where(single), b, intersects_test, hot_rows=hot_rows, right_shape=_mask_shape(CLIP_TOLERANCE))
+    points = exists_join(some_of(rows, single), b, intersects_test, hot_rows=hot_rows, right_shape=_mask_shape(CLIP_TOLERANCE), touch=True)
     if kinds == {True}:
-        return points.select(*COLUMNS)
-    shapes = _clipped(rows.where(~single), b, hot_rows)
+        return points if points.columns == COLUMNS else points.select(*COLUMNS)
+    shapes = _clipped(some_of(rows, ~single), b, hot_rows)
     return shapes.unionByName(points.select(*COLUMNS)) if True in kinds else shapes
 
 
@@ -102,7 +102,7 @@ def difference(a: DataFrame, b: DataFrame, mode: str = "subtract", hot_rows: int
     """
     _mode("difference", mode, ("exclude", "subtract"))
     if mode == "exclude":
-        return exists_join(a, b, intersects_test, anti=True, hot_rows=hot_rows)
+        return exists_join(a, b, intersects_test, anti=True, hot_rows=hot_rows, touch=True)
     rows, masks, b_rows = _masks(a, b, SUBTRACT_TOLERANCE, hot_rows)
     spatial = rows.where(F.col("geom").isNotNull())
     if b_rows == 0:

@@ -12,17 +12,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from math import isnan
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import kernel
-from gridfold.functions.measure import is_point, point_x, point_y, vertices
-from gridfold.plans.skew import evened, hot_limit, spread
+from gridfold.functions.measure import box, is_point, point_x, point_y, vertices
+from gridfold.plans.skew import evened, spread
+from gridfold.schema import computed
 from gridfold.session import stored
 
 #: A side is broadcast only when its measured vertices and rows stay below this many bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: Of 64 row numbers as one word, in a broadcast.
+_WORD_BYTES = 32
+#: A part of anchored rows smaller than one in so many is written anew, a larger one is named by its row numbers.
+SPARSE = 8
+#: Covered cells (see ``covers``) that are broadcast at most, the coarsest first.
+COVER_CELLS = 2**18
 _POINT, _LOW, _HIGH = -41, -40, 40
 _STEP = 3
 _SLACK = 1 + 1e-12
@@ -38,6 +47,7 @@ class Profile:
     rows: int
     all_points: bool
     bytes: int
+    extent: tuple[float, float, float, float] | None = None
 
     @property
     def small(self) -> bool:
@@ -54,15 +64,58 @@ class Profile:
         return None
 
 
+#: Results of ``exists_join`` -> the anchored files they come from, and a frame of their row numbers there.
+_KEPT: WeakKeyDictionary[DataFrame, tuple[DataFrame, DataFrame]] = WeakKeyDictionary()
+#: Some rows of anchored files, with their row numbers -> these files.
+_FILES: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
+
+
 def anchored(df: DataFrame) -> DataFrame:
     """The input of an operator that reads it several times, written once with an own row number ``_row``.
 
     What led to ``df`` runs once, so a chain costs the sum of its steps, and no
     result depends on ``fid`` being unique or present.  The files fix the numbers.
+    What an existence join left of anchored rows isn't written again: its row numbers are, as bits.
     """
+    if df in _FILES:
+        return df
+    if df in _KEPT:
+        files, kept = _KEPT[df]
+        words = stored(_words(kept), "kept")
+        n, rows = words.agg(F.count(F.lit(1)), F.sum(F.bit_count("_bits"))).first()
+        if n * _WORD_BYTES <= BROADCAST_BYTES and (rows or 0) * SPARSE >= files.count():
+            return _part(files, _marked(files, F.broadcast(words), "left_semi"))
     return stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+def _part(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """``some`` of the anchored ``rows``, known as such."""
+    _FILES[some] = _FILES.get(rows, rows)
+    return some
+
+
+def some_of(rows: DataFrame, condition: Column) -> DataFrame:
+    """Anchored rows that fulfil a condition; they count as anchored too."""
+    return _part(rows, rows.where(condition))
+
+
+def _words(ids: DataFrame) -> DataFrame:
+    """Row numbers ``_row``, which may repeat, as one 64-bit word for each 64 of them."""
+    bit = F.expr("shiftleft(1L, cast(_row & 63L as int))")
+    return ids.groupBy(F.shiftright("_row", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def _hinted(words: DataFrame) -> DataFrame:
+    """Stored words, to be broadcast unless they are too many."""
+    return F.broadcast(words) if words.count() * _WORD_BYTES <= BROADCAST_BYTES else words
+
+
+def _marked(rows: DataFrame, words: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of anchored rows with the words of row numbers."""
+    bit = F.bit_get(F.col("_bits"), F.col("_row").bitwiseAND(F.lit(63)).cast("int"))
+    return rows.join(words, (F.shiftright("_row", 6) == F.col("_word")) & (bit == 1), how)
+
+
 def keyed(rows: DataFrame) -> DataFrame:
     """Anchored rows with the row number as ``fid``; the former ``fid`` is ``_fid``."""
     return rows.withColumn("_fid", F.col("fid")).withColumn("fid", F.col("_row")).drop("_row")
@@ -96,7 +149,7 @@ def profiles(*inputs: tuple[DataFrame, Column | None]) -> list[Profile]:
     shape = F.col("geom")
     size = F.when(is_point(shape), 1).otherwise(F.size(vertices(shape)))
     sides = [
-        _powered(grown(df.where(F.col("bbox").isNotNull()).select("geom", "bbox"), by)).select(F.lit(i).alias("input"), "_pw", "geom")
+        _powered(grown(df.where(F.col("bbox").isNotNull()).select("geom", "bbox"), by)).select(F.lit(i).alias("input"), "_pw", "geom", "_x0", "_y0", "_x1", "_y1")
         for i, (df, by) in enumerate(inputs)
     ]
     found = (
@@ -106,6 +159,7 @@ def profiles(*inputs: tuple[DataFrame, Column | None]) -> list[Profile]:
             F.count(F.lit(1)).alias("n"),
             F.sum(F.when(is_point(shape), 0).otherwise(1)).alias("extended"),
             F.sum(size).alias("vertices"),
+            *[f(c).alias(c) for f, c in ((F.min, "_x0"), (F.min, "_y0"), (F.max, "_x1"), (F.max, "_y1"))],
         )
         .collect()
     )
@@ -113,10 +167,28 @@ def profiles(*inputs: tuple[DataFrame, Column | None]) -> list[Profile]:
     for i in range(len(inputs)):
         rows = [r for r in found if r["input"] == i]
         n = sum(r["n"] for r in rows)
-        out.append(Profile({r["side"]: r["n"] for r in rows}, n, all(r["extended"] == 0 for r in rows), sum(r["vertices"] for r in rows) * 16 + n * 64))
+        ends = [[r[c] for r in rows] for c in ("_x0", "_y0", "_x1", "_y1")]
+        extent = (min(ends[0]), min(ends[1]), max(ends[2]), max(ends[3])) if rows and not any(v is None or isnan(v) for e in ends for v in e) else None
+        sides_of, points = {r["side"]: r["n"] for r in rows}, all(r["extended"] == 0 for r in rows)
+        out.append(Profile(sides_of, n, points, sum(r["vertices"] for r in rows) * 16 + n * 64, extent))
     return out
 
 
+def within_reach(left: Profile, right: DataFrame, grow: Column | None, measured: Profile) -> tuple[DataFrame, Profile]:
+    """``right`` without what lies beyond the extent of the left, where that is more than half of its own, and its profile."""
+    if measured.small or left.extent is None or measured.extent is None:
+        return right, measured
+    x0, y0, x1, y1 = left.extent
+    share = 1.0
+    for (low, high), (own, end) in zip(((x0, x1), (y0, y1)), (measured.extent[::2], measured.extent[1::2])):
+        share *= (min(high, end) - max(low, own)) / (end - own) if end > own else 1.0
+    if share > 0.5 and min(x1, measured.extent[2]) >= max(x0, measured.extent[0]):
+        return right, measured
+    near = (F.col("_x0") <= x1) & (F.col("_x1") >= x0) & (F.col("_y0") <= y1) & (F.col("_y1") >= y0)
+    right = grown(right.where(F.col("bbox").isNotNull()), grow).where(near).drop("_x0", "_y0", "_x1", "_y1")
+    return right, profiles((right, grow))[0]
+
+
 def levels(a: Profile, b: Profile) -> list[int]:
     """Cell-side exponents in use, finest first."""
     typical = [t for t in (a.typical(), b.typical()) if t is not None]
@@ -174,6 +246,43 @@ def _shape_columns(df: DataFrame, points: bool, shape: Column | None) -> DataFra
     return out.withColumn("_wkb", F.lit(None).cast("binary") if points else (kernel.pack(g) if shape is None else shape))
 
 
+def covers(right: DataFrame, shape: Column | None, rows: int) -> DataFrame:
+    """Cells ``_k, _cx, _cy`` that lie within one area of ``right``: whatever has a point in one meets that area.
+
+    An area is asked for the cells of half the power of two below its envelope side, at most nine, that its envelope holds.
+    """
+    areas = right.where(F.col("bbox").isNotNull() & F.col("geom")["type"].isin("Polygon", "MultiPolygon")).select("geom", "bbox")
+    areas = _powered(grown(evened(areas, rows, "bbox"), None))
+    areas = areas.where(F.col("_pw").between(_LOW, _HIGH - 1)).withColumn("_k", F.col("_pw") - 1).withColumn("_c", F.pow(F.lit(2.0), F.col("_k")))
+    for low, high, first, last in (("_x0", "_x1", "_i0", "_i1"), ("_y0", "_y1", "_j0", "_j1")):
+        areas = areas.withColumn(first, F.ceil(F.col(low) / F.col("_c"))).withColumn(last, F.floor(F.col(high) / F.col("_c")) - 1)
+    areas = areas.where((F.col("_i0") <= F.col("_i1")) & (F.col("_j0") <= F.col("_j1")))
+
+    def cells(i0: str, j0: str, i1: str, j1: str) -> Column:
+        c = F.col("_c")
+        return kernel.pack(box(F.col(i0) * c, F.col(j0) * c, (F.col(i1) + 1) * c, (F.col(j1) + 1) * c))
+
+    shaped = computed(areas, _shape=kernel.pack(F.col("geom")) if shape is None else shape)
+    whole = computed(shaped, _whole=kernel.contains(F.col("_shape"), cells("_i0", "_j0", "_i1", "_j1")))
+    each = whole.withColumn("_cx", F.explode(F.sequence("_i0", "_i1"))).withColumn("_cy", F.explode(F.sequence("_j0", "_j1")))
+    return each.where(F.col("_whole") | kernel.contains(F.col("_shape"), cells("_cx", "_cy", "_cx", "_cy"))).select("_k", "_cx", "_cy").distinct()
+
+
+def _uncovered(left: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows of ``left`` without geometry, or whose first vertex is in none of the cells."""
+    first = F.get(F.get(F.get(F.col("geom")["parts"], F.lit(0)), F.lit(0)), F.lit(0))
+    left = left.withColumns({c: F.nanvl(first[c[1]], F.lit(None).cast("double")) for c in ("_x", "_y")})
+    counts = {r["_k"]: r["n"] for r in cells.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = 0
+    for k in sorted(counts, reverse=True):
+        taken += counts[k]
+        if taken > COVER_CELLS:  # finer cells spare the exact join less
+            break
+        own = cells.where(F.col("_k") == k).select(F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"))
+        left = left.join(F.broadcast(own), (_cell(F.col("_x"), k) == F.col("_ox")) & (_cell(F.col("_y"), k) == F.col("_oy")), "left_anti")
+    return left.drop("_x", "_y")
+
+
 _TAIL = ["_x0", "_y0", "_x1", "_y1", "_px", "_py", "_wkb", "_l", "_k", "_cx", "_cy"]
 
 
@@ -233,36 +342,39 @@ class CellJoin:
         terms.append(test(a, b))
         return reduce(lambda p, q: p & q, terms)
 
-    def _sides(self, keep_fid: bool) -> tuple[DataFrame, DataFrame, list[str], bool]:
-        cells, right = self.left_cells(), self.right_cells(keep_fid)
+    def _sides(self, keep_fid: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+        return self._placed(self.left_cells(), self.right_cells(keep_fid))
+
+    def _placed(self, cells: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+        """Both sides broadcast or split over salts, and the keys to join them by."""
         keys = ["_k", "_cx", "_cy"]
         if self.rp.small:
-            return cells, F.broadcast(right), keys, False
+            return cells, F.broadcast(right), keys
         if self.lp.small:
             # The right side streams past the broadcast left.
-            return F.broadcast(cells), right, keys, False
+            return F.broadcast(cells), right, keys
         plain = right.withColumnsRenamed({f"b{k}": k for k in keys})
         row = F.struct("b_x0", "b_y0", "b_x1", "b_y1")
-        cells, plain, keys, copied = spread(
+        cells, plain, keys, _ = spread(
             cells, plain, keys, F.col("fid"), row, self.lp.rows, self.rp.rows, self.hot_rows
         )
-        return cells, plain.withColumnsRenamed({k: f"b{k}" for k in keys}), keys, copied
+        return cells, plain.withColumnsRenamed({k: f"b{k}" for k in keys}), keys
 
     def matched(self, test: Test) -> DataFrame:
-        """Distinct ``fid`` of left rows with at least one right partner."""
+        """``fid`` of left rows with at least one right partner; it may come several times."""
         spatial = self.left.where(F.col("bbox").isNotNull())
         self.left = spatial.select("fid", *[c for c in _TAIL if c in spatial.columns])
-        cells, right, keys, _ = self._sides(False)
+        cells, right, keys = self._placed(self.left_cells(), self.right_cells())
         cond = self.condition(keys, F.col, lambda c: F.col(f"b{c}"), test, once=False)
-        # With a small left side the large one streams past it; the distinct collapses per task.
+        # With a small left side the large one streams past it.
         how = "inner" if self.lp.small and not self.rp.small else "left_semi"
-        return cells.join(right, cond, how).select("fid").distinct()
+        return cells.join(right, cond, how).select("fid")
 
     def pairs(self, test: Test) -> DataFrame:
         """Each matching pair once: columns of the left row and ``b``-prefixed columns of the right."""
         spatial = self.left.where(F.col("bbox").isNotNull())
         self.left = spatial.select("fid", *[c for c in _TAIL if c in spatial.columns])
-        cells, right, keys, _ = self._sides(True)
+        cells, right, keys = self._sides(True)
         cond = self.condition(keys, F.col, lambda c: F.col(f"b{c}"), test, once=True)
         return cells.join(right, cond, "inner")
 
@@ -286,21 +398,44 @@ def exists_join(
     payload: DataFrame | None = None,
     hot_rows: int | None = None,
     right_shape: Column | None = None,
+    touch: bool = False,
 ) -> DataFrame:
     """Rows of ``left`` with (or, ``anti``, without) a partner in ``right`` that passes ``test``.
 
     Where the joined geometry is a derived one, ``payload`` holds the anchored
     rows to return, and ``left`` their row numbers as ``fid``.  ``right_shape`` is the WKB that stands for a right row's geometry.
+    ``touch`` says that one common point passes the test: between two large sides, left rows under a covered cell then need no
+    partner to be looked for.  Rows themselves are never shuffled: the join gives row numbers, and their bits are broadcast.
     """
+    kernel.install(left.sparkSession)
     rows = anchored(left) if payload is None else payload
+    left = keyed(rows) if payload is None else left
+    files = _FILES.get(rows, rows)
     names = [c for c in rows.columns if c != "_row"]
-    join = CellJoin(keyed(rows) if payload is None else left, right, grow, right_shape, dedup_right=True, hot_rows=hot_rows)
+    lp, rp = profiles((left, None), (right, grow))
+    right, rp = within_reach(lp, right, grow, rp)
     how = "left_anti" if anti else "left_semi"
-    safe_right = join.rp.rows <= hot_limit(join.rp.rows, hot_rows)
-    direct = join.one_cell and (join.rp.small or (safe_right and not join.lp.small))
-    if direct and payload is None:
-        cells, right_cells, keys, copied = join._sides(False)
-        if not copied:
-            cond = join.condition(keys, F.col, lambda c: F.col(f"b{c}"), test, once=False)
-            return cells.join(right_cells, cond, how).withColumn("fid", F.col("_fid")).select(*names)
-    return rows.join(join.matched(test).withColumnRenamed("fid", "_row"), "_row", how).select(*names)
+    join = CellJoin(left, right, grow, right_shape, dedup_right=True, hot_rows=hot_rows, measured=[lp, rp])
+    if join.one_cell and rp.small and payload is None:
+        cells, right_cells, keys = join._placed(join.left_cells(), join.right_cells())
+        cond = join.condition(keys, F.col, lambda c: F.col(f"b{c}"), test, once=False)
+        kept = cells.join(right_cells, cond, how).withColumn("_row", F.col("fid")).withColumn("fid", F.col("_fid"))
+    elif touch and not rp.small and not lp.small:
+        under_none = _uncovered(left, stored(covers(right, right_shape, rp.rows), "covers"))
+        open_words = stored(_words(under_none.select(F.col("fid").alias("_row"))), "open")
+        lp = profiles((under_none, None))[0]
+        if lp.rows:
+            right, rp = within_reach(lp, right, grow, rp)
+            join = CellJoin(under_none, right, grow, right_shape, dedup_right=True, hot_rows=hot_rows, measured=[lp, rp])
+            met = _words(join.matched(test).withColumnRenamed("fid", "_row")).withColumnRenamed("_bits", "_met")
+            left_over = F.col("_bits").bitwiseAND(F.bitwise_not(F.coalesce("_met", F.lit(0).cast("bigint"))))
+            open_words = stored(open_words.join(met, "_word", "left").select("_word", left_over.alias("_bits")).where("_bits != 0"), "open")
+        # Open rows are those without geometry as well.
+        kept = _marked(rows, _hinted(open_words), "left_semi" if anti else "left_anti")
+    else:
+        words = stored(_words(join.matched(test).withColumnRenamed("fid", "_row")), "matched")
+        # Numbers of matched rows say all; which part of the files they were looked for in does not matter any more.
+        kept = _marked(rows if anti else files, _hinted(words), how)
+    out = kept.select(*names)
+    _KEPT[out] = (files, kept.select("_row"))
+    return out
