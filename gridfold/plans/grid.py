@@ -271,7 +271,8 @@ def covers(right: DataFrame, shape: Column | None, rows: int) -> DataFrame:
 def _uncovered(left: DataFrame, cells: DataFrame) -> DataFrame:
     """Rows of ``left`` without geometry, or whose first vertex is in none of the cells."""
     first = F.get(F.get(F.get(F.col("geom")["parts"], F.lit(0)), F.lit(0)), F.lit(0))
-    left = left.withColumns({c: F.nanvl(first[c[1]], F.lit(None).cast("double")) for c in ("_x", "_y")})
+    known = F.when(F.col("bbox").isNotNull(), first)
+    left = left.withColumns({c: F.nanvl(known[c[1]], F.lit(None).cast("double")) for c in ("_x", "_y")})
     counts = {r["_k"]: r["n"] for r in cells.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = 0
     for k in sorted(counts, reverse=True):
@@ -405,7 +406,7 @@ def exists_join(
     Where the joined geometry is a derived one, ``payload`` holds the anchored
     rows to return, and ``left`` their row numbers as ``fid``.  ``right_shape`` is the WKB that stands for a right row's geometry.
     ``touch`` says that one common point passes the test: between two large sides, left rows under a covered cell then need no
-    partner to be looked for.  Rows themselves are never shuffled: the join gives row numbers, and their bits are broadcast.
+    partner to be looked for.  The join gives row numbers, and their bits are broadcast, so large inputs themselves are not shuffled.
     """
     kernel.install(left.sparkSession)
     rows = anchored(left) if payload is None else payload
@@ -421,20 +422,20 @@ def exists_join(
         cond = join.condition(keys, F.col, lambda c: F.col(f"b{c}"), test, once=False)
         kept = cells.join(right_cells, cond, how).withColumn("_row", F.col("fid")).withColumn("fid", F.col("_fid"))
     elif touch and not rp.small and not lp.small:
-        under_none = _uncovered(left, stored(covers(right, right_shape, rp.rows), "covers"))
-        open_words = stored(_words(under_none.select(F.col("fid").alias("_row"))), "open")
-        lp = profiles((under_none, None))[0]
+        others = _uncovered(left, stored(covers(right, right_shape, rp.rows), "covers"))
+        unmet = stored(_words(others.select(F.col("fid").alias("_row"))), "open")
+        lp = profiles((others, None))[0]
         if lp.rows:
             right, rp = within_reach(lp, right, grow, rp)
-            join = CellJoin(under_none, right, grow, right_shape, dedup_right=True, hot_rows=hot_rows, measured=[lp, rp])
+            join = CellJoin(others, right, grow, right_shape, dedup_right=True, hot_rows=hot_rows, measured=[lp, rp])
             met = _words(join.matched(test).withColumnRenamed("fid", "_row")).withColumnRenamed("_bits", "_met")
-            left_over = F.col("_bits").bitwiseAND(F.bitwise_not(F.coalesce("_met", F.lit(0).cast("bigint"))))
-            open_words = stored(open_words.join(met, "_word", "left").select("_word", left_over.alias("_bits")).where("_bits != 0"), "open")
-        # Open rows are those without geometry as well.
-        kept = _marked(rows, _hinted(open_words), "left_semi" if anti else "left_anti")
+            rest = F.col("_bits").bitwiseAND(F.bitwise_not(F.coalesce("_met", F.lit(0).cast("bigint"))))
+            unmet = stored(unmet.join(met, "_word", "left").select("_word", rest.alias("_bits")).where("_bits != 0"), "open")
+        # Rows without geometry are among the unmet.
+        kept = _marked(files if anti else rows, _hinted(unmet), "left_semi" if anti else "left_anti")
     else:
         words = stored(_words(join.matched(test).withColumnRenamed("fid", "_row")), "matched")
-        # Numbers of matched rows say all; which part of the files they were looked for in does not matter any more.
+        # Numbers of kept rows say all: which part of the files they were looked for in does not matter any more.
         kept = _marked(rows if anti else files, _hinted(words), how)
     out = kept.select(*names)
     _KEPT[out] = (files, kept.select("_row"))
